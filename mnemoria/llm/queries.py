@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .mixing import mix
 from .packing import concatenate_and_cut
+from .quality import quality
 from .tokens import token_counts
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_robust_outliers": op2_robust_outliers,
         "op6_token_counts": op6_token_counts,
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
