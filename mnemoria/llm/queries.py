@@ -10,6 +10,7 @@ from .common import read_table
 from .mixing import mix
 from .packing import concatenate_and_cut
 from .quality import quality
+from .simhash import near_duplicates
 from .tokens import token_counts
 
 
@@ -21,6 +22,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concatenate_and_cut(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_robust_outliers": op2_robust_outliers,
         "op6_token_counts": op6_token_counts,
+        "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
     }
