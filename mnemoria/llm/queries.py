@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .mixing import mix
 from .packing import concatenate_and_cut
+from .pii import BASE_KINDS, personal_data
 from .quality import quality
 from .simhash import near_duplicates
 from .tokens import token_counts
@@ -22,6 +24,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(read_table(spark, sf_dir, "documents"))
+
+    def joined(column: str) -> Column:
+        return F.array_join(F.transform(column, lambda span: F.concat_ws(":", span["kind"], span["start"], span["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda span, kind=kind: span["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_robust_outliers": op2_robust_outliers,
         "op6_token_counts": op6_token_counts,
+        "op7_pii": op7_pii,
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
