@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .lines import per_document
 from .mixing import mix
 from .packing import concatenate_and_cut
 from .pii import BASE_KINDS, personal_data
@@ -16,6 +17,10 @@ from .simhash import near_duplicates
 from .tokens import token_counts
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_document(read_table(spark, sf_dir, "documents"))
+
+
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(column: str) -> Column:
         return F.array_join(F.transform(column, lambda span: F.concat_ws(":", span["kind"], span["start"], span["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda span, kind=kind: span["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    counts = [F.size(F.expr(f"filter(base, span -> span.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
@@ -48,6 +53,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_robust_outliers": op2_robust_outliers,
         "op6_token_counts": op6_token_counts,
         "op7_pii": op7_pii,
@@ -57,5 +63,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Lines by line break, their normal form, and every occurrence but the earliest.
+OP1_SQL = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS unit
+  FROM documents
+), placed AS (
+  SELECT doc_id, unit, length(line) AS len,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         trim(regexp_replace(lower(line), '[^\pL\pN]+', ' ', 'g')) AS norm
+  FROM split
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) AS rank
+  FROM placed WHERE length(norm) - length(replace(norm, ' ', '')) + 1 >= 5
+), gone AS (
+  SELECT doc_id, count(*) AS n_removed, sum(len) AS removed_chars,
+         string_agg(start::BIGINT || ':' || (start + len)::BIGINT, ',' ORDER BY start) AS spans
+  FROM ranked WHERE rank > 1 GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_chars, 0)::BIGINT AS removed_chars, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN gone USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL}
