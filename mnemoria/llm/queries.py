@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .additive import neighbours
 from .common import read_table
 from .lines import per_document
 from .mixing import mix
@@ -15,6 +16,7 @@ from .pii import BASE_KINDS, personal_data
 from .quality import quality
 from .simhash import near_duplicates
 from .tokens import token_counts
+from .urls import host_of, path_of, temporal_url_filter
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,36 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"))
 
 
+def op3_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A list for the pages' own hosts, folders and domains; digests of the patterns set the dates."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    folder = F.when(F.size(F.split(path, "/")) > 2, F.concat(host, F.lit("/"), F.element_at(F.split(path, "/"), 2), F.lit("/")))
+    domain = F.regexp_extract(host, r"[^.]+\.[^.]+$", 0)
+    names = pages.select(F.explode(F.array(F.struct(F.lit("host").alias("category"), host.alias("pattern")), F.struct(F.lit("folder").alias("category"), folder.alias("pattern")), F.struct(F.lit("domain").alias("category"), domain.alias("pattern")))).alias("e"))
+    named = names.select("e.category", "e.pattern").where("pattern <> ''").distinct().withColumn("h", F.conv(F.substring(F.md5("pattern"), 1, 4), 16, 10).cast("int"))
+    chosen = named.where("(category = 'host' and h % 3 = 0) or (category = 'folder' and h % 2 = 0) or category = 'domain'")
+    added = F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, h % 200)")
+    length = F.when(F.col("category") == "domain", F.col("h") % 5 + 1).otherwise(F.col("h") % 97 + 1)
+    dates = F.array(
+        F.struct(F.lit("add").alias("action"), added.alias("at")),
+        F.struct(F.lit("remove").alias("action"), (added + F.make_interval(days=length)).alias("at")),
+        F.struct(F.when(F.col("h") % 5 == 0, "add").alias("action"), (added + F.make_interval(days=length + 60)).alias("at")),
+    )
+    return chosen.select("pattern", "category", F.explode(dates).alias("d")).select("pattern", "category", "d.action", "d.at")
+
+
+def op5_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    fetched = F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(page_id * 7919 % 17520 * 30 as int))")
+    captures = pages.select(F.col("page_id").alias("id"), "url", fetched.alias("fetched_at"))
+    found = temporal_url_filter(captures, dated_entries(pages.select("url")))
+    return found.select(F.col("id").alias("page_id"), F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"), "n_active", "pattern", "blocked")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_robust_outliers": op2_robust_outliers,
+        "op3_additive_ann": op3_additive_ann,
+        "op5_temporal_url_filter": op5_temporal_url_filter,
         "op6_token_counts": op6_token_counts,
         "op7_pii": op7_pii,
         "op8_simhash": op8_simhash,
@@ -85,6 +119,40 @@ SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_c
 FROM documents d LEFT JOIN gone USING (doc_id)
 """
 
+#: The same dated list, and for each page the patterns that cover it joined by interval.
+OP5_SQL = r"""
+WITH captures AS (
+  SELECT page_id, TIMESTAMP '2024-01-01' + to_minutes((page_id * 7919 % 17520 * 30)::INT) AS fetched_at,
+         lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '')) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), names AS (
+  SELECT 'host' AS category, host AS pattern FROM captures
+  UNION SELECT 'folder', host || '/' || split_part(path, '/', 2) || '/' FROM captures WHERE len(string_split(path, '/')) > 2
+  UNION SELECT 'domain', regexp_extract(host, '[^.]+\.[^.]+$') FROM captures
+), hashed AS (
+  SELECT *, ('0x' || substr(md5(pattern), 1, 4))::INT AS h FROM names WHERE pattern <> ''
+), chosen AS (
+  SELECT *, TIMESTAMP '2024-01-01' + to_days(h % 200) AS added,
+         CASE WHEN category = 'domain' THEN h % 5 + 1 ELSE h % 97 + 1 END AS days
+  FROM hashed WHERE (category = 'host' AND h % 3 = 0) OR (category = 'folder' AND h % 2 = 0) OR category = 'domain'
+), intervals AS (
+  SELECT pattern, category, added AS valid_from, added + to_days(days) AS valid_to FROM chosen
+  UNION ALL SELECT pattern, category, added + to_days(days + 60), NULL FROM chosen WHERE h % 5 = 0
+), keys AS (
+  SELECT page_id, fetched_at, unnest(list_distinct(
+    list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda k: array_to_string(string_split(host, '.')[k:], '.'))
+    || CASE WHEN path = '' THEN [] ELSE list_transform(range(1, greatest(len(string_split(path, '/')) - 1, 1) + 1), lambda k: host || array_to_string(string_split(path, '/')[:k], '/') || '/') || [host || path] END)) AS pattern
+  FROM captures WHERE host <> ''
+), matches AS (
+  SELECT k.page_id, count(*) AS n, min(k.pattern) AS pattern
+  FROM keys k JOIN intervals i ON k.pattern = i.pattern AND i.valid_from <= k.fetched_at AND (i.valid_to IS NULL OR k.fetched_at < i.valid_to)
+  GROUP BY k.page_id
+)
+SELECT c.page_id, strftime(c.fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, coalesce(n, 0)::BIGINT AS n_active, pattern, coalesce(n, 0) > 0 AS blocked
+FROM captures c LEFT JOIN matches USING (page_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_temporal_url_filter": OP5_SQL}
