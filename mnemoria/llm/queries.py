@@ -15,6 +15,7 @@ from .packing import concatenate_and_cut
 from .pii import BASE_KINDS, personal_data
 from .quality import quality
 from .simhash import near_duplicates
+from .suffixes import substring_dedup
 from .tokens import token_counts
 from .urls import host_of, path_of, temporal_url_filter
 
@@ -57,6 +58,10 @@ def op5_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"), "n_active", "pattern", "blocked")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_robust_outliers": op2_robust_outliers,
         "op3_additive_ann": op3_additive_ann,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_temporal_url_filter": op5_temporal_url_filter,
         "op6_token_counts": op6_token_counts,
         "op7_pii": op7_pii,
