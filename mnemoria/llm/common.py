@@ -45,3 +45,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def hex64(col: Column) -> Column:
     """A signed 64-bit value as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added while ``df`` has such a column."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

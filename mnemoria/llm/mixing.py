@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import fresh_name, materialize, shuffle_partitions
 
 #: Fractional part of the golden ratio, the step of the schedule's points.
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -179,7 +180,48 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 42, b
     return met.select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def words_between(col: Column, start: Column, end: Column) -> Column:
-    """Words ``[start, end)`` of a text, joined by single spaces."""
-    words = F.filter(F.split(col, r"[\x20\x09-\x0D]+"), lambda word: word != "")
-    return F.array_join(F.slice(words, start + 1, end - start), " ")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The words of sorted ``spans`` with the white space between them; runs are joined by a line break."""
+    runs: list[list[int]] = []
+    for start, end in spans:
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    places = [match.span() for match in WORD.finditer(text)]
+    if runs == [[0, len(places)]]:
+        return text
+    return "\n".join(text[places[start][0] : places[end - 1][1]] for start, end in runs)
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 42, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
+    """The mix as documents: a row of ``docs`` for each pass over its source that takes words of it.
+
+    A document taken whole keeps its text as it is, one taken in part has the words taken;
+    ``length_col`` follows the new text where the table has it. Texts without words are not in a
+    mix. Rows of one id and text are copies of one another; a null id or source is one like any
+    other; an empty table gives an empty one; other columns are kept.
+    """
+    row, rank, taken = fresh_name(docs, "row"), fresh_name(docs, "rank"), fresh_name(docs, "taken")
+    rows = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col, source_col).alias("digest")))
+    _, spans = schedule(rows, weights, seed, block_words, row, text_col, source_col)
+    # Each copy has a place of its own in its source, and spans of its own.
+    lists = spans.groupBy(row, "at", "epoch").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(taken)).drop("at", "epoch")
+    once = rows.withColumn(rank, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0)))).where(F.col(rank) == 1).drop(rank)
+    met = once.join(lists, row).drop(row)
+    at, last = met.columns.index(text_col), len(met.columns) - 1
+    length_at = met.columns.index(length_col) if length_col in met.columns else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [cut_words(text, [(span["start"], span["end"]) for span in own]) for text, own in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)]
+            columns = list(batch.columns[:last])
+            columns[at] = pa.array(new, batch.schema.field(at).type)
+            if length_at is not None:
+                columns[length_at] = pa.array([len(text) for text in new], batch.schema.field(length_at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:last])
+
+    return met.mapInArrow(cut, docs.schema)

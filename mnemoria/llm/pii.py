@@ -282,3 +282,28 @@ def personal_data(docs: DataFrame, model: Model | None = None, id_col: str = "do
 
     spans = "array<struct<kind: string, start: long, end: long>>"
     return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, base {spans}, spans {spans}, redacted string")
+
+
+def redacted_documents(docs: DataFrame, model: Model | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with redacted texts; ``length_col`` follows the new text where the table has it.
+
+    All other columns stay as they are. A null text stays null and keeps its length; repeated rows
+    stay rows of their own; an empty table gives an empty one. There is no shuffle.
+    """
+    model = model or train()
+    at = docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            found = find_spans([text or "" for text in texts], model)
+            new = [text if text is None or not (base or added) else redact(text, base + added) for text, (base, added) in zip(texts, found, strict=True)]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, batch.schema.field(at).type)
+            if length_at is not None:
+                lengths = [old if text is None else len(text) for text, old in zip(new, columns[length_at].to_pylist(), strict=True)]
+                columns[length_at] = pa.array(lengths, batch.schema.field(length_at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(scan, docs.schema)
