@@ -41,8 +41,8 @@ def digests(docs: DataFrame, min_words: int, paragraphs: bool, id_col: str, text
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, numbers, starts, ends, hashes = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                for number, (start, end) in enumerate(units(text or "", paragraphs)):
+            for row, text in enumerate(text or "" for text in batch.column(1).to_pylist()):
+                for number, (start, end) in enumerate(units(text, paragraphs)):
                     key = normalised(text[start:end])
                     if key.count(" ") + 1 >= min_words and key:
                         rows.append(row)

@@ -1,0 +1,174 @@
+"""Operators that look at each text alone: statistics, tokens, personal data, packing."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from mnemoria.llm import pii, queries
+from mnemoria.llm.packing import concatenate_and_cut
+from mnemoria.llm.quality import quality, text_statistics
+from mnemoria.llm.tokens import encode, pieces, token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def reference_statistics(text):
+    words = WORD.findall(text or "")
+    lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+    windows = list(zip(words, words[1:], words[2:]))
+    places = defaultdict(list)
+    for at, window in enumerate(windows):
+        places[window].append(at)
+    covered = {at + k for own in places.values() if len(own) > 1 for at in own for k in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), sum(line in lines[:k] for k, line in enumerate(lines)), len(covered)
+
+
+def test_statistics(awkward, documents):
+    for table in (awkward.where("length(text) < 10000 or text is null"), documents.limit(60)):
+        for row in table.collect():
+            assert text_statistics(row["text"])[:5] == reference_statistics(row["text"])
+
+
+def test_quality_cases(awkward, empty):
+    rows = quality(awkward).collect()
+    assert len(rows) == awkward.count()
+    for row in rows:
+        assert row["base_failed"] == (row["n_words"] < 50 or 100 * row["n_repeat_words"] > 50 * row["n_words"])
+        assert not (row["base_failed"] and row["kept"])
+    assert quality(empty).collect() == []
+
+
+def test_outliers_are_robust(spark):
+    """A fifth of wild vectors does not hide itself, and clean ones stay."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(500)]
+    rows = []
+    for k in range(300):
+        text = " ".join(rng.choice(words, rng.integers(80, 400)))
+        if k % 10 == 0:
+            text = " ".join("#$%&|<>" + w for w in rng.choice(words, 200))
+        rows.append((k, text, "en", f"s{k % 2}"))
+    found = {row["doc_id"]: row["kept"] for row in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(found[k] for k in range(0, 300, 10))
+    assert all(found[k] for k in range(300) if k % 10)
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids_of(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_token_counts(awkward, documents, empty, library):
+    for table in (awkward, documents):
+        want = sorted((row["doc_id"] if row["doc_id"] is not None else -1, len((row["text"] or "").encode()), n := len(ids_of(library, row["text"])), n > 512) for row in table.collect())
+        got = sorted((row[0] if row[0] is not None else -1, *row[1:]) for row in token_counts(table).collect())
+        assert got == want
+    assert token_counts(empty).collect() == []
+
+
+def test_pieces_encode_as_the_whole(library):
+    text = "Ein Text, the 3rd: it's 12ab  \n\n  tab\t\x1c x<|endoftext|>y " * 900 + "z" * 3000
+    assert "".join(pieces(text, 1000)) == text
+    assert sum(len(ids_of(library, piece)) for piece in pieces(text, 1000)) == len(ids_of(library, text))
+
+
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"])
+def test_other_vocabularies(documents, vocabulary):
+    rows = token_counts(documents.limit(20), vocabulary).collect()
+    assert len(rows) == 20 and all(row["n_tokens"] > 0 for row in rows if row["n_bytes"])
+
+
+def test_packing(awkward, documents, empty, library):
+    for table in (awkward.where("doc_id is not null").dropDuplicates(["doc_id"]), documents):
+        want = {row["doc_id"]: [*ids_of(library, row["text"]), 0] for row in table.collect()}
+        by_doc, by_sequence = defaultdict(list), defaultdict(list)
+        for row in concatenate_and_cut(table).collect():
+            by_doc[row["doc_id"]].append(row)
+            by_sequence[row["sequence_id"]].append(row)
+        assert by_doc.keys() == want.keys()
+        for doc, rows in by_doc.items():
+            at = 0
+            for row in sorted(rows, key=lambda row: row["start"]):
+                assert row["start"] == at and row["length"] > 0 and row["doc_tokens"] == len(want[doc])
+                assert row["ids_crc32"] == zlib.crc32(np.array(want[doc][at : at + row["length"]], "<u4").tobytes())
+                at += row["length"]
+            assert at == len(want[doc])
+        fills = []
+        for _, rows in sorted(by_sequence.items()):
+            at = 0
+            for row in sorted(rows, key=lambda row: row["offset"]):
+                assert row["offset"] == at
+                at += row["length"]
+            fills.append(at)
+        assert set(fills[:-1]) <= {1024} and 0 < fills[-1] <= 1024 and sorted(by_sequence) == list(range(len(fills)))
+    assert concatenate_and_cut(empty).collect() == []
+    assert concatenate_and_cut(awkward).selectExpr("sum(length)").first()[0] == sum(len(ids_of(library, row["text"])) + 1 for row in awkward.collect())
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def reference_spans(text):
+    found = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(part) > 255 for part in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            found.append((kind, *m.span()))
+    return found
+
+
+TRICKY = ["a@b@c.com a.b@c-d.e.f@g.h", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "4111-1111 1111-1111 4111111111111112", "+1 (555) 123.4567-- +12", "x@y.z, @a.b u@-.-", "+++1 23456789 2+1-234-567-8901"]
+
+
+def test_base_spans(awkward, documents):
+    texts = [*TRICKY, *(row["text"] for table in (awkward, documents) for row in table.collect())]
+    for text in texts:
+        if text is None or len(text) < 60000:
+            assert pii.base_spans(text or "") == reference_spans(text)
+
+
+def test_personal_data_query(documents, awkward, empty, spark, small):
+    rows = queries.op7_pii(spark, small).collect()
+    texts = {row["doc_id"]: row["text"] for row in documents.collect()}
+    assert len(rows) == len(texts)
+    for row in rows:
+        base = reference_spans(texts[row["doc_id"]])
+        written = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert row["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+        assert [row[f"n_{kind}"] for kind in BASE] == [sum(k == kind for k, *_ in base) for kind in BASE]
+        assert set(filter(None, written.split(","))) <= set(row["spans"].split(","))
+    assert pii.personal_data(awkward).count() == awkward.count()
+    assert pii.personal_data(empty).collect() == []
+    changed = {row["doc_id"]: row["text"] for row in pii.redacted_documents(awkward).collect() if row["doc_id"] == 10}
+    assert changed[10] == "mail <EMAIL> or call <PHONE>, host <IP>, card <CARD>."
+    assert pii.redacted_documents(awkward).schema == awkward.schema
+
+
+def test_boosted_candidates_on_held_out_examples():
+    import random
+
+    rng, model, right, total = random.Random(99), pii.train(), 0, 0
+    for _ in range(1500):
+        kind, text, private = pii.example(rng)
+        (_, added), = pii.find_spans([text], model)
+        hit = any(k == kind for k, *_ in added) or any(k == kind for k, *_ in pii.base_spans(text))
+        right += hit == private
+        total += 1
+    assert right / total > 0.85
