@@ -32,7 +32,7 @@ def worker_slot(workers: int) -> Callable[[Column], Column]:
 
 def reflect(points: DataFrame, model: Callable[[Iterator[pd.Series]], Iterator[pd.Series]]) -> DataFrame:
     """Answers of an injected model as JSON, parsed; bad JSON is a shallow reflection of no confidence."""
-    ask = F.pandas_udf(model, "string")
+    ask = F.pandas_udf(model, "string", F.PandasUDFType.SCALAR_ITER)
     told = points.withColumn("r", F.from_json(ask("text"), REFLECTION))
     fine = F.col("r.confidence").isNotNull()
     return told.select(*points.columns, F.when(fine, F.col("r.phase")).alias("phase"), F.when(fine, F.coalesce("r.depth", F.lit("shallow"))).otherwise("shallow").alias("depth"), F.when(fine, capped(F.col("r.confidence"), F.col("quality"))).otherwise(F.lit(0.0)).alias("confidence"), *(F.coalesce(F.col(f"r.{c}"), F.array().cast("array<string>")).alias(c) for c in ("themes", "questions", "echoes")), F.coalesce("r.contradiction", F.lit(False)).alias("contradiction"))

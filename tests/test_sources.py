@@ -1,0 +1,98 @@
+"""Exports, folders, sinks and streams on small files."""
+
+import io
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from mnemoria.sources import exports, folders, sinks
+from mnemoria.streaming import ingest as streaming
+
+
+def node(key, role, text, time):
+    return {"id": key, "message": {"id": f"m{key}", "author": {"role": role}, "create_time": time, "content": {"content_type": "text", "parts": [text, {"asset": 1}]}}}
+
+
+def test_chat_export(spark, tmp_path):
+    conv = {"id": "c1", "title": "Trees", "is_starred": True, "mapping": {"x": node("x", "user", " hi ", 2.0), "y": node("y", "assistant", "first", 1.0), "z": {"id": "z"}}}
+    (tmp_path / "a.json").write_text(json.dumps([conv, {"id": "no mapping"}]))
+    (tmp_path / "b.JSON").write_text(json.dumps({"conversations": [conv | {"id": "c2"}]}))
+    (tmp_path / "c.json").write_text(json.dumps(conv | {"id": "c3", "title": "Other"}))
+    feedback = spark.createDataFrame([("c1", "up", "5", None, 0), ("c1", "down", "5", None, 1), ("c1", "old", "1", None, 2)], "conversation_id string, rating string, update_time string, create_time string, pos int")
+    rows = exports.chat_export(spark, str(tmp_path), feedback=feedback, shares=spark.createDataFrame([("c2",)], "conversation_id string")).orderBy("conversation_id", "turn").collect()
+    assert [(r["conversation_id"], r["turn"], r["speaker"], r["text"]) for r in rows[:3]] == [("c1", 0, "assistant", "first"), ("c1", 1, "user", "hi"), ("c2", 0, "assistant", "first")]
+    assert rows[0]["feedback_rating"] == "up" and rows[2]["user_shared"] and rows[0]["user_starred"] and rows[0]["timestamp"] == "1970-01-01T00:00:01Z"
+    assert exports.chat_export(spark, str(tmp_path), title_contains="OTHER", since="1970-01-01 00:00:02").count() == 1
+
+
+def test_threads(spark, tmp_path):
+    def m(key, parent, time, sender="human"):
+        return {"uuid": key, "parent_message_uuid": parent, "created_at": time, "sender": sender, "text": key}
+
+    messages = [m("b", "a", "3"), m("a", "", "1"), m("c", "a", "2", "assistant"), m("o", "gone", "0"), m("d", "c", "9"), m("p", "q", "5"), m("q", "p", "6")]
+    assert [messages[k]["uuid"] for k in exports.thread_order(messages)] == ["a", "c", "d", "b", "o", "p", "q"]
+    (tmp_path / "conversations.json").write_text(json.dumps([{"uuid": "t", "name": "n", "chat_messages": messages}]))
+    rows = exports.thread_export(spark, str(tmp_path)).orderBy("turn").collect()
+    assert [r["text"] for r in rows] == ["a", "c", "d", "b", "o", "p", "q"] and rows[0]["speaker"] == "user"
+
+
+def test_jsonl(spark, tmp_path):
+    good = '{"conversation_id": "c", "text": "t"}'
+    (tmp_path / "good.jsonl").write_text(f"{good}\n\n{good}\n")
+    (tmp_path / "bad.jsonl").write_text(f"{good}\n{{broken\n")
+    assert exports.jsonl(spark, str(tmp_path / "good.jsonl")).count() == 2
+    with pytest.raises(Exception):
+        exports.jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_folders(spark, tmp_path):
+    (tmp_path / "my_note.md").write_text("body of the note")
+    (tmp_path / ".hidden.md").write_text("no")
+    assert [(r["source_title"], r["text"]) for r in folders.text_files(spark, str(tmp_path)).collect()] == [("my_note.md", "[my note]\n\nbody of the note")]
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda text, style="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        archive.writestr("word/document.xml", f"<w:document {w}><w:body>{p('before')}{p('Title', 'Heading1')}{p('one')}{p('two')}{p('Chapter 2')}{p('three')}</w:body></w:document>")
+        archive.writestr("../evil.txt", "x")
+    (tmp_path / "doc.docx").write_bytes(buffer.getvalue())
+    (tmp_path / "broken.docx").write_bytes(b"no zip")
+    rows = folders.docx_files(spark, str(tmp_path)).orderBy("file", "section").collect()
+    assert [r["text"] for r in rows if r["error"] is None] == ["before", "Title\n\none\ntwo", "Chapter 2\n\nthree"] and sum(r["error"] is not None for r in rows) == 1
+    (tmp_path / "archive.zip").write_bytes(buffer.getvalue())
+    assert [r["name"] for r in folders.zip_entries(spark, str(tmp_path)).collect()] == ["word/document.xml"]
+
+
+def test_pages_and_turns(spark):
+    texts = spark.createDataFrame([("a", "x" * 60 + "\f" + "y" * 60), ("b", "short")], "source_title string, text string")
+    assert [r["text"][:3] for r in folders.pages(texts).orderBy("source_title", "page").collect()] == ["xxx", "yyy", "[no"]
+    segments = spark.createDataFrame([("t", 0.0, 5.0, "a" * 300), ("t", 5.0, 9.0, "b" * 300), ("t", 9.0, 70.0, "c" * 300), ("t", 70.0, 71.0, " ")], "source_title string, start double, stop double, text string")
+    rows = folders.transcript_turns(segments).orderBy("turn").collect()
+    assert [r["text"][:19] for r in rows] == ["[t - 00:00 to 00:09", "[t - 00:09 to 01:10"]
+
+
+def test_sinks(spark, tmp_path):
+    points = spark.range(300).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("memory_id")).coalesce(1)
+    assert sorted(r["count"] for r in sinks.batches(points, F.lit(10)).groupBy("batch").count().collect()) == [44, 128, 128]
+    sinks.export_json(points, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 300
+
+
+def test_streams(spark, tmp_path):
+    source, table, checkpoint = (str(tmp_path / name) for name in ("in", "points", "journal"))
+    rows = [("c", f"m{k}", k, "user" if k % 2 else "system", f"text {k}", "x", "p") for k in range(10)]
+    spark.createDataFrame(rows, streaming.MESSAGES).coalesce(1).write.json(source)
+    for _ in range(2):
+        streaming.ingest_stream(spark, source, table, checkpoint).awaitTermination(120)
+    assert spark.read.parquet(table).count() == 5
+    spark.createDataFrame(rows[3:] + [("c", "new", 10, "user", "new text", "x", "p")], streaming.MESSAGES).coalesce(1).write.mode("append").json(source)
+    streaming.ingest_stream(spark, source, table, checkpoint).awaitTermination(120)
+    assert spark.read.parquet(table).count() == 6
+    spark.createDataFrame([("s", f"{k:03d}") for k in range(40)], "session_id string, memory_id string").coalesce(1).write.json(str(tmp_path / "turns"))
+    turns = streaming.sessions(spark.readStream.schema("session_id string, memory_id string").json(str(tmp_path / "turns")))
+    query = turns.writeStream.outputMode("update").format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    (row,) = spark.table("sessions").collect()
+    assert row["turns"] == 40 and row["due"] and len(row["last_ids"].split(",")) == 32
