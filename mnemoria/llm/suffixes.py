@@ -40,8 +40,7 @@ ROUNDS = (50, 84, 100)
 CHUNK_BYTES = 1 << 18
 SEGMENT_BYTES = 1 << 24
 BATCH_BYTES = 1 << 25
-RUN_BLOCKS = 1 << 18
-BUCKETS_PER_PARTITION = 4
+RUN_BLOCKS = 1 << 17
 
 #: Random values of the bytes, and the multiplier of the polynomial hash.
 BYTE_VALUES = np.random.default_rng(20240101).integers(0, 2**64, 256, dtype=np.uint64)
@@ -165,8 +164,7 @@ def repeated_blocks(segments: DataFrame, k: int) -> DataFrame:
 
     A task sends each hash of its batch once, so a gram that is everywhere costs a row a batch.
     """
-    parts = shuffle_partitions(segments.sparkSession)
-    buckets = parts * BUCKETS_PER_PARTITION
+    parts = buckets = shuffle_partitions(segments.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size, hashes, docs, bases, counts = 0, 0, [], [], [], []
@@ -261,8 +259,7 @@ def sorted_runs(segments: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
     Of equal blocks of one run only the earliest is sent on; the others are repeats already and
     travel as bare places in rows without strings.
     """
-    parts = shuffle_partitions(segments.sparkSession)
-    buckets = parts * BUCKETS_PER_PARTITION
+    parts = buckets = shuffle_partitions(segments.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, int, int, int, int]] = []
@@ -428,6 +425,8 @@ def merged(runs: DataFrame, further: bool) -> DataFrame:
                         gone_places.append(place)
                         gone_windows.append(n)
                 else:
+                    if not further:
+                        kept.clear()  # only the last is still needed
                     kept.append([text, doc, place, n, run.grams[at]])
                     length = len(text)
             grams = Counter(row[4] for row in kept)
