@@ -99,8 +99,9 @@ def clamp_total(col: Column, n: int) -> Column:
 
 def tokens(col: Column) -> Column:
     """Lower-case words, separators taken for spaces."""
-    spaced = F.translate(F.lower(F.coalesce(col, F.lit(""))), TOKEN_SEPARATORS, " " * len(TOKEN_SEPARATORS))
-    return F.filter(F.split(spaced, SPACE), lambda t: t != "")
+    apart = TOKEN_SEPARATORS + SPACES.replace("\n", "").replace(" ", "")
+    spaced = F.translate(F.lower(F.coalesce(col, F.lit(""))), apart, " " * len(apart))
+    return F.filter(F.split(spaced, " +"), lambda t: t != "")
 
 
 def lexical_tokens(col: Column) -> Column:

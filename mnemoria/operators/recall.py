@@ -50,7 +50,9 @@ def lexical_score(query: str | Column, *cols: str) -> Column:
     """Share of the query's tokens, repeats included, that any of the texts has."""
     wanted = lexical_tokens(F.lit(query) if isinstance(query, str) else query)
     have = F.flatten(F.array(*(lexical_tokens(F.col(c)) for c in cols)))
-    return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(F.size(F.filter(wanted, lambda t: F.array_contains(have, t))) / F.size(wanted))
+    # Bound as a lambda's variable, the text's tokens are worked out once and not for each word of the query.
+    found = F.get(F.transform(F.array(have), lambda h: F.size(F.filter(wanted, lambda t: F.array_contains(h, t)))), F.lit(0))
+    return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(found / F.size(wanted))
 
 
 def lexical(points: DataFrame, query: str, k: int, *cols: str) -> DataFrame:
