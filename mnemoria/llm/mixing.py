@@ -22,8 +22,6 @@ CHUNK_SLOTS = 4096
 CELLS = 4096
 #: No source is repeated more often than this.
 MAX_EPOCHS = 3
-#: Slots beyond the exact share that a source may be short of, by the discrepancy of the points.
-SLACK_SLOTS = 32
 
 
 def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -55,7 +53,7 @@ def water_fill(sizes: list[int], weights: list[float], most: float = MAX_EPOCHS)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_EPOCHS) -> DataFrame:
-    """``(source, source_size, target, low, high)``: one row for each source, as an ordinary table.
+    """``(source, source_size, target, low, high, number)``: one row for each source, as an ordinary table.
 
     Sources are dealt the weights by code point, null last. The list of sources is one row for
     each source, held together in a single task: it is a list of names, never of documents.
@@ -70,14 +68,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
             return
         targets = water_fill([row["source_size"] for row in rows], [weights[index % len(weights)] for index in range(len(rows))], most)
         total, below = sum(targets) or 1.0, 0.0
-        for row, target in zip(rows, targets, strict=True):
-            row["target"], row["low"] = target, below / total
+        for number, (row, target) in enumerate(zip(rows, targets, strict=True)):
+            row["number"], row["target"], row["low"] = number, target, below / total
             below += target
             row["high"] = below / total
         rows[-1]["high"] = 2.0
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("low", pa.float64()), ("high", pa.float64())]))
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("number", pa.int64())]))
 
-    return totals.coalesce(1).mapInArrow(fill, "source string, source_size long, target double, low double, high double")
+    return totals.coalesce(1).mapInArrow(fill, "source string, source_size long, target double, low double, high double, number long")
 
 
 def running_offsets(sizes: DataFrame, seed: int, id_col: str = "doc_id") -> DataFrame:
@@ -98,12 +96,15 @@ def running_offsets(sizes: DataFrame, seed: int, id_col: str = "doc_id") -> Data
     return joined.select(id_col, "source", "size", (F.col("base") + F.col("inside")).alias("at"))
 
 
-def golden_slots(targets: DataFrame, n_slots: int, block_words: int) -> DataFrame:
+def golden_slots(targets: DataFrame, n_slots: int, n_sources: int, block_words: int) -> DataFrame:
     """The schedule: ``(source, rank, slot, words)``.
 
     Slot ``t`` belongs to the source whose part of the unit interval holds the fraction of
     ``(t + 1/2) * golden ratio``. Ranks come from counts of chunks of slots, not from one
     long window. A source stops when its target is reached: ``words`` is what a slot still takes.
+    The points leave some sources short of their share by a number of slots that grows as the
+    logarithm of ``n_slots``; these follow at the end, the sources in turn, so a source of a few
+    words lengthens no schedule.
     """
     spark = targets.sparkSession
     parts = max(1, min(shuffle_partitions(spark), n_slots // CHUNK_SLOTS + 1))
@@ -121,7 +122,12 @@ def golden_slots(targets: DataFrame, n_slots: int, block_words: int) -> DataFram
     ranked = ranked.join(bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("chunk") == F.col("b_chunk")))
     ranked = ranked.withColumn("rank", F.col("base") + F.col("inside"))
     words = F.least(F.lit(block_words).cast("long"), F.round("target").cast("long") - F.col("rank") * block_words)
-    return ranked.withColumn("words", words).where("words > 0").select("source", "rank", "slot", "words")
+    given = counts.groupBy(F.col("source").alias("g_source")).agg(F.sum("n").alias("n"))
+    short = targets.join(given, F.col("source").eqNullSafe(F.col("g_source")), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("needed", F.ceil(F.round("target") / block_words))
+    late = short.where("n < needed").select("source", "target", "number", "n", F.explode(F.sequence(F.col("n"), F.col("needed") - 1)).alias("rank"))
+    late = late.withColumn("slot", n_slots + (F.col("rank") - F.col("n")) * n_sources + F.col("number"))
+    both = ranked.select("source", "target", "rank", "slot").unionByName(late.select("source", "target", "rank", "slot"))
+    return both.withColumn("words", words).where("words > 0").select("source", "rank", "slot", "words")
 
 
 def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 42, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -133,14 +139,11 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int =
     """
     sizes = materialize(word_sizes(docs, id_col, text_col, source_col), "mix-sizes")
     targets = materialize(source_targets(sizes, weights), "mix-targets")
-    placed = running_offsets(sizes, seed, id_col).join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source", "low", "high")
+    placed = running_offsets(sizes, seed, id_col).join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source", "low", "high", "number")
     placed = materialize(placed, "mix-placed")
-    totals = targets.agg(F.sum("target").alias("total"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
-    if not totals["total"] or not totals["least"]:
-        n_slots = 0
-    else:
-        n_slots = math.ceil(totals["total"] / block_words) + math.ceil(SLACK_SLOTS * totals["total"] / totals["least"])
-    slots = golden_slots(targets, n_slots, block_words).join(targets.select(F.col("source").alias("t_source"), "source_size"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    totals = targets.agg(F.sum("target").alias("total"), F.count("*").alias("sources")).first()
+    n_slots = math.ceil((totals["total"] or 0) / block_words)
+    slots = golden_slots(targets, n_slots, totals["sources"], block_words).join(targets.select(F.col("source").alias("t_source"), "source_size"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     # Slot r of a source takes the words [r * block, r * block + words) of the source's endless repetition.
     begin = F.col("rank") * block_words
     first_epoch, last_epoch = F.floor(begin / F.col("source_size")), F.floor((begin + F.col("words") - 1) / F.col("source_size"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -227,23 +228,45 @@ def train(examples: int = 6000, seed: int = 7, precision: float = 0.98) -> Model
     return Model(trees, thresholds)
 
 
+def covered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint sorted stretches that spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, start, end in sorted(spans, key=lambda span: span[1]):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def free_place(starts: list[int], ends: list[int], start: int, end: int) -> int:
+    """Where a span goes among disjoint sorted stretches; -1 if it overlaps one."""
+    at = bisect_right(ends, start)
+    return -1 if at < len(starts) and starts[at] < end else at
+
+
 def find_spans(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
     """``(base, added)`` spans of each text; added ones overlap neither base spans nor each other."""
-    results, rows, where = [], [], []
+    results, stretches, rows, where = [], [], [], []
     for index, text in enumerate(texts):
         base = base_spans(text)
         results.append((base, []))
+        stretches.append(covered(base))
         for kind, start, end in proposals(text):
-            if not any(start < b_end and b_start < end for _, b_start, b_end in base):
+            if free_place(*stretches[index], start, end) >= 0:
                 rows.append(features(kind, text, start, end))
                 where.append((index, kind, start, end))
     if rows:
         scores = model.trees.probability(np.array(rows))
         for k in np.argsort(-scores, kind="stable").tolist():
             index, kind, start, end = where[k]
-            added = results[index][1]
-            if scores[k] >= model.thresholds[kind] and not any(start < a_end and a_start < end for _, a_start, a_end in added):
-                added.append((kind, start, end))
+            starts, ends = stretches[index]
+            if scores[k] >= model.thresholds[kind] and (at := free_place(starts, ends, start, end)) >= 0:
+                starts.insert(at, start)
+                ends.insert(at, end)
+                results[index][1].append((kind, start, end))
     return results
 
 

@@ -12,7 +12,7 @@ import xxhash
 from mnemoria.llm import queries
 from mnemoria.llm.additive import neighbours
 from mnemoria.llm.lines import normalised, per_document, repeated_units, substring_dedup as line_dedup
-from mnemoria.llm.mixing import mix, mixed_documents, water_fill
+from mnemoria.llm.mixing import mix, mixed_documents, schedule, water_fill
 from mnemoria.llm.simhash import near_duplicates
 from mnemoria.llm.suffixes import LENGTH, Run, merge, substring_dedup
 from mnemoria.llm.urls import temporal_url_filter
@@ -179,6 +179,17 @@ def test_mix(documents, awkward, empty):
     assert mix(empty).collect() == [] and mix(awkward).count() == awkward.count()
 
 
+def test_tiny_sources_lengthen_no_schedule(spark):
+    rows = [(k, "w " * 2000, "big") for k in range(60)] + [(100, "two words", "small"), (101, "one", None), (102, "", "void")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {row["doc_id"]: row for row in mix(table).collect()}
+    assert len(got) == len(rows) and got[100]["taken"] == 6 and got[101]["taken"] == 3 and got[102]["taken"] == 0
+    assert abs(sum(got[k]["taken"] for k in range(60)) - got[0]["target"]) <= 1
+    _, spans = schedule(table)
+    slots = {(row["slot"], row["start"]) for row in spans.collect()}
+    assert max(slot for slot, _ in slots) < 120000 // 256 + 64
+
+
 def test_water_fill():
     assert water_fill([100, 100], [1, 1]) == [100, 100]
     assert water_fill([10, 90], [5, 1]) == [30, 70]

@@ -144,6 +144,15 @@ def test_base_spans(awkward, documents):
             assert pii.base_spans(text or "") == reference_spans(text)
 
 
+def test_free_place():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        spans = [("ip", int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 5), rng.integers(1, 9, 5))]
+        starts, ends = pii.covered(spans)
+        for start in range(60):
+            assert (pii.free_place(starts, ends, start, start + 3) < 0) == any(start < e and s < start + 3 for _, s, e in spans)
+
+
 def test_personal_data_query(documents, awkward, empty, spark, small):
     rows = queries.op7_pii(spark, small).collect()
     texts = {row["doc_id"]: row["text"] for row in documents.collect()}
