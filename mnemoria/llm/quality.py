@@ -25,11 +25,11 @@ from .common import materialize
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: The transformed statistics, and for each the smallest standard deviation taken for real spread.
-#: Statistics that most clean documents share exactly (no symbols, no repeated lines) would
-#: otherwise have none, and the slightest use of a symbol would be extreme.
 STATISTICS = ("log_words", "log_word_length", "symbol_rate", "dup_line_rate", "repeat_word_rate")
-LEAST_SPREAD = (1.0, 0.05, 0.1, 0.1, 0.1)
+#: Words that one repeated window adds to the count of repeated words.
+REPEAT_STEP = 6
+#: Keeps matrices regular where no document passes the base rule.
+NO_TEXT = (1.0,) * 3
 #: Part of a group that the determinant is minimised over, and the number of concentration steps.
 SUPPORT = 0.75
 STEPS = 4
@@ -40,22 +40,44 @@ BINS = 16
 GRID = 64
 #: Tail probabilities of the reweighting step and of the rejection.
 REWEIGHT_TAIL = 0.025
-REJECT_TAIL = 1e-12
+REJECT_TAIL = 0.001
 
 P = len(STATISTICS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def normal_quantile(p: float) -> float:
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(p)
+def chi_square_tail(x: float, freedom: int = P) -> float:
+    """The probability beyond ``x``, in closed form for an odd ``freedom``."""
+    term, total = 1.0, 0.0
+    for k in range(1, freedom - 1, 2):
+        total += term
+        term *= x / (k + 2)
+    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * total
 
 
 def chi_square_quantile(p: float, freedom: int = P) -> float:
-    """By the cube-root transformation; within one per cent in the range used here."""
-    a = 2 / (9 * freedom)
-    return freedom * (1 - a + normal_quantile(p) * math.sqrt(a)) ** 3
+    """By bisection of the exact tail."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_tail(middle, freedom) > 1 - p else (low, middle)
+    return high
+
+
+def least_spreads(words: float, chars: float, lines: float) -> tuple[float, ...]:
+    """The noise of each statistic's counts in a text of this size: the smallest standard deviation taken for real spread.
+
+    A count varies by its root, so a logarithm of ``n`` by ``1 / sqrt(n)``; few symbols vary by one
+    symbol; the root of a rate is known to the rounding of one event, its step over ``sqrt(12)``.
+    """
+    return (1 / math.sqrt(words), 1 / math.sqrt(chars), math.log1p(10 / words), math.sqrt(1 / lines / 12), math.sqrt(REPEAT_STEP / words / 12))
+
+
+def typical_size(stats: DataFrame) -> tuple[float, ...]:
+    """Geometric means of words, characters and lines over the documents that pass the base rule."""
+    logs = (F.col("x0"), F.log(F.greatest("word_chars", F.lit(1))), F.log(F.greatest("n_lines", F.lit(1))))
+    found = stats.where("not base_failed").agg(*(F.avg(log).alias(f"a{k}") for k, log in enumerate(logs))).first()
+    return NO_TEXT if found["a0"] is None else tuple(math.exp(value) for value in found)
 
 
 def text_statistics(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -91,15 +113,15 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_statistics(text) for text in batch.column(3).to_pylist()]
-            columns = [pa.array([row[k] for row in rows], pa.int64()) for k in range(5)]
+            columns = [pa.array([row[k] for row in rows], pa.int64()) for k in range(6)]
             failed = pa.array([row[0] < MIN_WORDS or 100 * row[4] > MAX_REPEAT_PERCENT * row[0] for row in rows], pa.bool_())
             values = [transformed(*row) for row in rows]
             floats = [pa.array([value[k] for value in values], pa.float64()) for k in range(P)]
-            names = [id_col, "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"x{k}" for k in range(P))]
+            names = [id_col, "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", *(f"x{k}" for k in range(P))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *columns, failed, *floats], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    counts = ", ".join(f"{name} long" for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    counts = ", ".join(f"{name} long" for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"))
     schema = f"`{id_col}` {kind}, lang string, source string, {counts}, base_failed boolean, " + ", ".join(f"x{k} double" for k in range(P))
     return docs.select(id_col, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text_col).mapInArrow(measure, schema)
 
@@ -113,9 +135,9 @@ MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}_{j}" for i, j in PAIRS)]
 ESTIMATE = "level int, grp string, start int, n double, det double, scale double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"q{i}_{j} double" for i, j in PAIRS)
 
 
-def estimates(sums: DataFrame) -> DataFrame:
+def estimates(sums: DataFrame, spreads: tuple[float, ...]) -> DataFrame:
     """Centres and inverse scatters from moments: one small matrix for each row of groups."""
-    floor = np.diag(np.square(LEAST_SPREAD))
+    noise = np.outer(spreads, spreads)
     numbers = ["n", "det", "scale", *(f"m{i}" for i in range(P)), *(f"q{i}_{j}" for i, j in PAIRS)]
     schema = pa.schema([("level", pa.int32()), ("grp", pa.string()), ("start", pa.int32()), *((name, pa.float64()) for name in numbers)])
 
@@ -128,7 +150,9 @@ def estimates(sums: DataFrame) -> DataFrame:
                 scatter = np.zeros((P, P))
                 for i, j in PAIRS:
                     scatter[i, j] = scatter[j, i] = row[f"p{i}_{j}"] / n - mean[i] * mean[j]
-                scatter += floor
+                # In units of the noise no direction has less spread than the noise itself.
+                values, axes = np.linalg.eigh(scatter / noise)
+                scatter = (axes * np.maximum(values, 1.0)) @ axes.T * noise
                 inverse = np.linalg.inv(scatter)
                 rows.append({"level": row["level"], "grp": row["grp"], "start": row["start"], "n": float(row["total"]), "det": float(np.linalg.slogdet(scatter)[1]), "scale": 1.0} | {f"m{i}": float(mean[i]) for i in range(P)} | {f"q{i}_{j}": float(inverse[i, j]) for i, j in PAIRS})
             if rows:
@@ -160,7 +184,7 @@ def leveled(stats: DataFrame) -> DataFrame:
     return stats.where("not base_failed").select(F.explode(group).alias("g"), *(f"x{k}" for k in range(P))).select("g.level", "g.grp", *(f"x{k}" for k in range(P)))
 
 
-def first_estimates(rows: DataFrame) -> DataFrame:
+def first_estimates(rows: DataFrame, spreads: tuple[float, ...]) -> DataFrame:
     """Two starts: all documents of the group, and its medians with deviations from them.
 
     Medians come from counts on a fixed grid, so they are exact to the grid, the same on each run,
@@ -183,10 +207,10 @@ def first_estimates(rows: DataFrame) -> DataFrame:
     square = mean * mean + F.pow(1.4826 * F.col("mad") / GRID, 2)
     wide = both.groupBy("level", "grp").agg(F.first("total").alias("total"), *(F.max(F.when(F.col("k") == k, mean)).alias(f"s{k}") for k in range(P)), *(F.max(F.when(F.col("k") == k, square)).alias(f"p{k}_{k}") for k in range(P)))
     robust = wide.select("level", "grp", F.lit(1).alias("start"), F.lit(1).cast("long").alias("n"), *(f"s{k}" for k in range(P)), *((F.col(f"p{i}_{j}") if i == j else F.col(f"s{i}") * F.col(f"s{j}")).alias(f"p{i}_{j}") for i, j in PAIRS), "total")
-    return estimates(classical.unionByName(robust))
+    return estimates(classical.unionByName(robust), spreads)
 
 
-def concentrate(rows: DataFrame, current: DataFrame) -> DataFrame:
+def concentrate(rows: DataFrame, current: DataFrame, spreads: tuple[float, ...]) -> DataFrame:
     """One step: the moments of the ``SUPPORT`` of each group that is nearest under the estimate."""
     near = rows.join(current.drop("n", "det", "scale"), ["level", "grp"]).withColumn("bin", distance_bin(distance()))
     sums = near.groupBy("level", "grp", "start", "bin").agg(*moments())
@@ -195,15 +219,16 @@ def concentrate(rows: DataFrame, current: DataFrame) -> DataFrame:
     running = sums.select("level", "grp", "start", "bin", F.sum("n").over(group).alias("total"), *(F.sum(name).over(up).alias(name) for name in MOMENTS))
     reached = running.where(F.col("n") >= F.ceil(F.col("total") * SUPPORT))
     first = reached.withColumn("rank", F.row_number().over(group.orderBy("bin"))).where("rank = 1")
-    return estimates(first.select("level", "grp", "start", *MOMENTS, "total"))
+    return estimates(first.select("level", "grp", "start", *MOMENTS, "total"), spreads)
 
 
 def fit(stats: DataFrame) -> DataFrame:
     """The reweighted estimate of every group of every level, as a written table."""
     rows = leveled(stats)
-    current = materialize(first_estimates(rows), "mcd")
+    spreads = least_spreads(*typical_size(stats))
+    current = materialize(first_estimates(rows, spreads), "mcd")
     for _ in range(STEPS):
-        current = materialize(concentrate(rows, current), "mcd")
+        current = materialize(concentrate(rows, current, spreads), "mcd")
     best = current.withColumn("rank", F.row_number().over(Window.partitionBy("level", "grp").orderBy("det", "start"))).where("rank = 1").drop("rank", "scale")
     # Consistency: half of the distances of normal data lie below the median of chi-square.
     binned = rows.join(best, ["level", "grp"]).groupBy("level", "grp", distance_bin(distance()).alias("bin")).agg(F.count("*").alias("c"))
@@ -213,7 +238,7 @@ def fit(stats: DataFrame) -> DataFrame:
     scaled = materialize(best.join(middle, ["level", "grp"]), "mcd")
     inside = rows.join(scaled, ["level", "grp"]).where(distance() <= F.greatest("scale", F.lit(1.0)) * chi_square_quantile(1 - REWEIGHT_TAIL))
     sums = inside.drop("n").groupBy("level", "grp", "start").agg(*moments())
-    return materialize(estimates(sums.withColumn("total", F.col("n"))), "mcd")
+    return materialize(estimates(sums.withColumn("total", F.col("n")), spreads), "mcd")
 
 
 def judge(stats: DataFrame, fitted: DataFrame) -> DataFrame:
