@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (local runs and tests).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: A key is hot if it has more than one in so many rows; there are fewer hot keys than this, whatever the data.
+HOT_SHARE = 2048
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder; a cluster has no folder that all
+    executors see, so there the setting is required.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-        return LOCAL_CHECKPOINTS
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -53,3 +60,31 @@ def fresh_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What names a row: its id and 64 bits of its text, so an id that comes with several texts is no special case."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """The keys of more than one row in :data:`HOT_SHARE`, as a written table of fewer than that many rows.
+
+    ``counts`` has a row for each key. The bound holds for any data: the rows of the keys listed add up to
+    no more than all rows.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return materialize(counts.where(F.col(n) * HOT_SHARE > total).select(key), "hot-keys")
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which has at most one row for each key.
+
+    A key may hold a third of the rows. Hot keys are met by a broadcast of their few rows of
+    ``per_key``, where the rows lie; only the others are shuffled. ``rows`` and ``per_key`` are
+    read twice and had better be written tables.
+    """
+    hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key, "n")
+    few = F.broadcast(per_key.join(F.broadcast(hot), key, "left_semi"))
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(per_key, key)
+    return rows.join(few, key).unionByName(rest)

@@ -73,7 +73,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(column, lambda span: F.concat_ws(":", span["kind"], span["start"], span["end"])), ",")
 
     counts = [F.size(F.expr(f"filter(base, span -> span.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,26 +103,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: Lines by line break, their normal form, and every occurrence but the earliest.
+#: Sentences, the runs of them that hold 120 bytes of normal form, and every run but the earliest of its text.
 OP1_SQL = r"""
 WITH split AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS unit
+  SELECT doc_id, unnest(regexp_extract_all(text, '(?s).+?(?:[.!?][ \t]|[。！？]|\n|\z)')) AS piece,
+         generate_subscripts(regexp_extract_all(text, '(?s).+?(?:[.!?][ \t]|[。！？]|\n|\z)'), 1) AS number
   FROM documents
 ), placed AS (
-  SELECT doc_id, unit, length(line) AS len,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-         trim(regexp_replace(lower(line), '[^\pL\pN]+', ' ', 'g')) AS norm
+  SELECT doc_id, number, length(piece) AS len, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY number) AS stop,
+         trim(regexp_replace(lower(piece), '[^\pL\pN]+', ' ', 'g')) AS norm
   FROM split
+), used AS (
+  SELECT doc_id, stop - len AS start, stop, norm, row_number() OVER own AS unit,
+         sum(strlen(norm)) OVER own AS upto, sum(strlen(norm)) OVER own - strlen(norm) + 120 AS wanted
+  FROM placed WHERE norm <> '' WINDOW own AS (PARTITION BY doc_id ORDER BY number)
+), ends AS (
+  SELECT a.doc_id, a.unit, a.start, b.unit AS last, b.stop
+  FROM used a ASOF JOIN used b ON a.doc_id = b.doc_id AND a.wanted <= b.upto
+), parts AS (
+  SELECT doc_id, unit, start, stop, unnest(range(unit, last + 1)) AS part FROM ends
+), runs AS (
+  SELECT p.doc_id, p.unit, p.start, p.stop, string_agg(u.norm, ' ' ORDER BY p.part) AS norm
+  FROM parts p JOIN used u ON p.doc_id = u.doc_id AND p.part = u.unit GROUP BY ALL
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) AS rank
-  FROM placed WHERE length(norm) - length(replace(norm, ' ', '')) + 1 >= 5
+  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) AS rank FROM runs
 ), gone AS (
-  SELECT doc_id, count(*) AS n_removed, sum(len) AS removed_chars,
-         string_agg(start::BIGINT || ':' || (start + len)::BIGINT, ',' ORDER BY start) AS spans
-  FROM ranked WHERE rank > 1 GROUP BY doc_id
+  SELECT doc_id, start, stop, start > max(stop) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap
+  FROM ranked WHERE rank > 1
+), numbered AS (
+  SELECT *, sum(coalesce(gap, false)::INT) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM gone
+), merged AS (
+  SELECT doc_id, min(start) AS start, max(stop) AS stop, count(*) AS n FROM numbered GROUP BY doc_id, run
+), totals AS (
+  SELECT doc_id, sum(n) AS n_removed, sum(stop - start) AS removed_chars, string_agg(start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start) AS spans
+  FROM merged GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_chars, 0)::BIGINT AS removed_chars, coalesce(spans, '') AS spans
-FROM documents d LEFT JOIN gone USING (doc_id)
+FROM documents d LEFT JOIN totals USING (doc_id)
 """
 
 #: The same dated list, and for each page the patterns that cover it joined by interval.

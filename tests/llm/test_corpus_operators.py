@@ -10,9 +10,9 @@ import pytest
 import xxhash
 
 from mnemoria.llm import queries
-from mnemoria.llm.additive import neighbours
+from mnemoria.llm.additive import Best, Codebooks, neighbours, train
 from mnemoria.llm.lines import normalised, per_document, repeated_units, substring_dedup as line_dedup
-from mnemoria.llm.mixing import mix, mixed_documents, schedule, water_fill
+from mnemoria.llm.mixing import GOLDEN, golden_slots, mix, mixed_documents, schedule, source_targets
 from mnemoria.llm.simhash import near_duplicates
 from mnemoria.llm.suffixes import LENGTH, Run, merge, substring_dedup
 from mnemoria.llm.urls import temporal_url_filter
@@ -85,26 +85,31 @@ def test_dense_fingerprints(spark):
 
 
 def plain_substring_dedup(rows):
-    seen, result = set(), {}
-    for doc, text in sorted(rows, key=lambda row: (row[0] is not None, row[0])):
+    """``{(id, text): digest columns}``; equal rows are one occurrence, texts of one id follow by digest."""
+    seen, result = {}, {}
+    for doc, text in sorted(set(rows), key=lambda row: (row[0] is not None, row[0] or 0, hashlib.md5((row[1] or "").encode()).digest())):
         data = (text or "").encode()
         gone = bytearray(len(data))
         for at in range(len(data) - LENGTH + 1):
-            window = data[at : at + LENGTH]
-            if window in seen:
+            if seen.setdefault(data[at : at + LENGTH], (doc, data, at)) != (doc, data, at):
                 gone[at : at + LENGTH] = b"\1" * LENGTH
-            else:
-                seen.add(window)
         kept = bytes(byte for byte, cut in zip(data, gone) if not cut)
         spans = len(re.findall(rb"\x01+", bytes(gone)))
-        result[doc] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        result[doc, text or ""] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return result
 
 
+def check_suffix_dedup(table, **how):
+    rows = [(row["doc_id"], row["text"]) for row in table.collect()]
+    want = plain_substring_dedup([(doc, text or "") for doc, text in rows])
+    got = [(row["doc_id"], row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) for row in substring_dedup(table, **how).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((doc, *want[doc, text or ""])) for doc, text in rows)
+
+
 def test_suffix_dedup(spark, small, documents, empty):
-    want = plain_substring_dedup([(row["doc_id"], row["text"]) for row in documents.collect()])
+    want = plain_substring_dedup([(row["doc_id"], row["text"] or "") for row in documents.collect()])
     got = {row["doc_id"]: tuple(row)[1:] for row in queries.op4_suffix_dedup(spark, small).collect()}
-    assert got == want
+    assert got == {doc: own for (doc, _), own in want.items()}
     assert substring_dedup(empty).collect() == []
 
 
@@ -113,11 +118,31 @@ def test_suffix_dedup_of_adversarial_texts(spark, awkward):
     passage = bytes(rng.integers(97, 123, 400, dtype=np.uint8)).decode()
     rows = [(1, "a" * 1000), (2, "ab" * 400), (3, passage + "x" + passage), (4, "é" * 120), (5, passage[37:300] + "é" * 60), (6, None), (7, ""), (8, "a" * 99), (9, "b" + "a" * 100 + passage[50:250]), (None, passage[100:260])]
     rows += [(20 + k, "".join(passage[a : a + 60 + 7 * k] for a in rng.integers(0, 300, 6))) for k in range(15)]
-    want = plain_substring_dedup(rows)
-    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {row["doc_id"]: (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) for row in substring_dedup(table).collect()}
-    assert got == want
-    assert substring_dedup(awkward.where("length(text) < 30000")).count() == awkward.where("length(text) < 30000").count()
+    rows += [(1, passage), (1, passage[:200] * 2), (2, "ab" * 400), (None, passage[100:260]), (None, "own text of a null id " * 9)]
+    check_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    check_suffix_dedup(awkward)
+
+
+def test_suffix_dedup_of_repeated_ids(spark):
+    """A text that occurs nowhere else loses nothing, whatever another row of its id loses."""
+    rng = np.random.default_rng(6)
+    one, two = (bytes(rng.integers(97, 123, 500, dtype=np.uint8)).decode() for _ in range(2))
+    check_suffix_dedup(spark.createDataFrame([(1, one), (2, two), (2, one), (2, two[:300] + one[:300])], "doc_id long, text string"))
+
+
+def test_suffix_dedup_in_segments_and_buckets(spark, monkeypatch):
+    """Texts of several segments, small chunks and runs, and many small buckets give the same rows."""
+    import mnemoria.llm.suffixes as suffixes
+
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdef"), rng.integers(2, 9))) for _ in range(60)]
+    passages = [" ".join(rng.choice(words, 40)) for _ in range(6)]
+    rows = [(k, " ".join(passages[rng.integers(6)][rng.integers(0, 40) :] + " " + " ".join(rng.choice(words, 12)) for _ in range(rng.integers(1, 9)))) for k in range(60)]
+    rows += [(100 + k, " ".join(rng.choice(words, 3)) + "one boilerplate of sixty to seventy bytes with other text around it" + " ".join(rng.choice(words, 12))) for k in range(60)]
+    monkeypatch.setattr(suffixes, "RUN_BUCKET_BYTES", 1 << 12)
+    monkeypatch.setattr(suffixes, "HASH_BUCKET_BYTES", 1 << 12)
+    monkeypatch.setattr(suffixes, "OUT_ROWS", 7)
+    check_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), segment_bytes=150)
 
 
 def test_loser_tree_order():
@@ -133,28 +158,122 @@ def test_loser_tree_order():
             rest += text[same:]
             before = text
         zeros = np.zeros(len(own), "<i8").tobytes()
-        runs.append(Run({"shared": bytes(shares), "lengths": bytes(lengths), "rest": rest, "docs": zeros, "places": zeros, "windows": bytes(len(own)), "grams": np.zeros(len(own), "<u4").tobytes()}))
+        runs.append(Run({"shared": bytes(shares), "lengths": bytes(lengths), "rest": rest, "docs": zeros, "places": zeros, "windows": bytes(len(own)), "grams": np.zeros(len(own), "<i8").tobytes()}))
     assert [run.head for run, _ in merge(runs)] == sorted(text for own in lists for text in own)
 
 
-def test_line_dedup(documents, awkward, empty, spark):
-    seen, want = {}, defaultdict(list)
-    for row in documents.orderBy("doc_id").collect():
-        at = 0
-        for line in (row["text"] or "").split("\n"):
-            key = normalised(line)
-            if len(key.split()) >= 5:
-                if key in seen:
-                    want[row["doc_id"]].append(f"{at}:{at + len(line)}")
-                seen.setdefault(key, row["doc_id"])
-            at += len(line) + 1
-    got = {row["doc_id"]: [span for span in row["spans"].split(",") if span] for row in per_document(documents).collect()}
-    assert got == {doc: want[doc] for doc in got} and len(got) == documents.count()
+def plain_runs(text, pieces="sentences", least=120):
+    """Units in the plainest way: from each piece on, piece by piece until there is enough."""
+    found, at = [], 0
+    for piece in re.findall({"sentences": r"(?s).+?(?:[.!?][ \t]|[。！？]|\n|\Z)", "lines": r"(?s).+?(?:\n|\Z)"}[pieces], text):
+        found.append((at, at + len(piece), normalised(piece)))
+        at += len(piece)
+    assert at == len(text)
+    found = [piece for piece in found if piece[2]]
+    for k, (start, _, _) in enumerate(found):
+        for n in range(k + 1, len(found) + 1):
+            if sum(len(key.encode()) for _, _, key in found[k:n]) >= least:
+                yield start, found[n - 1][1], " ".join(key for _, _, key in found[k:n])
+                break
+
+
+def text_digest(text):
+    value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def plain_line_dedup(rows, **how):
+    """``{(id, text): (repeated units, covered code points)}``, rows in rank order."""
+    seen, want = {}, {}
+    for doc, text in sorted(rows, key=lambda row: (row[0] is not None, row[0] or 0, text_digest(row[1]))):
+        units, covered = 0, set()
+        for number, (start, end, key) in enumerate(plain_runs(text or "", **how)):
+            if seen.setdefault(key, (doc, text, number)) != (doc, text, number):
+                units += 1
+                covered.update(range(start, end))
+        want[doc, text] = (units, covered)
+    return want
+
+
+def check_line_dedup(table, **how):
+    rows = [(row["doc_id"], row["text"]) for row in table.collect()]
+    want = plain_line_dedup(rows, **{"least" if k == "min_bytes" else k: v for k, v in how.items()})
+    got = sorted((row["doc_id"], row["n_removed"], row["removed_chars"], sorted(c for span in row["spans"].split(",") if span for c in range(*map(int, span.split(":"))))) for row in per_document(table, **how).collect() if row["doc_id"] is not None)
+    assert got == sorted((doc, want[doc, text][0], len(want[doc, text][1]), sorted(want[doc, text][1])) for doc, text in rows if doc is not None)
+    kept = sorted((row["doc_id"], row["kept_text"] or "") for row in line_dedup(table, **how).collect() if row["doc_id"] is not None)
+    assert kept == sorted((doc, "".join(c for k, c in enumerate(text or "") if k not in want[doc, text][1])) for doc, text in rows if doc is not None)
+
+
+def test_line_dedup(documents, awkward, empty):
+    check_line_dedup(documents)
+    check_line_dedup(documents, pieces="lines", min_bytes=40)
+    check_line_dedup(awkward.where("length(text) < 100000 or text is null"))
     assert per_document(awkward).count() == awkward.count() and per_document(empty).collect() == []
-    assert repeated_units(awkward, paragraphs=True).count() > 0
-    text = "first line of some length\nsecond line of some length\nend"
-    cut = {row["doc_id"]: row["kept_text"] for row in line_dedup(spark.createDataFrame([(1, text), (2, "own words are kept right here\n" + text)], "doc_id long, text string")).collect()}
-    assert cut == {1: text, 2: "own words are kept right here\nend"}
+    assert repeated_units(awkward, pieces="paragraphs").count() > 0
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """An id with two texts has each judged on its own; equal rows are one occurrence."""
+    first = "a line of some length that is found in one text alone\n"
+    shared = "another line of some length that comes in more texts\n"
+    table = spark.createDataFrame([(1, first), (1, shared), (1, first), (2, shared + "own words\n"), (3, None), (None, shared)], "doc_id long, text string")
+    kept = sorted((row["doc_id"] or 0, row["kept_text"]) for row in line_dedup(table, 40).collect())
+    assert kept == [(0, shared), (1, ""), (1, first), (1, first), (2, "own words\n"), (3, None)]
+
+
+def test_hot_keys_are_few(spark):
+    """One key of a third of the rows is met by broadcast, the rest by a join; no row is lost or doubled."""
+    from mnemoria.llm.common import hot_keys, join_by_key
+
+    rows = spark.range(9000).selectExpr("case when id % 3 = 0 then -1 else id % 5000 end as k", "id")
+    keys = spark.range(-1, 4000).selectExpr("id as k", "id * 2 as v")
+    got = sorted(map(tuple, join_by_key(rows, keys, "k").collect()))
+    want = sorted((k, n, 2 * k) for n in range(9000) if (k := -1 if n % 3 == 0 else n % 5000) < 4000)
+    assert got == want
+    assert [row["k"] for row in hot_keys(rows.groupBy("k").count(), "k", "count").collect()] == [-1]
+
+
+def water_fill(sizes, weights, most=3):
+    """Shares by weight in rounds; what exceeds ``most`` times a size goes to the others."""
+    total, capped = float(sum(sizes)), [False] * len(sizes)
+    while True:
+        fixed = sum(most * size for size, full in zip(sizes, capped) if full)
+        open_weight = sum(weight for weight, full in zip(weights, capped) if not full)
+        shares = [most * size if full else (total - fixed) * weight / open_weight for size, weight, full in zip(sizes, weights, capped)]
+        over = [not full and share > most * size for size, share, full in zip(sizes, shares, capped)]
+        if not any(over):
+            return shares
+        capped = [full or more for full, more in zip(capped, over)]
+        if all(capped):
+            return [most * size for size in sizes]
+
+
+def test_schedule_against_brute_force(spark):
+    """Targets, parts of the interval, and every slot of the golden-ratio schedule, one after another in plain Python."""
+    rng = np.random.default_rng(9)
+    sizes = [int(n) for n in rng.integers(0, 30000, 40)] + [2_000_000]
+    names = [f"s{k:02d}é" if k % 3 else f"S{k:02d}" for k in range(40)] + [None]
+    table = spark.createDataFrame(list(zip(names, sizes)), "source string, size long")
+    targets = source_targets(table)
+    order = sorted(zip(names, sizes), key=lambda row: (row[0] is None, row[0] or ""))
+    want = water_fill([size for _, size in order], [(5, 2, 1)[k % 3] for k in range(41)])
+    got = sorted(targets.collect(), key=lambda row: row["number"])
+    assert [(row["source"], row["source_size"], row["number"]) for row in got] == [(*row, k) for k, row in enumerate(order)]
+    assert np.allclose([row["target"] for row in got], want, rtol=1e-12)
+    assert got[0]["low"] == 0 and all(a["high"] == b["low"] for a, b in zip(got, got[1:]))
+    n_slots, ranks, slots = 9000, [0] * 41, set()
+    for slot in range(n_slots):
+        point = ((slot + 0.5) * GOLDEN) % 1
+        k = next(k for k, row in enumerate(got) if row["low"] <= point < row["high"])
+        words = min(256, round(want[k]) - ranks[k] * 256)
+        if words > 0:
+            slots.add((order[k][0], ranks[k], slot, words))
+        ranks[k] += 1
+    for k, done in enumerate(ranks):
+        for rank in range(done, math.ceil(round(want[k]) / 256)):
+            slots.add((order[k][0], rank, n_slots + (rank - done) * 41 + k, min(256, round(want[k]) - rank * 256)))
+    found = {(row["source"], row["rank"], row["slot"], row["words"]) for row in golden_slots(targets, n_slots, 41, 256).collect()}
+    assert found == slots
 
 
 def test_mix(documents, awkward, empty):
@@ -224,26 +343,67 @@ def plain_neighbours(vectors, k=10):
     return want
 
 
-def test_neighbours(spark, small):
-    vectors = spark.read.parquet(f"{small}/embeddings.parquet")
-    clean = [(row["vec_id"], row["embedding"]) for row in vectors.collect() if row["embedding"] and all(v is not None and math.isfinite(v) for v in row["embedding"]) and any(row["embedding"])]
+def clean_vectors(table):
+    return [(row["vec_id"], row["embedding"]) for row in table.collect() if row["embedding"] and all(v is not None and math.isfinite(v) for v in row["embedding"]) and any(row["embedding"])]
+
+
+def recall(clean, rows):
     want, got = plain_neighbours(clean), defaultdict(list)
-    for row in queries.op3_additive_ann(spark, small).orderBy("query_id", "rank").collect():
+    for row in sorted(rows, key=lambda row: (row["query_id"], row["rank"])):
         got[row["query_id"]].append((row["vec_id"], row["score"]))
         assert row["rank"] == len(got[row["query_id"]])
     assert got.keys() == want.keys()
-    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
-    assert hits / sum(map(len, want.values())) >= 0.9
-    exact = {q: {v: d for v, d in plain_neighbours(clean, len(clean))[q]} for q in want}
-    assert all(math.isclose(d, exact[q][v], rel_tol=1e-12) for q, own in got.items() for v, d in own)
+    exact = {v: np.array(x, dtype=np.float64) for v, x in clean}
+    assert all(math.isclose(d, float(np.sqrt(((exact[q] - exact[v]) ** 2).sum())), rel_tol=1e-12) for q, own in got.items() for v, d in own)
+    return sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def test_neighbours(spark):
+    """Recall against brute force on two thousand vectors, as written and with few vectors ranked again; the codes decide."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    clean = clean_vectors(table)
+    assert recall(clean, queries.op3_additive_ann(spark, "/root/testdata/sf0.1").collect()) >= 0.95
+    drawn = np.array([x for _, x in clean[:4000]], dtype=np.float64)
+    books = train(drawn)
+    assert recall(clean, neighbours(table, books=books, rerank=64).collect()) >= 0.9
+    none = Codebooks(np.zeros_like(books.words))
+    assert recall(clean, neighbours(table, books=none).collect()) < 0.2
+
+
+def test_cells_of_few_queries(spark, small, monkeypatch):
+    """A grid of several columns of queries gives the same rows."""
+    import mnemoria.llm.additive as additive
+
+    want = sorted(map(tuple, queries.op3_additive_ann(spark, small).collect()))
+    monkeypatch.setattr(additive, "CELL_QUERIES", 2)
+    monkeypatch.setattr(additive, "CHUNK", 1)
+    assert sorted(map(tuple, queries.op3_additive_ann(spark, small).collect())) == want
+
+
+def test_beam_search_and_lookup():
+    """Codes are no worse than greedy ones, and lookup scores are the distances to the decoded vectors, less the query's norm."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 16))
+    books = train(x, books=4, size=16)
+    one, more = (float(((x - books.decode(books.encode(x, beam))) ** 2).sum()) for beam in (1, 8))
+    assert more <= one < float((x**2).sum())
+    best = Best(3, 5)
+    scores = rng.normal(size=(3, 40)).astype(np.float32)
+    for at in range(0, 40, 8):
+        best.add(0, scores[:, at : at + 8], np.arange(at, at + 8))
+    for row in range(3):
+        assert sorted(best.ids[row].tolist()) == sorted(np.argsort(scores[row])[:5].tolist())
 
 
 def test_neighbours_cases(spark):
-    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0]), (None, [1.0, 1.0])]
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0]), (None, [1.0, 1.0]), (8, []), (2, [1.0, 5.0])]
     table = spark.createDataFrame([(*row, 7, 1) for row in rows], "vec_id long, embedding array<float>, score int, v int")
     got = [tuple(row) for row in neighbours(table).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 0.0), (0, 2, 100, 0.0), (0, 3, 2, 2.0), (100, 1, 0, 0.0), (100, 2, 1, 0.0), (100, 3, 2, 2.0)]
+    assert got == [(q, n, v, d) for q, other in ((0, 100), (100, 0)) for n, (v, d) in enumerate(sorted([(1, 0.0), (other, 0.0)]) + [(2, 2.0), (7, 2.0)], 1)]
     assert neighbours(table.where("vec_id < 0")).collect() == []
+    hot = spark.range(3000).selectExpr("id as vec_id", "if(id % 3 = 0, array(1f, 2f), array(cast(id as float), 1f)) as embedding")
+    got = neighbours(hot).collect()
+    assert len(got) == 300 and all(row["score"] == 0.0 for row in got if row["query_id"] % 3 == 0)
 
 
 def test_temporal_url_filter(spark):
