@@ -2,30 +2,35 @@
 
 A vector is approximated by the sum of one codeword from each of several codebooks, all of the full
 dimension. Codes come from a beam search over the codebooks, the squared norm of each sum is stored,
-and a query scores codes by looking up its products with the codewords. The best of each block of the
-index are then ranked again by the exact distance.
+and a query scores codes by looking up its products with the codewords. The best of the whole index
+are then ranked again by the exact distance.
+
+Queries and index are dealt to the cells of a grid, so every query meets every code once. A cell
+takes its queries into memory, a bounded number, and lets the codes stream past; it keeps the best of
+each query and sends on nothing else. Neither queries nor results pass through the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_by_key, materialize, shuffle_partitions
 
 #: Codebooks, codewords in each, and states kept by the beam search.
 BOOKS, WORDS, BEAM = 16, 128, 6
 #: The codebooks are fitted on at most so many vectors, those of the least hash of their id.
 SAMPLE = 8192
-#: Vectors of a block that are ranked again by exact distance.
-RERANK = 512
-#: Queries that meet the index in one pass over it; what is sent to every task is bounded by it.
-ROUND = 2048
+#: Vectors of the whole index that are ranked again for each query.
+RERANK = 128
+#: Queries of a cell at most, and queries scored together.
+CELL_QUERIES, CHUNK = 1 << 16, 64
 SALTS = 16
 
 
@@ -90,101 +95,178 @@ def train(x: np.ndarray, books: int = BOOKS, size: int = WORDS, rounds: int = 2,
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(vec_id, v array<double>)`` without null, zero, non-finite and odd-length vectors or null ids."""
+    """``(vec_id, v array<double>, key)`` without null, zero and non-finite vectors or null ids.
+
+    Shorter vectors go on with zeros up to the longest, so vectors of all lengths have a distance. Equal
+    vectors have one ``key``, 128 bits.
+    """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (common["d"] if common else 0))
+    longest = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    padded = F.concat(F.transform("v", lambda x: x + F.lit(0.0)), F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v")))
+    return rows.select("vec_id", padded.alias("v")).withColumn("key", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")))
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
-    """``(v, members)``: each different vector once, with its ``k + 1`` smallest ids.
+    """``(class_id, v, members)``: each different vector once, with its ``k + 1`` smallest ids, the first of which names it.
 
     No query needs more of them. A vector may hold a third of all rows, so the ids are first cut
     for each of several salts.
     """
-    salted = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).withColumn("key", F.xxhash64("v"))
-    few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("key", "v", "salt").orderBy("vec_id"))).where(F.col("rank") <= k + 1)
-    return few.groupBy("key", "v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("members")).select("v", "members")
+    salted = rows.select("key", "vec_id").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy("vec_id"))).where(F.col("rank") <= k + 1)
+    members = few.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("members"))
+    once = rows.groupBy("key").agg(F.first("v").alias("v"))
+    return once.join(members, "key").select(F.get("members", F.lit(0)).alias("class_id"), "v", "members")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
+def fixed(column: pa.Array, dtype: type) -> np.ndarray:
+    """Equally long byte strings as the rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
 def build_index(rows: DataFrame, books: Codebooks) -> DataFrame:
-    """Blocks ``(codes, norms, vectors, members)`` of the vectors of one Arrow batch each."""
+    """``(id, data, norm)``: the codes of every vector of ``(class_id, v)`` and the squared norm of their sum."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = matrix(batch.column(0))
+                x = matrix(batch.column(1))
                 codes = np.concatenate([books.encode(x[at : at + 1024]) for at in range(0, len(x), 1024)])
                 norms = (books.decode(codes) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([codes.tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([batch.column(1).to_pylist()], pa.list_(pa.list_(pa.int64())))],
-                    names=["codes", "norms", "vectors", "members"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([code.tobytes() for code in codes], pa.binary()), pa.array(norms)], names=["id", "data", "norm"])
+
+    return rows.select("class_id", "v").mapInArrow(encode, "id long, data binary, norm double")
+
+
+class Best:
+    """The codes of the best scores of each query so far."""
+
+    def __init__(self, queries: int, most: int) -> None:
+        self.scores, self.ids, self.most = np.full((queries, most), np.inf, np.float32), np.zeros((queries, most), np.int64), most
+
+    def add(self, at: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of the queries from ``at`` on, a row each, of the codes ``ids``."""
+        n = len(scores)
+        if scores.shape[1] > self.most:
+            near = np.argpartition(scores, self.most - 1, axis=1)[:, : self.most]
+            scores, ids = np.take_along_axis(scores, near, 1), ids[near]
+        else:
+            ids = np.broadcast_to(ids, scores.shape)
+        scores, ids = np.concatenate((self.scores[at : at + n], scores), axis=1), np.concatenate((self.ids[at : at + n], ids), axis=1)
+        near = np.argpartition(scores, self.most - 1, axis=1)[:, : self.most]
+        self.scores[at : at + n], self.ids[at : at + n] = np.take_along_axis(scores, near, 1), np.take_along_axis(ids, near, 1)
 
-    return rows.mapInArrow(encode, "codes binary, norms binary, vectors binary, members array<array<long>>")
 
+def scored(queries: DataFrame, index: DataFrame, books: Codebooks, n_queries: int, rerank: int = RERANK) -> DataFrame:
+    """``(q, class_id, approx)``: in each cell the ``rerank`` codes of the least scores of every query.
 
-def search(index: DataFrame, books: Codebooks, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int = RERANK) -> DataFrame:
-    """Each block's ``k`` nearest of each query: ``(query_id, vec_id, score)``, exact distances."""
-    tables = np.einsum("qd,bwd->bqw", queries, books.words) if len(queries) else np.zeros((len(books.words), 0, 1))
-    sent = index.sparkSession.sparkContext.broadcast((query_ids, queries, tables))
+    ``queries`` is ``(q, v)``. Cells are ``columns`` groups of queries by ``rows`` groups of codes.
+    """
+    parts = shuffle_partitions(index.sparkSession)
+    columns = max(1, math.ceil(n_queries / CELL_QUERIES))
+    rows = max(1, math.ceil(parts / columns))
+
+    def cells(own: Column, others: int, cell: Column) -> Column:
+        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda other: F.struct(cell(own, other).alias("cell")))).alias("c")
+
+    group = F.pmod(F.xxhash64("id"), F.lit(columns))
+    data = queries.select(F.col("q").alias("id"), F.lit(0).alias("kind"), "data", F.lit(0.0).alias("norm"))
+    asked = data.select(cells(group, rows, lambda own, other: own * rows + other), "kind", "id", "data", "norm")
+    coded = index.select(cells(F.pmod(F.xxhash64("id"), F.lit(rows)), columns, lambda own, other: other * rows + own), F.lit(1).alias("kind"), "id", "data", "norm")
+    # Queries of a cell come first.
+    dealt = asked.unionByName(coded).select("c.cell", "kind", "id", "data", "norm").repartition(parts, "cell").sortWithinPartitions("cell", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, lookup = sent.value
+        words = books.words.astype(np.float32)
+        cell, ids, parts_q, best = None, [], [], None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                for at in range(0, len(ids), 4096):
+                    fine = np.isfinite(best.scores[at : at + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 4096], fine.sum(1))), pa.array(best.ids[at : at + 4096][fine]), pa.array(best.scores[at : at + 4096][fine])], names=["q", "class_id", "approx"])
+
         for batch in batches:
-            for codes, norms, vectors, members in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                codes, norms = np.frombuffer(codes, np.uint8).reshape(-1, len(lookup)), np.frombuffer(norms)
-                x = np.frombuffer(vectors).reshape(len(norms), -1)
-                out: tuple[list, list, list] = ([], [], [])
-                for at in range(0, len(ids), 64):
-                    score = norms - 2 * sum(table[at : at + 64][:, codes[:, b]] for b, table in enumerate(lookup))
-                    keep = min(rerank, len(norms))
-                    best = np.argpartition(score, keep - 1, axis=1)[:, :keep]
-                    for row, near in enumerate(best):
-                        own = ids[at + row]
-                        exact = np.sqrt(((x[near] - q[at + row]) ** 2).sum(1))
-                        ranked = sorted((exact[j], vec_id) for j in np.flatnonzero(exact <= np.partition(exact, min(k, keep - 1))[min(k, keep - 1)]) for vec_id in members[near[j]] if vec_id != own)
-                        for distance, vec_id in ranked[:k]:
-                            out[0].append(own)
-                            out[1].append(vec_id)
-                            out[2].append(distance)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(scan, "query_id long, vec_id long, score double")
-
-
-def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+            cells_of, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((cells_of[1:] != cells_of[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if start == end:
+                    continue
+                if cells_of[start] != cell:
+                    yield from found()
+                    cell, ids, parts_q, best = cells_of[start], [], [], None
+                own = batch.column(2).slice(start, end - start).to_numpy()
+                if kinds[start] == 0:
+                    ids.append(own)
+                    parts_q.append(fixed(batch.column(3).slice(start, end - start), np.float64).astype(np.float32))
+                    continue
+                if not len(ids):
+                    continue
+                if best is None:
+                    ids, q = np.concatenate(ids), np.concatenate(parts_q)
+                    best = Best(len(ids), rerank)
+                codes, norms = fixed(batch.column(3).slice(start, end - start), np.uint8), batch.column(4).slice(start, end - start).to_numpy().astype(np.float32)
+                for at in range(0, len(ids), CHUNK):
+                    lookup = np.einsum("qd,bwd->bqw", q[at : at + CHUNK], words, optimize=True)
+                    score = np.broadcast_to(norms, (lookup.shape[1], len(norms))).copy()
+                    for b, table in enumerate(lookup):
+                        score -= 2 * table[:, codes[:, b]]
+                    best.add(at, score, own)
+        yield from found()
+
+    return dealt.mapInArrow(scan, "q long, class_id long, approx float")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``(q, data)``: the vectors of ``(q, v)`` as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in matrix(batch.column(1))], pa.binary())], names=["q", "data"])
+
+    return rows.select("q", "v").mapInArrow(pack, "q long, data binary")
+
+
+def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = SAMPLE, rerank: int = RERANK, books: Codebooks | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
     Nearness is the Euclidean distance in double precision, ties to the smaller id. Every usable
-    vector is indexed, equal vectors once; the codebooks are fitted on at most ``sample`` of them.
-    Queries meet the index in rounds of about ``ROUND``, each a scan of it with a bounded broadcast.
+    vector is indexed, equal vectors once, and equal queries are searched once; the codebooks are fitted on at
+    most ``sample`` vectors, those of the least hash of their id. Of the codes of the whole index, the ``rerank``
+    of the least scores are ranked by the exact distance.
 
-    Null, zero and non-finite vectors, vectors of another length than most and null ids take no
-    part; rows repeated as they are count once; an empty table gives no rows; other columns are
-    ignored. With fewer than ``k`` others, all are returned.
+    Null, zero and non-finite vectors and null ids take no part; shorter vectors go on with zeros;
+    rows repeated as they are count once, of an id with several vectors the nearest counts; an empty table gives no
+    rows; other columns are ignored. With fewer than ``k`` others, all are returned.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
     drawn = rows.select("v", F.xxhash64(F.lit(7), "vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).select("v").collect()
     if not drawn:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = train(np.array([row["v"] for row in drawn]))
-    index = materialize(build_index(classes(rows, k), books), "additive-index")
-    asked = rows.where(F.col("vec_id") % every == 0).distinct()
-    rounds = -(-asked.count() // ROUND)
-    asked = asked.withColumn("round", F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(max(rounds, 1))))
-    found = None
-    for number in range(max(rounds, 1)):
-        own = asked.where(F.col("round") == number).collect()
-        ids = np.array([row["vec_id"] for row in own], dtype=np.int64)
-        part = search(index, books, ids, np.array([row["v"] for row in own]).reshape(len(own), books.words.shape[2]), k)
-        found = part if found is None else found.unionByName(part)
+    books = books or train(np.array([row["v"] for row in drawn]))
+    distinct = materialize(classes(rows, k), "vector-classes")
+    index = materialize(build_index(distinct, books), "additive-index")
+    asked = materialize(rows.where(F.col("vec_id") % every == 0).select("key", F.col("vec_id").alias("query_id"), "v").distinct(), "vector-queries")
+    queries = materialize(asked.groupBy("key").agg(F.min("query_id").alias("q"), F.first("v").alias("v")), "vector-query-classes")
+    found = scored(packed(queries), index, books, queries.count(), rerank)
+    place = F.row_number().over(Window.partitionBy("q").orderBy("approx", "class_id"))
+    chosen = found.withColumn("place", place).where(F.col("place") <= rerank).select("q", "class_id")
+    met = chosen.join(queries.select("q", F.col("v").alias("w")), "q").join(distinct, "class_id")
+    exact = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, x: total + x))
+    near = met.select("q", exact.alias("score"), F.explode("members").alias("vec_id")).groupBy("q", "vec_id").agg(F.min("score").alias("score"))
+    # One more than asked for: a query may find itself.
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("place") <= k + 1)
+    lists = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+    lists = materialize(queries.select("key", "q").join(lists, "q").select("key", "near"), "vector-lists")
+    own = join_by_key(asked.select("key", "query_id"), lists, "key")
+    others = own.select("query_id", F.explode("near").alias("n")).where("n.vec_id <> query_id").groupBy("query_id", "n.vec_id").agg(F.min("n.score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return others.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
