@@ -11,9 +11,13 @@ blocks, and in rounds that get finer:
   lie in blocks with an equal ``k``-gram at that place.
 * Blocks whose ``k``-gram occurs once in the corpus hold no repeated window. They are found by an
   exchange of hashes and go no further.
-* Each task sorts its other blocks into a run, and runs are exchanged front-coded: the length of the
-  prefix shared with the predecessor, and the rest. A loser tree merges the runs; it keeps, for each
-  head, the prefix shared with the last winner, so known prefixes are never compared again.
+* Each task sorts its other blocks into runs, and runs are exchanged front-coded: the length of the
+  prefix shared with the predecessor, and the rest. Ranges of strings, cut by a bounded sample, are the
+  buckets of the exchange; there are as many as the bytes of the blocks ask for. Equal blocks of a
+  run travel once, so a string that is everywhere is a row a run.
+* A loser tree merges the runs of a bucket; it keeps, for each head, the prefix shared with the last
+  winner, so known prefixes are never compared again. The merge streams: it holds the coded runs of
+  one bucket and the last block.
 * All but the earliest of equal blocks repeat in all their windows. Different blocks with one
   ``k``-gram can share some of their windows, so the earliest of each goes to the next round with a
   larger ``k``; with ``k = LENGTH`` a block is a single window and nothing is left open.
@@ -22,16 +26,15 @@ blocks, and in rounds that get finer:
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import join_by_key, materialize, shuffle_partitions
 
 LENGTH = 100
 #: Lengths of the grams that assign windows, round by round.
@@ -41,6 +44,13 @@ CHUNK_BYTES = 1 << 18
 SEGMENT_BYTES = 1 << 24
 BATCH_BYTES = 1 << 25
 RUN_BLOCKS = 1 << 17
+#: Bytes of text whose hashes make a bucket of their exchange, and bytes of blocks that make a bucket of runs.
+HASH_BUCKET_BYTES = 1 << 28
+RUN_BUCKET_BYTES = 1 << 25
+#: Blocks drawn for each bucket to find where buckets end, and at most; they pass the driver.
+DRAWN_A_BUCKET, DRAWN = 16, 200_000
+#: The texts of one id are told apart by the bits of a place beyond these.
+VERSION_BITS = 40
 
 #: Random values of the bytes, and the multiplier of the polynomial hash.
 BYTE_VALUES = np.random.default_rng(20240101).integers(0, 2**64, 256, dtype=np.uint64)
@@ -159,12 +169,13 @@ def grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[in
         yield key, rows
 
 
-def repeated_blocks(segments: DataFrame, k: int) -> DataFrame:
-    """``(doc, base, own binary)``: the numbers of the blocks of each segment whose gram occurs again.
+def repeated_blocks(segments: DataFrame, k: int, size: int) -> DataFrame:
+    """``(doc, base, own binary)``: the numbers of the blocks of each segment whose gram occurs again; ``size`` is the bytes of all texts.
 
     A task sends each hash of its batch once, so a gram that is everywhere costs a row a batch.
     """
-    parts = buckets = shuffle_partitions(segments.sparkSession)
+    parts = shuffle_partitions(segments.sparkSession)
+    buckets = max(parts, -(-size // HASH_BUCKET_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size, hashes, docs, bases, counts = 0, 0, [], [], [], []
@@ -253,26 +264,69 @@ def run_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(column, pa.binary()) for column in columns[1:])], names=RUN_NAMES)
 
 
+def wanted_blocks(texts: list[bytes], bases: list[int], owns: list[bytes], k: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The listed blocks of some segments: strings, places, windows, hashes of their grams, and the number of the segment of each."""
+    joined, ends, start, windows, hashes, counts = chunk_blocks(texts, k)
+    begins = np.cumsum(counts) - counts
+    lists = [np.frombuffer(own, "<u4").astype(np.int64) for own in owns]
+    lists = [own[own < count] for own, count in zip(lists, counts.tolist(), strict=True)]
+    segment = np.repeat(np.arange(len(texts)), [len(own) for own in lists])
+    wanted = np.concatenate([own + begin for own, begin in zip(lists, begins.tolist(), strict=True)])
+    own_start = (ends - np.array([len(text) for text in texts]))[segment]
+    at, n = start[wanted], windows[wanted]
+    cut = [joined[a:b] for a, b in zip(at.tolist(), (at + n + LENGTH - 1).tolist(), strict=True)]
+    return cut, np.array(bases, np.int64)[segment] + at - own_start, n, hashes[wanted], segment
+
+
+def range_ends(met: DataFrame, blocks_there: int, k: int, buckets: int) -> list[bytes]:
+    """The strings at which the buckets after the first begin: quantiles of a sample of the blocks, the same on each run.
+
+    ``met`` is ``(doc, base, text, own)``. The sample is bounded by ``DRAWN``, whatever the table.
+    """
+    share = min(1.0, min(DRAWN, DRAWN_A_BUCKET * buckets) / max(blocks_there, 1))
+    of_segments = min(1.0, 10 * share)
+    of_blocks = share / of_segments
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, bases, texts, owns in chunks(batches):
+            cut, places, _, _, segment = wanted_blocks(texts, bases, owns, k)
+            mixed = (np.array(docs, np.int64)[segment] * 31 + places).view(np.uint64) * np.uint64(MULTIPLIER)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            drawn = np.flatnonzero((mixed >> np.uint64(11)).astype(np.float64) < of_blocks * 2.0**53)
+            yield pa.RecordBatch.from_arrays([pa.array([cut[n] for n in drawn.tolist()], pa.binary())], names=["text"])
+
+    some = met.where(F.shiftrightunsigned(F.xxhash64(F.lit(13), "doc", "base"), 2) <= int(of_segments * 2**62))
+    found = sorted({row["text"] for row in some.mapInArrow(draw, "text binary").collect()})
+    return sorted({found[len(found) * n // buckets] for n in range(1, buckets)}) if found else []
+
+
 def sorted_runs(segments: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
     """Front-coded sorted runs of the blocks that may be repeated, a row for each bucket of a run.
 
     Of equal blocks of one run only the earliest is sent on; the others are repeats already and
     travel as bare places in rows without strings.
     """
-    parts = buckets = shuffle_partitions(segments.sparkSession)
+    parts = shuffle_partitions(segments.sparkSession)
+    met = segments.join(repeated, ["doc", "base"]).select("doc", "base", "text", "own")
+    there = int(repeated.agg(F.sum(F.octet_length("own") / 4)).first()[0] or 0)
+    buckets = min(max(parts, -(-there * 3 * LENGTH // 2 // RUN_BUCKET_BYTES)), DRAWN // DRAWN_A_BUCKET)
+    ends = range_ends(met, there, k, buckets) if there else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, int, int, int, int]] = []
+        held: list[tuple[bytes, int, int, int, int]] = []
 
         def flush() -> pa.RecordBatch:
             held.sort()
-            rows, at = [], 0
+            rows, at, bucket = [], 0, 0
             gone: list[tuple[int, int, int]] = []
             while at < len(held):
-                bucket, before = held[at][0], b""
+                while bucket < len(ends) and held[at][0] >= ends[bucket]:
+                    bucket += 1
+                stop = ends[bucket] if bucket < len(ends) else None
+                before = b""
                 shared, lengths, rest, docs, places, windows, grams = bytearray(), bytearray(), [], [], [], bytearray(), []
-                while at < len(held) and held[at][0] == bucket:
-                    _, text, doc, place, n, gram = held[at]
+                while at < len(held) and (stop is None or held[at][0] < stop):
+                    text, doc, place, n, gram = held[at]
                     if text == before and docs:
                         if (doc, place) != (docs[-1], places[-1]):
                             gone.append((doc, place, n))
@@ -287,7 +341,7 @@ def sorted_runs(segments: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
                         grams.append(gram)
                         before = text
                     at += 1
-                rows.append((bucket, bytes(shared), bytes(lengths), b"".join(rest), np.array(docs, "<i8").tobytes(), np.array(places, "<i8").tobytes(), bytes(windows), np.array(grams, "<u4").tobytes()))
+                rows.append((bucket, bytes(shared), bytes(lengths), b"".join(rest), np.array(docs, "<i8").tobytes(), np.array(places, "<i8").tobytes(), bytes(windows), np.array(grams, "<i8").tobytes()))
             if gone:
                 array = np.array(gone, "<i8")
                 rows.append((rows[0][0], b"", b"", b"", array[:, 0].tobytes(), array[:, 1].tobytes(), array[:, 2].astype(np.uint8).tobytes(), b""))
@@ -295,23 +349,13 @@ def sorted_runs(segments: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
             return run_rows(rows)
 
         for docs, bases, texts, owns in chunks(batches):
-            joined, ends, start, windows, hashes, counts = chunk_blocks(texts, k)
-            begins = np.cumsum(counts) - counts
-            lists = [np.frombuffer(own, "<u4").astype(np.int64) for own in owns]
-            lists = [own[own < count] for own, count in zip(lists, counts.tolist(), strict=True)]
-            segment = np.repeat(np.arange(len(texts)), [len(own) for own in lists])
-            wanted = np.concatenate([own + begin for own, begin in zip(lists, begins.tolist(), strict=True)])
-            own_start = (ends - np.array([len(text) for text in texts]))[segment]
-            at, n, gram = start[wanted], windows[wanted], hashes[wanted]
-            own_docs, own_places = np.array(docs, np.int64)[segment], np.array(bases, np.int64)[segment] + at - own_start
-            cut = [joined[a:b] for a, b in zip(at.tolist(), (at + n + LENGTH - 1).tolist(), strict=True)]
-            held += zip(bucket_of(gram, buckets).tolist(), cut, own_docs.tolist(), own_places.tolist(), n.tolist(), (gram & np.uint64(0xFFFFFFFF)).tolist(), strict=True)
+            cut, places, windows, grams, segment = wanted_blocks(texts, bases, owns, k)
+            held += zip(cut, np.array(docs, np.int64)[segment].tolist(), places.tolist(), windows.tolist(), grams.view(np.int64).tolist(), strict=True)
             if len(held) >= RUN_BLOCKS:
                 yield flush()
         if held:
             yield flush()
 
-    met = segments.join(repeated, ["doc", "base"]).select("doc", "base", "text", "own")
     return met.mapInArrow(run, RUN).repartition(parts, "key").sortWithinPartitions("key")
 
 
@@ -323,7 +367,7 @@ class Run:
     def __init__(self, row: dict) -> None:
         self.shares, self.lengths, self.rest = row["shared"], row["lengths"], row["rest"]
         self.docs, self.places = np.frombuffer(row["docs"], "<i8").tolist(), np.frombuffer(row["places"], "<i8").tolist()
-        self.windows, self.grams = row["windows"], np.frombuffer(row["grams"], "<u4").tolist()
+        self.windows, self.grams = row["windows"], np.frombuffer(row["grams"], "<i8").tolist()
         self.at, self.offset, self.head, self.shared = -1, 0, b"", 0
         self.advance()
 
@@ -394,85 +438,106 @@ def merge(runs: list[Run]) -> Iterator[tuple[Run, int]]:
             node >>= 1
 
 
-OUTCOME = "doc long, place long, windows int, text binary"
+OUTCOME = "doc long, place long, windows int, text binary, gram long"
+#: Rows of the outcome that leave the merge together.
+OUT_ROWS = 1 << 14
 
 
 def merged(runs: DataFrame, further: bool) -> DataFrame:
-    """``(doc, place, windows, text)``: repeats (no text), and blocks that go to the next round.
-
-    The earliest of equal blocks stays; it goes on if another block of its bucket has its gram.
-    """
+    """``(doc, place, windows, text, gram)``: repeats (no text), and the earliest of equal blocks if there is a next round."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int, bytes | None, int | None]] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.int64())], names=["doc", "place", "windows", "text", "gram"])
+
         for _, rows in grouped(batches, 0):
-            gone_docs, gone_places, gone_windows = [], [], []
             for row in rows:
                 if not row["lengths"]:
-                    gone_docs += np.frombuffer(row["docs"], "<i8").tolist()
-                    gone_places += np.frombuffer(row["places"], "<i8").tolist()
-                    gone_windows += list(row["windows"])
-            kept: list[list] = []  # text, doc, place, windows, gram
-            length = -1
-            for run, shared in merge([Run(row) for row in rows if row["lengths"]]):
+                    array = (np.frombuffer(row[name], kind).tolist() for name, kind in (("docs", "<i8"), ("places", "<i8"), ("windows", np.uint8)))
+                    out += ((doc, place, n, None, None) for doc, place, n in zip(*array, strict=True))
+            held = [Run(row) for row in rows if row["lengths"]]
+            rows.clear()
+            last: tuple | None = None  # the earliest of the equal blocks at hand
+            for run, shared in merge(held):
                 at, text = run.at, run.head
-                doc, place, n = run.docs[at], run.places[at], run.windows[at]
-                if kept and shared == len(text) == length:
-                    last = kept[-1]
-                    if (doc, place) < (last[1], last[2]):
-                        doc, place, last[1], last[2] = last[1], last[2], doc, place
-                    if (doc, place) != (last[1], last[2]):
-                        gone_docs.append(doc)
-                        gone_places.append(place)
-                        gone_windows.append(n)
+                own = (run.docs[at], run.places[at], run.windows[at], text, run.grams[at])
+                if last is not None and shared == len(text) == len(last[3]):
+                    if own[:2] < last[:2]:
+                        own, last = last, own
+                    if own[:2] != last[:2]:
+                        out.append((*own[:3], None, None))
                 else:
-                    if not further:
-                        kept.clear()  # only the last is still needed
-                    kept.append([text, doc, place, n, run.grams[at]])
-                    length = len(text)
-            grams = Counter(row[4] for row in kept)
-            open_rows = [row for row in kept if grams[row[4]] > 1] if further else []
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(gone_docs + [row[1] for row in open_rows], pa.int64()),
-                    pa.array(gone_places + [row[2] for row in open_rows], pa.int64()),
-                    pa.array(gone_windows + [row[3] for row in open_rows], pa.int32()),
-                    pa.array([None] * len(gone_docs) + [row[0] for row in open_rows], pa.binary()),
-                ],
-                names=["doc", "place", "windows", "text"],
-            )
+                    if last is not None and further:
+                        out.append(last)
+                    last = own
+                if len(out) >= OUT_ROWS:
+                    yield batch()
+            if last is not None and further:
+                out.append(last)
+        yield batch()
 
     return runs.mapInArrow(combine, OUTCOME)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, place, windows)``: runs of windows that occur earlier; the id null counts as the least."""
-    whole = docs.where(F.octet_length(text_col) >= LENGTH).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.encode(text_col, "UTF-8").alias("whole"))
+def still_open(outcome: DataFrame) -> DataFrame:
+    """``(doc, base, text)``: blocks whose gram another block has too. A gram may be in a third of them."""
+    blocks_left = outcome.where("text is not null").select("doc", F.col("place").alias("base"), "text", "gram")
+    shared = materialize(blocks_left.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
+    return join_by_key(blocks_left, shared, "gram").drop("gram")
+
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(own, data, doc, version)``: the id as it is, the bytes, the id (null is the least), and the number of the text among those of the id, by digest from 0."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("own"), F.encode(text, "UTF-8").alias("data"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.unhex(F.md5(text)).alias("digest"))
+    pairs = keyed.select("doc", "digest")
+    several = pairs.groupBy("doc").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("doc")
+    order = Window.partitionBy("doc").orderBy("digest")
+    versions = pairs.join(several, "doc", "left_semi").distinct().withColumn("version", F.row_number().over(order) - 1)
+    versions = materialize(versions.where("version > 0"), "suffix-versions")
+    return keyed.join(versions, ["doc", "digest"], "left").withColumn("version", F.coalesce("version", F.lit(0)).cast("long")).drop("digest")
+
+
+def repeats(whole: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """``(doc, place, windows)``: runs of windows of ``whole(doc, version, whole binary)`` that occur earlier.
+
+    A place is the version, shifted by ``VERSION_BITS``, and the byte at which the first window begins.
+    """
+    whole = whole.where(F.octet_length("whole") >= LENGTH)
     # The windows of a very long text are dealt to several segments.
-    bases = F.sequence(F.lit(0).cast("long"), (F.octet_length("whole") - LENGTH).cast("long"), F.lit(SEGMENT_BYTES).cast("long"))
-    cut = F.expr(f"substring(whole, cast(base + 1 as int), {SEGMENT_BYTES + LENGTH - 1})")
-    segments = whole.select("doc", "whole", F.explode(bases).alias("base")).select("doc", "base", cut.alias("text"))
-    found = None
+    bases = F.sequence(F.lit(0).cast("long"), (F.octet_length("whole") - LENGTH).cast("long"), F.lit(segment_bytes).cast("long"))
+    cut = F.expr(f"substring(whole, cast(at + 1 as int), {segment_bytes + LENGTH - 1})")
+    segments = whole.select("doc", "version", "whole", F.explode(bases).alias("at")).select("doc", (F.shiftleft("version", VERSION_BITS) + F.col("at")).alias("base"), cut.alias("text"))
+    size, found = whole.agg(F.sum(F.octet_length("whole").cast("long"))).first()[0] or 0, None
     for k in ROUNDS:
-        repeated = materialize(repeated_blocks(segments, k), "suffix-repeated")
+        repeated = materialize(repeated_blocks(segments, k, size), "suffix-repeated")
         outcome = materialize(merged(sorted_runs(segments, repeated, k), k < LENGTH), "suffix-outcome")
         gone = outcome.where("text is null").select("doc", "place", "windows")
         found = gone if found is None else found.unionByName(gone)
-        segments = outcome.where("text is not null").select("doc", F.col("place").alias("base"), "text")
+        if k < LENGTH:
+            segments = materialize(still_open(outcome), "suffix-open")
+            size = segments.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     return found
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept binary, spans``: every text without its repeated bytes.
 
     ``spans`` are the maximal removed runs ``start, end`` in bytes of the text as it was. Strings are
     judged on the input; matches never cross texts. Null texts count as empty and keep nothing;
-    texts under 100 bytes stay as they are; of repeated ids, equal places count as one occurrence, so
-    rows repeated as they are stay as long as none is earlier; an empty table gives an empty one;
-    other columns are ignored.
+    texts under 100 bytes stay as they are; longer ones than ``segment_bytes`` are judged in overlapping
+    segments. Rows are named by id and text: rows that agree in both are one occurrence and get the same
+    cuts, and of an id with several texts the one of the smaller digest counts as earlier. An empty table gives an
+    empty one; other columns are ignored.
     """
-    windows = repeats(docs, id_col, text_col)
-    per_doc = windows.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("place", "windows"))).alias("gone"))
-    keyed = docs.select(id_col, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("data"))
+    keyed = materialize(named(docs, id_col, text_col), "suffix-texts")
+    windows = repeats(keyed.select("doc", "version", F.col("data").alias("whole")), segment_bytes)
+    place = F.col("place").bitwiseAND(F.lit((1 << VERSION_BITS) - 1)).alias("place")
+    per_doc = windows.groupBy("doc", F.shiftright("place", VERSION_BITS).alias("version")).agg(F.array_sort(F.collect_set(F.struct(place, "windows"))).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -498,6 +563,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "spans"],
             )
 
-    met = keyed.join(per_doc, "doc", "left").select(id_col, "data", "gone")
+    met = keyed.join(per_doc, ["doc", "version"], "left").select("own", "data", "gone")
     kind = docs.schema[id_col].dataType.simpleString()
     return met.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<struct<start: long, end: long>>")
