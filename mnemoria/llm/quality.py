@@ -6,7 +6,12 @@ over all of its documents, and a document whose Mahalanobis distance is extreme
 
 The steps never bring a group together. A step adds up the moments of each group by bins of the
 distance (a few hundred bins whatever the group's size), and the running sums over the bins give
-both the threshold that holds ``SUPPORT`` of the group and the moments below it.
+both the threshold that holds ``SUPPORT`` of the group and the moments below it. Moments are summed
+in two stages, so the rows that meet in one task are bins, whatever the number of partitions.
+
+A covariance needs more documents than it has entries. Each document is in exactly one group: its
+language and source if ``LEAST_GROUP`` of its documents pass the base rule, or else the small
+sources of its language together, or else what is left of all languages.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_by_key, materialize
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -33,8 +38,10 @@ NO_TEXT = (1.0,) * 3
 #: Part of a group that the determinant is minimised over, and the number of concentration steps.
 SUPPORT = 0.75
 STEPS = 4
-#: Groups of fewer documents take the estimate of their language, or of all documents.
+#: Groups of fewer documents are taken together; the default of a parameter.
 LEAST_GROUP = 50
+#: Parts in which moments are summed before they meet.
+SALTS = 16
 #: Bins of the distance in a doubling, and of a statistic in a unit.
 BINS = 16
 GRID = 64
@@ -132,14 +139,26 @@ def moments() -> list[Column]:
 
 
 MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}_{j}" for i, j in PAIRS)]
-ESTIMATE = "level int, grp string, start int, n double, det double, scale double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"q{i}_{j} double" for i, j in PAIRS)
+ESTIMATE = "grp string, start int, n double, det double, scale double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"q{i}_{j} double" for i, j in PAIRS)
+
+
+def summed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Moments by ``keys``: first in parts of the partitions, then together."""
+    parts = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy(*keys, "part").agg(*moments())
+    return parts.groupBy(*keys).agg(*(F.sum(name).alias(name) for name in MOMENTS))
+
+
+def counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """Counts ``c`` by ``keys``, in the same two stages."""
+    parts = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy(*keys, "part").agg(F.count("*").alias("c"))
+    return parts.groupBy(*keys).agg(F.sum("c").alias("c"))
 
 
 def estimates(sums: DataFrame, spreads: tuple[float, ...]) -> DataFrame:
     """Centres and inverse scatters from moments: one small matrix for each row of groups."""
     noise = np.outer(spreads, spreads)
     numbers = ["n", "det", "scale", *(f"m{i}" for i in range(P)), *(f"q{i}_{j}" for i, j in PAIRS)]
-    schema = pa.schema([("level", pa.int32()), ("grp", pa.string()), ("start", pa.int32()), *((name, pa.float64()) for name in numbers)])
+    schema = pa.schema([("grp", pa.string()), ("start", pa.int32()), *((name, pa.float64()) for name in numbers)])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +173,7 @@ def estimates(sums: DataFrame, spreads: tuple[float, ...]) -> DataFrame:
                 values, axes = np.linalg.eigh(scatter / noise)
                 scatter = (axes * np.maximum(values, 1.0)) @ axes.T * noise
                 inverse = np.linalg.inv(scatter)
-                rows.append({"level": row["level"], "grp": row["grp"], "start": row["start"], "n": float(row["total"]), "det": float(np.linalg.slogdet(scatter)[1]), "scale": 1.0} | {f"m{i}": float(mean[i]) for i in range(P)} | {f"q{i}_{j}": float(inverse[i, j]) for i, j in PAIRS})
+                rows.append({"grp": row["grp"], "start": row["start"], "n": float(row["total"]), "det": float(np.linalg.slogdet(scatter)[1]), "scale": 1.0} | {f"m{i}": float(mean[i]) for i in range(P)} | {f"q{i}_{j}": float(inverse[i, j]) for i, j in PAIRS})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -174,14 +193,17 @@ def distance_bin(squared: Column) -> Column:
     return F.floor(F.log2(squared + F.lit(2.0**-20)) * BINS).cast("int")
 
 
-def leveled(stats: DataFrame) -> DataFrame:
-    """Every document in its language and source, its language, and the whole."""
-    group = F.array(
-        F.struct(F.lit(0).alias("level"), F.to_json(F.struct("lang", "source")).alias("grp")),
-        F.struct(F.lit(1).alias("level"), F.to_json(F.struct("lang")).alias("grp")),
-        F.struct(F.lit(2).alias("level"), F.lit("").alias("grp")),
-    )
-    return stats.where("not base_failed").select(F.explode(group).alias("g"), *(f"x{k}" for k in range(P))).select("g.level", "g.grp", *(f"x{k}" for k in range(P)))
+def grouped(stats: DataFrame, least_group: int) -> DataFrame:
+    """Adds ``grp``: the language and source, the small sources of the language, or the rest.
+
+    The list of sources is counted and joined as a table; a source of a third of the rows is met where its rows lie.
+    """
+    own = stats.withColumn("own", F.to_json(F.struct("lang", "source")))
+    sizes = own.groupBy("own", F.to_json(F.struct("lang")).alias("by_lang")).agg(F.count_if(~F.col("base_failed")).alias("n"))
+    pools = sizes.where(F.col("n") < least_group).groupBy("by_lang").agg(F.sum("n").alias("pooled"))
+    name = F.when(F.col("n") >= least_group, F.col("own")).when(F.col("pooled") >= least_group, F.col("by_lang")).otherwise("")
+    table = materialize(sizes.join(pools, "by_lang", "left").select("own", name.alias("grp")), "quality-groups")
+    return join_by_key(own, table, "own").drop("own")
 
 
 def first_estimates(rows: DataFrame, spreads: tuple[float, ...]) -> DataFrame:
@@ -190,86 +212,76 @@ def first_estimates(rows: DataFrame, spreads: tuple[float, ...]) -> DataFrame:
     Medians come from counts on a fixed grid, so they are exact to the grid, the same on each run,
     and need a bounded number of rows for a group.
     """
-    classical = rows.groupBy("level", "grp").agg(*moments()).select("level", "grp", F.lit(0).alias("start"), *MOMENTS, F.col("n").alias("total"))
-    long = rows.select("level", "grp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col(f"x{k}") * GRID).alias("cell")) for k in range(P)))).alias("s")).groupBy("level", "grp", "s.k", "s.cell").agg(F.count("*").alias("n"))
+    classical = summed(rows, "grp").select("grp", F.lit(0).alias("start"), *MOMENTS, F.col("n").alias("total"))
+    cells = rows.select("grp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col(f"x{k}") * GRID).alias("cell")) for k in range(P)))).alias("s")).select("grp", "s.k", "s.cell")
+    long = counted(cells, "grp", "k", "cell").withColumnRenamed("c", "n")
 
     def median(counts: DataFrame, value: str) -> DataFrame:
-        up = Window.partitionBy("level", "grp", "k").orderBy(value)
-        half = counts.select("level", "grp", "k", value, F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("below"), F.sum("n").over(Window.partitionBy("level", "grp", "k")).alias("total"))
-        return half.where("below * 2 >= total").groupBy("level", "grp", "k").agg(F.min(value).alias("middle"), F.first("total").alias("total"))
+        up = Window.partitionBy("grp", "k").orderBy(value)
+        half = counts.select("grp", "k", value, F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("below"), F.sum("n").over(Window.partitionBy("grp", "k")).alias("total"))
+        return half.where("below * 2 >= total").groupBy("grp", "k").agg(F.min(value).alias("middle"), F.first("total").alias("total"))
 
     middles = median(long, "cell")
-    away = long.join(middles.drop("total"), ["level", "grp", "k"]).groupBy("level", "grp", "k", F.abs(F.col("cell") - F.col("middle")).alias("off")).agg(F.sum("n").alias("n"))
+    away = long.join(middles.drop("total"), ["grp", "k"]).groupBy("grp", "k", F.abs(F.col("cell") - F.col("middle")).alias("off")).agg(F.sum("n").alias("n"))
     spread = median(away, "off").withColumnRenamed("middle", "mad")
-    both = middles.drop("total").join(spread, ["level", "grp", "k"])
+    both = middles.drop("total").join(spread, ["grp", "k"])
     # As moments of one document with these means and variances, for estimates().
     mean = (F.col("middle") + 0.5) / GRID
     square = mean * mean + F.pow(1.4826 * F.col("mad") / GRID, 2)
-    wide = both.groupBy("level", "grp").agg(F.first("total").alias("total"), *(F.max(F.when(F.col("k") == k, mean)).alias(f"s{k}") for k in range(P)), *(F.max(F.when(F.col("k") == k, square)).alias(f"p{k}_{k}") for k in range(P)))
-    robust = wide.select("level", "grp", F.lit(1).alias("start"), F.lit(1).cast("long").alias("n"), *(f"s{k}" for k in range(P)), *((F.col(f"p{i}_{j}") if i == j else F.col(f"s{i}") * F.col(f"s{j}")).alias(f"p{i}_{j}") for i, j in PAIRS), "total")
+    wide = both.groupBy("grp").agg(F.first("total").alias("total"), *(F.max(F.when(F.col("k") == k, mean)).alias(f"s{k}") for k in range(P)), *(F.max(F.when(F.col("k") == k, square)).alias(f"p{k}_{k}") for k in range(P)))
+    robust = wide.select("grp", F.lit(1).alias("start"), F.lit(1).cast("long").alias("n"), *(f"s{k}" for k in range(P)), *((F.col(f"p{i}_{j}") if i == j else F.col(f"s{i}") * F.col(f"s{j}")).alias(f"p{i}_{j}") for i, j in PAIRS), "total")
     return estimates(classical.unionByName(robust), spreads)
 
 
 def concentrate(rows: DataFrame, current: DataFrame, spreads: tuple[float, ...]) -> DataFrame:
     """One step: the moments of the ``SUPPORT`` of each group that is nearest under the estimate."""
-    near = rows.join(current.drop("n", "det", "scale"), ["level", "grp"]).withColumn("bin", distance_bin(distance()))
-    sums = near.groupBy("level", "grp", "start", "bin").agg(*moments())
-    group = Window.partitionBy("level", "grp", "start")
+    near = rows.join(current.drop("n", "det", "scale"), "grp").withColumn("bin", distance_bin(distance()))
+    sums = summed(near, "grp", "start", "bin")
+    group = Window.partitionBy("grp", "start")
     up = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.select("level", "grp", "start", "bin", F.sum("n").over(group).alias("total"), *(F.sum(name).over(up).alias(name) for name in MOMENTS))
+    running = sums.select("grp", "start", "bin", F.sum("n").over(group).alias("total"), *(F.sum(name).over(up).alias(name) for name in MOMENTS))
     reached = running.where(F.col("n") >= F.ceil(F.col("total") * SUPPORT))
     first = reached.withColumn("rank", F.row_number().over(group.orderBy("bin"))).where("rank = 1")
-    return estimates(first.select("level", "grp", "start", *MOMENTS, "total"), spreads)
+    return estimates(first.select("grp", "start", *MOMENTS, "total"), spreads)
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """The reweighted estimate of every group of every level, as a written table."""
-    rows = leveled(stats)
+    """The reweighted estimate of every ``grp``, as a written table."""
+    rows = stats.where("not base_failed").select("grp", *(f"x{k}" for k in range(P)))
     spreads = least_spreads(*typical_size(stats))
     current = materialize(first_estimates(rows, spreads), "mcd")
     for _ in range(STEPS):
         current = materialize(concentrate(rows, current, spreads), "mcd")
-    best = current.withColumn("rank", F.row_number().over(Window.partitionBy("level", "grp").orderBy("det", "start"))).where("rank = 1").drop("rank", "scale")
+    best = current.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))).where("rank = 1").drop("rank", "scale")
     # Consistency: half of the distances of normal data lie below the median of chi-square.
-    binned = rows.join(best, ["level", "grp"]).groupBy("level", "grp", distance_bin(distance()).alias("bin")).agg(F.count("*").alias("c"))
-    up = Window.partitionBy("level", "grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    half = binned.select("level", "grp", "bin", F.sum("c").over(up).alias("below"), F.sum("c").over(Window.partitionBy("level", "grp")).alias("all"))
-    middle = half.where("below * 2 >= all").groupBy("level", "grp").agg((F.pow(F.lit(2.0), (F.min("bin") + 1) / BINS) / chi_square_quantile(0.5)).alias("scale"))
-    scaled = materialize(best.join(middle, ["level", "grp"]), "mcd")
-    inside = rows.join(scaled, ["level", "grp"]).where(distance() <= F.greatest("scale", F.lit(1.0)) * chi_square_quantile(1 - REWEIGHT_TAIL))
-    sums = inside.drop("n").groupBy("level", "grp", "start").agg(*moments())
-    return materialize(estimates(sums.withColumn("total", F.col("n")), spreads), "mcd")
+    binned = counted(rows.join(best, "grp").select("grp", distance_bin(distance()).alias("bin")), "grp", "bin")
+    up = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    half = binned.select("grp", "bin", F.sum("c").over(up).alias("below"), F.sum("c").over(Window.partitionBy("grp")).alias("all"))
+    middle = half.where("below * 2 >= all").groupBy("grp").agg((F.pow(F.lit(2.0), (F.min("bin") + 1) / BINS) / chi_square_quantile(0.5)).alias("scale"))
+    scaled = materialize(best.join(middle, "grp"), "mcd")
+    inside = rows.join(scaled, "grp").where(distance() <= F.greatest("scale", F.lit(1.0)) * chi_square_quantile(1 - REWEIGHT_TAIL))
+    return materialize(estimates(summed(inside.drop("n"), "grp", "start").withColumn("total", F.col("n")), spreads), "mcd")
 
 
 def judge(stats: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Adds ``distance`` (squared) and ``kept``; the finest level with enough documents decides."""
-    params = fitted.drop("det", "scale", "start")
-    own = params.where(f"level = 0 and n >= {LEAST_GROUP}").drop("level", "n")
-    lang = params.where(f"level = 1 and n >= {LEAST_GROUP}").drop("level", "n")
-    whole = params.where("level = 2").drop("level", "n")
-    names = [name for name in own.columns if name != "grp"]
-
-    def named(table: DataFrame, key: str) -> DataFrame:
-        return table.select(F.col("grp").alias(key), F.struct(*names).alias(f"e_{key}"))
-
-    keyed = stats.withColumn("own", F.to_json(F.struct("lang", "source"))).withColumn("by_lang", F.to_json(F.struct("lang"))).withColumn("every", F.lit(""))
-    for table, key in ((own, "own"), (lang, "by_lang"), (whole, "every")):
-        keyed = keyed.join(named(table, key), key, "left")
-    chosen = keyed.withColumn("e", F.coalesce("e_own", "e_by_lang", "e_every"))
-    placed = chosen.select(*stats.columns, *(F.col(f"e.{name}").alias(name) for name in names))
+    """Adds ``distance`` (squared) and ``kept``."""
+    names = [name for name in fitted.columns if name[0] in "mq"]
+    placed = stats.join(fitted.select("grp", *names), "grp", "left")
     squared = F.when(F.col("m0").isNotNull(), distance())
     verdict = ~F.col("base_failed") & (F.coalesce(squared, F.lit(0.0)) <= chi_square_quantile(1 - REJECT_TAIL))
     return placed.withColumn("distance", squared).withColumn("kept", verdict).drop(*names)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, least_group: int = LEAST_GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance``.
 
-    A row for each row of ``docs``. A null text has no words and fails the base rule; null
-    languages and sources form groups of their own; groups too small for an estimate take that of
-    their language, then of all documents; with no document to fit, the base rule alone decides.
-    An empty table gives an empty one; ``docs`` needs the columns lang and source, others are ignored.
+    A row for each row of ``docs``; repeated rows and rows of one id are rows of their own. A null text
+    has no words and fails the base rule, as an empty one; a very long text is measured whole; null
+    languages and sources form groups of their own. Groups of fewer than ``least_group`` documents that pass the base
+    rule are taken together by language, then all; with no document to fit, the base rule alone
+    decides. An empty table gives an empty one; ``docs`` needs the columns lang and source, others are ignored.
     """
     stats = materialize(statistics(docs, id_col, text_col), "quality")
+    stats = materialize(grouped(stats, least_group), "quality-grouped")
     judged = judge(stats, fit(stats))
     return judged.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
