@@ -2,8 +2,8 @@
 
 :func:`token_counts` is operator 6: batch encoding inside Arrow functions that return lengths
 only. Texts are cut at places where no token can span the cut and the pieces are dealt into
-batches of about equal bytes, so neither one huge text nor many tiny ones decide the size of
-a batch.
+batches of about equal bytes, each one call of the library, so neither one huge text nor many tiny
+ones decide the size of a batch.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ class Encoder(Protocol):
 
     def ids(self, text: str) -> np.ndarray: ...
 
+    def lengths(self, texts: list[str]) -> list[int]:
+        """Tokens of each text, in one call of the library."""
+
 
 class RankEncoder:
     """Byte-level BPE by ranks; gives the same ids as the JSON form of the same vocabulary."""
@@ -48,6 +51,10 @@ class RankEncoder:
     def ids(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, allowed_special="all")
 
+    def lengths(self, texts: list[str]) -> list[int]:
+        # One thread: a task has one core.
+        return list(map(len, self.encoding.encode_batch(texts, num_threads=1, allowed_special="all")))
+
 
 class JsonEncoder:
     """The ``tokenizers`` library, with its defaults for special strings inside texts."""
@@ -64,6 +71,9 @@ class JsonEncoder:
     def ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def lengths(self, texts: list[str]) -> list[int]:
+        return list(map(len, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+
 
 class PieceEncoder:
     """The ``sentencepiece`` library."""
@@ -78,6 +88,9 @@ class PieceEncoder:
     def ids(self, text: str) -> np.ndarray:
         return np.asarray(self.processor.encode(text), dtype=np.uint32)
 
+    def lengths(self, texts: list[str]) -> list[int]:
+        return list(map(len, self.processor.encode(texts, num_threads=1)))
+
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str) -> Encoder:
@@ -118,28 +131,31 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def balanced(texts: list[str], cut: bool, batch_bytes: int = BATCH_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """Pieces with the index of their text, in batches of about ``batch_bytes``."""
-    batch: list[tuple[int, str]] = []
+def balanced(texts: list[str], cut: bool, batch_bytes: int = BATCH_BYTES) -> Iterator[tuple[list[int], list[str]]]:
+    """Indexes of texts and their pieces, in batches of at most ``batch_bytes`` in UTF-8; only a piece that is larger itself goes beyond."""
+    owners: list[int] = []
+    batch: list[str] = []
     filled = 0
     for index, text in enumerate(texts):
         for piece in pieces(text) if cut else (text,):
-            batch.append((index, piece))
-            filled += len(piece)
-            if filled >= batch_bytes:
-                yield batch
-                batch, filled = [], 0
+            if not piece:
+                continue
+            size = len(piece.encode())
+            if batch and filled + size > batch_bytes:
+                yield owners, batch
+                owners, batch, filled = [], [], 0
+            owners.append(index)
+            batch.append(piece)
+            filled += size
     if batch:
-        yield batch
+        yield owners, batch
 
 
-def count_batch(texts: list[str], vocabulary: str) -> np.ndarray:
+def count_batch(texts: list[str], vocabulary: str, batch_bytes: int = BATCH_BYTES) -> np.ndarray:
     counts = np.zeros(len(texts), dtype=np.int64)
     coder = encoder(vocabulary)
-    for batch in balanced(texts, safe_to_cut(vocabulary)):
-        for index, piece in batch:
-            if piece:
-                counts[index] += len(coder.ids(piece))
+    for owners, batch in balanced(texts, safe_to_cut(vocabulary), batch_bytes):
+        np.add.at(counts, owners, coder.lengths(batch))
     return counts
 
 
@@ -157,8 +173,9 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     """Bytes and tokens of every text: ``(id, n_bytes, n_tokens, over_limit)``, a row for each row.
 
     A null text counts as an empty one (0 bytes, 0 tokens); null ids and repeated rows are kept
-    as they are; an empty table gives an empty one; other columns are ignored. There is no
-    shuffle: each task reads its own split, and memory is bounded by one Arrow batch.
+    as they are; a very long text is counted whole, in pieces; an empty table gives an empty one; other
+    columns are ignored. There is no shuffle: each task reads its own split, and memory is bounded by one
+    Arrow batch.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

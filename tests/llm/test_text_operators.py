@@ -11,7 +11,7 @@ import pytest
 from mnemoria.llm import pii, queries
 from mnemoria.llm.packing import concatenate_and_cut
 from mnemoria.llm.quality import quality, text_statistics
-from mnemoria.llm.tokens import encode, pieces, token_counts
+from mnemoria.llm.tokens import balanced, count_batch, encode, encoder, pieces, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,10 +83,22 @@ def test_pieces_encode_as_the_whole(library):
     assert sum(len(ids_of(library, piece)) for piece in pieces(text, 1000)) == len(ids_of(library, text))
 
 
+def test_batches_by_bytes(library):
+    """Batches keep to their bytes, hold every text whole and in order, and whatever their size give the library's counts."""
+    texts = ["é" * 30, "", "漢字 and 12 words", "z" * 200, "a b " * 50, "<|endoftext|> x"]
+    got = list(balanced(texts, False, 90))
+    assert all(sum(len(piece.encode()) for piece in batch) <= 90 or len(batch) == 1 for _, batch in got)
+    assert [(k, piece) for owners, batch in got for k, piece in zip(owners, batch)] == [(k, text) for k, text in enumerate(texts) if text]
+    for size in (1, 90, 1 << 20):
+        assert count_batch(texts, "byte_bpe_50k.json", size).tolist() == [len(ids_of(library, text)) for text in texts]
+
+
 @pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"])
 def test_other_vocabularies(documents, vocabulary):
-    rows = token_counts(documents.limit(20), vocabulary).collect()
-    assert len(rows) == 20 and all(row["n_tokens"] > 0 for row in rows if row["n_bytes"])
+    coder = encoder(vocabulary)
+    texts = {row["doc_id"]: row["text"] or "" for row in documents.limit(20).collect()}
+    for row in token_counts(documents.limit(20), vocabulary).collect():
+        assert row["n_tokens"] == len(coder.ids(texts[row["doc_id"]]))
 
 
 def test_packing(awkward, documents, empty, library):
