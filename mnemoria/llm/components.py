@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     Alternating large-star and small-star steps on tables written to the shared folder; each step
     replaces edges by edges towards smaller ids and stops when nothing changes. Every grouping is a
-    minimum with map-side combination, so a vertex of very many edges is not gathered anywhere, and
-    only the number of edges and a checksum reach the driver. Loops are dropped; an empty table of
+    minimum with map-side combination, written before the edges are joined with it: both sides of the
+    join are then plain scans, and Spark's adaptive skew join splits the edges of a vertex that has very many.
+    Only the number of edges and a checksum reach the driver. Loops are dropped; an empty table of
     edges gives an empty one.
     """
     current = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -22,12 +23,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     before = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
         # Large star: neighbours above u move to the smallest of u's neighbourhood.
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, name)
         # Small star: u and its neighbours below move to the smallest of them.
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        smallest = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         current = materialize(small, name)
         state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31)).alias("h")).first()

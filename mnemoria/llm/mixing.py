@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_name, materialize, shuffle_partitions
@@ -37,45 +37,50 @@ def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(id_col, F.col(source_col).alias("source"), text_col).mapInArrow(count, f"`{id_col}` {kind}, source string, size long")
 
 
-def water_fill(sizes: list[int], weights: list[float], most: float = MAX_EPOCHS) -> list[float]:
-    """Shares of the total by weight; what exceeds ``most`` times a size goes to the others by weight."""
-    total, capped = float(sum(sizes)), [False] * len(sizes)
-    while True:
-        fixed = sum(most * size for size, full in zip(sizes, capped, strict=True) if full)
-        open_weight = sum(weight for weight, full in zip(weights, capped, strict=True) if not full)
-        shares = [most * size if full else (total - fixed) * weight / open_weight for size, weight, full in zip(sizes, weights, capped, strict=True)]
-        over = [not full and share > most * size for size, share, full in zip(sizes, shares, capped, strict=True)]
-        if not any(over):
-            return shares
-        capped = [full or more for full, more in zip(capped, over, strict=True)]
-        if all(capped):
-            return [most * size for size in sizes]
+def in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``bin``: ranges of the order, so that ranks and running sums need no single task; as a written table."""
+    parts = shuffle_partitions(rows.sparkSession)
+    return materialize(rows.repartitionByRange(parts, *order).withColumn("bin", F.spark_partition_id()), "mix-ranges")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_EPOCHS) -> DataFrame:
-    """``(source, source_size, target, low, high, number)``: one row for each source, as an ordinary table.
+def running(rows: DataFrame, value: str, name: str, *order: Column) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` up to each row of :func:`in_order`, and ``<name>_before``."""
+    inside = Window.partitionBy("bin").orderBy(*order)
+    placed = rows.withColumn(name, F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn(f"{name}_before", F.lag(name).over(inside))
+    ends = placed.groupBy("bin").agg(F.max(name).alias("end"))
+    # One row for each range.
+    bases = ends.select("bin", F.sum("end").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)).alias("base")).na.fill(0, ["base"])
+    return placed.join(bases, "bin").withColumn(name, F.col("base") + F.col(name)).withColumn(f"{name}_before", F.when(F.col(f"{name}_before").isNull(), F.col("base")).otherwise(F.col("base") + F.col(f"{name}_before"))).drop("base")
 
-    Sources are dealt the weights by code point, null last. The list of sources is one row for
-    each source, held together in a single task: it is a list of names, never of documents.
-    ``low`` and ``high`` bound the source's part of the unit interval.
-    """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for batch in batches for row in batch.to_pylist()]
-        rows.sort(key=lambda row: (row["source"] is None, row["source"] or ""))
-        if not rows:
-            return
-        targets = water_fill([row["source_size"] for row in rows], [weights[index % len(weights)] for index in range(len(rows))], most)
-        total, below = sum(targets) or 1.0, 0.0
-        for number, (row, target) in enumerate(zip(rows, targets, strict=True)):
-            row["number"], row["target"], row["low"] = number, target, below / total
-            below += target
-            row["high"] = below / total
-        rows[-1]["high"] = 2.0
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("number", pa.int64())]))
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_EPOCHS) -> DataFrame:
+    """``(source, source_size, target, low, high, number)``: one row for each source, as a written table.
 
-    return totals.coalesce(1).mapInArrow(fill, "source string, source_size long, target double, low double, high double, number long")
+    Sources are dealt the weights by code point, null last, and share the total; what exceeds ``most`` times a size
+    goes to the others by weight. Ranks and running sums go by ranges of names, and a round of sharing is one aggregation, so there may be as
+    many sources as web domains. ``low`` and ``high`` bound the source's part of the unit interval.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    totals = in_order(sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long")), *order)
+    numbered = running(totals, "one", "n", *order).withColumn("number", F.col("n_before"))
+    numbered = numbered.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int"))).withColumn("most", F.col("source_size") * F.lit(float(most)))
+    numbered = materialize(numbered.select("bin", "source", "source_size", "number", "weight", "most"), "mix-numbered")
+    total = float(numbered.agg(F.sum("source_size")).first()[0] or 0)
+    fixed, open_weight, full = 0.0, numbered.agg(F.sum("weight")).first()[0], 0
+    while open_weight:
+        # A share only grows from round to round, so a source that is full stays so.
+        share = F.lit(total - fixed) * F.col("weight") / F.lit(open_weight)
+        over = share > F.col("most")
+        found = numbered.agg(F.count_if(over).alias("full"), F.sum(F.when(over, F.col("most"))).alias("fixed"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        if found["full"] == full:
+            break
+        fixed, open_weight, full = found["fixed"], found["open"], found["full"]
+    target = F.least(F.lit(total - fixed) * F.col("weight") / F.lit(open_weight), F.col("most")) if open_weight else F.col("most")
+    shared = running(numbered.withColumn("target", target), "target", "upto", F.col("number"))
+    whole = F.lit(shared.agg(F.max("upto")).first()[0] or 1.0)
+    last = F.lit(numbered.agg(F.max("number")).first()[0])
+    high = F.when(F.col("number") == last, 2.0).otherwise(F.col("upto") / whole)
+    return materialize(shared.select("source", "source_size", "target", (F.col("upto_before") / whole).alias("low"), high.alias("high"), "number"), "mix-targets")
 
 
 def running_offsets(sizes: DataFrame, seed: int, id_col: str = "doc_id") -> DataFrame:
@@ -138,7 +143,7 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int =
     over the source.
     """
     sizes = materialize(word_sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    targets = materialize(source_targets(sizes, weights), "mix-targets")
+    targets = source_targets(sizes, weights)
     placed = running_offsets(sizes, seed, id_col).join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source", "low", "high", "number")
     placed = materialize(placed, "mix-placed")
     totals = targets.agg(F.sum("target").alias("total"), F.count("*").alias("sources")).first()
@@ -173,7 +178,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 42, b
     rounded target exactly, and no document more than three times its size.
 
     A null text has size 0 and is never taken; a null source is a source of its own; repeated rows
-    are rows of their own; an empty table gives an empty one; other columns are ignored. Reruns
+    are rows of their own; a very long text lies in as many blocks as it fills; an empty table gives an
+    empty one; other columns are ignored. Reruns
     agree: order and schedule depend on ids and the seed alone.
     """
     placed, spans = schedule(docs, weights, seed, block_words, id_col, text_col, source_col)

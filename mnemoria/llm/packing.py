@@ -55,14 +55,16 @@ def concatenate_and_cut(docs: DataFrame, window: int = 1024, vocabulary: str = "
     fills or crosses a window ends there; only the very last window can be short, so padding is
     under one window for the whole corpus.
 
-    A null or empty text is one token, the end id; repeated rows are packed as often as they occur;
-    an empty table gives no rows; other columns are ignored.
+    A null or empty text is one token, the end id; repeated rows are packed as often as they occur; a very
+    long text is encoded in pieces and cut into as many windows as it fills; an empty table gives no rows;
+    other columns are ignored.
     """
     runs = materialize(token_runs(docs, vocabulary, id_col, text_col), "packing")
     totals = runs.groupBy("part").agg(F.sum("n").alias("total"))
-    # One row for each partition of the scan, never for each document.
-    bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    placed = runs.join(F.broadcast(bases), "part").select(id_col, "ids", "wide", (F.col("base") + F.col("before")).alias("at"))
+    # One row for each partition of the scan, never for each document; as a written table it has a size that
+    # Spark knows, and is broadcast only while that is below spark.sql.autoBroadcastJoinThreshold.
+    bases = materialize(totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base")), "packing-bases")
+    placed = runs.join(bases, "part").select(id_col, "ids", "wide", (F.col("base") + F.col("before")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

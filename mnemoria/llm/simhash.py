@@ -1,9 +1,14 @@
 """Operator 8: SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``b`` bits differ in at most ``b`` of their eight
-bytes, so they agree in at least ``8 - b`` byte positions. The index lists fingerprints under the
-bytes they hold at given positions; candidates that meet in a list have their shared positions
-tallied, those with ``8 - b`` or more are verified bit by bit.
+bytes, so they agree in at least ``8 - b`` byte positions: the guaranteed minimum of matches.
+
+The plain index has a posting list for each position and byte, but each holds one fingerprint in 256,
+and a list of three positions is the intersection of three of them. These intersections are indexed
+instead. Nothing is lost: of five or more shared positions, three lie in one half of the eight, so
+the pair meets in the list of that triple. A pair that meets there has a tally of three from the
+index; the other five positions are tallied one after another, and the pair is dropped once it
+can't reach ``8 - b`` any more. What reaches it is verified bit by bit.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex64, materialize, shuffle_partitions
+from .common import hex64, join_by_key, materialize, shuffle_partitions
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -26,6 +31,8 @@ MAX_BITS = 3
 #: Of any five of the eight positions, three lie in one half: these eight triples meet every pair
 #: that agrees in five positions, and a list of three bytes is short.
 KEYS = tuple(triple for half in (range(4), range(4, 8)) for triple in combinations(half, 3))
+#: The positions that a list says nothing of, as shifts.
+OTHERS = np.array([[8 * position for position in range(8) if position not in triple] for triple in KEYS], dtype=np.uint64)
 #: Longer lists are cut into tiles of about this size; every two tiles meet in a task of their own.
 TILE = 1024
 #: Fingerprint bits tallied at once.
@@ -62,19 +69,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def posting_lists(prints: DataFrame) -> DataFrame:
-    """``(list, tile, other, fp)``: the index, each fingerprint under its bytes at each triple of positions."""
+    """``(list, triple, tile, other, fp)``: the index, each fingerprint under its bytes at each triple of positions."""
     masks = [sum(0xFF << (8 * position) for position in triple) for triple in KEYS]
     signed = [mask - (1 << 64) if mask >= 1 << 63 else mask for mask in masks]
     entries = F.array(*(F.xxhash64(F.lit(number), F.col("fp").bitwiseAND(F.lit(mask).cast("long"))) for number, mask in enumerate(signed)))
-    listed = prints.select("fp", F.explode(entries).alias("list"))
+    listed = prints.select("fp", F.posexplode(entries).alias("triple", "list"))
     long = listed.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("list", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     met = listed.join(long, "list", "left")
     own = F.when(F.col("tiles").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("tiles"))).cast("int")
     met = met.withColumn("own", own)
     # A fingerprint meets every tile: under (its tile, other) and, for the smaller others, (other, its tile).
     others = F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
-    met = met.select("list", "own", "fp", F.explode(others).alias("third"))
-    return met.select("list", F.least("own", "third").alias("tile"), F.greatest("own", "third").alias("other"), "fp")
+    met = met.select("list", "triple", "own", "fp", F.explode(others).alias("third"))
+    return met.select("list", "triple", F.least("own", "third").alias("tile"), F.greatest("own", "third").alias("other"), "fp")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +102,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def link_lists(groups: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def enough_shared(differ: np.ndarray, triples: np.ndarray, least: int) -> np.ndarray:
+    """Places of the pairs that share ``least`` positional bytes or more; ``differ`` is the exclusive or of a pair.
+
+    The tally starts at the three that the list stands for.
+    """
+    alive = np.arange(len(differ))
+    tally = np.full(len(differ), 3)
+    for number in range(OTHERS.shape[1]):
+        tally = tally + ((differ[alive] >> OTHERS[triples[alive], number]) & np.uint64(0xFF) == 0)
+        still = tally + (OTHERS.shape[1] - 1 - number) >= least
+        alive, tally = alive[still], tally[still]
+    return alive
+
+
+def link_lists(groups: np.ndarray, triples: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fingerprints of each run of equal ``groups``, by count filter and verification."""
     n = len(prints)
     change = np.flatnonzero(groups[1:] != groups[:-1]) + 1
@@ -105,10 +126,9 @@ def link_lists(groups: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[n
     while len(active := active[active + step < ends[active]]):
         a, b = prints[active], prints[active + step]
         differ = (a ^ b).view(np.uint64)
-        shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        likely = np.flatnonzero((shared >= 8 - max_bits) & (differ != 0))
+        likely = enough_shared(differ, triples[active], 8 - max_bits)
         if len(likely):
-            close = likely[np.bitwise_count(differ[likely]) <= max_bits]
+            close = likely[(np.bitwise_count(differ[likely]) <= max_bits) & (differ[likely] != 0)]
             found_a.append(a[close])
             found_b.append(b[close])
         step += 1
@@ -129,21 +149,22 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if not 0 <= max_bits <= 3:
         raise ValueError("the positions indexed guarantee a meeting up to three bits")
     lists = posting_lists(prints)
-    dealt = lists.select(F.xxhash64("list", "tile", "other").alias("g"), "fp").repartition(shuffle_partitions(prints.sparkSession), "g").sortWithinPartitions("g")
+    dealt = lists.select(F.xxhash64("list", "tile", "other").alias("g"), F.col("triple").cast("int").alias("triple"), "fp").repartition(shuffle_partitions(prints.sparkSession), "g").sortWithinPartitions("g")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_g, kept_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kept_g, kept_t, kept_fp = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
         for batch in _with_end(batches):
             if batch is not None:
                 kept_g = np.concatenate((kept_g, batch.column(0).to_numpy()))
-                kept_fp = np.concatenate((kept_fp, batch.column(1).to_numpy()))
+                kept_t = np.concatenate((kept_t, batch.column(1).to_numpy()))
+                kept_fp = np.concatenate((kept_fp, batch.column(2).to_numpy()))
                 # The last list may go on in the next batch.
                 whole = int(np.searchsorted(kept_g, kept_g[-1])) if len(kept_g) else 0
             else:
                 whole = len(kept_g)
             if whole:
-                a, b = link_lists(kept_g[:whole], kept_fp[:whole], max_bits)
-                kept_g, kept_fp = kept_g[whole:], kept_fp[whole:]
+                a, b = link_lists(kept_g[:whole], kept_t[:whole], kept_fp[:whole], max_bits)
+                kept_g, kept_t, kept_fp = kept_g[whole:], kept_t[whole:], kept_fp[whole:]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(meet, "a long, b long").distinct()
@@ -160,13 +181,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words_per_shingle
     ``component_id`` is the smallest id reachable over links of at most ``max_bits`` differing bits.
     Documents of one fingerprint are one vertex, so copies are never paired with each other. Null,
     empty and blank texts have fingerprint zero and link like any other; a null id takes part in no
-    minimum unless all ids of its component are null; repeated rows are linked to themselves; an
-    empty table gives an empty one; other columns are ignored.
+    minimum unless all ids of its component are null; repeated rows and rows of one id are rows of their own; a
+    very long text is shingled whole; an empty table gives an empty one; other columns are ignored.
+    A fingerprint that a third of all rows have meets its class by broadcast.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     labels = connected_components(links(distinct.select("fp"), max_bits), "simhash-components")
     of_class = distinct.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = of_class.join(smallest, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select(id_col, hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    classes = materialize(of_class.join(smallest, "component").select("fp", "component_id"), "simhash-classes")
+    return join_by_key(prints, classes, "fp").select(id_col, hex64(F.col("fp")).alias("fingerprint"), "component_id")
