@@ -3,53 +3,49 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PARAGRAPH = "\n\n"
-SENTENCE_END = re.compile(r"[.!?](?=\s)")
-BLANK = re.compile(r"\s")
+#: Where a cut may follow: the first of two line breaks, a mark that ends a sentence, white space.
+PARAGRAPHS, SENTENCES, BLANKS = (re.compile(pattern) for pattern in (r"\n(?=\n)", r"[.!?](?=\s)", r"\s"))
 
 
-def cut_point(text: str, start: int, end: int) -> int:
-    """Where to cut ``text[start:end]``: after a blank line, a sentence, before white space in the last fifth, or at the end."""
-    at = text.rfind(PARAGRAPH, start, end)
-    if at >= start and at + 1 > start:
-        return at + 2
-    sentence = None
-    for sentence in SENTENCE_END.finditer(text, start + 1, min(end + 1, len(text))):
-        pass
-    if sentence is not None and sentence.start() < end:
-        return sentence.end()
-    reach = (end - start) // 5
-    for at in range(end - 1, max(end - reach, start), -1):
-        if BLANK.match(text[at]):
-            return at
-    return end
+class Places:
+    """The places in a text at which it may be cut, found once, and the best of them for a piece by bisection."""
+
+    def __init__(self, text: str) -> None:
+        self.paragraphs, self.sentences, self.blanks = ([m.start() for m in pattern.finditer(text)] for pattern in (PARAGRAPHS, SENTENCES, BLANKS))
+
+    def cut(self, start: int, end: int) -> int:
+        """After the last blank line that fits, the last sentence, before white space in the last fifth, or at ``end``."""
+        for places, low, high, after in ((self.paragraphs, start, end - 2, 2), (self.sentences, start + 1, end - 1, 1), (self.blanks, max(end - (end - start) // 5, start) + 1, end - 1, 0)):
+            at = bisect_right(places, high) - 1
+            if at >= 0 and places[at] >= low:
+                return places[at] + after
+        return end
 
 
 def chunk_text(text: str | None, size: int = 900, overlap: int = 150, least: int = 120) -> list[str]:
-    """Pieces of at most ``size`` code points; a short last piece joins the one before."""
+    """Pieces of at most ``size`` code points that overlap by ``overlap``; a piece under ``least`` joins the one before."""
     text = (text or "").strip()
     if not text or size <= 0 or len(text) <= size:
         return [text] if text else []
-    overlap = size // 2 if overlap >= size else max(overlap, 0)
-    found: list[str] = []
-    start = 0
-    while start < len(text):
-        end = start + size
-        end = len(text) if end >= len(text) else cut_point(text, start, end)
-        piece = text[start:end].strip()
-        if piece and len(piece) < least and found:
-            found[-1] = f"{found[-1]}\n{piece}".strip()
-        elif piece:
-            found.append(piece)
-        if end >= len(text):
-            break
+    overlap = min(max(overlap, 0), size) if overlap < size else size // 2
+    places, pieces, start, end = Places(text), [], 0, 0
+    while end < len(text):
+        end = len(text) if start + size >= len(text) else places.cut(start, start + size)
+        pieces.append(text[start:end].strip())
         start = end - overlap if end - overlap > start else end
-    return found
+    joined: list[str] = []
+    for piece in filter(None, pieces):
+        if joined and len(piece) < least:
+            joined[-1] = f"{joined[-1]}\n{piece}"
+        else:
+            joined.append(piece)
+    return joined
 
 
 def chunked(df: DataFrame, text_col: str = "text", size: int = 900, overlap: int = 150, least: int = 120) -> DataFrame:

@@ -17,38 +17,38 @@ TOKEN_WRAPPERS = "`()[]{}<>\"*#|/\\"
 
 # Words without meaning of their own.
 STOP_WORDS = (
-    "the and for are was were that this with from have has had not but does did what "
-    "when where which who how why its they them their there here about into onto over under than "
-    "then these those such some any each both also can will would should could may might must"
-).split()
+    "the", "and", "for", "are", "was", "were", "that", "this", "with", "from", "have", "has", "had", "not", "but", "does", "did", "what", "when",
+    "where", "which", "who", "how", "why", "its", "they", "them", "their", "there", "here", "about", "into", "onto", "over", "under", "than", "then",
+    "these", "those", "such", "some", "any", "each", "both", "also", "can", "will", "would", "should", "could", "may", "might", "must",
+)
 
 # Concept and the words that stand for it.
 CONCEPTS = {
-    "develop": "develop developed development emerge emerged emergent originate originated origin origins arise arose arises",
-    "independent": "independent independently separate separately separation",
-    "recombine": "recombine recombined recombination join joined joining merge merged merging synthesize synthesized synthesis",
-    "precede": "upstream enable enabled precede preceded led lead",
-    "map": "downstream reinterpret reinterpreted reframe reframed map mapped translate translated translation",
-    "summary": "summary summaries summarize summarized overview overviews abstract",
-    "chunk": "chunk chunks chunking segmentation",
-    "ingest": "ingest ingestion ingested import imported",
-    "retrieve": "retrieve retrieval retrieved",
-    "produce": "artifact artifacts induced produce produced generate generated generation",
-    "transcript": "transcript transcripts draft drafts",
-    "branch": "branch branches",
-    "lineage": "lineage",
-    "hybrid": "hybrid hybrids",
-    "tradition": "tradition traditions",
-    "terminology": "term terms terminology",
-    "vocabulary": "vocabulary vocab",
-    "connection": "connection connections",
-    "bridge": "bridge bridges",
-    "apparent": "apparent",
-    "appear": "appears appear",
-    "absent": "absent absence",
-    "sacred": "sacred",
-    "symbolic": "symbolic symbolism",
-    "technical": "technical",
+    "develop": ("develop", "developed", "development", "emerge", "emerged", "emergent", "originate", "originated", "origin", "origins", "arise", "arose", "arises"),
+    "independent": ("independent", "independently", "separate", "separately", "separation"),
+    "recombine": ("recombine", "recombined", "recombination", "join", "joined", "joining", "merge", "merged", "merging", "synthesize", "synthesized", "synthesis"),
+    "precede": ("upstream", "enable", "enabled", "precede", "preceded", "led", "lead"),
+    "map": ("downstream", "reinterpret", "reinterpreted", "reframe", "reframed", "map", "mapped", "translate", "translated", "translation"),
+    "summary": ("summary", "summaries", "summarize", "summarized", "overview", "overviews", "abstract"),
+    "chunk": ("chunk", "chunks", "chunking", "segmentation"),
+    "ingest": ("ingest", "ingestion", "ingested", "import", "imported"),
+    "retrieve": ("retrieve", "retrieval", "retrieved"),
+    "produce": ("artifact", "artifacts", "induced", "produce", "produced", "generate", "generated", "generation"),
+    "transcript": ("transcript", "transcripts", "draft", "drafts"),
+    "branch": ("branch", "branches"),
+    "lineage": ("lineage",),
+    "hybrid": ("hybrid", "hybrids"),
+    "tradition": ("tradition", "traditions"),
+    "terminology": ("term", "terms", "terminology"),
+    "vocabulary": ("vocabulary", "vocab"),
+    "connection": ("connection", "connections"),
+    "bridge": ("bridge", "bridges"),
+    "apparent": ("apparent",),
+    "appear": ("appears", "appear"),
+    "absent": ("absent", "absence"),
+    "sacred": ("sacred",),
+    "symbolic": ("symbolic", "symbolism"),
+    "technical": ("technical",),
 }
 # Concepts that name a relation, and its family.
 RELATIONS = {
@@ -109,6 +109,19 @@ def lexical_tokens(col: Column) -> Column:
     return F.filter(F.transform(tokens(col), lambda t: F.btrim(t, F.lit(TOKEN_WRAPPERS))), lambda t: t != "")
 
 
+def query_words(query: str) -> list[str]:
+    """The tokens of :func:`lexical_tokens` of a text at hand."""
+    spaced = query.lower().translate(str.maketrans(dict.fromkeys(TOKEN_SEPARATORS + SPACES, " ")))
+    return [word for token in spaced.split(" ") if (word := token.strip(TOKEN_WRAPPERS))]
+
+
+def token_pattern(token: str) -> str:
+    """Matches lower-case texts that have ``token`` among their :func:`lexical_tokens`."""
+    apart, around = (f"[{''.join(f'{chr(92)}x{{{ord(c):x}}}' for c in chars)}]" for chars in (TOKEN_SEPARATORS + SPACES, TOKEN_WRAPPERS))
+    literal = "".join(f"\\x{{{ord(c):x}}}" for c in token)
+    return f"(?:^|{apart}){around}*{literal}{around}*(?:$|{apart})"
+
+
 def query_tokens(col: Column) -> Column:
     """Distinct runs of ASCII letters and digits."""
     return F.array_distinct(F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda t: t != ""))
@@ -127,7 +140,7 @@ def meaningful_tokens(col: Column) -> Column:
 
 def concepts(col: Column) -> Column:
     """Meaningful tokens mapped to the concepts they stand for (T5)."""
-    pairs = [F.lit(x) for concept, names in CONCEPTS.items() for name in names.split() for x in (name, concept)]
+    pairs = [F.lit(x) for concept, names in CONCEPTS.items() for name in names for x in (name, concept)]
     known = F.create_map(*pairs)
     return F.array_distinct(F.transform(meaningful_tokens(col), lambda t: F.coalesce(F.element_at(known, t), t)))
 
@@ -209,3 +222,74 @@ def suggestions(col: Column) -> Column:
     last = F.element_at(lines, -1)
     items = F.filter(F.transform(F.split(F.regexp_extract(last, r"^\s*SUGGESTIONS:(.*)$", 1), r"\|"), lambda item: F.trim(item)), lambda item: item != "")
     return F.when(F.size(lines) > 0, items).otherwise(F.array().cast("array<string>"))
+
+
+# Words of contradiction, words without discrimination, and signals of a message with their kind, importance and tag.
+CONTRADICTIONS = ("contradict", "however", "inconsistent", "does not")
+GENERIC = ("generic", "structure", "framework", "architecture", "generally", "broadly", "typically")
+SIGNALS = (
+    (("remember this",), "user_preference", 0.94, "remember-this"),
+    (("actually", "correction", "i meant"), "user_preference", 0.96, "correction"),
+    (("i prefer", "my preference", "for me"), "user_preference", 0.88, "preference"),
+    (("we decided", "decision", "let's do"), "project_decision", 0.9, "decision"),
+    (("must", "constraint", "cannot", "can't"), "technical_solution", 0.9, "constraint"),
+    (("plan", "next step", "action item"), "project_decision", 0.86, "action-item"),
+    (("persona", "identity"), "user_preference", 0.86, "persona"),
+)
+# Types of files by their endings.
+MIME_TYPES = {
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "heic": "image/heic",
+    "dng": "image/x-adobe-dng", "pdf": "application/pdf", "mp3": "audio/mpeg", "wav": "audio/wav", "mp4": "video/mp4",
+}
+
+
+def contradiction_signal(col: Column) -> Column:
+    """Whether a text speaks against something."""
+    return contains_any(F.lower(F.coalesce(col, F.lit(""))), CONTRADICTIONS)
+
+
+def without_generic(col: Column) -> Column:
+    """Lower-case words that are not generic; the text as it is if none is left."""
+    kept = F.filter(F.split(F.lower(trimmed(col)), SPACE), lambda w: (w != "") & ~w.isin(*GENERIC))
+    return F.when(F.size(kept) == 0, trimmed(col)).otherwise(F.array_join(kept, " "))
+
+
+def message_signal(col: Column, remember: Column | None = None) -> Column:
+    """``struct<kind, importance, tag>`` of the first signal in a message; nulls without one."""
+    text = F.lower(trimmed(col))
+    found = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0.0).alias("importance"), F.lit(None).cast("string").alias("tag"))
+    for number, (phrases, kind, importance, tag) in reversed(list(enumerate(SIGNALS))):
+        test = contains_any(text, phrases)
+        found = F.when((test | remember) if number == 0 and remember is not None else test, F.struct(F.lit(kind).alias("kind"), F.lit(importance).alias("importance"), F.lit(tag).alias("tag"))).otherwise(found)
+    return found
+
+
+def mime_type(file: Column) -> Column:
+    """By the ending; empty for others."""
+    types = F.create_map(*(F.lit(x) for pair in MIME_TYPES.items() for x in pair))
+    return F.coalesce(F.element_at(types, F.lower(F.regexp_extract(F.coalesce(file, F.lit("")), r"\.([^./\\]*)$", 1))), F.lit(""))
+
+
+def listed(col: Column) -> Column:
+    """Distinct upper-case items of a comma list."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.upper(col), ","), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def hypothesis_list(col: Column) -> Column:
+    """``array<struct<id, statement, rank>>`` of ``id|statement; statement; ...``."""
+    parts = F.transform(F.split(col, ";"), lambda x, n: F.struct(F.trim(x).alias("t"), (n + 1).alias("rank")))
+    named = lambda p: p["t"].contains("|")
+    one = lambda p: F.struct(
+        F.coalesce(F.when(named(p), F.nullif(F.trim(F.substring_index(p["t"], "|", 1)), F.lit(""))), F.concat(F.lit("H"), p["rank"].cast("string"))).alias("id"),
+        F.when(named(p), F.trim(F.regexp_replace(p["t"], r"^[^|]*\|", ""))).otherwise(p["t"]).alias("statement"), p["rank"].alias("rank"),
+    )
+    return F.transform(F.filter(parts, lambda p: p["t"] != ""), one)
+
+
+
+def unescaped(col: Column) -> Column:
+    r"""A text with ``\n``, ``\t`` or ``\r`` written out, decoded if it is a JSON string's content; else trimmed."""
+    text = trimmed(col)
+    literal = F.concat(F.lit('["'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"]'))
+    decoded = F.get(F.from_json(literal, "array<string>"), F.lit(0))
+    return F.when(text.rlike(r"\\[ntr]") & ~text.contains("\n"), F.coalesce(decoded, text)).otherwise(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,39 @@ def page_after(points: DataFrame, cursor: str | None, n: int) -> DataFrame:
     """The next ``n`` rows after a key: a keyset page, cheap at any depth (L1-L4)."""
     rest = points if cursor is None else points.where(F.col("memory_id") > cursor)
     return rest.orderBy("memory_id").limit(max(1, min(n, 2000)))
+
+
+def page_at(points: DataFrame, offset: int, n: int, *order: Column) -> DataFrame:
+    """Rows from ``offset`` on in a total order, with ``next_offset``: where the next page begins, null after the last (L1).
+
+    One row more than the page is read to know whether there is one.
+    """
+    n = n if n > 0 else 128
+    offset = max(offset, 0)
+    read = points.orderBy(*order).offset(offset).limit(n + 1)
+    place = F.row_number().over(Window.orderBy(*order))
+    placed = read.withColumn("place", place).withColumn("more", F.max("place").over(Window.partitionBy(F.lit(0))) > n)
+    return placed.where(F.col("place") <= n).withColumn("next_offset", F.when(F.col("more"), F.lit(offset + n).cast("long"))).drop("place", "more")
+
+
+def titles(points: DataFrame, k: int = 60, sample: int = 0) -> DataFrame:
+    """Titles by their number of points, ties by name; of the first ``sample`` points by id, or of all (A1, A3)."""
+    taken = points.orderBy("memory_id").limit(sample) if sample > 0 else points
+    return facet_counts(taken, "source_title", k)
+
+
+def counted(points: DataFrame, predicate: Column | None = None, exact: bool = True, deviation: float = 0.05) -> DataFrame:
+    """One row: the number of points that pass; without ``exact`` an estimate over their ids (A5)."""
+    found = points if predicate is None else points.where(predicate)
+    return found.agg((F.count("*") if exact else F.approx_count_distinct("memory_id", deviation)).alias("n"))
+
+
+def collections(spark: SparkSession, vector: str = "embedding") -> DataFrame:
+    """Name, number of points and length of vectors of every table of the catalog."""
+    found = None
+    for table in spark.catalog.listTables():
+        points = spark.table(table.name)
+        size = F.max(F.size(vector)) if vector in points.columns else F.lit(None).cast("int")
+        row = points.agg(F.lit(table.name).alias("name"), F.count("*").alias("points"), size.alias("vector_size"))
+        found = row if found is None else found.unionByName(row)
+    return found if found is not None else spark.createDataFrame([], "name string, points long, vector_size int")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import uuid5
 from ..functions.text import contains_any, speaker_role, trimmed
+from ..functions.times import normalized
 
 # Words that mark a domain.
 SPIRITUAL = ("awakening", "consciousness", "operation new earth", "higher self", "metaphysical", "ra material", "seth", "dolores cannon", "spiritual")
@@ -27,20 +29,28 @@ HISTORY = ("decision", "decided", "milestone", "shipped", "implemented")
 PREFERENCE = ("prefer", "preference", "i like", "i want", "i don't want")
 PERSONA = ("persona", "instruction", "voice", "style", "how you should")
 DECISION = ("decide", "decision", "we will", "we should")
+SUPPORT = ("user said", "mark said", "preference")
+# The longest field that is no oddity.
+OVERSIZED = 16000
 END_MARKS = ".!?\"'”’"
 MEMORY_ID = r"^(.+)_turn_(\d+)_chunk_(\d+)$"
 
 
 def chunk_positions(points: DataFrame) -> DataFrame:
-    """Adds ``chunk_position``: ``single, first, middle, last`` (Q1). The largest chunk is taken over the chunks of a turn."""
+    """Adds ``chunk_position``: ``single, first, middle, last`` (Q1).
+
+    The largest chunk of a turn is a maximum over ids alone, with map-side combination; points whose id
+    names no turn take no part in it, and texts are not moved.
+    """
+
     def part(k: int) -> Column:
         return F.regexp_extract("memory_id", MEMORY_ID, k)
 
     parsed = points.withColumn("p_conv", part(1)).withColumn("p_turn", part(2).try_cast("int")).withColumn("p_chunk", part(3).try_cast("int"))
-    most = F.max("p_chunk").over(Window.partitionBy("p_conv", "p_turn", F.when(F.col("p_chunk").isNull(), F.col("memory_id"))))
-    single = F.col("p_chunk").isNull() | (F.col("p_most") <= 1)
-    position = F.when(single, "single").when(F.col("p_chunk") <= 1, "first").when(F.col("p_chunk") >= F.col("p_most"), "last").otherwise("middle")
-    return parsed.withColumn("p_most", most).withColumn("chunk_position", position).drop("p_conv", "p_turn", "p_chunk", "p_most")
+    most = parsed.where("p_chunk is not null").groupBy("p_conv", "p_turn").agg(F.max("p_chunk").alias("p_most")).where("p_most > 1")
+    met = parsed.join(most, ["p_conv", "p_turn"], "left")
+    position = F.when(F.col("p_most").isNull(), "single").when(F.col("p_chunk") <= 1, "first").when(F.col("p_chunk") >= F.col("p_most"), "last").otherwise("middle")
+    return met.withColumn("chunk_position", position).drop("p_conv", "p_turn", "p_chunk", "p_most")
 
 
 def quote_warnings(quote: Column) -> Column:
@@ -95,53 +105,134 @@ def phase(role: Column, of: Column) -> Column:
     return F.when((role == "assistant") & (of == "technical"), "not_applicable").when(of == "mixed", "uncertain").when(of == "spiritual", "applicable").when(of == "technical", "not_applicable").otherwise("uncertain")
 
 
-def kind(role: Column, blob: Column, of: Column) -> Column:
-    """What a point is, by its speaker and words (Q7)."""
-    by_assistant = F.when(contains_any(blob, HISTORY), "project_support_history").otherwise("assistant_guidance")
+def phase_warning(role: Column, of: Column) -> Column:
+    """Why phases don't apply or are uncertain; null where they apply (Q5)."""
+    return F.when((role == "assistant") & (of == "technical"), "assistant_technical_content").when(of == "mixed", "mixed_spiritual_technical_signals").when(of == "technical", "technical_content_detected").when(of != "spiritual", "insufficient_phase_signal")
+
+
+def user_support(context: Column) -> Column:
+    """Whether any of the neighbouring messages ``array<struct<speaker, text>>`` is a user's (Q6)."""
+    said = lambda m: (F.lower(F.trim(F.coalesce(m["speaker"], F.lit("")))) == "user") | F.lower(F.coalesce(m["text"], F.lit(""))).startswith("user:")
+    return F.coalesce(F.exists(context, said), F.lit(False))
+
+
+def kind(role: Column, blob: Column, of: Column, supported: Column | None = None) -> Column:
+    """What a point is, by its speaker and words; an assistant that reports what its user said states a fact (Q7)."""
+    by_assistant = F.when((F.lit(False) if supported is None else supported) & contains_any(blob, SUPPORT), "user_asserted_fact").when(contains_any(blob, HISTORY), "project_support_history").otherwise("assistant_guidance")
     by_user = F.when(contains_any(blob, PREFERENCE), "preference").when(contains_any(blob, PERSONA), "persona_instruction").when(contains_any(blob, DECISION), "project_decision").otherwise("user_asserted_fact")
     return F.when(role == "assistant", by_assistant).when(role == "user", by_user).when(role.isin("system", "tool") | (of == "technical"), "project_support_history").otherwise("unknown")
 
 
+def scopes(role: Column, of: Column, supported: Column) -> dict[str, Column]:
+    """What a point may be used for; ``supported`` is an assistant's report of its user (Q7)."""
+    user, assistant = role == "user", role == "assistant"
+    known = role.isin("user", "assistant", "system", "tool")
+    return {
+        "usable_for_user_profile": user | (assistant & supported),
+        "usable_for_project_history": known | (of == "technical"),
+        "usable_for_assistant_guidance": role.isin("user", "assistant", "system"),
+        "usable_for_persona_memory": user | (assistant & supported),
+        "usable_for_canon": role != "mixed",
+    }
+
+
 def evidence(quote: Column, text: Column, quality: Column) -> Column:
     """``none, weak, medium, strong`` by length (Q8)."""
     total = F.char_length(trimmed(quote)) + F.char_length(trimmed(text))
     return F.when(quality.isin("missing", "malformed"), "none").when(total < 80, "weak").when(total < 240, "medium").otherwise("strong")
 
 
+# The scope of reflection that goes with the strength of evidence.
+REFLECTION_SCOPES = {"none": "not_enough_context", "weak": "quote_only", "medium": "quote_plus_context", "strong": "cluster_context"}
+
+
+def marked_repeats(rows: DataFrame, key: str, content: str, *order: str) -> DataFrame:
+    """Adds ``repeated`` (the key came before) and ``duplicate_of`` (with the same content), in ``order`` (Q9).
+
+    Only ids that occur more than once are ordered, and their list is made from the ids alone: all other
+    rows, with their texts, stay where they are.
+    """
+    several = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    nothing = [F.lit(False).alias("repeated"), F.lit(None).cast("string").alias("duplicate_of")]
+    single = rows.join(several, key, "left_anti").select("*", *nothing)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order, content))
+    of_content = F.row_number().over(Window.partitionBy(key, content).orderBy(*order))
+    others = rows.join(several, key, "left_semi").withColumn("place", place).withColumn("again", of_content)
+    return single.unionByName(others.select(*rows.columns, (F.col("place") > 1).alias("repeated"), F.when(F.col("again") > 1, F.col(key)).alias("duplicate_of")))
+
+
+def optional(points: DataFrame, name: str, kind_of: str) -> Column:
+    return F.col(name) if name in points.columns else F.lit(None).cast(kind_of)
+
+
 def cleaned(points: DataFrame, repair: bool = True) -> DataFrame:
-    """Every point with its quality, kind, scopes, blockers and cleanup status (Q9-Q13).
+    """Every point with its quality, kind, scopes, blockers and cleanup status (Q1-Q13).
 
-    Duplicates are found by the least ``ts`` and id of a content hash: minima with map-side
-    combination, joined back, so a text that a third of all points share is not sorted in one task.
+    Points come in the order of ``ts``: an id that came before is a duplicate record, and one with
+    the same content a duplicate. ``payload_error``, ``timestamp``, ``context`` (neighbouring messages) and ``embedding``
+    are used where the table has them.
     """
     rows = chunk_positions(points)
     text, quote = trimmed(F.col("text")), trimmed(F.col("source_quote"))
-    rows = rows.withColumn("role", speaker_role(F.col("speaker")))
-    rows = rows.withColumn("warnings", quote_warnings(F.when(text != "", text).otherwise(quote)))
-    rows = rows.withColumn("quality", quote_quality(F.col("warnings"), F.col("chunk_position")))
+    role = speaker_role(F.col("speaker"))
+    raw_role = F.lower(trimmed(F.col("speaker")))
+    rows = rows.withColumn("role", role).withColumn("quote_warnings", quote_warnings(F.when(text != "", text).otherwise(quote)))
+    rows = rows.withColumn("quality", quote_quality(F.col("quote_warnings"), F.col("chunk_position")))
+    rows = rows.withColumn("chunk_boundary_warning", F.array_contains("quote_warnings", "ellipsis_truncation"))
     repaired = F.lit(repair) & F.col("quality").isin("partial", "truncated") & (F.char_length(quote) >= 20)
     rows = rows.withColumn("repaired", repaired).withColumn("quality", F.when(F.col("repaired"), "repaired").otherwise(F.col("quality")))
-    rows = rows.withColumn("source_quote", F.when(F.col("repaired"), F.trim(F.translate(quote, "\n", " "))).otherwise(quote))
-    rows = rows.withColumn("content_hash", F.sha2(F.concat_ws("\x1f", "memory_id", "source_quote", text), 256)).withColumn("text_hash", F.sha2(F.concat_ws("\x1f", "source_quote", text), 256))
-    firsts = rows.groupBy("text_hash").agg(F.min(F.struct("ts", "memory_id")).alias("first_row"))
-    rows = rows.join(firsts, "text_hash")
-    rows = rows.withColumn("duplicate_of", F.when(F.col("first_row.memory_id") != F.col("memory_id"), F.col("first_row.memory_id")))
+    rows = rows.withColumn("source_quote_original", F.col("source_quote")).withColumn("source_quote", F.when(F.col("repaired"), F.trim(F.translate(quote, "\n", " "))).otherwise(quote))
+    rows = rows.withColumn("memory_id", F.coalesce("memory_id", F.lit(""))).withColumn("content_hash", F.sha2(F.concat_ws("\x1f", "memory_id", "source_quote", text), 256))
+    rows = marked_repeats(rows, "memory_id", "content_hash", "ts")
     raw = domain(F.coalesce("source_title", F.lit("")), F.coalesce("project", F.lit("")), F.col("text"))
     rows = rows.withColumn("domain", raw).withColumn("domain", F.when((F.col("role") == "assistant") & (F.col("domain") != "spiritual"), "technical").otherwise(F.col("domain")))
     blob = F.lower(F.concat_ws(" ", F.coalesce("source_title", F.lit("")), "text", "source_quote"))
     short = (F.char_length(text) < 20) & (F.char_length("source_quote") < 20)
+    broken = F.coalesce(optional(points, "payload_error", "boolean"), F.lit(False))
+    _, time_warning = normalized(F.col("timestamp")) if "timestamp" in points.columns else (None, F.lit(None).cast("string"))
+    # The labels of blockers.
     blockers = F.array_sort(F.array_compact(F.array(
-        F.when(F.col("memory_id") == "", F.lit("missing_source_id")), F.when(F.col("duplicate_of").isNotNull(), F.lit("duplicate_record")),
+        F.when(broken, F.lit("corrupted_json")), F.when(time_warning == "malformed_timestamp", F.lit("unsupported_schema")),
+        F.when(F.col("memory_id") == "", F.lit("missing_source_id")), F.when(F.col("repeated"), F.lit("duplicate_record")),
         F.when(F.col("quality") == "missing", F.lit("missing_quote")), F.when(F.col("quality") == "malformed", F.lit("malformed_quote")),
         F.when(short, F.lit("insufficient_context")), F.when((text == "") & (F.col("source_quote") == ""), F.lit("vector_only_payload")),
     )))
-    rows = rows.withColumn("blockers", blockers).withColumn("kind", kind(F.col("role"), blob, F.col("domain"))).withColumn("phase", phase(F.col("role"), F.col("domain"))).withColumn("evidence", evidence(F.col("source_quote"), F.col("text"), F.col("quality")))
-    user = F.col("role") == "user"
-    rows = rows.withColumn("usable_for_user_profile", user).withColumn("usable_for_canon", F.col("role") != "mixed").withColumn("usable_for_project_history", F.col("role").isin("user", "assistant", "system", "tool") | (F.col("domain") == "technical")).withColumn("usable_for_assistant_guidance", F.col("role").isin("user", "assistant", "system"))
-    status = F.when(F.col("duplicate_of").isNotNull(), "skipped_duplicate").when(F.size("blockers") > 0, "needs_review").when(F.col("repaired"), "repaired").when(F.col("quality").isin("partial", "truncated"), "needs_review").otherwise("clean")
-    return rows.withColumn("cleanup_status", status).withColumn("safe_for_reflection", F.size("blockers") == 0).drop("text_hash", "first_row")
+    supported = user_support(F.col("context")) & contains_any(blob, SUPPORT) if "context" in points.columns else F.lit(False)
+    rows = rows.withColumn("blockers", blockers).withColumn("kind", kind(F.col("role"), blob, F.col("domain"), supported)).withColumn("phase", phase(F.col("role"), F.col("domain"))).withColumn("evidence", evidence(F.col("source_quote"), F.col("text"), F.col("quality")))
+    for name, usable in scopes(F.col("role"), F.col("domain"), supported).items():
+        rows = rows.withColumn(name, usable)
+    vector = optional(points, "embedding", "array<double>")
+    long_field = F.greatest(*(F.char_length(F.coalesce(F.col(c), F.lit(""))) for c in ("source_quote_original", "text", "summary") if c in (*points.columns, "source_quote_original"))) > OVERSIZED
+    blank = lambda name: F.trim(F.coalesce(optional(points, name, "string"), F.lit(""))) == ""
+    # The labels of warnings.
+    warnings = F.array_sort(F.array_distinct(F.concat("quote_warnings", F.array_compact(F.array(
+        F.when(raw_role == "", F.lit("missing_speaker")).when(raw_role.isin("ai", "model", "bot"), F.lit("speaker_normalized_from_alias")).when((F.col("role") == "unknown") & (raw_role != "unknown"), F.lit("unknown_speaker")),
+        time_warning, F.when(blank("project"), F.lit("empty_project")), F.when(blank("source_title"), F.lit("missing_source_title")), F.when(blank("conversation_id"), F.lit("missing_conversation_id")),
+        phase_warning(F.col("role"), F.col("domain")), F.when(F.col("role") == "mixed", F.lit("source_separation_required")), F.when(long_field, F.lit("oversized_fields")),
+    )))))
+    hint = project_hint(F.col("source_title"))
+    unnamed = blank("project")
+    status = (
+        F.when(F.col("duplicate_of").isNotNull(), "skipped_duplicate").when(F.array_contains("blockers", "corrupted_json"), "failed").when(F.size("blockers") > 0, "needs_review")
+        .when(F.col("repaired"), "repaired").when(F.col("quality").isin("partial", "truncated"), "needs_review").otherwise("clean")
+    )
+    scope = F.element_at(F.create_map(*(F.lit(x) for pair in REFLECTION_SCOPES.items() for x in pair)), F.col("evidence"))
+    return (
+        rows.withColumn("cleanup_status", status).withColumn("safe_for_reflection", F.size("blockers") == 0).withColumn("warnings", warnings)
+        .withColumn("cleaned_id", uuid5(F.concat(F.lit("cleaned:"), "memory_id", F.lit(":"), "content_hash"))).withColumn("dedupe_key", F.concat("memory_id", F.lit(":"), F.substring("content_hash", 1, 16)))
+        .withColumn("duplicate_confidence", F.when(F.col("duplicate_of").isNotNull(), 0.99).otherwise(0.0)).withColumn("repair_method", F.when(F.col("repaired"), "whitespace_normalization").otherwise("none")).withColumn("repair_confidence", F.when(F.col("repaired"), 0.35).otherwise(0.0))
+        .withColumn("project_hint", F.when(unnamed, hint["hint"])).withColumn("project_confidence", F.when(unnamed, hint["confidence"]).otherwise(1.0)).withColumn("reflection_scope", scope)
+        .withColumn("vector_present", F.coalesce(F.size(vector) > 0, F.lit(False))).withColumn("vector_dimensions", F.when(vector.isNull(), 0).otherwise(F.size(vector)))
+        .drop("repeated")
+    )
 
 
 def summary(rows: DataFrame) -> DataFrame:
     """Counters of a cleanup in one pass."""
-    return rows.agg(F.count("*").alias("points"), F.count_if("safe_for_reflection").alias("safe"), F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates"), *(F.count_if(F.col("cleanup_status") == s).alias(s) for s in ("clean", "repaired", "needs_review")), *(F.count_if(F.col("quality") == q).alias(q) for q in ("malformed", "truncated", "partial")))
+    states = ("clean", "repaired", "needs_review", "failed", "skipped_duplicate")
+    return rows.agg(F.count("*").alias("points"), F.count_if("safe_for_reflection").alias("safe"), F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates"), *(F.count_if(F.col("cleanup_status") == s).alias(s) for s in states), *(F.count_if(F.col("quality") == q).alias(q) for q in ("malformed", "truncated", "partial")))
+
+
+def reviewed(rows: DataFrame, only_needs_review: bool = False) -> DataFrame:
+    """All cleaned rows, or those that someone has to look at (Q14)."""
+    return rows.where("cleanup_status = 'needs_review'") if only_needs_review else rows

@@ -1,4 +1,4 @@
-"""Evidence against hypotheses, sources and their lineage."""
+"""Evidence against hypotheses, sources and their lineage."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import RELATIONS, concepts, family_key, hedged, negated
+from ..functions.text import RELATIONS, concepts, contains_any, family_key, hedged, negated
+from .recall import bounded
 
 # Relevance, and what a piece of evidence moves.
 RELEVANCE, CONFIDENCE_SCALE, STRENGTH_SCALE, MATERIAL, DEFAULT_CONFIDENCE = 0.5, 0.06, 0.08, 0.01, 0.42
@@ -25,6 +26,10 @@ TIERS = {
 }
 
 
+#: Parts into which the members of a title are dealt.
+FAMILY_SALTS = 4
+
+
 def tier(source_type: Column, title: Column) -> Column:
     """The tier of a source; the order of the rules matters."""
     kind, name = F.lower(F.trim(F.coalesce(source_type, F.lit("")))), F.lower(F.trim(F.coalesce(title, F.lit(""))))
@@ -58,12 +63,12 @@ def provenance_profile(points: DataFrame, *group: str) -> DataFrame:
 def classified(evidence: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """``evidence_id, hypothesis_id, relevance, polarity`` of every pair.
 
-    The hypotheses are a stated set of a session, sent to each task; the concepts of either side are
+    The hypotheses are a stated set of at most 10,000, sent to each task; the concepts of either side are
     worked out once a row, before the pairs.
     """
     left = evidence.select("evidence_id", concepts(F.col("text")).alias("e_concepts"), negated(F.col("text")).alias("negated"), hedged(F.col("text")).alias("hedged"), (F.trim("text") == "").alias("blank"))
     right = hypotheses.select("hypothesis_id", concepts(F.col("statement")).alias("h_concepts"))
-    pairs = left.join(F.broadcast(right))
+    pairs = left.join(F.broadcast(bounded(right)))
     matched = F.array_intersect("h_concepts", "e_concepts")
     relevance = F.when(F.size("h_concepts") == 0, F.lit(0.0)).otherwise(F.size(matched) / F.size("h_concepts"))
     relation = F.arrays_overlap(matched, F.array(*map(F.lit, RELATIONS)))
@@ -72,18 +77,153 @@ def classified(evidence: DataFrame, hypotheses: DataFrame) -> DataFrame:
     return pairs.select("evidence_id", "hypothesis_id", F.round(relevance, 6).alias("relevance"), polarity.alias("polarity"))
 
 
+def seeded(hypotheses: DataFrame) -> DataFrame:
+    """Hypotheses ``(session_id, hypothesis_id, statement, confidence, strength, rank, status, pos)`` ready for evidence.
+
+    Blank ids, statements and ranks follow the place in the list; a confidence that is not set is
+    the default, here and never later; ranks are numbered anew by rank and id. A session has few hypotheses.
+    """
+    text = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    named = hypotheses.withColumn("hypothesis_id", F.coalesce(text("hypothesis_id"), F.concat(F.lit("H"), F.col("pos").cast("string")))).withColumn("given", F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.col("pos")))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("given", "hypothesis_id")).cast("long")
+    return named.select("session_id", "hypothesis_id", F.coalesce(text("statement"), "hypothesis_id").alias("statement"), F.when(F.coalesce("confidence", F.lit(0.0)) <= 0, DEFAULT_CONFIDENCE).otherwise(unit(F.col("confidence"))).alias("confidence"), unit(F.coalesce("strength", F.lit(0.0))).alias("strength"), place.alias("rank"), F.coalesce(text("status"), F.lit("active")).alias("status"))
+
+
+def unit(c: Column) -> Column:
+    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+
+
+KINDS = ("support", "counter", "ambiguous")
+
+
+def scoring_reason(support: Column, counter: Column, ambiguous: Column, support_weight: Column, counter_weight: Column) -> Column:
+    """What the counts of new evidence say, in words."""
+    # The wording.
+    return (
+        F.when((support == 0) & (counter == 0) & (ambiguous == 0), "no new discriminating evidence")
+        .when((support == 0) & (counter == 0), "ambiguous evidence, polarity unresolved")
+        .when((support > 0) & (counter == 0), F.format_string("new supporting evidence (weight %.2f)", support_weight))
+        .when((support == 0) & (counter > 0), F.format_string("new counterevidence (weight %.2f)", counter_weight))
+        .otherwise(F.format_string("mixed evidence: support %.2f vs counter %.2f", support_weight, counter_weight))
+    )
+
+
 def updated(hypotheses: DataFrame, weighed: DataFrame) -> DataFrame:
-    """Confidence, strength and rank after new evidence ``(hypothesis_id, polarity, weight)``."""
-    sums = weighed.groupBy("hypothesis_id").agg(*(F.coalesce(F.sum(F.when(F.col("polarity") == p, F.col("weight"))), F.lit(0.0)).alias(p) for p in ("support", "counter")))
-    met = hypotheses.join(sums, "hypothesis_id", "left").na.fill(0.0, ["support", "counter"])
-    net = F.col("support") - F.col("counter")
-    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    start = F.when(F.col("confidence") <= 0, F.lit(DEFAULT_CONFIDENCE)).otherwise(F.col("confidence"))
-    new = met.withColumn("new_confidence", F.round(unit(start + CONFIDENCE_SCALE * net), 6)).withColumn("new_strength", F.round(unit(F.col("strength") + STRENGTH_SCALE * net), 6))
+    """Confidence, strength, status, ids, reason and rank after ``weighed(hypothesis_id, evidence_id, polarity, weight)``.
+
+    ``hypotheses`` has ``session_id, hypothesis_id, confidence, strength, rank, status`` and the ids seen so far, ``support_ids,
+    counter_ids, ambiguous_ids``. Evidence that a hypothesis has seen under the same polarity, and evidence
+    without an id, does not count again. Ranks are within a session, whose hypotheses are few.
+    """
+    seen = hypotheses.select("hypothesis_id", *(F.coalesce(f"{k}_ids", F.array().cast("array<string>")).alias(f"{k}_ids") for k in KINDS))
+    known = reduce(Column.__or__, ((F.col("polarity") == k) & F.array_contains(f"{k}_ids", F.col("evidence_id").cast("string")) for k in KINDS))
+    fresh = weighed.where(F.col("polarity").isin(*KINDS) & (F.trim(F.coalesce(F.col("evidence_id").cast("string"), F.lit(""))) != "")).join(seen, "hypothesis_id").where(~known)
+    of = lambda k, value: F.when(F.col("polarity") == k, value)
+    sums = fresh.groupBy("hypothesis_id").agg(
+        *(F.sum(of(k, F.col("weight"))).alias(f"{k}_weight") for k in KINDS), *(F.count(of(k, F.lit(1))).alias(f"n_{k}") for k in KINDS),
+        *(F.array_sort(F.collect_set(of(k, F.trim(F.col("evidence_id").cast("string"))))).alias(f"new_{k}") for k in KINDS),
+    )
+    none = F.array().cast("array<string>")
+    met = hypotheses.join(sums, "hypothesis_id", "left").na.fill(0.0, [f"{k}_weight" for k in KINDS]).na.fill(0, [f"n_{k}" for k in KINDS])
+    net = F.col("support_weight") - F.col("counter_weight")
+    new = met.withColumn("new_confidence", F.round(unit(F.col("confidence") + CONFIDENCE_SCALE * net), 6)).withColumn("new_strength", F.round(unit(F.col("strength") + STRENGTH_SCALE * net), 6))
+    state = F.when(F.trim(F.coalesce("status", F.lit(""))) == "", "active").otherwise(F.col("status"))
+    had_counter = F.size(F.coalesce("counter_ids", none)) > 0
+    new = new.withColumn("status", F.when(F.col("n_counter") > 0, "contested").when((state == "contested") & ~had_counter, "active").otherwise(state))
+    for k in KINDS:
+        new = new.withColumn(f"{k}_ids", F.array_distinct(F.concat(F.coalesce(f"{k}_ids", none), F.coalesce(f"new_{k}", none))))
+    new = new.withColumn("reason", scoring_reason(F.col("n_support"), F.col("n_counter"), F.col("n_ambiguous"), F.col("support_weight"), F.col("counter_weight")))
     score = F.round(F.col("new_confidence") + 0.1 * F.col("new_strength"), 6)
-    # Hypotheses of a session are few, so one window ranks them.
-    new = new.withColumn("new_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(score.desc(), "hypothesis_id")).cast("long"))
-    return new.withColumn("rank_delta", F.col("rank") - F.col("new_rank"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy(score.desc(), "hypothesis_id")).cast("long")
+    return new.withColumn("new_rank", place).withColumn("rank_delta", F.col("new_rank") - F.col("rank")).withColumn("confidence_delta", F.round(F.col("new_confidence") - F.col("confidence"), 6)).drop(*(f"new_{k}" for k in KINDS))
+
+
+# What is unresolved, tiers of weak provenance, and words that ask for an order in time.
+WEAK_TIERS = ("DERIVED_SUMMARY", "AUDIO_OVERVIEW", "PRESENTATION_SUMMARY", "AI_SYNTHESIS")
+CHRONOLOGY = ("earliest", "first", "chronolog", "timestamp", "sequence", "draft", "lineage", "before", "after")
+
+
+def reclassified(current: Column, n_evidence: Column, provenance: Column, top_tier: Column, contradiction: Column, question: Column) -> Column:
+    """``struct<uncertainty, reason>``: the first signal that applies and is not what is assumed already; nulls for none."""
+    weak = ((provenance > 0) & (provenance < 0.6)) | top_tier.isin(*WEAK_TIERS)
+    asks = contains_any(F.lower(F.trim(question)), CHRONOLOGY)
+    now = F.coalesce(F.nullif(F.trim(current), F.lit("")), F.lit("EVIDENCE_GAP"))
+    signals = (
+        ("CONTRADICTION", "retrieved evidence contains contradiction signals", contradiction),
+        ("RETRIEVAL_LIMIT", "strategy returned no retrieval coverage for the unresolved claim", n_evidence == 0),
+        ("PROVENANCE_GAP", "retrieved evidence depends on derived or weak provenance", weak),
+        ("CHRONOLOGY_GAP", "chronology remains ambiguous despite available provenance", asks & ~weak),
+        ("SOURCE_QUALITY", "retrieved source quality is unverifiable", top_tier == "UNKNOWN"),
+        ("GENERIC_SIMILARITY", "retrieved evidence resembles generic surface similarity rather than discriminating detail", ~contradiction & (n_evidence > 0) & ~weak),
+    )
+    found = F.struct(F.lit(None).cast("string").alias("uncertainty"), F.lit(None).cast("string").alias("reason"))
+    for name, reason, applies in reversed(signals):
+        found = F.when(applies & (now != name), F.struct(F.lit(name).alias("uncertainty"), F.lit(reason).alias("reason"))).otherwise(found)
+    return found
+
+
+def highest_uncertainty(frozen: Column, reclassified_to: Column, low_gains: Column, blockers: Column, question: Column, searches: Column) -> Column:
+    """What a session should resolve next, by ordered rules over its state."""
+    q = F.lower(F.trim(question))
+    set_again = F.trim(F.coalesce(reclassified_to, F.lit("")))
+    return (
+        F.when(frozen, "DIMINISHING_RETURNS").when((set_again != "") & (set_again != "DIMINISHING_RETURNS"), set_again).when(low_gains >= 1, "DIMINISHING_RETURNS")
+        .when(F.size(blockers) > 0, F.get(blockers, F.lit(0))).when(contains_any(q, ("earliest", "first explicit", "draft", "lineage", "chronolog")), "CHRONOLOGY_GAP")
+        .when(contains_any(q, ("provenance", "transcript", "citation")), "PROVENANCE_GAP").when(searches == 0, "EVIDENCE_GAP").otherwise("AMBIGUOUS_CLASSIFICATION")
+    )
+
+
+def most_discriminating(questions: DataFrame) -> DataFrame:
+    """The best of ``(session_id, pos, question, wanted, current)``, by an additive score; the first of equal ones."""
+    q, text = F.trim("question"), F.lower(F.trim("question"))
+    score = F.lit(1) + 5 * ((F.trim(F.coalesce("wanted", F.lit(""))) != "") & (q == F.trim(F.coalesce("wanted", F.lit(""))))).cast("int") + 2 * contains_any(text, ("first", "earliest", "upstream")).cast("int") + 2 * contains_any(text, ("falsif", "counter")).cast("int") + (q != F.coalesce("current", F.lit(""))).cast("int")
+    best = questions.where(q != "").withColumn("score", score).groupBy("session_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", q.alias("question"))).alias("b"))
+    return best.select("session_id", F.col("b.question").alias("question"), (-F.col("b.s")).alias("score"))
+
+
+def envelope(fields: dict[str, Column]) -> Column:
+    """``struct<fields, body>``: the names of what is not blank, and its text joined by spaces (E5)."""
+    given = F.filter(F.array(*(F.struct(F.lit(name).alias("name"), F.trim(F.coalesce(c, F.lit(""))).alias("value")) for name, c in fields.items())), lambda f: f["value"] != "")
+    return F.struct(F.transform(given, lambda f: f["name"]).alias("fields"), F.array_join(F.transform(given, lambda f: f["value"]), " ").alias("body"))
+
+
+def document_chunks(chunks: DataFrame, document: str, ids: tuple[str, ...], order: tuple[str, ...], limit: int = 20) -> DataFrame:
+    """Chunks that any of the id columns ascribes to a document, in order."""
+    if not document.strip():
+        raise ValueError("a document id is required")
+    named = reduce(Column.__or__, (F.col(c) == document.strip() for c in ids))
+    return chunks.where(named).orderBy(*order).limit(max(1, min(limit if limit > 0 else 20, 200)))
+
+
+def source_ledger(ledger: DataFrame, entry: DataFrame) -> DataFrame:
+    """Searches of each session, the new one last, and the ordered union of their sources."""
+    both = ledger.unionByName(entry)
+    merged = both.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "query", "sources"))).alias("e"))
+    return merged.select("session_id", F.size("e").cast("long").alias("searches"), F.array_distinct(F.filter(F.flatten("e.sources"), lambda s: F.trim(s) != "")).alias("sources"))
+
+
+def best_anchors(anchored: DataFrame) -> DataFrame:
+    """The node of each ``anchor`` that says most about its place in time and descent; the first of equal ones by ``memory_id``."""
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    score = 2 * (F.coalesce("chunk_index", F.lit(0)) > 0).cast("int") + 2 * (F.coalesce("turn_index", F.lit(0)) > 0).cast("int") + 3 * F.col("original_ts").isNotNull().cast("int") + 2 * filled("parent_id").cast("int") + (F.size("cites") > 0).cast("int") + (F.size("derived_from") > 0).cast("int")
+    best = anchored.withColumn("score", score).groupBy("anchor").agg(F.min(F.struct((-F.col("score")).alias("s"), "memory_id")).alias("b"))
+    return best.select("anchor", "b.memory_id", (-F.col("b.s")).cast("long").alias("score"))
+
+
+def anchor_matches(nodes_of: DataFrame, anchors: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    """Nodes that any of their ids, whatever its case, makes the ``anchor`` asked for."""
+    keys = F.array_distinct(F.array_compact(F.array(*(F.nullif(F.lower(F.trim(F.col(c))), F.lit("")) for c in ids))))
+    asked = anchors.select("anchor", F.lower(F.trim("anchor")).alias("key")).where("key <> ''")
+    return nodes_of.select("*", F.explode(keys).alias("key")).join(asked, "key").drop("key")
+
+
+def weaknesses(original: Column, ingested: Column, source_type: Column, family: Column) -> Column:
+    """What a trace lacks, as texts."""
+    # The wording.
+    return F.array_compact(F.array(
+        F.when(~original & ingested, F.lit("only ingestion timestamps were available; intellectual chronology not inferred from ingestion order")).when(~original, F.lit("no original chronology metadata (chunk/turn/segment/original timestamp) found")),
+        F.when(F.trim(F.coalesce(source_type, F.lit(""))) == "", F.lit("source_type missing on anchor")), F.when(F.coalesce(family, F.lit("")) == "", F.lit("source family key missing on anchor")),
+    ))
 
 
 def information_gain(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -126,23 +266,40 @@ def nodes(points: DataFrame) -> DataFrame:
 
 
 def lineage(points: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``from_id, to_id, relation, confidence``: edges of the anchors by derivation, citation, family and order."""
+    """``from_id, to_id, relation, confidence``: edges of the anchors by derivation, citation, family and order.
+
+    What links two points is written as a key on either side, a relation and a value; one equality join over all
+    keys finds the edges. A title that very many points share is met by salted keys of the anchors.
+    """
     every = nodes(points)
-    a = every.join(anchors.select("memory_id"), "memory_id", "left_semi").select(*(F.col(c).alias(f"a_{c}") for c in every.columns))
-    edges = [
-        every.join(a, F.col("memory_id") == F.col("a_parent_id")).select(F.col("a_memory_id").alias("from_id"), F.col("memory_id").alias("to_id"), F.lit("derived_from").alias("relation"), F.lit(0.92).alias("confidence")),
-        every.join(a, F.col("parent_id") == F.col("a_memory_id")).select(F.col("memory_id").alias("from_id"), F.col("a_memory_id").alias("to_id"), F.lit("derived_from").alias("relation"), F.lit(0.90).alias("confidence")),
-        every.join(a.select("a_memory_id", F.explode("a_cites").alias("c")), F.col("memory_id") == F.col("c")).select(F.col("a_memory_id").alias("from_id"), F.col("memory_id").alias("to_id"), F.lit("cites").alias("relation"), F.lit(0.88).alias("confidence")),
-        every.select("memory_id", F.explode("cites").alias("c")).join(a, F.col("c") == F.col("a_memory_id")).select(F.col("memory_id").alias("from_id"), F.col("a_memory_id").alias("to_id"), F.lit("cites").alias("relation"), F.lit(0.88).alias("confidence")),
-    ]
-    family = every.join(a, (F.col("family") == F.col("a_family")) & (F.col("family") != "") & (F.col("memory_id") != F.col("a_memory_id")))
-    edges.append(family.select(F.col("a_memory_id").alias("from_id"), F.col("memory_id").alias("to_id"), F.lit("same_family").alias("relation"), F.when(F.col("source_type") == F.col("a_source_type"), 0.66).otherwise(0.58).alias("confidence")))
-    across = family.where("document <> a_document and ts is not null and a_ts is not null and ts <> a_ts")
-    edges.append(across.select(F.when(F.col("ts") < F.col("a_ts"), F.col("memory_id")).otherwise(F.col("a_memory_id")).alias("from_id"), F.when(F.col("ts") < F.col("a_ts"), F.col("a_memory_id")).otherwise(F.col("memory_id")).alias("to_id"), F.lit("precedes").alias("relation"), F.lit(0.69).alias("confidence")))
-    inside = every.join(a, (F.col("document") == F.col("a_document")) & (F.col("chunk_index") == F.col("a_chunk_index") + 1))
-    edges.append(inside.select(F.col("a_memory_id").alias("from_id"), F.col("memory_id").alias("to_id"), F.lit("next_in_source").alias("relation"), F.lit(0.82).alias("confidence")))
-    union = reduce(DataFrame.unionByName, edges)
-    return union.groupBy("from_id", "to_id", "relation").agg(F.max("confidence").alias("confidence"))
+    a = every.join(anchors.select("memory_id"), "memory_id", "left_semi")
+    text = lambda c: F.col(c).cast("string")
+    own, parent = F.col("memory_id"), F.col("parent_id")
+    salt = F.pmod(F.xxhash64("memory_id"), F.lit(FAMILY_SALTS))
+    salts = F.sequence(F.lit(0), F.lit(FAMILY_SALTS - 1))
+    place = lambda shift: F.concat(text("document"), F.lit("#"), (F.col("chunk_index") + shift).cast("string"))
+    key = lambda relation, value: F.struct(F.lit(relation).alias("link"), value.alias("value"))
+    listed = lambda relation, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: key(relation, v))
+    one = lambda relation, value: F.array(key(relation, value))
+    of_anchor = F.concat(one("parent", parent), one("child", own), listed("cites", F.col("cites")), one("cited", own), F.when(F.col("family") != "", F.transform(salts, lambda n: key("family", F.concat_ws("#", n.cast("string"), F.col("family"))))).otherwise(F.array().cast("array<struct<link: string, value: string>>")), one("next", place(1)))
+    of_node = F.concat(one("parent", own), one("child", parent), one("cites", own), listed("cited", F.col("cites")), F.when(F.col("family") != "", one("family", F.concat_ws("#", salt.cast("string"), F.col("family")))).otherwise(F.array().cast("array<struct<link: string, value: string>>")), one("next", place(0)))
+    left = a.select("memory_id", "document", "source_type", "ts", F.explode(of_anchor).alias("k")).select(*(F.col(c).alias(f"a_{c}") for c in ("memory_id", "document", "source_type", "ts")), "k.link", "k.value").where("value is not null")
+    right = every.select("memory_id", "document", "source_type", "ts", F.explode(of_node).alias("k")).select("memory_id", "document", "source_type", "ts", "k.link", "k.value").where("value is not null")
+    met = right.join(left, ["link", "value"])
+    edge = lambda source, target, relation, confidence: F.struct(text(source).alias("from_id"), text(target).alias("to_id"), F.lit(relation).alias("relation"), confidence.cast("double").alias("confidence"))
+    after = (F.col("link") == "family") & (F.col("document") != F.col("a_document")) & (F.col("ts") != F.col("a_ts"))
+    family = edge("a_memory_id", "memory_id", "same_family", F.when(F.col("source_type") == F.col("a_source_type"), 0.66).otherwise(0.58))
+    edges = F.array_compact(F.array(
+        F.when(F.col("link") == "parent", edge("a_memory_id", "memory_id", "derived_from", F.lit(0.92))),
+        F.when(F.col("link") == "child", edge("memory_id", "a_memory_id", "derived_from", F.lit(0.90))),
+        F.when(F.col("link") == "cites", edge("a_memory_id", "memory_id", "cites", F.lit(0.88))),
+        F.when(F.col("link") == "cited", edge("memory_id", "a_memory_id", "cites", F.lit(0.88))),
+        F.when((F.col("link") == "family") & (F.col("memory_id") != F.col("a_memory_id")), family),
+        F.when(after & (F.col("ts") < F.col("a_ts")), edge("memory_id", "a_memory_id", "precedes", F.lit(0.69))),
+        F.when(after & (F.col("ts") > F.col("a_ts")), edge("a_memory_id", "memory_id", "precedes", F.lit(0.69))),
+        F.when(F.col("link") == "next", edge("a_memory_id", "memory_id", "next_in_source", F.lit(0.82))),
+    ))
+    return met.select(F.explode(edges).alias("e")).groupBy("e.from_id", "e.to_id", "e.relation").agg(F.max("e.confidence").alias("confidence"))
 
 
 def trace_confidence(edges: DataFrame, tier_weight: float, weaknesses: int) -> DataFrame:

@@ -39,12 +39,16 @@ def turn_windows(turns: DataFrame, window: int, overlap: int) -> DataFrame:
     return grouped.select("conversation_id", (F.col("w") * step).cast("long").alias("start_turn"), F.size("rows").cast("long").alias("n_turns"), F.array_join(F.array_distinct("rows.speaker"), ",").alias("speakers"), F.array_join(F.transform("rows", lambda r: F.concat(r["speaker"], F.lit(": "), r["text"])), "\n\n").alias("text"))
 
 
-def to_points(messages: DataFrame, size: int = 900, overlap: int = 150, least: int = 120) -> DataFrame:
+def to_points(messages: DataFrame, size: int | None = 900, overlap: int = 150, least: int = 120) -> DataFrame:
     """Chunks with identities, summaries and quotes.
 
-    ``messages`` has ``conversation_id, message_id, record_index, speaker, text, source_type, project``.
+    ``messages`` has ``conversation_id, message_id, record_index, speaker, text, source_type, project``. With no ``size``, each message that
+    says something is one point, and no row leaves the JVM.
     """
-    pieces = chunked(messages, "text", size, overlap, least)
+    if size is None:
+        pieces = messages.withColumn("text", trimmed(F.col("text"))).where("text <> ''").withColumn("chunk", F.lit(0))
+    else:
+        pieces = chunked(messages, "text", size, overlap, least)
     key = memory_id(F.col("conversation_id"), F.col("message_id"), F.col("record_index"), F.col("chunk"))
     return pieces.withColumn("memory_id", key).withColumn("point_id", point_id(key)).withColumn("summary", clamp_body(F.col("text"), 220)).withColumn("source_quote", clamp_body(F.col("text"), 180)).withColumn("project", first_present(F.col("project"), F.lit("general")))
 
@@ -97,21 +101,38 @@ def backfill(points: DataFrame, column: str, value: str) -> DataFrame:
     return points.withColumn(column, F.when(F.trim(F.coalesce(F.col(column), F.lit(""))) == "", F.lit(value)).otherwise(F.col(column)))
 
 
-def archive_matches(chunks: DataFrame, archive: DataFrame, length: int = 100) -> DataFrame:
-    """``(memory_id, message_id, basis)``: stored chunks found again in an export.
+# Code points of a key, the step at which long messages were cut, and the shortest text that is looked for inside others.
+KEY_CHARS, SLICE_CHARS, LEAST_INSIDE = 100, 1400, 40
 
-    Equal normalised texts first, then an equal prefix; both are equality joins on digests inside a conversation.
-    """
 
-    def keyed(df: DataFrame) -> DataFrame:
-        text = F.btrim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " "))
-        return df.withColumn("full_key", F.sha2(text, 256)).withColumn("prefix_key", F.when(F.char_length(text) >= length, F.sha2(F.substring(text, 1, length), 256)))
+def archive_matches(chunks: DataFrame, archive: DataFrame) -> DataFrame:
+    """``(memory_id, message_id, basis)``: stored chunks found again in an export.
 
-    left, right = keyed(chunks), keyed(archive)
-    full = right.groupBy("conversation_id", "full_key").agg(F.min("message_id").alias("by_text"))
-    prefix = right.where("prefix_key is not null").groupBy("conversation_id", "prefix_key").agg(F.min("message_id").alias("by_prefix"))
-    met = left.join(full, ["conversation_id", "full_key"], "left").join(prefix, ["conversation_id", "prefix_key"], "left")
-    return met.select("memory_id", F.coalesce("by_text", "by_prefix").alias("message_id"), F.when(F.col("by_text").isNotNull(), "text").when(F.col("by_prefix").isNotNull(), "prefix").alias("basis"))
+    ``chunks(conversation_id, memory_id, text)``, ``archive(conversation_id, message_id, pos, text)``. In turn: an equal text, an equal beginning, the
+    beginning of a slice of a long message, a short message that the chunk begins with, a message that contains the chunk; of several messages
+    the first. Every step is an equality join of digests inside a conversation; only what is left over goes on to the last two.
+    """
+    norm = lambda df: df.withColumn("n", F.btrim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " "))).where("n <> ''")
+    left, right = norm(chunks).select("conversation_id", "memory_id", "n"), norm(archive).select("conversation_id", "message_id", "pos", "n")
+    starts = F.sequence(F.lit(0), F.char_length("n") - 1, F.lit(SLICE_CHARS))
+    slices = F.when(F.char_length("n") > SLICE_CHARS, F.transform(starts, lambda at: F.struct(F.lit(2).alias("step"), F.substring("n", at + 1, F.lit(KEY_CHARS)).alias("key")))).otherwise(F.array().cast("array<struct<step: int, key: string>>"))
+    keys = F.concat(F.array(F.struct(F.lit(0).alias("step"), F.col("n").alias("key")), F.struct(F.lit(1).alias("step"), F.substring("n", 1, KEY_CHARS).alias("key"))), slices)
+    listed = right.select("conversation_id", "message_id", "pos", F.explode(keys).alias("k")).select("conversation_id", "k.step", F.char_length("k.key").alias("chars"), F.sha2("k.key", 256).alias("key"), F.struct("pos", "message_id").alias("m"))
+    index = listed.groupBy("conversation_id", "step", "chars", "key").agg(F.min("m").alias("m"))
+    asked = F.array(F.struct(F.lit(0).alias("step"), F.sha2("n", 256).alias("key")), *(F.struct(F.lit(step).alias("step"), F.sha2(F.substring("n", 1, KEY_CHARS), 256).alias("key")) for step in (1, 2)))
+    exact = left.select("conversation_id", "memory_id", F.explode(asked).alias("k")).select("conversation_id", "memory_id", "k.step", "k.key").join(index.drop("chars"), ["conversation_id", "step", "key"]).select("memory_id", "step", "m")
+    rest = left.join(exact, "memory_id", "left_anti")
+    short = index.where(f"step > 0 and chars < {KEY_CHARS}").select("conversation_id", "key", "m", "step")
+    lengths = F.sequence(F.lit(1), F.least(F.char_length("n"), F.lit(KEY_CHARS - 1)))
+    begins = rest.select("conversation_id", "memory_id", F.explode(F.transform(lengths, lambda k: F.sha2(F.substring("n", F.lit(1), k), 256))).alias("key")).join(short, ["conversation_id", "key"]).select("memory_id", F.lit(3).alias("step"), "m")
+    inside = rest.join(begins, "memory_id", "left_anti").where(F.char_length("n") >= LEAST_INSIDE).withColumn("gram", F.sha2(F.substring("n", 1, LEAST_INSIDE), 256)).withColumnRenamed("n", "chunk")
+    bodies = right.join(inside.select("conversation_id").distinct(), "conversation_id", "left_semi").where(F.char_length("n") >= LEAST_INSIDE)
+    grams = bodies.select("conversation_id", "message_id", "pos", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("n") - LEAST_INSIDE + 1), lambda at: F.sha2(F.substring("n", at, F.lit(LEAST_INSIDE)), 256)))).alias("gram"))
+    met = inside.join(grams, ["conversation_id", "gram"]).join(right.select("message_id", "conversation_id", "n"), ["conversation_id", "message_id"]).where(F.col("n").contains(F.col("chunk")))
+    held = met.select("memory_id", F.lit(4).alias("step"), F.struct("pos", "message_id").alias("m"))
+    best = exact.unionByName(begins).unionByName(held).groupBy("memory_id").agg(F.min(F.struct("step", "m")).alias("b"))
+    basis = F.get(F.array(*map(F.lit, ("text", "prefix", "slice", "begins", "contains"))), F.col("b.step"))
+    return chunks.select("memory_id").join(best, "memory_id", "left").select("memory_id", F.col("b.m.message_id").alias("message_id"), basis.alias("basis"))
 
 
 def rekeyed(points: DataFrame, mapping: DataFrame) -> DataFrame:

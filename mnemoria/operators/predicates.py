@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +69,35 @@ def visible(points: DataFrame, filters: SearchFilters = SearchFilters(), include
     return found if include_rejected else found.where(~F.coalesce("status", F.lit("")).isin(*HIDDEN))
 
 
+def suppressed(results: DataFrame, quotes: bool = True, texts: bool = True) -> DataFrame:
+    """Results without their quotes or texts where these are not to be shown."""
+    hide = [name for name, shown in (("source_quote", quotes), ("text", texts)) if not shown]
+    return results.withColumns({name: F.lit("") for name in hide}) if hide else results
+
+
+def equal_fields(equal: dict[str, str], ranges: dict[str, tuple[object, object]] | None = None) -> Column | None:
+    """All the fields of a map at once, blank ones left out, and ranges with open ends."""
+    parts = [F.col(name) == value.strip() for name, value in equal.items() if value and value.strip()]
+    for name, (low, high) in (ranges or {}).items():
+        parts += [F.col(name) >= F.lit(low)] if low is not None else []
+        parts += [F.col(name) <= F.lit(high)] if high is not None else []
+    return reduce(Column.__and__, parts) if parts else None
+
+
+def thoughts_where(thoughts: DataFrame, hypothesis: str = "", status: str = "", **equal: str) -> DataFrame:
+    """Thoughts that agree with the fields given; a hypothesis is any of their targets, whatever its case."""
+    predicate = equal_fields(equal)
+    found = thoughts if predicate is None else thoughts.where(predicate)
+    if hypothesis.strip():
+        found = found.where(F.exists("targets", lambda t: F.lower(F.trim(t)) == hypothesis.strip().lower()))
+    if status.strip():
+        found = found.where(F.lower(F.trim("status")) == status.strip().lower())
+    return found
+
+
 def without_sources(points: DataFrame, sources: tuple[str, ...]) -> DataFrame:
     """Drops rows that any of the given names refers to (F16)."""
-    names = F.array(*(F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("conversation_id", "source_title", "memory_id")))
+    # The names a source goes by.
+    known = [c for c in ("fingerprint", "conversation_id", "path", "filename", "source_title", "memory_id") if c in points.columns]
+    names = F.array(*(F.lower(F.coalesce(F.col(c), F.lit(""))) for c in known))
     return points.where(~F.arrays_overlap(names, F.array(*(F.lit(s.lower()) for s in sources)))) if sources else points

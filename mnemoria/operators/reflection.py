@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from uuid import NAMESPACE_URL, uuid5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import uuid5
+
 REFLECTION = "phase string, depth string, confidence double, themes array<string>, questions array<string>, echoes array<string>, contradiction boolean"
 # How deep a reflection is.
 DEPTHS = {"shallow": 0, "moderate": 1, "deep": 2, "profound": 3}
@@ -21,11 +22,12 @@ def pending(cleaned: DataFrame, reflected: DataFrame, needs_review: bool = False
 
 
 def worker_slot(workers: int) -> Callable[[Column], Column]:
-    """The shard of an id, the same on any machine."""
+    """The shard of an id, the same on any machine: its name-based UUID as a number, modulo ``workers``."""
 
-    @F.pandas_udf("int")
-    def slot(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: uuid5(NAMESPACE_URL, x).int % workers)
+    def slot(key: Column) -> Column:
+        digits = F.replace(uuid5(key), F.lit("-"), F.lit(""))
+        high, low = (F.conv(F.substring(digits, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17))
+        return ((high % workers * (2**64 % workers) + low % workers) % workers).cast("int")
 
     return slot
 
@@ -53,3 +55,26 @@ def decision(confidence: Column, depth: Column, themes: Column, questions: Colum
 def by_phase_and_depth(reflections: DataFrame) -> DataFrame:
     """Counts and mean confidence."""
     return reflections.groupBy("phase", "depth").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+def reflections_where(reflections: DataFrame, phase: str = "", depth: str = "", speaker: str = "", contradiction: bool = False) -> DataFrame:
+    """Reflections that agree with the fields given, the surest first."""
+    found = reflections
+    for name, value in (("phase", phase), ("depth", depth), ("speaker", speaker)):
+        if value:
+            found = found.where(F.col(name) == value)
+    return (found.where("contradiction") if contradiction else found).orderBy(F.desc("confidence"), "memory_id")
+
+
+def run_counters(cleaned: DataFrame, reflected: DataFrame, told: DataFrame) -> DataFrame:
+    """One row on a run: safe points, those reflected before, those told now, and how they turned out."""
+    before = cleaned.where("safe_for_reflection").select("memory_id").join(reflected.select("memory_id", F.lit(True).alias("done")).distinct(), "memory_id", "left").agg(F.count("*").alias("safe"), F.count("done").alias("reflected_before"))
+    now = told.agg(F.count("*").alias("told"), *(F.count_if(F.col("decision") == d).alias(d) for d in ("contradiction", "interesting", "skip")))
+    return before.join(now)
+
+
+def section_summary(hits: DataFrame) -> DataFrame:
+    """Per section: the most frequent phase, mean score and confidence, and the whole percentage of the user's own words."""
+    phases = hits.groupBy("section", F.coalesce("phase", F.lit("unknown")).alias("phase")).agg(F.count("*").alias("n")).groupBy("section").agg(F.min(F.struct((-F.col("n")).alias("n"), "phase")).alias("p"))
+    means = hits.groupBy("section").agg(F.count("*").alias("hits"), F.round(F.avg(F.coalesce("score", F.lit(0.0))), 6).alias("mean_score"), F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 6).alias("mean_confidence"), F.floor(100 * F.count_if(F.col("speaker") == "user") / F.count("*")).cast("long").alias("user_percent"))
+    return means.join(phases, "section").select("section", "hits", F.col("p.phase").alias("top_phase"), "mean_score", "mean_confidence", "user_percent")

@@ -40,8 +40,8 @@ def r03_lexical_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r06_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = points(spark, sf_dir).withColumn("score", F.lit(1.0))
-    found = recall.collapse(ranked, recall.by_score()).where("duplicate_count > 0")
+    """Every text of a conversation once, with the ids of its copies."""
+    found = recall.collapse(points(spark, sf_dir).withColumn("score", F.lit(1.0)))
     return found.select("conversation_id", "memory_id", "duplicate_count", F.array_join("duplicate_ids", ",").alias("duplicate_ids"))
 
 
@@ -52,7 +52,7 @@ def r07_conversation_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r08_context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = recall.context_pack(searched(spark, sf_dir), 6000, recall.by_score(), "source_quote", "text", "source_title", "conversation_id", "project", "speaker", "source_type")
-    return packed.select("pos", "memory_id", "cost")
+    return packed.select("pos", "memory_id", "cost", "used", "dropped")
 
 
 def r13_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,16 +173,16 @@ SELECT memory_id, round(lexical_score, 6) AS lexical_score, round(score, 6) AS s
 SELECT memory_id, round(lexical_score, 6) AS lexical_score, round(fused, 6) AS fused FROM (SELECT * FROM fused ORDER BY fused DESC, ts DESC, memory_id LIMIT 10)""",
     "r06_collapse": f"""WITH {POINTS_SQL}, keyed AS (
   SELECT *, trim(regexp_replace(lower(CASE WHEN trim(text) <> '' THEN trim(text) ELSE trim(source_quote) END), '\\s+', ' ', 'g')) AS k FROM points), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY conversation_id, k ORDER BY ts DESC, memory_id) AS place FROM keyed WHERE k <> '')
-SELECT conversation_id, max(memory_id) FILTER (place = 1) AS memory_id, count(*) - 1 AS duplicate_count, string_agg(memory_id, ',' ORDER BY place) FILTER (place > 1) AS duplicate_ids
-FROM ranked GROUP BY conversation_id, k HAVING count(*) > 1""",
+  SELECT *, row_number() OVER (PARTITION BY conversation_id, k ORDER BY ts DESC, memory_id) AS place FROM (SELECT * REPLACE (CASE WHEN k = '' THEN memory_id ELSE k END AS k) FROM keyed))
+SELECT conversation_id, max(memory_id) FILTER (place = 1) AS memory_id, count(*) - 1 AS duplicate_count, coalesce(string_agg(memory_id, ',' ORDER BY place) FILTER (place > 1), '') AS duplicate_ids
+FROM ranked GROUP BY conversation_id, k""",
     "r07_conversation_cap": f"""WITH {POINTS_SQL}, scored AS (SELECT *, (doc_id * 7919 % 1000) / 1000::DOUBLE AS score FROM points)
 SELECT conversation_id, memory_id, score FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY score DESC, ts DESC, memory_id) AS n FROM scored) WHERE (n <= 3 OR conversation_id = '') AND score >= 0.5""",
     "r08_context_pack": f"""WITH RECURSIVE {SEARCHED_SQL}, costed AS (
   SELECT memory_id, row_number() OVER (ORDER BY score DESC, ts DESC, memory_id) AS pos, (strlen(source_quote) + strlen(text) + strlen(source_title) + strlen(conversation_id) + strlen(project) + strlen(speaker) + strlen(source_type))::BIGINT AS cost FROM searched), walk AS (
   SELECT 0::BIGINT AS pos, 0::BIGINT AS used, false AS kept
   UNION ALL SELECT c.pos, CASE WHEN w.used + c.cost <= 6000 THEN w.used + c.cost ELSE w.used END, w.used + c.cost <= 6000 FROM walk w JOIN costed c ON c.pos = w.pos + 1)
-SELECT c.pos, c.memory_id, c.cost FROM walk w JOIN costed c USING (pos) WHERE w.kept""",
+SELECT c.pos, c.memory_id, c.cost, (SELECT max(used) FROM walk)::BIGINT AS used, (SELECT count(*) FROM walk WHERE NOT kept AND pos > 0)::BIGINT AS dropped FROM walk w JOIN costed c USING (pos) WHERE w.kept""",
     "r13_keyword_search": f"""WITH {POINTS_SQL}, scored AS (SELECT memory_id, round(({' + '.join(f"contains(lower(text || ' ' || source_title || ' ' || project), '{w}')::INT" for w in QUERY.split())}) / {len(QUERY.split())}::DOUBLE, 9) AS score FROM points)
 SELECT memory_id, round(score, 6) AS score FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, memory_id LIMIT 25)""",
     "v03_multi_query": """WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 6), ranked AS (

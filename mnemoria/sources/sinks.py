@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # What a batch of a write may hold.
 BATCH_POINTS, BATCH_BYTES = 128, 24 * 1024 * 1024
@@ -25,12 +30,39 @@ def append_audit(changes: DataFrame, path: str, action: str, as_of: Column) -> N
 
 
 def batches(points: DataFrame, size: Column, most: int = BATCH_POINTS, most_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Adds ``batch``: rows of a partition in order, by count and bytes (K3). Partitions write on their own."""
-    from pyspark.sql import Window
-
-    part = F.spark_partition_id()
-    order = Window.partitionBy("part").orderBy("memory_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = points.withColumn("part", part).withColumn("bytes", size)
-    by_count = F.floor((F.row_number().over(Window.partitionBy("part").orderBy("memory_id")) - 1) / most)
-    by_bytes = F.floor((F.sum("bytes").over(order) - F.col("bytes")) / most_bytes)
-    return placed.withColumn("batch", F.concat_ws("-", "part", by_count, by_bytes)).drop("part", "bytes")
+    """Adds ``batch``, at most ``most`` rows and ``most_bytes`` each (K3). Rows stay in their partitions, in the order they have.
+
+    A batch depends on where the one before it ended, so a task counts through its rows: only sizes go
+    to Python. A row that is larger than a batch may be is an error.
+    """
+    own = points.select("*", size.cast("long").alias("_bytes"))
+
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, rows, filled = TaskContext.get().partitionId(), 0, 0, 0
+        for batch in parts:
+            names = []
+            for nbytes in batch.column(batch.num_columns - 1).to_pylist():
+                nbytes = nbytes or 0
+                if nbytes > most_bytes:
+                    raise ValueError(f"a point of {nbytes} bytes exceeds the {most_bytes} bytes of a batch")
+                if rows and (rows >= most or filled + nbytes > most_bytes):
+                    number, rows, filled = number + 1, 0, 0
+                rows, filled = rows + 1, filled + nbytes
+                names.append(f"{part}-{number}")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string())], names=[*batch.schema.names[:-1], "batch"])
+
+    return own.mapInArrow(deal, StructType([*points.schema.fields, StructField("batch", StringType())]))
+
+
+def write_cleaned(rows: DataFrame, path: str, part_by: str = "cleanup_status") -> None:
+    """Cleaned points as a table of their own, by status."""
+    rows.write.mode("overwrite").partitionBy(part_by).parquet(path)
+
+
+def reflected_points(points: DataFrame, reflections: DataFrame) -> DataFrame:
+    """Points with the four flags of their reflection; others stay as they are."""
+    flags = {"reflected": "boolean", "reflection_phase": "string", "reflection_depth": "string", "reflection_confidence": "double"}
+    new = reflections.select("memory_id", F.lit(True).alias("new_reflected"), F.col("phase").alias("new_reflection_phase"), F.col("depth").alias("new_reflection_depth"), F.col("confidence").cast("double").alias("new_reflection_confidence"))
+    met = points.join(new, "memory_id", "left")
+    old = {name: F.col(name) if name in points.columns else F.lit(None).cast(kind) for name, kind in flags.items()}
+    return met.select(*(c for c in points.columns if c not in flags), *(F.coalesce(f"new_{name}", column).alias(name) for name, column in old.items()))

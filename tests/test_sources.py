@@ -12,7 +12,7 @@ from mnemoria.streaming import ingest as streaming
 
 
 def node(key, role, text, time):
-    return {"id": key, "message": {"id": f"m{key}", "author": {"role": role}, "create_time": time, "content": {"content_type": "text", "parts": [text, {"asset": 1}]}}}
+    return {"id": key, "message": {"id": f"m{key}", "author": {"role": role}, "create_time": time, "content": {"content_type": "text", "parts": [text, {"unknown": 1}]}}}
 
 
 def test_chat_export(spark, tmp_path):
@@ -27,6 +27,50 @@ def test_chat_export(spark, tmp_path):
     assert exports.chat_export(spark, str(tmp_path), title_contains="OTHER", since="1970-01-01 00:00:02").count() == 1
 
 
+def test_kept_messages(spark, tmp_path):
+    """Text that begins with a brace stays; a message with an attachment and no text stays; forms of one reference count once."""
+    nodes = {
+        "n1": {"id": "n1", "message": {"id": "m1", "author": {"role": "user"}, "content": {"content_type": "text", "parts": ['{"pasted": 1}', "and [more]"]}}},
+        "n2": {"id": "n2", "message": {"id": "m2", "author": {"role": "user"}, "content": {"content_type": "text", "parts": [""]}, "metadata": {"attachments": [{"id": "file_abc", "name": "Pasted.md", "mime_type": "text/markdown"}]}}},
+        "n3": {"id": "n3", "message": {"id": "m3", "author": {"role": "user"}, "content": {"content_type": "multimodal_text", "parts": [{"asset_pointer": "file-service://file-1", "content_type": "image_asset_pointer", "id": "file-1"}, "look"]}}},
+        "n4": {"id": "n4", "message": {"id": "m4", "author": {"role": "tool"}, "content": {"content_type": "execution_output", "text": "x"}}},
+        "n5": {"id": "n5", "message": {"id": "m5", "author": {"role": "user"}, "content": {"content_type": "text", "parts": [" "]}}},
+    }
+    (tmp_path / "conversations.json").write_text(json.dumps([{"title": "no id", "mapping": nodes, "is_starred": True}, {"id": "c2", "title": "second", "mapping": {}}, {"id": "c3", "title": "third", "mapping": {"x": nodes["n1"]}}]))
+    (tmp_path / "names.json").write_text(json.dumps({"file-1.dat": "photo.png", "": "x"}))
+    (tmp_path / "library.json").write_text(json.dumps([{"file_id": "file_abc", "file_extension": "md", "mime_type": "text/markdown"}, {"file_id": ""}]))
+    (tmp_path / "shares.json").write_text(json.dumps([{"conversation_id": "c3", "id": "s1", "is_anonymous": True}, {"conversation_id": "c3", "id": "s2", "is_anonymous": False}]))
+    (tmp_path / "feedback.json").write_text(json.dumps([{"conversation_id": "c3", "rating": "thumbs_up", "update_time": "2024-01-01"}, {"conversation_id": "c3", "rating": "thumbs_down", "update_time": "2024-02-01"}]))
+    rows = {r["message_id"]: r for r in exports.chat_export(spark, str(tmp_path / "conversations.json"), conversation_id="conversation_1").collect()}
+    assert {key: r["text"] for key, r in rows.items()} == {"m1": '{"pasted": 1}\nand [more]', "m2": "attachment_refs: file_abc", "m3": "look\nattachment_refs: file-service://file-1"}
+    assert [r["attachments"] for _, r in sorted(rows.items())] == [[], ["file_abc"], ["file-service://file-1"]]
+    assert sorted({r["conversation_id"] for r in exports.chat_export(spark, str(tmp_path / "conversations.json"), limit=2).collect()}) == ["conversation_1"]
+    conv = exports.conversations(spark, str(tmp_path / "conversations.json"))
+    shares = exports.load_shares(spark, str(tmp_path / "shares.json"))
+    counted = exports.import_counters(conv, exports.message_nodes(conv), shares, exports.load_feedback(spark, str(tmp_path / "feedback.json"))).first()
+    assert counted.asDict() == {"conversations": 3, "starred": 1, "shared": 1, "rated": 1, "thumbs_up": 0, "thumbs_down": 1, "messages": 6, "with_attachments": 2, "unsupported": 1, "empty": 1, "attachments": 2}
+    assert shares.first()["share_id"] == "s2" and exports.load_shares(spark, str(tmp_path / "none.json")).collect() == []
+    refs = exports.message_nodes(conv).select("message_id", F.posexplode("attachments").alias("pos", "ref"))
+    found = {r["message_id"]: tuple(r)[1:] for r in exports.resolved_attachments(refs, exports.load_assets(spark, str(tmp_path / "names.json")), exports.load_library(spark, str(tmp_path / "library.json"))).collect()}
+    assert found == {"m2": ("file_abc", "file_abc.md", "text/markdown", "library_files"), "m3": ("file-1", "photo.png", "image/png", "asset_file_names")}
+
+
+def test_tools_in_threads(spark, tmp_path):
+    """Payloads of tools are read, written-out line breaks decoded, thoughts left out; syntheses and projects join in."""
+    blocks = [{"type": "text", "text": "plain text block"}, {"type": "thinking", "thinking": "hidden"}, {"type": "tool_use", "name": "artifacts", "input": {"new_str": "line1\\nline2", "zeta": 5, "command": "run"}}, {"type": "tool_result", "name": "artifacts", "content": [{"type": "text", "text": "OK\\nDone"}]}]
+    message = {"uuid": "m", "sender": "assistant", "text": "baseline", "content": blocks, "attachments": [{"file_name": "a.txt", "extracted_content": ""}], "files": [{"file_name": "b.png"}]}
+    (tmp_path / "projects").mkdir()
+    (tmp_path / "conversations.json").write_text(json.dumps([{"uuid": "c", "name": "Tool Test", "created_at": "2026-01-01T00:00:00Z", "chat_messages": [message]}]))
+    (tmp_path / "memories.json").write_text(json.dumps([{"conversations_memory": "a synthesis", "project_memories": {"p2": "of two", "p1": "of one"}}, {"conversations_memory": "a later row"}]))
+    (tmp_path / "projects" / "p1.json").write_text(json.dumps({"uuid": "p1", "name": "One", "description": " ", "prompt_template": "be brief", "docs": [{"filename": "x.md"}, {"filename": "y.md"}]}))
+    rows = exports.thread_folder(spark, str(tmp_path)).collect()
+    (talk,) = [r for r in rows if r["memory_kind"] is None]
+    assert talk["text"].split("\n\n") == ["baseline", "plain text block", "tool_use", "tool_name: artifacts", "tool_message:", "tool_display:", "line1\nline2", "run", "5", "tool_result", "OK\nDone", "text", "attachment: a.txt", "file: b.png"]
+    assert talk["tags"] == ["content_block:tool_result", "content_block:tool_use"]
+    assert sorted((r["conversation_id"], r["source_title"], r["text"]) for r in rows if r["memory_kind"]) == [("claude_conversations_memory", "Claude Conversations Memory", "a synthesis"), ("p1", "Claude Project Memory: One", "of one"), ("p1", "One", "One\n\nbe brief\n\nproject_docs: x.md, y.md"), ("p2", "Claude Project Memory: p2", "of two")]
+    assert exports.thread_folder(spark, str(tmp_path / "projects" / "..")).count() == 5
+
+
 def test_threads(spark, tmp_path):
     def m(key, parent, time, sender="human"):
         return {"uuid": key, "parent_message_uuid": parent, "created_at": time, "sender": sender, "text": key}
@@ -76,6 +120,12 @@ def test_pages_and_turns(spark):
 def test_sinks(spark, tmp_path):
     points = spark.range(300).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("memory_id")).coalesce(1)
     assert sorted(r["count"] for r in sinks.batches(points, F.lit(10)).groupBy("batch").count().collect()) == [44, 128, 128]
+    sized = sinks.batches(points.limit(5).coalesce(1), F.lit(20), most_bytes=50).groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in sized) == [1, 2, 2]
+    with pytest.raises(Exception):
+        sinks.batches(points, F.lit(51), most_bytes=50).collect()
+    reflected = sinks.reflected_points(points.limit(2), spark.createDataFrame([("0001", "p", "deep", 0.5)], "memory_id string, phase string, depth string, confidence double"))
+    assert sorted((r["memory_id"], r["reflected"], r["reflection_depth"]) for r in reflected.collect()) == [("0000", None, None), ("0001", True, "deep")]
     sinks.export_json(points, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 300
 
