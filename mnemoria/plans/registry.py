@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation, recall
+from . import curation, details, recall
 
-QUERIES = recall.QUERIES | curation.QUERIES
-SQL = recall.SQL | curation.SQL
+QUERIES = recall.QUERIES | curation.QUERIES | details.QUERIES
+SQL = recall.SQL | curation.SQL | details.SQL
