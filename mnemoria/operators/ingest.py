@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.chunks import chunked
 from ..functions.ids import memory_id, point_id
@@ -53,6 +57,21 @@ def to_points(messages: DataFrame, size: int | None = 900, overlap: int = 150, l
     return pieces.withColumn("memory_id", key).withColumn("point_id", point_id(key)).withColumn("summary", clamp_body(F.col("text"), 220)).withColumn("source_quote", clamp_body(F.col("text"), 180)).withColumn("project", first_present(F.col("project"), F.lit("general")))
 
 
+def embedded(points: DataFrame, embed: Callable[[Iterator[pd.Series]], Iterator[pd.Series]], dimension: int, text: str = "text") -> DataFrame:
+    """Adds ``embedding`` by an injected embedder of batches of texts; another length than ``dimension`` is an error."""
+    ask = F.pandas_udf(embed, ArrayType(FloatType()), F.PandasUDFType.SCALAR_ITER)
+    told = points.withColumn("embedding", ask(text))
+    status = F.coalesce(F.size("embedding") == dimension, F.lit(False))
+    return told.withColumn("embedding", F.when(status, F.col("embedding")).otherwise(F.raise_error(F.lit(f"an embedding is missing or not of {dimension} numbers")).cast("array<float>")))
+
+
+def message_records(records: DataFrame, as_of: Column) -> DataFrame:
+    """Records of any import as messages: a title from the conversation, the present time where none is known."""
+    when = F.coalesce(F.nullif(F.trim(F.coalesce("timestamp", F.lit(""))), F.lit("")), as_of)
+    named = records.withColumn("timestamp", when)
+    return named.withColumnRenamed("conversation_title", "source_title") if "conversation_title" in records.columns else named
+
+
 def missing(points: DataFrame, stored: DataFrame) -> DataFrame:
     """Points that the store lacks; only they are embedded and written."""
     return points.join(stored.select("memory_id"), "memory_id", "left_anti")

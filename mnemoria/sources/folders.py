@@ -14,11 +14,40 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clock
 
-TEXT_KINDS = {"txt": "text", "md": "markdown", "csv": "csv", "json": "json", "html": "html"}
+# Endings of the files that are taken, and what they are called.
+KINDS = {
+    "docx": "Word Document", "pdf": "PDF Document / Presentation", "png": "Image / Diagram", "jpg": "Image / Diagram", "jpeg": "Image / Diagram", "webp": "Image / Diagram",
+    "m4a": "Audio Overview", "mp3": "Audio Overview", "wav": "Audio Overview", "mp4": "Video Presentation", "md": "Text Note", "txt": "Text Note", "jsonl": "JSONL Memory",
+}
+TEXT_KINDS = ("md", "txt")
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 NUMBERED = re.compile(r"(?:Section |Chapter |\d+\.(?:\s|\d))")
 
 
+def listed_files(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """``path, file, extension, kind`` of the files of a folder that are taken, the first ``limit`` by name; names alone are read."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    named = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).withColumn("extension", F.lower(F.regexp_extract("file", r"\.([^.]*)$", 1)))
+    labels = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
+    taken = named.where(~F.col("file").startswith(".") & F.col("extension").isin(*KINDS)).withColumn("kind", F.element_at(labels, F.col("extension")))
+    return taken.orderBy("file").limit(limit) if limit > 0 else taken
+
+
+def folder_messages(spark: SparkSession, path: str, limit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``(source_title, part, kind, text)`` of a folder's notes and word-processor files, and one row of counters.
+
+    Counters are ``files, taken, skipped``: a file that can't be read is skipped, and files of other kinds wait for their extractors.
+    """
+    files = listed_files(spark, path, limit)
+    wanted = files.select(F.col("file").alias("source_title"), "kind")
+    notes = text_files(spark, path).select("source_title", F.lit(0).alias("part"), "text")
+    sections = docx_files(spark, path).select(F.element_at(F.split("file", "/"), -1).alias("source_title"), F.col("section").alias("part"), "text", "error")
+    read = notes.unionByName(sections.where("error is null").drop("error"))
+    bad = sections.where("error is not null").select("source_title").distinct().join(wanted, "source_title", "left_semi").agg(F.count("*").alias("skipped"))
+    counters = files.agg(F.count("*").alias("files"), F.count_if(F.col("extension").isin("docx", *TEXT_KINDS)).alias("readable")).join(bad).select("files", (F.col("readable") - F.col("skipped")).alias("taken"), "skipped")
+    return read.join(wanted, "source_title").where("trim(text) <> ''").select("source_title", "part", "kind", "text"), counters
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """One row for each text file: title and whole text."""
     files = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("value").alias("body"))

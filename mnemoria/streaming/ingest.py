@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,11 +17,12 @@ LAST_IDS, SUMMARY_EVERY = 32, 8
 MESSAGES = "conversation_id string, message_id string, record_index long, speaker string, text string, source_type string, project string"
 
 
-def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int = 16) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int = 16, every: str | None = None) -> StreamingQuery:
     """New message files to new points; a run after a crash or over the same files changes nothing.
 
     The checkpoint is the journal (W1-W3). Each micro-batch overwrites its own folder, and writes only
-    ids that earlier batches lack, so a batch that is run again gives the same rows (W4).
+    ids that earlier batches lack, so a batch that is run again gives the same rows (W4). With ``every``, such as
+    ``300 seconds``, the stream goes on; without it, it ends when what is there has been taken (W5).
     """
     stream = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", max_files).json(source)
 
@@ -31,14 +33,16 @@ def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str,
             points = points.join(stored.where(F.col("batch") < number).select("memory_id"), "memory_id", "left_anti")
         points.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def existing(spark: SparkSession, table: str) -> DataFrame | None:
     """The table so far, or nothing before the first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(table) if fs.exists(path) and len(fs.listStatus(path)) else None
+    try:
+        return spark.read.parquet(table)
+    except AnalysisException:
+        return None
 
 
 def sessions(turns: DataFrame, ttl: str = "86400000") -> DataFrame:

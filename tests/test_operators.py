@@ -55,15 +55,22 @@ def results(spark):
 
 
 def test_ranking(spark):
-    found = recall.collapse(results(spark), recall.by_score()).orderBy("memory_id").collect()
+    found = recall.collapse(results(spark)).orderBy("memory_id").collect()
     assert [(row["memory_id"], row["duplicate_ids"]) for row in found] == [("a", ["a_copy"]), ("b", []), ("d", []), ("e", [])]
     assert recall.cap_per_group(results(spark), 2, recall.by_score()).count() == 4
+    blank = results(spark).withColumn("source", F.when(F.col("memory_id") == "d", "s").otherwise(F.lit(" ")))
+    assert sorted(row["memory_id"] for row in recall.cap_per_group(blank, 2, recall.by_score(), "source", "_unknown").collect()) == ["a", "a_copy", "d"]
+    assert recall.cap_per_group(blank, 1, recall.by_score(), "source").count() == 5
+    canonical = results(spark).withColumn("canonical", F.col("memory_id") == "d")
+    assert [row["memory_id"] for row in recall.canonical_first(canonical, 2).collect()] == ["d", "a"]
+    with pytest.raises(ValueError):
+        recall.bounded(results(spark), 4)
     assert recall.floor(results(spark), 0.5).count() == 3
     scored = results(spark).withColumn("lexical_score", recall.lexical_score("docker compose (now)", "text"))
     assert {row["memory_id"]: row["lexical_score"] for row in scored.collect()} == {"a": 1.0, "a_copy": 1.0, "b": 0.0, "d": 1.0, "e": 0.0}
     assert [row["memory_id"] for row in recall.fuse(scored, 3).collect()][0] == "a"
     pack = recall.context_pack(results(spark).where("memory_id in ('a', 'b', 'd')"), 45, recall.by_score(), "text").collect()
-    assert sorted(row["memory_id"] for row in pack) == ["a", "b"]
+    assert sorted(row["memory_id"] for row in pack) == ["a", "b"] and {(row["used"], row["dropped"]) for row in pack} == {(33, 1)}
     assert recall.candidate_limit(3, True) == 40 and recall.candidate_limit(100, True) == 200 and recall.candidate_limit(3, False) == 3
 
 
@@ -118,6 +125,94 @@ def test_cleanup(spark):
     assert (two["role"], two["quality"], two["blockers"], two["chunk_position"]) == ("assistant", "malformed", ["insufficient_context", "malformed_quote"], "last")
 
 
+def point(memory_id, ts, text, speaker="user", **more):
+    return Row(memory_id=memory_id, conversation_id="c", speaker=speaker, ts=ts, text=text, source_quote=text, source_title="t", project="p", **more)
+
+
+def test_duplicates_are_of_one_id(spark):
+    """Equal texts of different ids are no duplicates; an id that comes again is a duplicate record, and a duplicate with equal content."""
+    text = "The same words are kept in every one of these."
+    rows = [point("a", 1, text), point("b", 2, text), point("a", 3, text), point("a", 4, text + " And one more thing.")]
+    found = {row["ts"]: (row["duplicate_of"], row["cleanup_status"], row["blockers"]) for row in cleanup.cleaned(spark.createDataFrame(rows)).collect()}
+    assert found == {1: (None, "clean", []), 2: (None, "clean", []), 3: ("a", "skipped_duplicate", ["duplicate_record"]), 4: (None, "needs_review", ["duplicate_record"])}
+
+
+def test_broken_points(spark):
+    rows = [point("a", 1, "A whole sentence that can be read well.", timestamp="soon", payload_error=False), point("b", 2, "A whole sentence that can be read well.", timestamp="", payload_error=True)]
+    found = {row["memory_id"]: row for row in cleanup.cleaned(spark.createDataFrame(rows)).collect()}
+    assert (found["a"]["blockers"], found["a"]["cleanup_status"]) == (["unsupported_schema"], "needs_review") and "malformed_timestamp" in found["a"]["warnings"]
+    assert (found["b"]["blockers"], found["b"]["cleanup_status"]) == (["corrupted_json"], "failed") and "missing_timestamp" in found["b"]["warnings"]
+    assert cleanup.reviewed(cleanup.cleaned(spark.createDataFrame(rows)), only_needs_review=True).count() == 1
+
+
+HYPOTHESES = [("s", f"H{k}", 0.5, 0.3, k, "active", [], [], []) for k in range(1, 5)]
+STATE = "session_id string, hypothesis_id string, confidence double, strength double, rank long, status string, support_ids array<string>, counter_ids array<string>, ambiguous_ids array<string>"
+
+
+def test_model_update(spark):
+    """Evidence moves its own hypothesis, once; ranks are recomputed; a refuted hypothesis stays refuted."""
+    state = spark.createDataFrame(HYPOTHESES, STATE)
+    weighed = "hypothesis_id string, evidence_id string, polarity string, weight double"
+
+    def after(before, rows):
+        return {row["hypothesis_id"]: row for row in evidence.updated(before, spark.createDataFrame(rows, weighed)).collect()}
+
+    found = after(state, [("H2", "e1", "support", 1.0)])
+    assert found["H2"]["new_confidence"] == 0.56 and (found["H2"]["new_rank"], found["H2"]["rank_delta"], found["H1"]["new_rank"]) == (1, -1, 2)
+    assert found["H1"]["new_confidence"] == 0.5 and found["H1"]["reason"] == "no new discriminating evidence"
+    again = state.withColumn("support_ids", F.when(F.col("hypothesis_id") == "H2", F.array(F.lit("e1"))).otherwise(F.col("support_ids")))
+    assert after(again, [("H2", "e1", "support", 1.0)])["H2"]["new_confidence"] == 0.5
+    mixed = after(state, [("H1", "e1", "support", 1.0), ("H1", "e2", "support", 1.0), ("H1", "e3", "counter", 1.0), ("H1", " ", "counter", 1.0)])["H1"]
+    assert (mixed["new_confidence"], mixed["status"], mixed["n_support"], mixed["n_counter"], mixed["support_ids"]) == (0.56, "contested", 2, 1, ["e1", "e2"])
+    assert mixed["reason"] == "mixed evidence: support 2.00 vs counter 1.00"
+    refuted = state.withColumn("confidence", F.lit(0.0))
+    assert after(refuted, [("H1", "e1", "counter", 1.0)])["H1"]["new_confidence"] == 0.0
+    seeded = evidence.seeded(spark.createDataFrame([("s", None, " ", 0.0, 2.0, 0, "", 1), ("s", "X", "text", 0.9, 0.1, 1, "frozen", 2)], "session_id string, hypothesis_id string, statement string, confidence double, strength double, rank int, status string, pos int"))
+    assert sorted(map(tuple, seeded.collect())) == [("s", "H1", "H1", 0.42, 1.0, 1, "active"), ("s", "X", "text", 0.9, 0.1, 2, "frozen")]
+
+
+def test_archive_matches(spark):
+    """Equal texts, beginnings, slices of a long message, messages that a chunk begins with, and chunks inside a message."""
+    long = " ".join(f"word{k}" for k in range(600))
+    archive = spark.createDataFrame([("c", "m1", 1, "Hello  there"), ("c", "m2", 2, long), ("d", "m3", 3, long)], "conversation_id string, message_id string, pos int, text string")
+    texts = ["hello there", "hello there and more", long[:150], long[1400:1700], long[2000:2100], "nothing of the kind is in the archive at all", " ", "word11 wor"]
+    chunks = spark.createDataFrame([("c", str(k), text) for k, text in enumerate(texts)], "conversation_id string, memory_id string, text string")
+    found = {row["memory_id"]: (row["message_id"], row["basis"]) for row in ingest.archive_matches(chunks, archive).collect()}
+    assert found == {"0": ("m1", "text"), "1": ("m1", "begins"), "2": ("m2", "prefix"), "3": ("m2", "slice"), "4": ("m2", "contains"), "5": (None, None), "6": (None, None), "7": (None, None)}
+
+
+def test_numbered(spark):
+    """Places of a group that holds most rows, with ties and nulls, as one window would give them."""
+    from pyspark.sql import Window
+
+    from mnemoria.operators.order import numbered
+
+    rows = spark.range(3000).selectExpr("if(id % 5 = 0, id % 7, -1) as g", "if(id % 11 = 0, null, id * 7919 % 500) as ts", "id")
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("ts", "id")))
+    assert sorted(map(tuple, numbered(rows, ["g"], "ts", ["ts", "id"], "n", 8).select("id", "n").collect())) == sorted(map(tuple, want.select("id", "n").collect()))
+    assert numbered(rows.where("id < 0"), ["g"], "ts", ["ts", "id"], "n").collect() == []
+
+
+def test_pages(spark):
+    rows = spark.range(50).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("memory_id"))
+    page = catalog.page_at(rows, 40, 10, F.asc("memory_id")).collect()
+    assert len(page) == 10 and {row["next_offset"] for row in page} == {None}
+    page = catalog.page_at(rows, 30, 10, F.asc("memory_id")).collect()
+    assert [row["memory_id"] for row in page] == [f"{k:03d}" for k in range(30, 40)] and {row["next_offset"] for row in page} == {40}
+    assert catalog.page_at(rows, 60, 10, F.asc("memory_id")).collect() == []
+
+
+def test_canon_run(spark):
+    """A run proposes facts and a timeline, marks what differs, and proposes nothing that is canon already."""
+    rows = [point(f"m{k:02d}", 1704067200 + k, f"I decided on number {k} for good.", summary=f"number {k}", memory_kind="decision" if k % 2 else "fact", canonical=False) for k in range(60)]
+    points = spark.createDataFrame(rows)
+    none = canon.timeline_candidates(points).where("false")
+    found, counters = canon.proposed(points, none)
+    assert counters.first().asDict() == {"candidates": 6, "skipped": 0, "contradictions": 3}
+    assert {row["memory_kind"] for row in found.collect()} == {"project_decision", "inferred_pattern", "canonical_timeline", "contradiction_note"}
+    assert canon.proposed(points, found)[1].first().asDict() == {"candidates": 0, "skipped": 6, "contradictions": 3}
+
+
 def test_reflection(spark):
     told = spark.createDataFrame([("a", "good text", "partial"), ("b", "bad", "complete")], "memory_id string, text string, quality string")
 
@@ -131,8 +226,10 @@ def test_reflection(spark):
 
 def test_canon_queue(spark):
     queue = spark.createDataFrame([("1", "direct"), ("2", "inferred"), ("3", "inferred"), ("4", "inferred")], "candidate_id string, status string")
-    decisions = spark.createDataFrame([("1", "approve"), ("2", "approve"), ("3", "reject")], "candidate_id string, action string")
-    assert {row["candidate_id"]: (row["status"], row["canonical"]) for row in canon.review(queue, decisions).collect()} == {"1": ("direct", True), "2": ("approved", True), "3": ("rejected", False), "4": ("inferred", False)}
+    decisions = spark.createDataFrame([("1", "approve", None), ("2", "approve", None), ("3", "reject", None), ("5", "merge", " 1 ")], "candidate_id string, action string, target_id string").withColumn("reviewed_by", F.lit(" me"))
+    found = {row["candidate_id"]: row for row in canon.review(queue.unionByName(spark.createDataFrame([("5", "approved")], queue.schema)), decisions).collect()}
+    assert {key: (row["status"], row["canonical"]) for key, row in found.items()} == {"1": ("direct", True), "2": ("approved", True), "3": ("rejected", False), "4": ("inferred", False), "5": ("needs_review", False)}
+    assert (found["5"]["merged_from"], found["5"]["merge_target"], found["5"]["reviewed_by"]) == (["5"], "1", "me") and found["4"]["reviewed_at"] is None
 
 
 def test_cycles(spark):

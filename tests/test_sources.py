@@ -109,6 +109,30 @@ def test_folders(spark, tmp_path):
     assert [r["name"] for r in folders.zip_entries(spark, str(tmp_path)).collect()] == ["word/document.xml"]
 
 
+def test_folder_of_many_kinds(spark, tmp_path):
+    for name, body in (("b.txt", "note b"), ("a.md", "note a"), ("c.png", "x"), ("d.csv", "1,2"), (".e.txt", "no"), ("f.docx", "no zip"), ("empty.txt", " ")):
+        (tmp_path / name).write_text(body)
+    rows, counters = folders.folder_messages(spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [("a.md", 0, "Text Note", "[a]\n\nnote a"), ("b.txt", 0, "Text Note", "[b]\n\nnote b")]
+    assert counters.first().asDict() == {"files": 5, "taken": 3, "skipped": 1}
+    assert [r["file"] for r in folders.listed_files(spark, str(tmp_path), 2).collect()] == ["a.md", "b.txt"]
+
+
+def test_embedding(spark):
+    import pandas as pd
+
+    from mnemoria.operators.ingest import embedded
+
+    def lengths(batches):
+        for texts in batches:
+            yield pd.Series([[float(len(text))] * (3 if text != "odd" else 2) for text in texts])
+
+    points = spark.createDataFrame([("a", "xy"), ("b", "odd")], "memory_id string, text string")
+    assert embedded(points.where("memory_id = 'a'"), lengths, 3).first()["embedding"] == [2.0, 2.0, 2.0]
+    with pytest.raises(Exception):
+        embedded(points, lengths, 3).collect()
+
+
 def test_pages_and_turns(spark):
     texts = spark.createDataFrame([("a", "x" * 60 + "\f" + "y" * 60), ("b", "short")], "source_title string, text string")
     assert [r["text"][:3] for r in folders.pages(texts).orderBy("source_title", "page").collect()] == ["xxx", "yyy", "[no"]
