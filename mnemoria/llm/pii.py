@@ -70,13 +70,13 @@ def base_spans(text: str) -> list[Span]:
 # Generators: the kind proposed and the pattern; loose on purpose.
 GENERATORS = (
     ("email", re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64} ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?[A-Za-z0-9-]{1,63}(?: ?[\[({<]? ?(?:dot|DOT|\.) ?[\])}>]? ?[A-Za-z0-9-]{2,63}){1,4}"), re.compile(r"[\[({<] ?(?:at|AT|@)")),
-    ("phone", re.compile(r"(?<![\w.+-])\(?[0-9](?:[ ().\-/]{0,2}[0-9]){7,14}(?![\w-])"), None),
+    ("phone", re.compile(r"(?<![\w.+-])(?![0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-]))\(?[0-9](?:[ ().\-/]{0,2}[0-9]){7,14}(?![\w-])"), None),
     ("card", re.compile(r"(?<![\w.-])[0-9]{4}(?:[./_]?[0-9]){9,15}(?!\w)"), None),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-])"), None),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?!\w)"), None),
     ("mac", re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![\w:-])"), re.compile(r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]")),
     ("ipv6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,5}(?![\w:])"), re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]")),
-    ("secret", re.compile(r"(?<![\w/+=-])[A-Za-z0-9_/+=-]{20,}(?![\w/+=-])"), None),
+    ("secret", re.compile(r"(?<![\w/+-])[A-Za-z0-9_/+-]{20,}+={0,2}(?![\w/+-])"), None),
 )
 
 CUES = (
