@@ -67,13 +67,13 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
 
 
-def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, n: str, total: int | None = None) -> DataFrame:
     """The keys of more than one row in :data:`HOT_SHARE`, as a written table of fewer than that many rows.
 
-    ``counts`` has a row for each key. The bound holds for any data: the rows of the keys listed add up to
+    ``counts`` has a row for each key; ``total`` is the sum of ``n``, where it is known. The bound holds for any data: the rows of the keys listed add up to
     no more than all rows.
     """
-    total = counts.agg(F.sum(n)).first()[0] or 0
+    total = (counts.agg(F.sum(n)).first()[0] or 0) if total is None else total
     return materialize(counts.where(F.col(n) * HOT_SHARE > total).select(key), "hot-keys")
 
 
@@ -84,7 +84,7 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
     ``per_key``, where the rows lie; only the others are shuffled. ``rows`` and ``per_key`` are
     read twice and had better be written tables.
     """
-    hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key, "n")
+    hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key, "n", rows.count())
     few = F.broadcast(per_key.join(F.broadcast(hot), key, "left_semi"))
     rest = rows.join(F.broadcast(hot), key, "left_anti").join(per_key, key)
     return rows.join(few, key).unionByName(rest)

@@ -534,7 +534,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts, and of an id with several texts the one of the smaller digest counts as earlier. An empty table gives an
     empty one; other columns are ignored.
     """
-    keyed = materialize(named(docs, id_col, text_col), "suffix-texts")
+    keyed = named(docs, id_col, text_col)
     windows = repeats(keyed.select("doc", "version", F.col("data").alias("whole")), segment_bytes)
     place = F.col("place").bitwiseAND(F.lit((1 << VERSION_BITS) - 1)).alias("place")
     per_doc = windows.groupBy("doc", F.shiftright("place", VERSION_BITS).alias("version")).agg(F.array_sort(F.collect_set(F.struct(place, "windows"))).alias("gone"))

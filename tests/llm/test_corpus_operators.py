@@ -231,6 +231,7 @@ def test_hot_keys_are_few(spark):
     want = sorted((k, n, 2 * k) for n in range(9000) if (k := -1 if n % 3 == 0 else n % 5000) < 4000)
     assert got == want
     assert [row["k"] for row in hot_keys(rows.groupBy("k").count(), "k", "count").collect()] == [-1]
+    assert hot_keys(rows.groupBy("k").count(), "k", "count", 9000).count() == 1
 
 
 def water_fill(sizes, weights, most=3):
