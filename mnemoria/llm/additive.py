@@ -29,8 +29,8 @@ BOOKS, WORDS, BEAM = 16, 128, 6
 SAMPLE = 8192
 #: Vectors of the whole index that are ranked again for each query.
 RERANK = 128
-#: Queries of a cell at most, and queries scored together.
-CELL_QUERIES, CHUNK = 1 << 16, 64
+#: Queries of a cell at most, codes that make a cell of their own, and queries scored together.
+CELL_QUERIES, CELL_CODES, CHUNK = 1 << 16, 1 << 13, 64
 SALTS = 16
 
 
@@ -166,11 +166,12 @@ class Best:
 def scored(queries: DataFrame, index: DataFrame, books: Codebooks, n_queries: int, rerank: int = RERANK) -> DataFrame:
     """``(q, class_id, approx)``: in each cell the ``rerank`` codes of the least scores of every query.
 
-    ``queries`` is ``(q, v)``. Cells are ``columns`` groups of queries by ``rows`` groups of codes.
+    ``queries`` is ``(q, v)``. Cells are ``columns`` groups of queries by ``rows`` groups of codes, of which there are as
+    many as the codes fill and no more than keep all partitions busy: what leaves a cell is ``rerank`` rows a query.
     """
     parts = shuffle_partitions(index.sparkSession)
     columns = max(1, math.ceil(n_queries / CELL_QUERIES))
-    rows = max(1, math.ceil(parts / columns))
+    rows = max(1, min(math.ceil(index.count() / CELL_CODES), math.ceil(parts / columns)))
 
     def cells(own: Column, others: int, cell: Column) -> Column:
         return F.explode(F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda other: F.struct(cell(own, other).alias("cell")))).alias("c")

@@ -377,6 +377,7 @@ def test_cells_of_few_queries(spark, small, monkeypatch):
 
     want = sorted(map(tuple, queries.op3_additive_ann(spark, small).collect()))
     monkeypatch.setattr(additive, "CELL_QUERIES", 2)
+    monkeypatch.setattr(additive, "CELL_CODES", 60)
     monkeypatch.setattr(additive, "CHUNK", 1)
     assert sorted(map(tuple, queries.op3_additive_ann(spark, small).collect())) == want
 
