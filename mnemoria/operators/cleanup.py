@@ -176,8 +176,9 @@ def cleaned(points: DataFrame, repair: bool = True) -> DataFrame:
     text, quote = trimmed(F.col("text")), trimmed(F.col("source_quote"))
     role = speaker_role(F.col("speaker"))
     raw_role = F.lower(trimmed(F.col("speaker")))
-    rows = rows.withColumn("role", role).withColumn("quote_warnings", quote_warnings(F.when(text != "", text).otherwise(quote)))
-    rows = rows.withColumn("quality", quote_quality(F.col("quote_warnings"), F.col("chunk_position")))
+    # Bound as a lambda's variable, the warnings are worked out once, also where a filter takes the whole expression over.
+    both = F.transform(F.array(quote_warnings(F.when(text != "", text).otherwise(quote))), lambda w: F.struct(w.alias("warnings"), quote_quality(w, F.col("chunk_position")).alias("quality")))
+    rows = rows.withColumn("role", role).withColumn("q", F.get(both, F.lit(0))).withColumn("quote_warnings", F.col("q.warnings")).withColumn("quality", F.col("q.quality")).drop("q")
     rows = rows.withColumn("chunk_boundary_warning", F.array_contains("quote_warnings", "ellipsis_truncation"))
     repaired = F.lit(repair) & F.col("quality").isin("partial", "truncated") & (F.char_length(quote) >= 20)
     rows = rows.withColumn("repaired", repaired).withColumn("quality", F.when(F.col("repaired"), "repaired").otherwise(F.col("quality")))
