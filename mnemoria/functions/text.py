@@ -207,6 +207,11 @@ def clock(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, s)).otherwise(F.format_string("%02d:%02d", m, s))
 
 
+def clean_title(file: Column) -> Column:
+    """A file's name without its ending, underscores for spaces."""
+    return F.trim(F.translate(F.regexp_replace(file, r"\.[^.]*$", ""), "_", " "))
+
+
 def attachment_ref(col: Column) -> Column:
     """Without scheme."""
     return trimmed(F.regexp_replace(col, r"^[^:/]*://", ""))

@@ -27,6 +27,23 @@ def profile(points: DataFrame) -> DataFrame:
     return points.agg(F.count("*").alias("points"), F.count_distinct("conversation_id").alias("sources"), F.count_distinct("source_title").alias("titles"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum(F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 1).otherwise(0)).alias("blank"))
 
 
+def document_profile(points: DataFrame, model: str = "ai_model") -> DataFrame:
+    """One row: documents, chunks of a document on average, and the most frequent model that is named."""
+    documents = points.groupBy("conversation_id").agg(F.count("*").alias("chunks")).agg(F.count("*").alias("documents"), F.round(F.avg("chunks"), 6).alias("chunks_per_document"))
+    named = points.where(F.trim(F.coalesce(F.col(model), F.lit(""))) != "")
+    return documents.join(most_common(named, model).select(F.col("value").alias("model")), F.lit(True), "left")
+
+
+def payloads(points: DataFrame, key: str = "memory_id") -> DataFrame:
+    """``(key, payload)``: every other column as one JSON object, nulls left out."""
+    return points.select(key, F.to_json(F.struct(*(c for c in points.columns if c != key))).alias("payload"))
+
+
+def from_payloads(rows: DataFrame, schema: str, key: str = "memory_id") -> DataFrame:
+    """The columns of ``schema`` out of payloads; what a payload lacks is null."""
+    return rows.select(key, F.from_json("payload", schema).alias("p")).select(key, "p.*")
+
+
 def most_common(points: DataFrame, column: str) -> DataFrame:
     """The mode; ties to the smallest value."""
     counts = points.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

@@ -1,4 +1,4 @@
-"""Evidence against hypotheses, sources and their lineage."""
+"""Evidence against hypotheses, sources and their lineage."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..functions.text import RELATIONS, concepts, contains_any, family_key, hedged, negated
 from .recall import bounded
 
@@ -181,6 +182,42 @@ def most_discriminating(questions: DataFrame) -> DataFrame:
     return best.select("session_id", F.col("b.question").alias("question"), (-F.col("b.s")).alias("score"))
 
 
+# The columns that say where a point comes from, and the names they go by, the first that a table has.
+ALIASES = {
+    "memory_id": ("memory_id", "id"),
+    "source_document_id": ("source_document_id", "document_id", "doc_id", "source_id"),
+    "source_title": ("source_title", "title", "document_title"),
+    "filename": ("filename", "file_name", "attachment_filename"),
+    "path": ("path", "file_path", "source_path"),
+    "folder": ("folder", "directory", "source_folder"),
+    "chunk_id": ("chunk_id", "chunk_uid"),
+    "chunk_index": ("chunk_index", "chunk_idx", "position", "segment_index"),
+    "page": ("page", "page_number"),
+    "section": ("section", "heading", "header"),
+    "source_type": ("source_type", "document_type"),
+    "created_date": ("created_date", "created_at"),
+    "modified_date": ("modified_date", "modified_at", "updated_at"),
+    "text": ("text", "content", "chunk_text"),
+    "summary": ("summary", "abstract"),
+    "source_quote": ("source_quote", "quote"),
+}
+
+
+def provenance_view(points: DataFrame) -> DataFrame:
+    """Any table of points under one set of names, with ``fingerprint``: the first of document, path, file and title.
+
+    Columns that a table lacks are empty; a chunk without an id has the point's. Other columns stay, but for the names given.
+    """
+    taken = {name: next((alias for alias in aliases if alias in points.columns), None) for name, aliases in ALIASES.items()}
+    text = lambda alias: F.trim(F.coalesce(F.col(alias).cast("string"), F.lit(""))) if alias else F.lit("")
+    shown = {name: text(alias) for name, alias in taken.items()}
+    shown["chunk_index"] = F.coalesce(F.col(taken["chunk_index"]).try_cast("int"), F.lit(0)) if taken["chunk_index"] else F.lit(0)
+    shown |= {name: times.written(times.flexible(shown[name])) for name in ("created_date", "modified_date")}
+    shown["chunk_id"] = F.coalesce(F.nullif(shown["chunk_id"], F.lit("")), shown["memory_id"])
+    fingerprint = F.coalesce(*(F.nullif(shown[name], F.lit("")) for name in ("source_document_id", "path", "filename", "source_title")), F.lit(""))
+    return points.select(*(column.alias(name) for name, column in shown.items()), fingerprint.alias("fingerprint"), *(c for c in points.columns if c not in ALIASES and c not in taken.values() and c != "fingerprint"))
+
+
 def envelope(fields: dict[str, Column]) -> Column:
     """``struct<fields, body>``: the names of what is not blank, and its text joined by spaces (E5)."""
     given = F.filter(F.array(*(F.struct(F.lit(name).alias("name"), F.trim(F.coalesce(c, F.lit(""))).alias("value")) for name, c in fields.items())), lambda f: f["value"] != "")

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dedupe_key, first_present, lexical_tokens, query_tokens, query_words, token_pattern
+from ..functions.text import clamp_total, dedupe_key, first_present, lexical_tokens, query_tokens, query_words, token_pattern
 from ..functions.times import flexible
 from ..functions.vectors import cosine
-from .predicates import HIDDEN
+from .predicates import HIDDEN, without_sources
 
 # The constant of reciprocal-rank fusion, and the boosts.
 RRF = 60
@@ -158,6 +158,34 @@ def with_proposals(results: DataFrame, proposed: DataFrame, k: int) -> DataFrame
     return canonical_first(results.unionByName(proposed, allowMissingColumns=True), k)
 
 
+def research(points: DataFrame, query: list[float], k: int, excluded: tuple[str, ...] = (), per_source: int = 0, nearest: bool = False) -> DataFrame:
+    """The ``k`` nearest points, without excluded sources and with at most ``per_source`` chunks of each; ``nearest`` asks for no variety.
+
+    ``points`` has the columns of a provenance view and ``embedding``; what has no source shares one.
+    """
+    varied = per_source > 0 and not nearest
+    target = F.array(*(F.lit(float(x)) for x in query))
+    order = [F.desc("score"), F.asc("memory_id")]
+    scored = points.withColumn("score", F.round(cosine(F.col("embedding"), target), 9)).where("score is not null")
+    found = scored.orderBy(*order).limit(min(5 * k, 200) if varied else k)
+    # Excluded sources are taken from what was found, as the search knows nothing of them.
+    left = without_sources(found, tuple(name.strip() for name in excluded if name.strip()))
+    return (cap_per_group(left, per_source, order, "fingerprint", "_unknown") if varied else left).orderBy(*order).limit(k)
+
+
+def told(results: DataFrame) -> DataFrame:
+    """``place, line`` of results as a tool tells them: number, id, kind, score, and the first of quote, summary and text."""
+    placed = results.orderBy(*by_score()).withColumn("place", F.row_number().over(Window.orderBy(*by_score())))
+    head = F.format_string("[%d] memory_id=%s kind=%s score=%.3f", "place", "memory_id", "memory_kind", "score")
+    body = first_present(F.col("source_quote"), F.col("summary"), clamp_total(F.col("text"), 300))
+    return placed.select("place", F.when(body == "", head).otherwise(F.concat(head, F.lit("\n    "), body)).alias("line"))
+
+
+def tool_limit(asked: int, default: int = 8, most: int = 20) -> int:
+    """How many results a tool gives."""
+    return min(asked if asked > 0 else default, most)
+
+
 def chronological(results: DataFrame) -> DataFrame:
     """By creation, else modification; undated ones last, by id."""
     return results.orderBy(F.coalesce(flexible(F.col("created_date")), flexible(F.col("modified_date"))).asc_nulls_last(), "memory_id")

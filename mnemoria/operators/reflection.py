@@ -15,9 +15,11 @@ REFLECTION = "phase string, depth string, confidence double, themes array<string
 DEPTHS = {"shallow": 0, "moderate": 1, "deep": 2, "profound": 3}
 
 
-def pending(cleaned: DataFrame, reflected: DataFrame, needs_review: bool = False, least: int = 20) -> DataFrame:
-    """Safe points not reflected on yet."""
+def pending(cleaned: DataFrame, reflected: DataFrame, needs_review: bool = False, least: int = 20, speaker: str = "") -> DataFrame:
+    """Safe points not reflected on yet, of one speaker or of all."""
     gate = F.lit(True) if needs_review else F.col("safe_for_reflection")
+    if speaker and speaker.lower() != "all":
+        gate = gate & (F.lower(F.trim("speaker")) == speaker.lower())
     return cleaned.where(gate & (F.char_length(F.trim("text")) >= least)).join(reflected.select("memory_id"), "memory_id", "left_anti")
 
 

@@ -275,7 +275,39 @@ def x05_reflection_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.join(counters).select("memory_id", F.coalesce("reflected", F.lit(False)).alias("reflected"), "reflection_phase", "reflection_confidence", F.coalesce("top", F.lit(False)).alias("top"), "safe", "reflected_before", "told", F.col("contradiction").alias("contradictions"))
 
 
-QUERIES = {f.__name__: f for f in (t06_text_functions, t26_times, f02_filters, g18_backfill_rekey, a08_branches, a12_missing_fields, a03_titles, a22_thoughts, e10_information_gain, e14_strategies, e16_cycles, e12_uncertainties, e05_envelopes, r17_seeds, n02_anchors, n09_trace, v04_vectors, r10_canonical_first, r12_source_cap, r15_document_chunks, r24_overlap, a17_section_summary, l01_offset_page, c09_timeline_candidates, c12_proposed_run, c13_review_queue, q06_user_support, x05_reflection_run)}
+def foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with vectors, under other names."""
+    p = vectors(spark, sf_dir)
+    return p.select(F.col("memory_id").alias("id"), F.when(F.col("doc_id") % 3 > 0, F.col("conversation_id")).alias("document_id"), F.concat(F.lit(" "), "source_title").alias("title"), (F.col("doc_id") % 7).cast("string").alias("position"), F.col("ts").cast("string").alias("created_at"), F.col("text").alias("content"), "embedding")
+
+
+def e01_provenance_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evidence.provenance_view(foreign(spark, sf_dir))
+    return found.select("memory_id", "chunk_id", "chunk_index", "source_document_id", "source_title", "created_date", "modified_date", "fingerprint", F.md5("text").alias("text"))
+
+
+def e03_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest points to vector 0 with at most two chunks of a source, one source left out, as a tool tells them."""
+    view = evidence.provenance_view(foreign(spark, sf_dir))
+    found = recall.research(view, query_vector(spark, sf_dir), recall.tool_limit(0), ("FILE 6.md",), 2)
+    lines = recall.told(found.withColumns({"ts": F.lit(0), "memory_kind": F.lit("fact")}))
+    return found.select("memory_id", "fingerprint", F.round("score", 6).alias("score")).join(lines.select(F.regexp_extract("line", "memory_id=([^ ]+)", 1).alias("memory_id"), F.md5("line").alias("line")), "memory_id")
+
+
+def t46_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points to payloads and back, with the profile of their documents."""
+    p = points(spark, sf_dir).select("memory_id", "ts", F.when(F.col("doc_id") % 2 == 0, F.col("project")).alias("project"), "canonical", F.array("speaker", "status").alias("tags"))
+    back = catalog.from_payloads(catalog.payloads(p), "ts long, project string, canonical boolean, tags array<string>, extra string")
+    profile = catalog.document_profile(points(spark, sf_dir).withColumn("ai_model", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("memory_kind"))))
+    return back.select("memory_id", "ts", "project", "canonical", F.array_join("tags", ",").alias("tags"), "extra", T.clean_title(F.concat_ws("_", "memory_id", F.lit("of.md"))).alias("title")).join(profile)
+
+
+def a16_reflection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    return reflection.by_phase_and_depth(p.select(F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("phase"), F.when(F.col("doc_id") % 2 == 0, "deep").otherwise("shallow").alias("depth"), (F.col("doc_id") % 10 / 10).alias("confidence")))
+
+
+QUERIES = {f.__name__: f for f in (e01_provenance_view, e03_research, t46_payloads, a16_reflection_counts, t06_text_functions, t26_times, f02_filters, g18_backfill_rekey, a08_branches, a12_missing_fields, a03_titles, a22_thoughts, e10_information_gain, e14_strategies, e16_cycles, e12_uncertainties, e05_envelopes, r17_seeds, n02_anchors, n09_trace, v04_vectors, r10_canonical_first, r12_source_cap, r15_document_chunks, r24_overlap, a17_section_summary, l01_offset_page, c09_timeline_candidates, c12_proposed_run, c13_review_queue, q06_user_support, x05_reflection_run)}
 
 OPENED_SQL = f"""{POINTS_SQL}, opened AS (SELECT *, [{quoted(OPENINGS)}][doc_id % {len(OPENINGS)} + 1] || ' ' || substring(text, 1, 60) AS said FROM points)"""
 STOP_SQL = quoted(T.STOP_WORDS)
@@ -372,5 +404,14 @@ SELECT memory_id, role, CASE WHEN role = 'assistant' THEN CASE WHEN supported TH
   SELECT count(*) FILTER (doc_id % 2 = 0) AS safe, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 5 = 0) AS reflected_before, count(*) FILTER (doc_id % 3 = 0) AS told, count(*) FILTER (doc_id % 3 = 0 AND doc_id % 4 = 0) AS contradictions FROM points)
 SELECT p.memory_id, t.memory_id IS NOT NULL AS reflected, CASE WHEN t.memory_id IS NOT NULL THEN 'p' || (p.doc_id % 2) END AS reflection_phase, CASE WHEN t.memory_id IS NOT NULL THEN p.doc_id % 10 / 10::DOUBLE END AS reflection_confidence, coalesce(p.doc_id % 2 = 1 AND p.speaker = 'assistant' AND t.r <= 10, false) AS top, c.* FROM points p LEFT JOIN told t ON t.memory_id = p.memory_id, c""",
 }
+FOREIGN_SQL = f"""{VECTORS_SQL}, seen AS (SELECT *, CASE WHEN doc_id % 3 > 0 THEN conversation_id ELSE '' END AS document, trim(source_title) AS title FROM vectors), viewed AS (
+  SELECT *, CASE WHEN document <> '' THEN document ELSE title END AS fingerprint FROM seen)"""
+SQL["e01_provenance_view"] = f"WITH {FOREIGN_SQL} SELECT memory_id, memory_id AS chunk_id, (doc_id % 7)::INT AS chunk_index, document AS source_document_id, title AS source_title, {WRITTEN.format('ts')} AS created_date, '' AS modified_date, fingerprint, md5(trim(text)) AS text FROM viewed"
+SQL["e03_research"] = f"""WITH {FOREIGN_SQL}, q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), found AS (SELECT *, round(list_cosine_similarity(embedding, q), 9) AS score FROM viewed, q ORDER BY score DESC, memory_id LIMIT 40), capped AS (
+  SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY score DESC, memory_id) AS n FROM found WHERE lower(fingerprint) <> 'file 6.md' AND lower(title) <> 'file 6.md'), best AS (SELECT * FROM capped WHERE n <= 2 ORDER BY score DESC, memory_id LIMIT 8), placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, memory_id) AS place FROM best)
+SELECT memory_id, fingerprint, round(score, 6) AS score, md5('[' || place || '] memory_id=' || memory_id || ' kind=fact score=' || printf('%.3f', score) || chr(10) || '    ' || CASE WHEN length(trim(text)) > 300 THEN substring(trim(text), 1, 297) || '...' ELSE trim(text) END) AS line FROM placed"""
+SQL["t46_payloads"] = f"""WITH {POINTS_SQL}, d AS (SELECT count(*) AS documents, round(avg(n), 6) AS chunks_per_document FROM (SELECT count(*) AS n FROM points GROUP BY conversation_id)), m AS (SELECT memory_kind AS model FROM points WHERE doc_id % 3 <> 0 GROUP BY 1 ORDER BY count(*) DESC, model LIMIT 1)
+SELECT memory_id, ts, CASE WHEN doc_id % 2 = 0 THEN project END AS project, canonical, speaker || ',' || status AS tags, NULL::VARCHAR AS extra, replace(memory_id, '_', ' ') || ' of' AS title, d.*, m.* FROM points, d, m"""
+SQL["a16_reflection_counts"] = f"WITH {POINTS_SQL} SELECT 'p' || (doc_id % 3) AS phase, CASE WHEN doc_id % 2 = 0 THEN 'deep' ELSE 'shallow' END AS depth, count(*) AS n, round(avg(doc_id % 10 / 10::DOUBLE), 6) AS mean_confidence FROM points GROUP BY ALL"
 OF_TRANSCRIPTS = CURATION_SQL["n05_lineage"].replace("a AS (SELECT * FROM e)", "a AS (SELECT * FROM e WHERE source_type = 'transcript')")
 SQL["n09_trace"] = f"SELECT round(least(greatest(0.55 * 0.8 + 0.45 * avg(confidence) - 0.05 * 2, 0), 1), 6)::DOUBLE AS confidence FROM ({OF_TRANSCRIPTS})"

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clock
+from ..functions.text import clean_title, clock
 
 # Endings of the files that are taken, and what they are called.
 KINDS = {
@@ -53,7 +53,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("value").alias("body"))
     kind = F.lower(F.element_at(F.split("file", r"\."), -1))
     files = files.where(~F.col("file").startswith(".") & kind.isin(*TEXT_KINDS) & (F.trim("body") != ""))
-    return files.select(F.col("file").alias("source_title"), kind.alias("kind"), F.concat(F.lit("["), F.translate(F.regexp_replace("file", r"\.[^.]*$", ""), "_", " "), F.lit("]\n\n"), F.trim("body")).alias("text"))
+    return files.select(F.col("file").alias("source_title"), kind.alias("kind"), F.concat(F.lit("["), clean_title(F.col("file")), F.lit("]\n\n"), F.trim("body")).alias("text"))
 
 
 def safe_name(name: str) -> bool:
