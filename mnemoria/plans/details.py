@@ -233,10 +233,9 @@ def c09_timeline_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c12_proposed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counters of a whole run against a canon of its own earlier proposals."""
+    """The counters of a whole run against an empty canon."""
     p = points(spark, sf_dir)
-    earlier, _ = canon.proposed(p.where("doc_id % 2 = 0"), found_candidates(spark, sf_dir).where("false"))
-    return canon.proposed(p, earlier)[1]
+    return canon.proposed(p, found_candidates(spark, sf_dir).where("false"))[1]
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,5 +412,12 @@ SELECT memory_id, fingerprint, round(score, 6) AS score, md5('[' || place || ']
 SQL["t46_payloads"] = f"""WITH {POINTS_SQL}, d AS (SELECT count(*) AS documents, round(avg(n), 6) AS chunks_per_document FROM (SELECT count(*) AS n FROM points GROUP BY conversation_id)), m AS (SELECT memory_kind AS model FROM points WHERE doc_id % 3 <> 0 GROUP BY 1 ORDER BY count(*) DESC, model LIMIT 1)
 SELECT memory_id, ts, CASE WHEN doc_id % 2 = 0 THEN project END AS project, canonical, speaker || ',' || status AS tags, NULL::VARCHAR AS extra, replace(memory_id, '_', ' ') || ' of' AS title, d.*, m.* FROM points, d, m"""
 SQL["a16_reflection_counts"] = f"WITH {POINTS_SQL} SELECT 'p' || (doc_id % 3) AS phase, CASE WHEN doc_id % 2 = 0 THEN 'deep' ELSE 'shallow' END AS depth, count(*) AS n, round(avg(doc_id % 10 / 10::DOUBLE), 6) AS mean_confidence FROM points GROUP BY ALL"
+SQL["c12_proposed_run"] = f"""WITH {CLUSTERS_SQL}, ends AS (SELECT *, row_number() OVER (ORDER BY ts, memory_id) AS a, row_number() OVER (ORDER BY ts DESC, memory_id DESC) AS z FROM points WHERE NOT canonical), every AS (
+  SELECT candidate_id, project, memory_kind, ts, summary, len(source_ids) > 0 AND len(quotes) > 0 AS sourced FROM candidates
+  UNION ALL SELECT 'cand_' || sha1('timeline_first|' || memory_id || {WRITTEN.format('ts')})[1:16], project, 'canonical_timeline', ts, 'First known', true FROM ends WHERE a = 1
+  UNION ALL SELECT 'cand_' || sha1('timeline_current|' || memory_id || {WRITTEN.format('ts')})[1:16], project, 'canonical_timeline', ts, 'Current direction', true FROM ends WHERE z = 1), firsts AS (
+  SELECT *, first_value(candidate_id) OVER w AS first_id, first_value(summary) OVER w AS first_summary FROM every WINDOW w AS (PARTITION BY lower(project || '|' || memory_kind) ORDER BY ts, candidate_id)), contra AS (
+  SELECT project, summary, sourced, CASE WHEN candidate_id <> first_id THEN 'contradiction_note' ELSE memory_kind END AS kind FROM firsts WHERE candidate_id = first_id OR lower(summary) <> lower(first_summary))
+SELECT count(DISTINCT lower(project || '|' || kind || '|' || summary)) FILTER (sourced) AS candidates, count(*) - count(DISTINCT lower(project || '|' || kind || '|' || summary)) FILTER (sourced) AS skipped, count(*) FILTER (kind = 'contradiction_note') AS contradictions FROM contra"""
 OF_TRANSCRIPTS = CURATION_SQL["n05_lineage"].replace("a AS (SELECT * FROM e)", "a AS (SELECT * FROM e WHERE source_type = 'transcript')")
 SQL["n09_trace"] = f"SELECT round(least(greatest(0.55 * 0.8 + 0.45 * avg(confidence) - 0.05 * 2, 0), 1), 6)::DOUBLE AS confidence FROM ({OF_TRANSCRIPTS})"
