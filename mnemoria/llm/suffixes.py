@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_key, materialize, shuffle_partitions
+from .common import hot_keys, materialize, shuffle_partitions
 
 LENGTH = 100
 #: Lengths of the grams that assign windows, round by round.
@@ -486,8 +486,10 @@ def merged(runs: DataFrame, further: bool) -> DataFrame:
 def still_open(outcome: DataFrame) -> DataFrame:
     """``(doc, base, text)``: blocks whose gram another block has too. A gram may be in a third of them."""
     blocks_left = outcome.where("text is not null").select("doc", F.col("place").alias("base"), "text", "gram")
-    shared = materialize(blocks_left.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
-    return join_by_key(blocks_left, shared, "gram").drop("gram")
+    shared = materialize(blocks_left.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "suffix-grams")
+    hot = F.broadcast(hot_keys(shared, "gram", "n", blocks_left.count()))
+    rest = blocks_left.join(hot, "gram", "left_anti").join(shared.select("gram"), "gram", "left_semi")
+    return blocks_left.join(hot, "gram", "left_semi").unionByName(rest).drop("gram")
 
 
 def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
