@@ -368,7 +368,7 @@ def test_neighbours(spark):
     books = train(drawn)
     assert recall(clean, neighbours(table, books=books, rerank=64).collect()) >= 0.9
     none = Codebooks(np.zeros_like(books.words))
-    assert recall(clean, neighbours(table, books=none).collect()) < 0.2
+    assert recall(clean, neighbours(table, books=none, rerank=64).collect()) < 0.2
 
 
 def test_cells_of_few_queries(spark, small, monkeypatch):
