@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = local_folder()
     return found.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def local_folder() -> str:
+    """A temporary folder for local sessions, one for each process of the driver."""
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def materialize(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
