@@ -28,7 +28,7 @@ BOOKS, WORDS, BEAM = 32, 128, 4
 #: The codebooks are fitted on at most so many vectors, those of the least hash of their id.
 SAMPLE = 8192
 #: Vectors of the whole index that are ranked again for each query.
-RERANK = 512
+RERANK = 128
 #: Queries of a cell at most, codes that make a cell of their own, and queries scored together.
 CELL_QUERIES, CELL_CODES, CHUNK = 1 << 16, 1 << 13, 64
 SALTS = 16
