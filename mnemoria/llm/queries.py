@@ -18,6 +18,7 @@ from .simhash import near_duplicates
 from .suffixes import substring_dedup
 from .tokens import token_counts
 from .urls import host_of, path_of, temporal_url_filter
+from .whitening import whitened
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
+        "op11_whitening": op11_whitening,
     }
 
 
