@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .additive import neighbours
 from .common import read_table
+from .factorisation import quality_scores
 from .lines import per_document
 from .mixing import mix
 from .packing import concatenate_and_cut
@@ -93,6 +94,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -106,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
         "op11_whitening": op11_whitening,
+        "op13_quality_classifier": op13_quality_classifier,
     }
 
 
