@@ -14,6 +14,7 @@ from .lines import per_document
 from .mixing import mix
 from .packing import concatenate_and_cut
 from .pii import BASE_KINDS, personal_data
+from .prefixtrie import prefix_trie
 from .quality import quality
 from .simhash import near_duplicates
 from .suffixes import substring_dedup
@@ -94,6 +95,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -111,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_source_mix": op10_source_mix,
         "op11_whitening": op11_whitening,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_quality_classifier": op13_quality_classifier,
     }
 
@@ -189,5 +195,47 @@ FROM captures c LEFT JOIN matches USING (page_id)
 """
 
 
+#: Prefixes of all rebuilt conversations as lists of digests; CRC-32 is taken bit by bit over the digits.
+OP12_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, count(*) AS n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(c::VARCHAR, ''), lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END), 4294967295) % 4 AS h
+  FROM turns GROUP BY c
+), led AS (
+  SELECT convs.c, t.pos AS i, t.t, t.w FROM convs JOIN turns t ON t.c = convs.c - convs.c % 20 AND t.pos <= convs.h
+), own AS (
+  SELECT turns.c, 3 + turns.pos AS i, t, w FROM turns JOIN convs ON turns.c = convs.c AND turns.pos > convs.h
+), listed AS (
+  SELECT c, list(t ORDER BY i) AS t, list(w ORDER BY i) AS w FROM (SELECT * FROM led UNION ALL SELECT * FROM own) GROUP BY c
+), whole AS (
+  SELECT convs.c, coalesce(t, []) AS t, coalesce(w, []) AS w, coalesce(len(t), 0) AS size FROM convs LEFT JOIN listed ON convs.c = listed.c
+), prefixes AS (
+  SELECT c, size, unnest(range(size + 1)) AS d, t, w FROM whole
+), members AS (
+  SELECT c, size, d, t[1:d] AS prefix, t[1:d - 1] AS above, CASE WHEN d = 0 THEN 0 ELSE w[d] END AS w FROM prefixes
+), nodes AS (
+  SELECT d, prefix, any_value(above) AS above, min(c) AS c, count(*) AS n, any_value(w) AS w, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d) AS ends FROM members GROUP BY d, prefix
+), children AS (
+  SELECT d - 1 AS d, above AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), told AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, p.c AS parent FROM nodes
+  LEFT JOIN children ON nodes.d = children.d AND nodes.prefix = children.prefix
+  LEFT JOIN nodes p ON p.d = nodes.d - 1 AND p.prefix = nodes.above
+), spread AS (
+  SELECT unnest(range(d + 1)) AS d, prefix AS p, (n - 1) * w AS saved, (n_children = 0)::INT AS leaf FROM told
+), summed AS (
+  SELECT d, p[1:d] AS prefix, sum(saved) AS saved, sum(leaf) AS leaves FROM spread GROUP BY ALL
+)
+SELECT told.c::BIGINT AS conv_id, told.d::BIGINT AS depth, told.parent::BIGINT AS parent_conv_id, told.n::BIGINT AS n_convs, told.n_children::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM told JOIN summed ON told.d = summed.d AND told.prefix = summed.prefix
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_temporal_url_filter": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_temporal_url_filter": OP5_SQL, "op12_prefix_trie": OP12_SQL}
