@@ -43,5 +43,12 @@ def candidate_id(cluster: Column, summary: Column) -> Column:
 
 
 def evidence_fingerprint(question: Column, strategy: Column, sources: Column, summary: Column) -> Column:
-    """Equal for the same finding whatever the order of its sources."""
-    return F.sha1(F.concat_ws("|", F.lower(F.trim(question)), strategy, F.array_join(F.array_sort(F.array_distinct(sources)), ","), F.lower(F.trim(summary))))
+    """Equal for the same finding whatever the order of its sources, case and spaces of its question."""
+    asked = F.lower(F.trim(F.regexp_replace(question, r"\s+", " ")))
+    return F.sha1(F.encode(F.concat_ws("||", asked, strategy, F.array_join(F.array_sort(sources), ","), F.lower(F.trim(summary))), "UTF-8"))
+
+
+def strategy_fingerprint(strategy: Column, question: Column, sources: Column) -> Column:
+    """Equal for the same results of a strategy; sources that are blank or repeated do not count."""
+    named = F.array_sort(F.array_distinct(F.filter(F.transform(sources, F.trim), lambda s: s != "")))
+    return F.sha1(F.encode(F.concat_ws("||", strategy, F.lower(F.trim(question)), F.array_join(named, ",")), "UTF-8"))

@@ -271,12 +271,15 @@ def information_gain(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def exhausted(outcomes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Strategies left for each uncertainty, by successes against uses, the first listed on ties."""
+    """The strategy that each uncertainty takes next, by successes against uses; to freeze where all are gone.
+
+    Only a score that is not below 0 is better than being the first that is left; the first of equal ones stays.
+    """
     used = outcomes.groupBy("uncertainty", "strategy").agg(F.count("*").alias("usage"), F.count_if("success").alias("successes"), F.bool_or("exhausted").alias("gone"))
-    met = candidates.join(used, ["uncertainty", "strategy"], "left").where(~F.coalesce("gone", F.lit(False)))
+    met = candidates.join(used, ["uncertainty", "strategy"], "left")
     score = 3 * F.coalesce("successes", F.lit(0)) - F.coalesce("usage", F.lit(0))
-    best = F.row_number().over(Window.partitionBy("uncertainty").orderBy(score.desc(), "pos"))
-    return met.withColumn("score", score).withColumn("n", best).where("n = 1").select("uncertainty", "strategy", "score")
+    best = F.min(F.when(~F.coalesce("gone", F.lit(False)), F.struct((-F.greatest(score, F.lit(-1))).alias("place"), "pos", "strategy", score.alias("score")))).alias("b")
+    return met.groupBy("uncertainty").agg(best).select("uncertainty", F.coalesce("b.strategy", F.lit("FREEZE_BRANCH")).alias("strategy"), "b.score")
 
 
 def cycles(history: Column) -> Column:

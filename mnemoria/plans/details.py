@@ -118,8 +118,9 @@ def e10_information_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e14_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strategy that is left with the best record."""
     m = messages(spark, sf_dir)
-    outcomes = m.select(F.col("conversation_id").alias("uncertainty"), F.concat(F.lit("s"), (F.col("turn") % 3).cast("string")).alias("strategy"), (F.char_length("text") % 2 == 0).alias("success"), (F.col("turn") % 7 == 4).alias("exhausted"))
-    offered = m.select(F.col("conversation_id").alias("uncertainty")).distinct().select("uncertainty", F.posexplode(F.array(*map(F.lit, ("s0", "s1", "s2", "s3")))).alias("pos", "strategy"))
+    outcomes = m.select(F.col("conversation_id").alias("uncertainty"), F.concat(F.lit("s"), (F.col("turn") % 3).cast("string")).alias("strategy"), (F.char_length("text") % 2 == 0).alias("success"), ((F.col("turn") % 7 == 4) | (F.col("ts") / 86400 % 9 < 1)).alias("exhausted"))
+    listed = F.when(F.col("uncertainty").cast("long") % 2 == 0, F.array(*map(F.lit, ("s0", "s1")))).otherwise(F.array(*map(F.lit, ("s0", "s1", "s2", "s3"))))
+    offered = m.select(F.col("conversation_id").alias("uncertainty")).distinct().select("uncertainty", F.posexplode(listed).alias("pos", "strategy"))
     return evidence.exhausted(outcomes, offered)
 
 
@@ -333,7 +334,7 @@ SQL = {
 SELECT memory_id, round(len(list_intersect(a, b)) / len(a)::DOUBLE, 6) AS overlap, {any_of('lower(said)', T.CONTRADICTIONS)} AS contradicts, array_to_string(k, ' ') AS kept, trim(regexp_replace(lower(said), '\\s+', ' ', 'g')) AS key,
   {signal_sql(1)} AS kind, ({signal_sql(2)})::DOUBLE AS importance, {signal_sql(3)} AS tag, CASE WHEN doc_id % 3 = 1 THEN 'image/png' WHEN doc_id % 3 = 0 THEN 'application/pdf' ELSE '' END AS mime, CASE WHEN doc_id % 2 = 0 THEN 'one+two' ELSE '' END AS suggested,
   memory_id AS ref, upper(project) || '+X' AS listed, 'A:first:1+H3:' || project || ':3+H4:third:4' AS hypotheses,
-  sha1('q ' || project || '|s|' || array_to_string(list_sort(list_distinct([speaker, project])), ',') || '|' || memory_kind) AS fingerprint FROM w""",
+  sha1('q ' || project || '||s||' || array_to_string(list_sort([speaker, project, speaker]), ',') || '||' || memory_kind) AS fingerprint FROM w""",
     "t26_times": f"""WITH {POINTS_SQL} SELECT memory_id, CASE WHEN doc_id % 6 IN (0, 1, 2) THEN {WRITTEN.format('ts')} WHEN doc_id % 6 = 3 THEN strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT00:00:00Z') ELSE '' END AS any_form,
   CASE doc_id % 6 WHEN 0 THEN 'number' WHEN 1 THEN 'number' WHEN 4 THEN 'missing_timestamp' WHEN 5 THEN 'malformed_timestamp' END AS warning,
   CASE doc_id % 6 WHEN 2 THEN {WRITTEN.format('ts')} WHEN 3 THEN strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT00:00:00Z') WHEN 4 THEN '2000-01-01T00:00:00Z' ELSE '' END AS strict FROM points""",
@@ -348,10 +349,11 @@ SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT 'user points', count(
   SELECT *, row_number() OVER (PARTITION BY session_id, thought_type ORDER BY ts DESC, thought_id DESC)::INT AS place, count(*) OVER (PARTITION BY session_id, thought_type) AS n FROM told)
 SELECT session_id, thought_type, thought_id, place, n, CASE WHEN known THEN 'rediscovery' ELSE 'new' END AS status, CASE WHEN known THEN 'LOW' ELSE 'HIGH' END AS gain, turn % 3 = 1 AND thought_type = 'user' AS about FROM placed WHERE place <= 2""",
     "e10_information_gain": "SELECT unnest(['moved', 'same', 'reordered']) AS case, unnest(['MEDIUM', 'LOW', 'HIGH']) AS gain",
-    "e14_strategies": f"""WITH {MESSAGES_SQL}, o AS (SELECT conversation_id AS uncertainty, 's' || (turn % 3) AS strategy, count(*) AS usage, count(*) FILTER (length(text) % 2 = 0) AS successes, bool_or(turn % 7 = 4) AS gone FROM messages GROUP BY ALL), c AS (
-  SELECT DISTINCT conversation_id AS uncertainty, s.strategy, s.pos FROM messages, (VALUES ('s0', 0), ('s1', 1), ('s2', 2), ('s3', 3)) s(strategy, pos)), r AS (
-  SELECT c.*, 3 * coalesce(successes, 0) - coalesce(usage, 0) AS score FROM c LEFT JOIN o USING (uncertainty, strategy) WHERE NOT coalesce(gone, false))
-SELECT uncertainty, strategy, score FROM (SELECT *, row_number() OVER (PARTITION BY uncertainty ORDER BY score DESC, pos) AS n FROM r) WHERE n = 1""",
+    "e14_strategies": f"""WITH {MESSAGES_SQL}, o AS (SELECT conversation_id AS uncertainty, 's' || (turn % 3) AS strategy, count(*) AS usage, count(*) FILTER (length(text) % 2 = 0) AS successes, bool_or(turn % 7 = 4 OR ts / 86400 % 9 < 1) AS gone FROM messages GROUP BY ALL), c AS (
+  SELECT DISTINCT conversation_id AS uncertainty, s.strategy, s.pos FROM messages, (VALUES ('s0', 0), ('s1', 1), ('s2', 2), ('s3', 3)) s(strategy, pos) WHERE conversation_id::BIGINT % 2 = 1 OR pos < 2), r AS (
+  SELECT c.*, 3 * coalesce(successes, 0) - coalesce(usage, 0) AS score FROM c LEFT JOIN o USING (uncertainty, strategy) WHERE NOT coalesce(gone, false)), f AS (
+  SELECT DISTINCT ON (uncertainty) uncertainty, strategy, score FROM r ORDER BY uncertainty, CASE WHEN score >= 0 THEN -score ELSE 1 END, pos)
+SELECT uncertainty, coalesce(strategy, 'FREEZE_BRANCH') AS strategy, score FROM (SELECT DISTINCT uncertainty FROM c) LEFT JOIN f USING (uncertainty)""",
     "e16_cycles": f"""WITH {MESSAGES_SQL}, s AS (SELECT conversation_id, list(length(text) % 2 ORDER BY turn) AS h FROM messages GROUP BY 1)
 SELECT conversation_id, len(list_filter(range(2, len(h) // 2 + 1), lambda k: h[len(h) - k + 1:] = h[len(h) - 2 * k + 1:len(h) - k])) > 0 AS cycles FROM s""",
     "e12_uncertainties": f"""WITH {STATES_SQL}, q AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'RETRIEVAL_LIMIT' ELSE 'EVIDENCE_GAP' END AS now, ((k % 10) / 10::DOUBLE > 0 AND (k % 10) / 10::DOUBLE < 0.6) OR tier IN ({quoted(evidence.WEAK_TIERS)}) AS weak, lower(question) AS lq FROM states)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation, details, recall
+from . import curation, details, recall, research
 
-QUERIES = recall.QUERIES | curation.QUERIES | details.QUERIES
-SQL = recall.SQL | curation.SQL | details.SQL
+QUERIES = recall.QUERIES | curation.QUERIES | details.QUERIES | research.QUERIES
+SQL = recall.SQL | curation.SQL | details.SQL | research.SQL
