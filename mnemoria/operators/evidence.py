@@ -1,4 +1,4 @@
-"""Evidence against hypotheses, sources and their lineage."""
+"""Evidence against hypotheses and its sources."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..functions.text import RELATIONS, concepts, contains_any, family_key, hedged, negated
+from ..functions.text import RELATIONS, concepts, contains_any, hedged, negated
 from .recall import bounded
 
 # Relevance, and what a piece of evidence moves.
@@ -27,10 +27,6 @@ TIERS = {
 }
 
 
-#: Parts into which the members of a title are dealt.
-FAMILY_SALTS = 4
-
-
 def tier(source_type: Column, title: Column) -> Column:
     """The tier of a source; the order of the rules matters."""
     kind, name = F.lower(F.trim(F.coalesce(source_type, F.lit("")))), F.lower(F.trim(F.coalesce(title, F.lit(""))))
@@ -300,55 +296,6 @@ def neighbours(chunks: DataFrame, anchors: DataFrame, window: int, document: str
     return numbered.join(asked, [document, "place"]).select("anchor_id", "memory_id", "place")
 
 
-def nodes(points: DataFrame) -> DataFrame:
-    """What edges are made from."""
-    return points.select("memory_id", "source_type", F.col("conversation_id").alias("document"), family_key(F.col("source_title")).alias("family"), "ts", tier(F.col("source_type"), F.col("source_title")).alias("tier"), "chunk_index", "parent_id", "cites")
-
-
-def lineage(points: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``from_id, to_id, relation, confidence``: edges of the anchors by derivation, citation, family and order.
-
-    What links two points is written as a key on either side, a relation and a value; one equality join over all
-    keys finds the edges. A title that very many points share is met by salted keys of the anchors.
-    """
-    every = nodes(points)
-    a = every.join(anchors.select("memory_id"), "memory_id", "left_semi")
-    text = lambda c: F.col(c).cast("string")
-    own, parent = F.col("memory_id"), F.col("parent_id")
-    salt = F.pmod(F.xxhash64("memory_id"), F.lit(FAMILY_SALTS))
-    salts = F.sequence(F.lit(0), F.lit(FAMILY_SALTS - 1))
-    place = lambda shift: F.concat(text("document"), F.lit("#"), (F.col("chunk_index") + shift).cast("string"))
-    key = lambda relation, value: F.struct(F.lit(relation).alias("link"), value.alias("value"))
-    listed = lambda relation, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: key(relation, v))
-    one = lambda relation, value: F.array(key(relation, value))
-    of_anchor = F.concat(one("parent", parent), one("child", own), listed("cites", F.col("cites")), one("cited", own), F.when(F.col("family") != "", F.transform(salts, lambda n: key("family", F.concat_ws("#", n.cast("string"), F.col("family"))))).otherwise(F.array().cast("array<struct<link: string, value: string>>")), one("next", place(1)))
-    of_node = F.concat(one("parent", own), one("child", parent), one("cites", own), listed("cited", F.col("cites")), F.when(F.col("family") != "", one("family", F.concat_ws("#", salt.cast("string"), F.col("family")))).otherwise(F.array().cast("array<struct<link: string, value: string>>")), one("next", place(0)))
-    left = a.select("memory_id", "document", "source_type", "ts", F.explode(of_anchor).alias("k")).select(*(F.col(c).alias(f"a_{c}") for c in ("memory_id", "document", "source_type", "ts")), "k.link", "k.value").where("value is not null")
-    right = every.select("memory_id", "document", "source_type", "ts", F.explode(of_node).alias("k")).select("memory_id", "document", "source_type", "ts", "k.link", "k.value").where("value is not null")
-    met = right.join(left, ["link", "value"])
-    edge = lambda source, target, relation, confidence: F.struct(text(source).alias("from_id"), text(target).alias("to_id"), F.lit(relation).alias("relation"), confidence.cast("double").alias("confidence"))
-    after = (F.col("link") == "family") & (F.col("document") != F.col("a_document")) & (F.col("ts") != F.col("a_ts"))
-    family = edge("a_memory_id", "memory_id", "same_family", F.when(F.col("source_type") == F.col("a_source_type"), 0.66).otherwise(0.58))
-    edges = F.array_compact(F.array(
-        F.when(F.col("link") == "parent", edge("a_memory_id", "memory_id", "derived_from", F.lit(0.92))),
-        F.when(F.col("link") == "child", edge("memory_id", "a_memory_id", "derived_from", F.lit(0.90))),
-        F.when(F.col("link") == "cites", edge("a_memory_id", "memory_id", "cites", F.lit(0.88))),
-        F.when(F.col("link") == "cited", edge("memory_id", "a_memory_id", "cites", F.lit(0.88))),
-        F.when((F.col("link") == "family") & (F.col("memory_id") != F.col("a_memory_id")), family),
-        F.when(after & (F.col("ts") < F.col("a_ts")), edge("memory_id", "a_memory_id", "precedes", F.lit(0.69))),
-        F.when(after & (F.col("ts") > F.col("a_ts")), edge("a_memory_id", "memory_id", "precedes", F.lit(0.69))),
-        F.when(F.col("link") == "next", edge("a_memory_id", "memory_id", "next_in_source", F.lit(0.82))),
-    ))
-    return met.select(F.explode(edges).alias("e")).groupBy("e.from_id", "e.to_id", "e.relation").agg(F.max("e.confidence").alias("confidence"))
-
-
-def trace_confidence(edges: DataFrame, tier_weight: float, weaknesses: int) -> DataFrame:
-    """How far a trace can be trusted."""
-    mean = edges.agg(F.avg("confidence").alias("m"))
-    raw = F.when(F.col("m").isNull(), F.lit(0.65 * tier_weight)).otherwise(0.55 * tier_weight + 0.45 * F.col("m")) - 0.05 * weaknesses
-    return mean.select(F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 6).alias("confidence"))
-
-
 def recorded(thoughts: DataFrame, history: DataFrame) -> DataFrame:
     """New thoughts; one with a fingerprint known in its session is a rediscovery of low gain."""
     known = history.select("session_id", "fingerprint", F.lit(True).alias("known")).distinct()

@@ -189,11 +189,6 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).withColumn("parent_id", parent).withColumn("cites", cites).withColumn("chunk_index", F.col("doc_id"))
 
 
-def n05_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = linked(spark, sf_dir)
-    return evidence.lineage(p, p)
-
-
 def t04_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence_rows(spark, sf_dir).select("evidence_id", F.array_join(F.array_sort(T.concepts(F.col("text"))), ",").alias("concepts"), T.negated(F.col("text")).alias("negated"), T.hedged(F.col("text")).alias("hedged"))
 
@@ -202,7 +197,7 @@ def t13_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("memory_id", T.family_key(F.col("source_title")).alias("family"), T.cluster_key(F.concat_ws(" | ", "project", "memory_kind")).alias("cluster"), T.clean_id(F.col("source_title")).alias("clean"), T.clock(F.col("doc_id") * 37).alias("clock"), T.speaker_role(F.col("speaker")).alias("role"))
 
 
-QUERIES = {f.__name__: f for f in (g01_chunks, g03_turn_windows, g06_ingest_points, g10_missing_points, g12_rewrite_map, g16_counters, j17_archive_matches, c04_clusters, c05_candidates, c09_timeline, c10_contradictions, c11_curated, q01_chunk_positions, q03_project_hints, q13_cleaned_points, q14_cleanup_summary, x01_pending, x02_worker_slots, x04_decisions, r14_neighbours, e06_polarity, e08_model_update, e11_provenance, n05_lineage, t04_concepts, t13_keys)}
+QUERIES = {f.__name__: f for f in (g01_chunks, g03_turn_windows, g06_ingest_points, g10_missing_points, g12_rewrite_map, g16_counters, j17_archive_matches, c04_clusters, c05_candidates, c09_timeline, c10_contradictions, c11_curated, q01_chunk_positions, q03_project_hints, q13_cleaned_points, q14_cleanup_summary, x01_pending, x02_worker_slots, x04_decisions, r14_neighbours, e06_polarity, e08_model_update, e11_provenance, t04_concepts, t13_keys)}
 
 
 def ordinal(x: str) -> str:
@@ -374,15 +369,6 @@ SELECT hypothesis_id, new_confidence, new_strength, new_rank, new_rank - rank AS
   round(new_confidence - confidence, 6) AS confidence_delta, n_support, n_counter, n_ambiguous, md5(array_to_string(list_sort(si), ',')) AS support_ids, md5(array_to_string(list_sort(ci), ',')) AS counter_ids, md5(array_to_string(list_sort(ai), ',')) AS ambiguous_ids FROM r""",
     "e11_provenance": f"""WITH {POINTS_SQL}, t AS (SELECT conversation_id, {TIER_SQL} AS tier, count(*) AS n FROM points GROUP BY 1, 2), w(tier, w, r) AS (VALUES {', '.join(f"('{t}', {w}::DOUBLE, {r})" for t, (w, r) in evidence.TIERS.items())})
 SELECT conversation_id, round(sum(w * n) / sum(n), 6) AS score, max_by(tier, r) AS best, string_agg(tier || '=' || n, ',' ORDER BY tier) AS profile FROM t JOIN w USING (tier) GROUP BY 1""",
-    "n05_lineage": f"""WITH {POINTS_SQL}, e AS (SELECT *, {FAMILY_SQL} AS family FROM points), a AS (SELECT * FROM e), edges AS (
-  SELECT a.memory_id AS from_id, e.memory_id AS to_id, 'derived_from' AS relation, 0.92 AS confidence FROM a JOIN e ON a.doc_id % 3 = 2 AND e.doc_id = a.doc_id - 1
-  UNION ALL SELECT e.memory_id, a.memory_id, 'derived_from', 0.90 FROM a JOIN e ON e.doc_id % 3 = 2 AND e.doc_id - 1 = a.doc_id
-  UNION ALL SELECT a.memory_id, e.memory_id, 'cites', 0.88 FROM a JOIN e ON a.doc_id % 5 = 3 AND e.doc_id = a.doc_id - 2
-  UNION ALL SELECT e.memory_id, a.memory_id, 'cites', 0.88 FROM a JOIN e ON e.doc_id % 5 = 3 AND e.doc_id - 2 = a.doc_id
-  UNION ALL SELECT a.memory_id, e.memory_id, 'same_family', CASE WHEN a.source_type = e.source_type THEN 0.66 ELSE 0.58 END FROM a JOIN e ON a.family = e.family AND a.family <> '' AND a.memory_id <> e.memory_id
-  UNION ALL SELECT CASE WHEN e.ts < a.ts THEN e.memory_id ELSE a.memory_id END, CASE WHEN e.ts < a.ts THEN a.memory_id ELSE e.memory_id END, 'precedes', 0.69 FROM a JOIN e ON a.family = e.family AND a.family <> '' AND a.memory_id <> e.memory_id AND a.conversation_id <> e.conversation_id AND a.ts <> e.ts
-  UNION ALL SELECT a.memory_id, e.memory_id, 'next_in_source', 0.82 FROM a JOIN e ON a.conversation_id = e.conversation_id AND e.doc_id = a.doc_id + 1)
-SELECT from_id, to_id, relation, max(confidence)::DOUBLE AS confidence FROM edges GROUP BY 1, 2, 3""",
     "t04_concepts": f"WITH {SIGNS_SQL} SELECT evidence_id, array_to_string(list_sort(c), ',') AS concepts, negated, hedged FROM signs",
     "t13_keys": f"""WITH {POINTS_SQL} SELECT memory_id, {FAMILY_SQL} AS family, lower(project) || '_' || memory_kind AS cluster, replace(replace(lower(source_title), ' ', '_'), '.', '_') AS clean,
   CASE WHEN doc_id * 37 >= 3600 THEN lpad((doc_id * 37 // 3600)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad((doc_id * 37 // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((doc_id * 37 % 60)::VARCHAR, 2, '0') AS clock, CASE WHEN speaker = 'bot' THEN 'assistant' ELSE speaker END AS role FROM points""",

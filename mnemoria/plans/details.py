@@ -12,7 +12,6 @@ from ..functions.vectors import dimension_status
 from ..operators import canon, catalog, cleanup, evidence, ingest, predicates, recall, reflection
 from ..operators.predicates import SearchFilters, visible
 from .curation import CLUSTERS_SQL, any_of, found_candidates, linked, quoted
-from .curation import SQL as CURATION_SQL
 from .recall import BOOST, HIDDEN, QUERY, query_vector
 from .relations import MESSAGES_SQL, POINTS_SQL, VECTORS_SQL, messages, points, table, vectors
 
@@ -177,11 +176,6 @@ def n02_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(nodes, "memory_id").select("anchor", "memory_id", "score", F.array_join(lacks, "+").alias("lacks"))
 
 
-def n09_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = linked(spark, sf_dir)
-    return evidence.trace_confidence(evidence.lineage(p, p.where("source_type = 'transcript'")), 0.8, 2)
-
-
 def v04_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 5
     broken = F.when(n == 0, F.lit(None)).when(n == 1, F.slice("embedding", 1, 0)).when(n == 2, F.slice("embedding", 1, 7)).otherwise(F.col("embedding"))
@@ -307,7 +301,7 @@ def a16_reflection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reflection.by_phase_and_depth(p.select(F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("phase"), F.when(F.col("doc_id") % 2 == 0, "deep").otherwise("shallow").alias("depth"), (F.col("doc_id") % 10 / 10).alias("confidence")))
 
 
-QUERIES = {f.__name__: f for f in (e01_provenance_view, e03_research, t46_payloads, a16_reflection_counts, t06_text_functions, t26_times, f02_filters, g18_backfill_rekey, a08_branches, a12_missing_fields, a03_titles, a22_thoughts, e10_information_gain, e14_strategies, e16_cycles, e12_uncertainties, e05_envelopes, r17_seeds, n02_anchors, n09_trace, v04_vectors, r10_canonical_first, r12_source_cap, r15_document_chunks, r24_overlap, a17_section_summary, l01_offset_page, c09_timeline_candidates, c12_proposed_run, c13_review_queue, q06_user_support, x05_reflection_run)}
+QUERIES = {f.__name__: f for f in (e01_provenance_view, e03_research, t46_payloads, a16_reflection_counts, t06_text_functions, t26_times, f02_filters, g18_backfill_rekey, a08_branches, a12_missing_fields, a03_titles, a22_thoughts, e10_information_gain, e14_strategies, e16_cycles, e12_uncertainties, e05_envelopes, r17_seeds, n02_anchors, v04_vectors, r10_canonical_first, r12_source_cap, r15_document_chunks, r24_overlap, a17_section_summary, l01_offset_page, c09_timeline_candidates, c12_proposed_run, c13_review_queue, q06_user_support, x05_reflection_run)}
 
 OPENED_SQL = f"""{POINTS_SQL}, opened AS (SELECT *, [{quoted(OPENINGS)}][doc_id % {len(OPENINGS)} + 1] || ' ' || substring(text, 1, 60) AS said FROM points)"""
 STOP_SQL = quoted(T.STOP_WORDS)
@@ -421,5 +415,3 @@ SQL["c12_proposed_run"] = f"""WITH {CLUSTERS_SQL}, ends AS (SELECT *, row_number
   SELECT *, first_value(candidate_id) OVER w AS first_id, first_value(summary) OVER w AS first_summary FROM every WINDOW w AS (PARTITION BY lower(project || '|' || memory_kind) ORDER BY ts, candidate_id)), contra AS (
   SELECT project, summary, sourced, CASE WHEN candidate_id <> first_id THEN 'contradiction_note' ELSE memory_kind END AS kind FROM firsts WHERE candidate_id = first_id OR lower(summary) <> lower(first_summary))
 SELECT count(DISTINCT lower(project || '|' || kind || '|' || summary)) FILTER (sourced) AS candidates, count(*) - count(DISTINCT lower(project || '|' || kind || '|' || summary)) FILTER (sourced) AS skipped, count(*) FILTER (kind = 'contradiction_note') AS contradictions FROM contra"""
-OF_TRANSCRIPTS = CURATION_SQL["n05_lineage"].replace("a AS (SELECT * FROM e)", "a AS (SELECT * FROM e WHERE source_type = 'transcript')")
-SQL["n09_trace"] = f"SELECT round(least(greatest(0.55 * 0.8 + 0.45 * avg(confidence) - 0.05 * 2, 0), 1), 6)::DOUBLE AS confidence FROM ({OF_TRANSCRIPTS})"

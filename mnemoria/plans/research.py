@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drill, evidence
-from .curation import TIER_SQL, quoted
+from ..operators import drill, evidence, lineage
+from .curation import FAMILY_SQL, TIER_SQL, quoted
 from .relations import MESSAGES_SQL, POINTS_SQL, messages, points, table
 
 
@@ -75,7 +75,38 @@ def e20_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("session_id", "step", "uncertainty", "question", "strategy", "evidence", "thoughts", "gain", "status", "duplicate", "negative", "tier", F.array_join("remaining", ",").alias("remaining"), F.array_join("exhausted", ",").alias("exhausted"))
 
 
-QUERIES = {f.__name__: f for f in (e15_availability, e19_dispatch, e20_run)}
+SOURCES = [
+    "memory_id", "conversation_id AS source_id", "concat('book_', doc_id - doc_id % 3) AS document_id", "source_title", "CASE WHEN doc_id % 11 = 4 THEN '' WHEN doc_id % 11 = 5 THEN 'Slides' ELSE source_type END AS source_type", "doc_id",
+    "cast(CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 50 END AS int) AS chunk_index", "CASE WHEN doc_id % 3 = 0 THEN concat('a_turn_', doc_id % 7, '_turn_9') ELSE memory_id END AS turn_id", "cast(doc_id % 5 * 10 AS double) AS segment_start", "cast(CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 * 10 + 5 ELSE 0 END AS double) AS segment_end",
+    "CASE WHEN doc_id % 4 < 2 THEN ts - doc_id % 9 * 5000 END AS original_ts", "CASE WHEN doc_id % 2 = 0 THEN ts END AS ingested_ts", "CASE WHEN doc_id % 6 = 2 THEN concat('Book_', doc_id - 2 - (doc_id - 2) % 3) ELSE '' END AS parent_id",
+]
+LISTS = {"derived_from": ("doc_id % 7 = 3", ("concat('DOC_', doc_id - 3)", "'src5'")), "cites": ("doc_id % 5 = 3", ("concat('doc_', doc_id - 3)",))}
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with all that links sources, as nodes."""
+    p = points(spark, sf_dir).selectExpr(*SOURCES, *(f"CASE WHEN {when} THEN array({', '.join(values)}) ELSE array() END AS {name}" for name, (when, values) in LISTS.items()))
+    return lineage.nodes(p.withColumn("turn_index", lineage.turn_index(F.col("turn_id"))))
+
+
+def named_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated names: ids and titles of the documents whose id is divisible by 100, a source, a book, and what is nowhere."""
+    p = points(spark, sf_dir).where("doc_id % 100 = 0")
+    names = p.select(F.upper("memory_id").alias("anchor")).unionByName(p.select(F.col("source_title").alias("anchor")))
+    return names.unionByName(spark.createDataFrame([("src3",), ("book_9",), ("Nowhere",)], "anchor string"))
+
+
+def n05_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the traces of all stated names."""
+    return lineage.trace(sources(spark, sf_dir), named_sources(spark, sf_dir))[0]
+
+
+def n09_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the traces of all stated names lack, and how far they can be trusted."""
+    return lineage.trace(sources(spark, sf_dir), named_sources(spark, sf_dir))[1].withColumn("lacks", F.array_join("lacks", "+"))
+
+
+QUERIES = {f.__name__: f for f in (e15_availability, e19_dispatch, e20_run, n05_lineage, n09_trace)}
 
 NAMES, TIER_NAMES = list(drill.CANDIDATES), list(evidence.TIERS)
 OFFERED = "CASE {0} " + " ".join(f"WHEN '{name}' THEN [{quoted(strategies)}]" for name, strategies in drill.CANDIDATES.items()) + f" ELSE [{quoted(drill.OTHERS)}] END"
@@ -113,3 +144,37 @@ FROM a LEFT JOIN best USING (conversation_id) GROUP BY 1, 2""",
   UNION ALL SELECT session_id, memory_id, source_type, ts, 1, true FROM doc WHERE n <= 12 UNION ALL SELECT session_id, memory_id, source_type, ts, 1, true FROM near)
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN by_creation THEN 0 ELSE -score END, CASE WHEN by_creation THEN ts END NULLS LAST, memory_id)::INT AS pos, memory_id, source_type, score::DOUBLE AS score FROM found""",
 }
+
+# Each name with its best node against every node, pair by pair.
+TRACE_SQL = f"""{POINTS_SQL}, raw AS (SELECT {', '.join(SOURCES)}, {', '.join(f"CASE WHEN {when} THEN [{', '.join(values)}] ELSE []::VARCHAR[] END AS {name}" for name, (when, values) in LISTS.items())} FROM points), nodes AS (
+  SELECT *, {FAMILY_SQL} AS family, CASE WHEN turn_id LIKE 'a_turn_%' THEN substr(turn_id, 8, 1)::INT ELSE 0 END AS turn_index, {TIER_SQL} AS tier, [lower(source_id), lower(document_id), lower(source_title), lower(memory_id)] AS ids FROM raw), names AS (
+  SELECT DISTINCT anchor FROM (SELECT upper(memory_id) AS anchor FROM points WHERE doc_id % 100 = 0 UNION ALL SELECT source_title FROM points WHERE doc_id % 100 = 0 UNION ALL SELECT unnest(['src3', 'book_9', 'Nowhere']))), a AS (
+  SELECT DISTINCT ON (anchor) anchor, nodes.* FROM names JOIN nodes ON list_contains(ids, lower(anchor))
+  ORDER BY anchor, -(2 * (chunk_index > 0)::INT + 2 * (turn_index > 0)::INT + 3 * (original_ts IS NOT NULL)::INT + 2 * (parent_id <> '')::INT + (len(cites) > 0)::INT + (len(derived_from) > 0)::INT), memory_id), known AS (
+  SELECT *, list_transform(list_concat([source_id, document_id, memory_id], derived_from, cites), lambda x: lower(x)) AS refs FROM a), pairs AS (
+  SELECT a.anchor, a.source_id AS src, n.source_id AS node, n.memory_id AS memory_id, list_contains(n.ids, lower(a.anchor)) AS same, a.memory_id <> n.memory_id AS other,
+    list_has_any(list_transform(list_append(n.derived_from, n.parent_id), lambda x: lower(x)), a.refs) AS by_node, list_has_any(list_transform(a.derived_from, lambda x: lower(x)), [lower(n.source_id), lower(n.document_id)]) OR lower(a.parent_id) = lower(n.source_id) AS by_anchor,
+    list_has_any(list_transform(n.cites, lambda x: lower(x)), a.refs) AS cites_it, list_has_any(list_transform(a.cites, lambda x: lower(x)), [lower(n.source_id), lower(n.document_id)]) AS cited, a.family = n.family AND a.family <> '' AS family, n.source_type AS kind,
+    a.original_ts AS ats, n.original_ts AS nts, n.ingested_ts AS nin, CASE WHEN a.chunk_index > 0 AND n.chunk_index > 0 THEN 0 WHEN a.turn_index > 0 AND n.turn_index > 0 THEN 1 WHEN a.segment_end > 0 AND n.segment_start > 0 THEN 2 WHEN a.original_ts IS NOT NULL AND n.original_ts IS NOT NULL THEN 3 END AS sig,
+    CASE WHEN a.chunk_index > 0 AND n.chunk_index > 0 THEN n.chunk_index - a.chunk_index WHEN a.turn_index > 0 AND n.turn_index > 0 THEN n.turn_index - a.turn_index WHEN a.segment_end > 0 AND n.segment_start > 0 THEN n.segment_start - a.segment_end ELSE n.original_ts - a.original_ts END AS apart FROM known a, nodes n), kinds AS (
+  SELECT *, CASE WHEN regexp_matches(lower(kind), 'summary|overview') THEN '{lineage.SUMMARIZES}' WHEN regexp_matches(lower(kind), 'transcript|audio') THEN '{lineage.TRANSCRIBES}' WHEN regexp_matches(lower(kind), 'presentation|slide|diagram') THEN '{lineage.PRESENTS}' ELSE '{lineage.SAME_FAMILY}' END AS is_a FROM pairs), edges AS (
+  SELECT anchor, node AS from_id, src AS to_id, '{lineage.DERIVED_FROM}' AS relation, '{lineage.OF_NODE}' AS basis, 'upstream' AS side, 0.92 AS confidence, NULL AS d, memory_id FROM kinds WHERE NOT same AND by_node
+  UNION ALL SELECT anchor, src, node, '{lineage.DERIVED_FROM}', '{lineage.OF_ANCHOR}', 'downstream', 0.9, NULL, memory_id FROM kinds WHERE NOT same AND by_anchor
+  UNION ALL SELECT anchor, node, src, '{lineage.CITES}', '{lineage.CITED}', 'upstream', 0.88, NULL, memory_id FROM kinds WHERE NOT same AND cites_it
+  UNION ALL SELECT anchor, src, node, '{lineage.CITES}', '{lineage.CITED}', 'downstream', 0.88, NULL, memory_id FROM kinds WHERE NOT same AND cited
+  UNION ALL SELECT anchor, src, node, is_a, '{lineage.FAMILY}', 'related', CASE WHEN is_a = '{lineage.SAME_FAMILY}' THEN 0.58 ELSE 0.66 END, NULL, memory_id FROM kinds WHERE NOT same AND family
+  UNION ALL SELECT anchor, src, node, CASE WHEN nts > ats THEN '{lineage.LATER}' ELSE '{lineage.EARLIER}' END, '{lineage.FAMILY_TIME}', 'related', 0.69, NULL, memory_id FROM kinds WHERE NOT same AND family AND nts IS NOT NULL AND ats IS NOT NULL
+  UNION ALL SELECT anchor, src, node, CASE WHEN apart > 0 THEN '{lineage.LATER}' ELSE '{lineage.EARLIER}' END, [{quoted([s[0] for s in lineage.SIGNALS])}][sig + 1], 'related', [{', '.join(str(s[1]) for s in lineage.SIGNALS)}][sig + 1], abs(apart), memory_id FROM kinds WHERE same AND other AND sig IS NOT NULL), merged AS (
+  SELECT anchor, from_id, to_id, relation, basis, min(side) AS side, min(confidence)::DOUBLE AS confidence, count(*) AS n, arg_min(memory_id, (d, memory_id)) FILTER (d IS NOT NULL) AS nearest FROM edges GROUP BY ALL), sums AS (
+  SELECT anchor, count(*) AS n_edges, sum(confidence) AS total, bool_or(basis = '{lineage.FAMILY_TIME}' OR basis IN ({quoted([s[0] for s in lineage.SIGNALS])})) AS ordered FROM merged GROUP BY 1), told AS (
+  SELECT names.anchor, a.memory_id, a.source_id, a.source_type, a.tier, a.family, coalesce(n_edges, 0) AS n_edges, total, (SELECT count(*) FROM nodes n WHERE n.family = a.family) AS members,
+    coalesce(ordered, false) OR EXISTS (SELECT 1 FROM kinds k WHERE k.anchor = names.anchor AND NOT same AND ats IS NOT NULL AND nts IS NOT NULL) AS original, EXISTS (SELECT 1 FROM kinds k WHERE k.anchor = names.anchor AND NOT same AND nts IS NULL AND nin IS NOT NULL) AS ingested FROM names LEFT JOIN a USING (anchor) LEFT JOIN sums USING (anchor))"""
+TIER_WEIGHT = "CASE tier " + " ".join(f"WHEN '{name}' THEN {weight}" for name, (weight, _) in evidence.TIERS.items()) + " END"
+SQL["n05_lineage"] = f"""WITH {TRACE_SQL} SELECT anchor, from_id, to_id, relation, basis, side, confidence, n, nearest FROM merged
+UNION ALL SELECT anchor, coalesce(source_id, anchor), '', '{lineage.UNKNOWN}', CASE WHEN memory_id IS NULL THEN '{lineage.UNMATCHED}' ELSE '{lineage.UNLINKED}' END, 'related', CASE WHEN memory_id IS NULL THEN 0.2 ELSE 0.24 END, 1, NULL FROM told WHERE n_edges = 0
+UNION ALL SELECT anchor, source_id, family, '{lineage.SAME_FAMILY}', '{lineage.FAMILY_COUNT}', 'related', 0.63, members, NULL FROM told WHERE family <> '' AND members > 1"""
+SQL["n09_trace"] = f"""WITH {TRACE_SQL}, w AS (SELECT *, CASE WHEN memory_id IS NULL THEN ['{lineage.NOT_FOUND}'] ELSE list_filter([
+  CASE WHEN NOT original AND ingested THEN 'only ingestion timestamps were available; intellectual chronology not inferred from ingestion order' WHEN NOT original THEN 'no original chronology metadata (chunk/turn/segment/original timestamp) found' END,
+  CASE WHEN source_type = '' THEN 'source_type missing on anchor' END, CASE WHEN family = '' THEN 'source family key missing on anchor' END], lambda x: x IS NOT NULL) END AS l, {TIER_WEIGHT} AS tw FROM told)
+SELECT anchor, memory_id, CASE WHEN memory_id IS NULL THEN 'unknown' ELSE source_type END AS source_type, tier, n_edges, array_to_string(l, '+') AS lacks,
+  round(CASE WHEN memory_id IS NULL THEN 0.2 ELSE greatest(least(CASE WHEN n_edges > 0 THEN 0.55 * tw + 0.45 * total / n_edges ELSE 0.65 * tw END, 1) - 0.05 * len(l), 0) END, 6)::DOUBLE AS confidence FROM w"""
