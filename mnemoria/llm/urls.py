@@ -54,7 +54,7 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def active_entries(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """``(id, fetched_at, pattern, category)``: each entry that covers a capture and was active then.
+    """``(id, fetched_at, url, pattern, category)``: each entry that covers a capture and was active then.
 
     An as-of join: equal pattern and month, then the interval. Intervals are listed under the months
     they cover up to the last capture, so a pattern with many entries meets a capture with those of
@@ -62,28 +62,28 @@ def active_entries(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     horizon = captures.agg(F.max(month(F.col("fetched_at"))).alias("last"), F.min(month(F.col("fetched_at"))).alias("first")).first()
     if horizon["last"] is None:
-        return captures.sparkSession.createDataFrame([], f"id {captures.schema['id'].dataType.simpleString()}, fetched_at timestamp, pattern string, category string")
+        return captures.sparkSession.createDataFrame([], f"id {captures.schema['id'].dataType.simpleString()}, fetched_at timestamp, url string, pattern string, category string")
     held = validity(entries)
     start = F.greatest(month(F.col("valid_from")), F.lit(horizon["first"]))
     stop = F.least(F.coalesce(month(F.col("valid_to")), F.lit(horizon["last"])), F.lit(horizon["last"]))
     listed = held.where(start <= stop).select("*", F.explode(F.sequence(start, stop)).alias("month"))
-    keyed = captures.where("fetched_at is not null and url is not null").select("id", "fetched_at", month(F.col("fetched_at")).alias("month"), F.explode(lookup_keys(F.col("url"))).alias("pattern"))
+    keyed = captures.where("fetched_at is not null and url is not null").select("id", "fetched_at", "url", month(F.col("fetched_at")).alias("month"), F.explode(lookup_keys(F.col("url"))).alias("pattern"))
     met = keyed.join(listed, ["pattern", "month"])
-    return met.where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)").select("id", "fetched_at", "pattern", "category")
+    return met.where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)").select("id", "fetched_at", "url", "pattern", "category")
 
 
 def temporal_url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """``id, fetched_at, n_active, pattern, blocked``: the verdict at fetch time of every capture.
+    """``id, fetched_at, url, n_active, pattern, blocked``: the verdict at fetch time of every capture.
 
     ``captures(id, url, fetched_at)``, ``entries(pattern, category, action, at)``; ``pattern`` in the
     result is the smallest active one. Null or relative URLs and captures without a time match
     nothing; entries lacking a pattern or time, or with another action, are ignored; rows that
-    repeat an id and time are one capture; empty tables give what follows from that; other columns
-    are ignored.
+    repeat an id, time and URL are one capture, and URLs of one id and time are captures of their own; a very long URL is
+    taken whole, with a key for each of its folders; empty tables give what follows from that; other columns are ignored.
     """
     matches = active_entries(captures, entries)
-    every = captures.select("id", "fetched_at", F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("category"))
+    every = captures.select("id", "fetched_at", "url", F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("category"))
     both = every.unionByName(matches)
     # One row for each capture, match and category, whatever the number of repeated rows.
-    found = both.groupBy("id", "fetched_at").agg(F.size(F.collect_set(F.when(F.col("pattern").isNotNull(), F.struct("pattern", "category")))).cast("long").alias("n_active"), F.min("pattern").alias("pattern"))
+    found = both.groupBy("id", "fetched_at", "url").agg(F.size(F.collect_set(F.when(F.col("pattern").isNotNull(), F.struct("pattern", "category")))).cast("long").alias("n_active"), F.min("pattern").alias("pattern"))
     return found.withColumn("blocked", F.col("n_active") > 0)
