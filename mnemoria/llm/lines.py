@@ -3,7 +3,8 @@
 Texts are cut into lines, and lines at the ends of sentences, since a copied passage seldom begins
 and ends with a line. A short sentence says little, so the unit that is hashed goes on from its
 sentence to the next ones until it holds ``MIN_BYTES`` of normalised text. A unit begins at every
-sentence, so a passage is found by any of the runs of whole sentences that lie in it.
+sentence, so a passage is found by any of the runs of whole sentences that lie in it. A text that holds
+less is one unit as a whole, so copies of short texts are found as well.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ def normalised(unit: str) -> str:
 
 
 def units(text: str, min_bytes: int = MIN_BYTES, pieces: str = "sentences") -> Iterator[tuple[int, int, bytes]]:
-    """``(start, end, normalised)`` in code points: from each piece on, the fewest pieces that hold ``min_bytes``."""
-    starts, ends, keys, first, held = [], [], [], 0, 0
+    """``(start, end, normalised)`` in code points: from each piece on, the fewest pieces that hold ``min_bytes``; all of a text that holds less."""
+    starts, ends, keys, first, held, found = [], [], [], 0, 0, False
     for match in PIECES[pieces].finditer(text):
         key = normalised(match[0]).encode()
         if key:
@@ -44,12 +45,15 @@ def units(text: str, min_bytes: int = MIN_BYTES, pieces: str = "sentences") -> I
             keys.append(key)
             held += len(key)
             while held >= min_bytes:
+                found = True
                 yield starts[first], ends[-1], b" ".join(keys[first:])
                 held -= len(keys[first])
                 first += 1
             if first > 256:  # what lies behind is needed no more
                 del starts[:first], ends[:first], keys[:first]
                 first = 0
+    if keys and not found:
+        yield starts[0], ends[-1], b" ".join(keys)
 
 
 def digests(docs: DataFrame, min_bytes: int, pieces: str, id_col: str, text_col: str) -> DataFrame:
@@ -104,8 +108,8 @@ def substring_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, pieces: str = "
 
     ``pieces`` is ``sentences``, ``lines`` or ``paragraphs``; ``removed`` holds a struct for each repeated unit,
     with the original offsets (code points, end excluded; units overlap) and the place of the earliest
-    occurrence. A null text stays null; empty and blank texts, and texts under ``min_bytes`` of normalised text, lose
-    nothing; a very long text is cut into units as any other. Rows are named by id and text: rows that
+    occurrence. A null text stays null; empty and blank texts lose nothing; a text under ``min_bytes``
+    of normalised text is one unit; a very long text is cut into units as any other. Rows are named by id and text: rows that
     agree in both are one occurrence and get the same cuts, an id with several texts has each judged on
     its own. Null ids rank first; an empty table gives an empty one; other columns are ignored.
     """

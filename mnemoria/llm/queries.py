@@ -121,7 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: Sentences, the runs of them that hold 120 bytes of normal form, and every run but the earliest of its text.
+#: Sentences, the runs of them that hold 120 bytes of normal form (all of a text that holds less), and every run but the earliest of its text.
 OP1_SQL = r"""
 WITH split AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '(?s).+?(?:[.!?][ \t]|[。！？]|\n|\z)')) AS piece,
@@ -143,6 +143,7 @@ WITH split AS (
 ), runs AS (
   SELECT p.doc_id, p.unit, p.start, p.stop, string_agg(u.norm, ' ' ORDER BY p.part) AS norm
   FROM parts p JOIN used u ON p.doc_id = u.doc_id AND p.part = u.unit GROUP BY ALL
+  UNION ALL SELECT doc_id, 1, min(start), max(stop), string_agg(norm, ' ' ORDER BY unit) FROM used GROUP BY doc_id HAVING sum(strlen(norm)) < 120
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) AS rank FROM runs
 ), gone AS (
