@@ -13,8 +13,9 @@ blocks, and in rounds that get finer:
   exchange of hashes and go no further.
 * Each task sorts its other blocks into runs, and runs are exchanged front-coded: the length of the
   prefix shared with the predecessor, and the rest. Ranges of strings, cut by a bounded sample, are the
-  buckets of the exchange; there are as many as the bytes of the blocks ask for. Equal blocks of a
-  run travel once, so a string that is everywhere is a row a run.
+  buckets of the exchange, dealt further by a digest where ranges are not enough; there are as many as the bytes of the blocks
+  ask for. Equal blocks of a run travel once, so a string that is everywhere is a row a run; the other places
+  are repeats, and pass the merge by.
 * A loser tree merges the runs of a bucket; it keeps, for each head, the prefix shared with the last
   winner, so known prefixes are never compared again. The merge streams: it holds the coded runs of
   one bucket and the last block.
@@ -26,6 +27,8 @@ blocks, and in rounds that get finer:
 from __future__ import annotations
 
 import hashlib
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +52,8 @@ HASH_BUCKET_BYTES = 1 << 28
 RUN_BUCKET_BYTES = 1 << 25
 #: Blocks drawn for each bucket to find where buckets end, and at most; they pass the driver.
 DRAWN_A_BUCKET, DRAWN = 16, 200_000
+#: Keys over which repeats that pass the merge by are dealt.
+ASIDE = 1 << 20
 #: The texts of one id are told apart by the bits of a place beyond these.
 VERSION_BITS = 40
 
@@ -303,13 +308,17 @@ def range_ends(met: DataFrame, blocks_there: int, k: int, buckets: int) -> list[
 def sorted_runs(segments: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
     """Front-coded sorted runs of the blocks that may be repeated, a row for each bucket of a run.
 
-    Of equal blocks of one run only the earliest is sent on; the others are repeats already and
-    travel as bare places in rows without strings.
+    A bucket is a range of strings. The strings that bound the ranges pass the driver, so there are at most ``DRAWN // DRAWN_A_BUCKET``
+    ranges; where a range would hold more than ``RUN_BUCKET_BYTES``, its strings are dealt to several buckets by a digest, each of them
+    a sorted run still. Of equal blocks of one run only the earliest is sent on; the others are repeats already and
+    pass the merge by: bare places in a row without strings, under a negative key that says nothing but where to lie.
     """
     parts = shuffle_partitions(segments.sparkSession)
     met = segments.join(repeated, ["doc", "base"]).select("doc", "base", "text", "own")
     there = int(repeated.agg(F.sum(F.octet_length("own") / 4)).first()[0] or 0)
-    buckets = min(max(parts, -(-there * 3 * LENGTH // 2 // RUN_BUCKET_BYTES)), DRAWN // DRAWN_A_BUCKET)
+    wanted = max(parts, -(-there * 3 * LENGTH // 2 // RUN_BUCKET_BYTES))
+    buckets = min(wanted, DRAWN // DRAWN_A_BUCKET)
+    deals = -(-wanted // buckets)
     ends = range_ends(met, there, k, buckets) if there else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,28 +332,21 @@ def sorted_runs(segments: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
                 while bucket < len(ends) and held[at][0] >= ends[bucket]:
                     bucket += 1
                 stop = ends[bucket] if bucket < len(ends) else None
-                before = b""
-                shared, lengths, rest, docs, places, windows, grams = bytearray(), bytearray(), [], [], [], bytearray(), []
+                begin = at
                 while at < len(held) and (stop is None or held[at][0] < stop):
-                    text, doc, place, n, gram = held[at]
-                    if text == before and docs:
-                        if (doc, place) != (docs[-1], places[-1]):
-                            gone.append((doc, place, n))
-                    else:
-                        same = common_prefix(before, text)
-                        shared.append(same)
-                        lengths.append(len(text) - same)
-                        rest.append(text[same:])
-                        docs.append(doc)
-                        places.append(place)
-                        windows.append(n)
-                        grams.append(gram)
-                        before = text
                     at += 1
-                rows.append((bucket, bytes(shared), bytes(lengths), b"".join(rest), np.array(docs, "<i8").tobytes(), np.array(places, "<i8").tobytes(), bytes(windows), np.array(grams, "<i8").tobytes()))
+                own = held[begin:at]
+                if deals == 1:
+                    rows.append(front_coded(bucket, own, gone))
+                    continue
+                dealt: dict[int, list[tuple[bytes, int, int, int, int]]] = {}
+                for block in own:
+                    dealt.setdefault(zlib.crc32(block[0]) % deals, []).append(block)
+                rows += [front_coded(bucket * deals + deal, blocks, gone) for deal, blocks in dealt.items()]
             if gone:
                 array = np.array(gone, "<i8")
-                rows.append((rows[0][0], b"", b"", b"", array[:, 0].tobytes(), array[:, 1].tobytes(), array[:, 2].astype(np.uint8).tobytes(), b""))
+                aside = zlib.crc32(array[0].tobytes()) % ASIDE
+                rows.append((-1 - aside, b"", b"", b"", array[:, 0].tobytes(), array[:, 1].tobytes(), array[:, 2].astype(np.uint8).tobytes(), b""))
             held.clear()
             return run_rows(rows)
 
@@ -359,6 +361,27 @@ def sorted_runs(segments: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
     return met.mapInArrow(run, RUN).repartition(parts, "key").sortWithinPartitions("key")
 
 
+def front_coded(key: int, blocks: list[tuple[bytes, int, int, int, int]], gone: list[tuple[int, int, int]]) -> tuple:
+    """A row of a run: the earliest of each string of sorted ``blocks``; the others are added to ``gone``."""
+    before = b""
+    shared, lengths, rest, docs, places, windows, grams = bytearray(), bytearray(), [], [], [], bytearray(), []
+    for text, doc, place, n, gram in blocks:
+        if text == before and docs:
+            if (doc, place) != (docs[-1], places[-1]):
+                gone.append((doc, place, n))
+        else:
+            same = common_prefix(before, text)
+            shared.append(same)
+            lengths.append(len(text) - same)
+            rest.append(text[same:])
+            docs.append(doc)
+            places.append(place)
+            windows.append(n)
+            grams.append(gram)
+            before = text
+    return key, bytes(shared), bytes(lengths), b"".join(rest), np.array(docs, "<i8").tobytes(), np.array(places, "<i8").tobytes(), bytes(windows), np.array(grams, "<i8").tobytes()
+
+
 class Run:
     """A front-coded run, read from its start; ``shared`` is the prefix that the head shares with the last winner."""
 
@@ -454,13 +477,25 @@ def merged(runs: DataFrame, further: bool) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.int64())], names=["doc", "place", "windows", "text", "gram"])
 
-        for _, rows in grouped(batches, 0):
-            for row in rows:
-                if not row["lengths"]:
-                    array = (np.frombuffer(row[name], kind).tolist() for name, kind in (("docs", "<i8"), ("places", "<i8"), ("windows", np.uint8)))
-                    out += ((doc, place, n, None, None) for doc, place, n in zip(*array, strict=True))
-            held = [Run(row) for row in rows if row["lengths"]]
-            rows.clear()
+        def rows_of(aside: bool) -> Iterator[dict]:
+            """Rows in order: first those that pass the merge by, then the others."""
+            nonlocal ahead
+            for row in all_rows:
+                if (row["key"] < 0) != aside:
+                    ahead = row
+                    return
+                yield row
+
+        all_rows = (row for batch in batches for row in batch.to_pylist())
+        ahead: dict | None = None
+        for row in rows_of(True):
+            array = (np.frombuffer(row[name], kind).tolist() for name, kind in (("docs", "<i8"), ("places", "<i8"), ("windows", np.uint8)))
+            out += ((doc, place, n, None, None) for doc, place, n in zip(*array, strict=True))
+            if len(out) >= OUT_ROWS:
+                yield batch()
+        merging = itertools.chain([ahead] if ahead else [], rows_of(False))
+        for _, rows in itertools.groupby(merging, key=lambda row: row["key"]):
+            held = [Run(row) for row in rows]
             last: tuple | None = None  # the earliest of the equal blocks at hand
             for run, shared in merge(held):
                 at, text = run.at, run.head

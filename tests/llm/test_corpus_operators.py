@@ -142,7 +142,28 @@ def test_suffix_dedup_in_segments_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "RUN_BUCKET_BYTES", 1 << 12)
     monkeypatch.setattr(suffixes, "HASH_BUCKET_BYTES", 1 << 12)
     monkeypatch.setattr(suffixes, "OUT_ROWS", 7)
-    check_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), segment_bytes=150)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_suffix_dedup(table, segment_bytes=150)
+    monkeypatch.setattr(suffixes, "DRAWN", 48)  # three ranges of strings, each dealt to many buckets
+    check_suffix_dedup(table, segment_bytes=150)
+
+
+def test_repeats_inside_runs_pass_the_merge_by(spark, monkeypatch):
+    """All blocks are one string: no key gets more than its share of the places, and none of them is merged."""
+    import mnemoria.llm.suffixes as suffixes
+
+    taken = []
+    plain = suffixes.merged
+    monkeypatch.setattr(suffixes, "merged", lambda runs, further: taken.append(runs) or plain(runs, further))
+    rows = [(k, "the same passage of a little more than one hundred bytes, which every single document of this table holds in full, ") for k in range(2000)]
+    check_suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(30))
+    found = taken[0].selectExpr("key", "octet_length(docs) div 8 as n", "lengths = x'' as aside").collect()
+    aside = [row for row in found if row["aside"]]
+    assert all(row["key"] < 0 for row in aside) and sum(row["n"] for row in aside) > 0.9 * sum(row["n"] for row in found)
+    per_key = {}
+    for row in aside:
+        per_key[row["key"]] = per_key.get(row["key"], 0) + row["n"]
+    assert max(per_key.values()) <= 0.1 * sum(per_key.values()) and all(row["n"] == 1 for row in found if not row["aside"])
 
 
 def test_loser_tree_order():
@@ -170,6 +191,8 @@ def plain_runs(text, pieces="sentences", least=120):
         at += len(piece)
     assert at == len(text)
     found = [piece for piece in found if piece[2]]
+    if found and sum(len(key.encode()) for _, _, key in found) < least:
+        yield found[0][0], found[-1][1], " ".join(key for _, _, key in found)
     for k, (start, _, _) in enumerate(found):
         for n in range(k + 1, len(found) + 1):
             if sum(len(key.encode()) for _, _, key in found[k:n]) >= least:
@@ -221,6 +244,16 @@ def test_line_dedup_of_repeated_ids(spark):
     assert kept == [(0, shared), (1, ""), (1, first), (1, first), (2, "own words\n"), (3, None)]
 
 
+def test_copies_of_short_texts_are_found(spark):
+    """Of texts below the size of a unit, the whole text is one; what only begins alike is another text."""
+    short = "Two short documents of one line that say the same, and no more. Yes."
+    rows = [(1, short), (2, short), (3, short + " But more."), (4, "Yes."), (5, "  yes!\n"), (6, "..."), (7, "...")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    check_line_dedup(table)
+    assert {row["doc_id"]: row["kept_text"].strip() for row in line_dedup(table).collect() if row["doc_id"] in (2, 5)} == {2: "", 5: ""}
+    assert per_document(table).where("n_removed > 0").count() == 2
+
+
 def test_hot_keys_are_few(spark):
     """One key of a third of the rows is met by broadcast, the rest by a join; no row is lost or doubled."""
     from mnemoria.llm.common import hot_keys, join_by_key
@@ -415,6 +448,8 @@ def test_temporal_url_filter(spark):
     entries = spark.createDataFrame([("bad.com", "d", "add", at(2024, 1, 1)), ("bad.com", "d", "remove", at(2024, 2, 1)), ("ok.com/x/", "f", "add", at(2024, 3, 1)), ("ok.com/x/y/z", None, "add", at(2024, 5, 1)), ("ok.com", "d", "other", at(2020, 1, 1)), (None, "d", "add", at(2020, 1, 1)), ("bad.com/a/b", "p", "add", at(2024, 2, 5)), ("bad.com/a/b", "p", "remove", at(2024, 2, 5))], "pattern string, category string, action string, at timestamp")
     got = {row["id"]: (row["n_active"], row["pattern"]) for row in temporal_url_filter(captures, entries).collect()}
     assert got == {1: (1, "bad.com"), 2: (1, "bad.com/a/b"), 3: (0, None), 4: (0, None), 5: (0, None), 6: (2, "ok.com/x/")}
+    twice = captures.where("id = 6").unionByName(captures.where("id = 6")).unionByName(captures.where("id = 6").selectExpr("id", "'http://ok.com/free' as url", "fetched_at")).selectExpr("*", "1 as pattern", "true as blocked", "'x' as month")
+    assert sorted((row["url"], row["n_active"], row["blocked"]) for row in temporal_url_filter(twice, entries).collect()) == [("http://ok.com/free", 0, False), ("http://ok.com/x/y/z", 2, True)]
     assert temporal_url_filter(captures.where("id < 0"), entries).collect() == []
     assert {row["n_active"] for row in temporal_url_filter(captures, entries.where("pattern = ''")).collect()} == {0}
 
@@ -424,7 +459,7 @@ def test_oracles(spark, small, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, small)
