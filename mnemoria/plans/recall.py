@@ -61,7 +61,7 @@ def r13_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v03_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
-    probes = embeddings.where("vec_id < 6").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    probes = embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     found = recall.multi_query(embeddings.withColumn("memory_id", F.lpad(F.col("vec_id").cast("string"), 9, "0")), probes, 5, 0.1)
     return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
@@ -185,7 +185,7 @@ SELECT conversation_id, memory_id, score FROM (SELECT *, row_number() OVER (PART
 SELECT c.pos, c.memory_id, c.cost, (SELECT max(used) FROM walk)::BIGINT AS used, (SELECT count(*) FROM walk WHERE NOT kept AND pos > 0)::BIGINT AS dropped FROM walk w JOIN costed c USING (pos) WHERE w.kept""",
     "r13_keyword_search": f"""WITH {POINTS_SQL}, scored AS (SELECT memory_id, round(({' + '.join(f"contains(lower(text || ' ' || source_title || ' ' || project), '{w}')::INT" for w in QUERY.split())}) / {len(QUERY.split())}::DOUBLE, 9) AS score FROM points)
 SELECT memory_id, round(score, 6) AS score FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, memory_id LIMIT 25)""",
-    "v03_multi_query": """WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 6), ranked AS (
+    "v03_multi_query": """WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs WHERE score >= 0.1)
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank <= 5""",
     "j16_merge_best": f"""WITH {POINTS_SQL} SELECT memory_id, round(max(score), 6) AS score FROM (
