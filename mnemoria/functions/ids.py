@@ -50,5 +50,5 @@ def evidence_fingerprint(question: Column, strategy: Column, sources: Column, su
 
 def strategy_fingerprint(strategy: Column, question: Column, sources: Column) -> Column:
     """Equal for the same results of a strategy; sources that are blank or repeated do not count."""
-    named = F.array_sort(F.array_distinct(F.filter(F.transform(sources, F.trim), lambda s: s != "")))
+    named = F.array_sort(F.array_distinct(F.filter(F.transform(sources, lambda t: F.trim(t)), lambda s: s != "")))
     return F.sha1(F.encode(F.concat_ws("||", strategy, F.lower(F.trim(question)), F.array_join(named, ",")), "UTF-8"))

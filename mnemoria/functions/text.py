@@ -97,6 +97,9 @@ def clamp_total(col: Column, n: int) -> Column:
     return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n - 3), F.lit("..."))).otherwise(text)
 
 
+MARK = "\x01"
+
+
 def tokens(col: Column) -> Column:
     """Lower-case words, separators taken for spaces."""
     apart = TOKEN_SEPARATORS + SPACES.replace("\n", "").replace(" ", "")
@@ -122,6 +125,26 @@ def token_pattern(token: str) -> str:
     return f"(?:^|{apart}){around}*{literal}{around}*(?:$|{apart})"
 
 
+def tokens_in(text: Column, wanted: list[str]) -> Column:
+    """How many of ``wanted`` (repeats included) are among the :func:`lexical_tokens` of ``text``, which is in lower case.
+
+    Separators become spaces and wrappers a mark, once for each text. A token between spaces is found by a plain
+    search; only one that touches a mark is looked for by its pattern.
+    """
+    apart = TOKEN_SEPARATORS + SPACES
+    marked = F.concat(F.lit(" "), F.translate(text, apart + TOKEN_WRAPPERS, " " * len(apart) + MARK * len(TOKEN_WRAPPERS)), F.lit(" "))
+
+    def found(s: Column, token: str) -> Column:
+        pattern = s["text"].rlike(token_pattern(token))
+        if set(token) & {MARK, *TOKEN_WRAPPERS}:
+            return pattern
+        return s["marked"].contains(f" {token} ") | ((s["marked"].contains(MARK + token) | s["marked"].contains(token + MARK)) & pattern)
+
+    # Bound as a lambda's variable, so that both forms of the text are made once.
+    both = F.array(F.struct(text.alias("text"), marked.alias("marked")))
+    return F.get(F.transform(both, lambda s: sum((found(s, token).cast("int") for token in wanted), F.lit(0))), F.lit(0))
+
+
 def query_tokens(col: Column) -> Column:
     """Distinct runs of ASCII letters and digits."""
     return F.array_distinct(F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda t: t != ""))
@@ -298,3 +321,15 @@ def unescaped(col: Column) -> Column:
     literal = F.concat(F.lit('["'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"]'))
     decoded = F.get(F.from_json(literal, "array<string>"), F.lit(0))
     return F.when(text.rlike(r"\\[ntr]") & ~text.contains("\n"), F.coalesce(decoded, text)).otherwise(text)
+
+
+def tag_list(repeated: Column, joined: Column) -> Column:
+    """Tags of a request: given several times, each perhaps a list with commas, and then those of one more list."""
+    raw = F.concat(F.coalesce(repeated, F.array().cast("array<string>")), F.array(F.coalesce(joined, F.lit(""))))
+    return F.filter(F.transform(F.flatten(F.transform(raw, lambda r: F.split(F.coalesce(r, F.lit("")), ","))), lambda t: F.trim(t)), lambda t: t != "")
+
+
+def optional_flag(col: Column) -> Column:
+    """A flag of a request; null where it says neither yes nor no."""
+    text = F.lower(F.trim(F.coalesce(col, F.lit(""))))
+    return F.when(text.isin("true", "1", "yes", "y"), True).when(text.isin("false", "0", "no", "n"), False)

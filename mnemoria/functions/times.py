@@ -1,4 +1,4 @@
-"""Times of many forms."""
+"""Times of many forms."""
 
 from __future__ import annotations
 
@@ -28,3 +28,14 @@ def normalized(col: Column) -> tuple[Column, Column]:
     blank = F.trim(F.coalesce(col, F.lit(""))) == ""
     ts = F.when(~blank, F.try_to_timestamp(col))
     return ts, F.when(blank, F.lit("missing_timestamp")).when(ts.isNull(), F.lit("malformed_timestamp"))
+
+
+def asked_time(col: Column, strictly: bool = False) -> Column:
+    """A day ``YYYY-MM-DD`` or an RFC 3339 time that a user asks for; anything else is no time, or ``strictly`` an error."""
+    text = F.trim(F.coalesce(col, F.lit("")))
+    day = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    moment = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$")
+    found = F.when(day | moment, F.try_to_timestamp(F.upper(text)))
+    if not strictly:
+        return found
+    return F.when((text != "") & found.isNull(), F.raise_error(F.concat(F.lit("no day and no time: "), text)).cast("timestamp")).otherwise(found)

@@ -159,7 +159,7 @@ def best_question(asked: Column, wanted: Column, current: Column) -> Column:
         low = F.lower(q)
         return 1 + 5 * ((wanted != "") & (q == wanted)).cast("int") + 2 * contains_any(low, ("first", "earliest", "upstream")).cast("int") + 2 * contains_any(low, ("falsif", "counter")).cast("int") + (q != current).cast("int")
 
-    best = F.array_max(F.transform(F.filter(F.transform(asked, F.trim), lambda q: q != ""), lambda q, at: F.struct(score(q).alias("score"), (-at).alias("at"), q.alias("q"))))
+    best = F.array_max(F.transform(F.filter(F.transform(asked, lambda t: F.trim(t)), lambda q: q != ""), lambda q, at: F.struct(score(q).alias("score"), (-at).alias("at"), q.alias("q"))))
     return F.coalesce(best["q"], F.lit(NEXT_QUESTION))
 
 

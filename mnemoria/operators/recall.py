@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp_total, dedupe_key, first_present, lexical_tokens, query_tokens, query_words, token_pattern
+from ..functions.text import clamp_total, dedupe_key, first_present, lexical_tokens, query_tokens, query_words, tokens_in
 from ..functions.times import flexible
 from ..functions.vectors import cosine
 from .predicates import HIDDEN, without_sources
@@ -64,9 +64,7 @@ def lexical_score(query: str | Column, *cols: str) -> Column:
     """
     if isinstance(query, str):
         wanted = query_words(query)
-        text = F.lower(F.concat_ws("\n", *cols))
-        found = [text.rlike(token_pattern(token)).cast("int") for token in wanted]
-        return sum(found[1:], found[0]) / F.lit(len(wanted)) if found else F.lit(0.0)
+        return tokens_in(F.lower(F.concat_ws("\n", *cols)), wanted) / F.lit(len(wanted)) if wanted else F.lit(0.0)
     wanted = lexical_tokens(query)
     have = F.flatten(F.array(*(lexical_tokens(F.col(c)) for c in cols)))
     # Bound as a lambda's variable, the text's tokens are worked out once and not for each word of the query.
@@ -80,7 +78,8 @@ def lexical(points: DataFrame, query: str, k: int, *cols: str) -> DataFrame:
     text = F.lower(F.concat_ws("\n", *cols))
     # A token is a part of the text: a test that drops most texts before any pattern is tried.
     near = points.where(reduce(Column.__or__, (text.contains(token) for token in wanted))) if wanted else points.where(F.lit(False))
-    scored = near.withColumn("lexical_score", lexical_score(query, *cols)).where("lexical_score > 0")
+    # A generated column is no part of the condition on it, which would work it out once more.
+    scored = near.select("*", F.explode(F.array(lexical_score(query, *cols))).alias("lexical_score")).where("lexical_score > 0")
     return scored.withColumn("score", F.round(F.col("lexical_score") * boost(), 9)).orderBy(*by_score()).limit(k)
 
 

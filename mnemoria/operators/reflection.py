@@ -34,12 +34,30 @@ def worker_slot(workers: int) -> Callable[[Column], Column]:
     return slot
 
 
+def answered(raw: Column) -> Column:
+    """The JSON of an answer without the fence of code around it."""
+    text = F.trim(raw)
+    inner = F.element_at(F.split(text, "```"), 2)
+    return F.when(text.startswith("```"), F.regexp_replace(inner, "^json", "")).otherwise(text)
+
+
 def reflect(points: DataFrame, model: Callable[[Iterator[pd.Series]], Iterator[pd.Series]]) -> DataFrame:
-    """Answers of an injected model as JSON, parsed; bad JSON is a shallow reflection of no confidence."""
+    """Answers of an injected model as JSON, parsed.
+
+    A point is asked about if its text, or else its quote, has 20 characters and its quote is not missing; all others, and answers that are no
+    JSON, are shallow reflections of no confidence. A phase is unknown where the answer names none or phases do not apply to the point.
+    """
+    given = lambda c: F.col(c) if c in points.columns else F.lit(None).cast("string")
+    said = F.trim(F.coalesce(F.nullif(given("text"), F.lit("")), given("source_quote"), F.lit("")))
+    asked = F.coalesce((F.col("quality") != "missing"), F.lit(True)) & (F.char_length(said) >= 20)
     ask = F.pandas_udf(model, "string", F.PandasUDFType.SCALAR_ITER)
-    told = points.withColumn("r", F.from_json(ask("text"), REFLECTION))
-    fine = F.col("r.confidence").isNotNull()
-    return told.select(*points.columns, F.when(fine, F.col("r.phase")).alias("phase"), F.when(fine, F.coalesce("r.depth", F.lit("shallow"))).otherwise("shallow").alias("depth"), F.when(fine, capped(F.col("r.confidence"), F.col("quality"))).otherwise(F.lit(0.0)).alias("confidence"), *(F.coalesce(F.col(f"r.{c}"), F.array().cast("array<string>")).alias(c) for c in ("themes", "questions", "echoes")), F.coalesce("r.contradiction", F.lit(False)).alias("contradiction"))
+    told = points.where(asked).withColumn("r", F.from_json(answered(ask(said)), f"{REFLECTION}, broken string", {"columnNameOfCorruptRecord": "broken"}))
+    told = told.unionByName(points.where(~asked).withColumn("r", F.lit(None).cast(told.schema["r"].dataType)))
+    fine, unknown = F.col("r").isNotNull() & F.col("r.broken").isNull(), F.lit("unknown")
+    phase = F.when(~fine | (F.coalesce(given("phase_applicability"), F.lit("")) == "not_applicable"), unknown).otherwise(F.coalesce(F.nullif(F.col("r.phase"), F.lit("")), unknown))
+    depth = F.when(fine, F.coalesce(F.nullif(F.col("r.depth"), F.lit("")), F.lit("shallow"))).otherwise("shallow")
+    lists = (F.when(fine, F.coalesce(F.col(f"r.{c}"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias(c) for c in ("themes", "questions", "echoes"))
+    return told.select(*points.columns, phase.alias("phase"), depth.alias("depth"), F.when(fine, capped(F.coalesce("r.confidence", F.lit(0.0)), F.col("quality"))).otherwise(F.lit(0.0)).alias("confidence"), *lists, F.coalesce(fine & F.col("r.contradiction"), F.lit(False)).alias("contradiction"))
 
 
 def capped(confidence: Column, quality: Column) -> Column:

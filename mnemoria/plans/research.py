@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tag_list
+from ..functions.times import asked_time
 from ..operators import drill, evidence, lineage
+from ..streaming.limits import rate_limited
 from .curation import FAMILY_SQL, TIER_SQL, quoted
 from .relations import MESSAGES_SQL, POINTS_SQL, messages, points, table
 
@@ -106,7 +109,18 @@ def n09_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.trace(sources(spark, sf_dir), named_sources(spark, sf_dir))[1].withColumn("lacks", F.array_join("lacks", "+"))
 
 
-QUERIES = {f.__name__: f for f in (e15_availability, e19_dispatch, e20_run, n05_lineage, n09_trace)}
+def w09_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events of each user a bucket of three tokens lets through, and the day and tags that each asks for."""
+    events = table(spark, sf_dir, "events")
+    told = rate_limited(events.select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), "ts"), 1, 3)
+    day = F.date_format("ts", "yyyy-MM-dd")
+    raw = F.when(F.col("event_id") % 4 == 0, day).when(F.col("event_id") % 4 == 1, F.concat(F.lit(" "), day, F.lit("T10:00:00+02:00"))).when(F.col("event_id") % 4 == 2, F.concat(day, F.lit(" 10:00"))).otherwise(F.lit("2024-02-31"))
+    tags = tag_list(F.array(F.concat("event_type", F.lit(" , a")), F.lit(None).cast("string")), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(",b,"), "event_type")))
+    asked = events.select(F.col("event_id").alias("request_id"), F.date_format(asked_time(raw), "yyyy-MM-dd HH:mm").alias("asked"), F.array_join(tags, "+").alias("tags"))
+    return told.select("client", "request_id", "allowed", F.round("tokens", 6).alias("tokens")).join(asked, "request_id")
+
+
+QUERIES = {f.__name__: f for f in (w09_rate_limit, e15_availability, e19_dispatch, e20_run, n05_lineage, n09_trace)}
 
 NAMES, TIER_NAMES = list(drill.CANDIDATES), list(evidence.TIERS)
 OFFERED = "CASE {0} " + " ".join(f"WHEN '{name}' THEN [{quoted(strategies)}]" for name, strategies in drill.CANDIDATES.items()) + f" ELSE [{quoted(drill.OTHERS)}] END"
@@ -178,3 +192,8 @@ SQL["n09_trace"] = f"""WITH {TRACE_SQL}, w AS (SELECT *, CASE WHEN memory_id IS
   CASE WHEN source_type = '' THEN 'source_type missing on anchor' END, CASE WHEN family = '' THEN 'source family key missing on anchor' END], lambda x: x IS NOT NULL) END AS l, {TIER_WEIGHT} AS tw FROM told)
 SELECT anchor, memory_id, CASE WHEN memory_id IS NULL THEN 'unknown' ELSE source_type END AS source_type, tier, n_edges, array_to_string(l, '+') AS lacks,
   round(CASE WHEN memory_id IS NULL THEN 0.2 ELSE greatest(least(CASE WHEN n_edges > 0 THEN 0.55 * tw + 0.45 * total / n_edges ELSE 0.65 * tw END, 1) - 0.05 * len(l), 0) END, 6)::DOUBLE AS confidence FROM w"""
+SQL["w09_rate_limit"] = """WITH RECURSIVE e AS (SELECT *, epoch_us(ts) / 1000000 AS secs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (
+  SELECT user_id, event_id, n, secs, true AS allowed, 2::DOUBLE AS tokens FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, secs, t >= 1, CASE WHEN t >= 1 THEN t - 1 ELSE t END FROM (SELECT e.user_id, e.event_id, e.n, e.secs, least(3, f.tokens + (e.secs - f.secs) / 60) AS t FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
+SELECT f.user_id::VARCHAR AS client, f.event_id AS request_id, allowed, round(tokens, 6) AS tokens,
+  CASE f.event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d 00:00') WHEN 1 THEN strftime(ts, '%Y-%m-%d 08:00') END AS asked, event_type || '+a' || CASE WHEN f.event_id % 3 = 0 THEN '+b+' || event_type ELSE '' END AS tags FROM f JOIN events USING (event_id)"""

@@ -164,7 +164,7 @@ def plain_run(session, hypotheses, search, signs, steps, freeze_after=2):
         out.append((number, u, question, strategy, len(found), 3 + (min(3, len(found)) or 1) + ends + bool(moves), gain, FROZEN if ends else OPEN, duplicate, not found, top))
         if ends:
             break
-    return out, hyps
+    return out, hyps, [p[4] for p in s["past"]]
 
 
 TEXTS = ("They developed independently.", "It may have one origin.", "These were never separate and do not recombine.", "However, a single source for all.", "generic structure", "the draft came first, earliest of the sequence", "E8 sacred bridge", "nothing at all", "They developed independently.", "counterevidence was merged in a draft")
@@ -222,8 +222,9 @@ def test_a_run_is_the_same_as_each_session_by_itself(spark, research):
     for row in steps.orderBy("session_id", "step").collect():
         got.setdefault(row["session_id"], []).append(tuple(row[c] for c in ("step", "uncertainty", "question", "strategy", "evidence", "thoughts", "gain", "status", "duplicate", "negative", "tier")))
     for name, question, wanted, blockers, searches in sessions:
-        want, hyps = plain_run({"question": question, "wanted": wanted or "", "blockers": blockers, "searches": searches} if question else {"question": drill.NO_QUESTION, "wanted": "", "blockers": blockers, "searches": searches}, hypotheses, search, signs, 7)
+        want, hyps, prints = plain_run({"question": question, "wanted": wanted or "", "blockers": blockers, "searches": searches} if question else {"question": drill.NO_QUESTION, "wanted": "", "blockers": blockers, "searches": searches}, hypotheses, search, signs, 7)
         assert got[name] == want, name
+        assert [p["fingerprint"] for p in held[name]["history"]] == prints
         assert [(h["id"], round(h["confidence"], 6), h["status"], h["support"], h["counter"]) for h in hyps] == [(h["id"], round(h["confidence"], 6), h["status"], h["support"], h["counter"]) for h in held[name]["hypotheses"]]
     assert len({row[3] for rows in got.values() for row in rows}) > 8
 
