@@ -214,7 +214,7 @@ def test_canon_run(spark):
 
 
 def test_reflection(spark):
-    told = spark.createDataFrame([("a", "good text", "partial"), ("b", "bad", "complete")], "memory_id string, text string, quality string")
+    told = spark.createDataFrame([("a", "good text, long enough to ask about", "partial"), ("b", "bad text, long enough to ask about", "complete")], "memory_id string, text string, quality string")
 
     def model(batches):
         for texts in batches:
