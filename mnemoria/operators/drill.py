@@ -73,7 +73,7 @@ QUESTIONS = {
 }
 NO_QUESTION, COUNTER_QUESTION, NEXT_QUESTION = "What evidence most strongly discriminates between the current hypotheses?", "What counterevidence would most likely overturn the current ranking?", "What is the next most discriminating research question?"
 # Why a branch is frozen, and why a strategy was chosen.
-BY_POLICY, BY_CYCLE, BY_EXHAUSTION = "diminishing returns: DeepDrill selected freeze policy", "scheduler-level diminishing returns: repeating uncertainty/strategy/evidence cycle detected", "all strategies exhausted and no actionable reclassification remains"
+BY_POLICY, BY_CYCLE, BY_EXHAUSTION = "diminishing returns: freeze policy selected", "scheduler-level diminishing returns: repeating uncertainty/strategy/evidence cycle detected", "all strategies exhausted and no actionable reclassification remains"
 NONE_LEFT, FIRST_RUN, BY_YIELD = "all strategies for uncertainty are exhausted", "no prior runs, using primary strategy for uncertainty", "selected by uncertainty class and historical strategy yield"
 
 HYPOTHESIS = "struct<id: string, concepts: array<string>, rank: int, confidence: double, strength: double, status: string, support: array<string>, counter: array<string>, ambiguous: array<string>>"
