@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation, details, recall, research
+from . import curation, details, recall, research, transfers
 
-QUERIES = recall.QUERIES | curation.QUERIES | details.QUERIES | research.QUERIES
-SQL = recall.SQL | curation.SQL | details.SQL | research.SQL
+QUERIES = recall.QUERIES | curation.QUERIES | details.QUERIES | research.QUERIES | transfers.QUERIES
+SQL = recall.SQL | curation.SQL | details.SQL | research.SQL | transfers.SQL

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from datetime import datetime
 from functools import reduce
 
 import pandas as pd
@@ -21,10 +23,14 @@ ASSETS = "asset_pointer: variant, attachments: variant, assets: variant"
 NODE = f"struct<id: string, parent: string, {ASSETS}, message: struct<id: string, author: struct<role: string>, create_time: double, update_time: double, {ASSETS}, content: struct<content_type: string, parts: array<variant>>, metadata: struct<model_slug: string, {ASSETS}>>>"
 CONVERSATION = f"struct<id: string, conversation_id: string, title: string, create_time: double, update_time: double, is_starred: boolean, mapping: map<string, {NODE}>>"
 # A string field takes whatever is there, nested values as their JSON.
-BLOCK = "struct<type: string, text: string, title: string, name: string, message: string, display_content: string, input: string, content: string, structured_content: string>"
+BLOCK = "struct<type: string, text: string, title: string, name: string, message: string, display_content: string, input: string, content: string, structured_content: string, start_timestamp: string, stop_timestamp: string>"
 CLAUDE = f"struct<uuid: string, name: string, created_at: string, updated_at: string, chat_messages: array<struct<uuid: string, sender: string, text: string, created_at: string, updated_at: string, parent_message_uuid: string, content: array<{BLOCK}>, attachments: array<struct<extracted_content: string, file_name: string>>, files: array<struct<file_name: string>>>>>"
 # Keys of a tool's payload that come first.
 PAYLOAD_KEYS = ("text", "content", "new_str", "old_str", "command", "title", "name", "id", "language", "type")
+# Fixed value: the parent of messages that have none.
+ROOT = "00000000-0000-4000-8000-000000000000"
+RFC = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$")
+DAY = re.compile(r"\d{4}-\d\d-\d\d$")
 # Keys under which attachments are found.
 REF_KEYS = ("asset_pointer", "asset", "file_id", "id", "attachments", "assets")
 
@@ -175,37 +181,55 @@ def import_counters(conv: DataFrame, nodes: DataFrame, shares: DataFrame, rating
     return found.join(messages)
 
 
+def instant(text: str | None) -> float | None:
+    """Seconds of a number, an RFC 3339 time or a plain day; nothing where it is none of them."""
+    text = (text or "").strip()
+    try:
+        return float(text)
+    except ValueError:
+        pass
+    try:
+        return datetime.fromisoformat(text if "T" in text else f"{text}T00:00:00Z").timestamp() if RFC.match(text) or DAY.match(text) else None
+    except ValueError:
+        return None
+
+
+def message_times(message: dict) -> Iterator[str]:
+    """The times a message states, in the order in which they are asked: its own, then those of its blocks."""
+    yield from (message.get("created_at"), message.get("updated_at"))
+    for block in message.get("content") or []:
+        yield from ((block or {}).get("start_timestamp"), (block or {}).get("stop_timestamp"))
+
+
+def stated_time(message: dict, thread: dict) -> str:
+    """The first RFC 3339 time of a message, else of its conversation."""
+    told = (*message_times(message), thread["updated_at"], thread["created_at"])
+    return next((text.strip() for text in told if text and RFC.match(text.strip()) and instant(text) is not None), "")
+
+
 def thread_order(messages: list[dict]) -> list[int]:
-    """Places of messages depth first along their parents; siblings by time then id, orphans last by time."""
-    known = {m["uuid"]: k for k, m in enumerate(messages)}
+    """Places of messages depth first along their parents, siblings by time then id; what no root reaches follows by time then id.
+
+    Untimed messages come after timed ones, messages without an id are left out, and of a repeated id one is taken.
+    """
+
+    def key(k: int) -> tuple:
+        time = next((found for text in message_times(messages[k]) if (found := instant(text)) is not None), None)
+        return time is None, time or 0.0, ids[k]
+
+    ids = [(m["uuid"] or "").strip() for m in messages]
     children: dict[str, list[int]] = {}
-    roots, orphans = [], []
-    key = lambda k: (messages[k].get("created_at") or "~", messages[k]["uuid"] or "")
-    for k, m in enumerate(messages):
-        parent = m.get("parent_message_uuid") or ""
-        if parent and parent in known and parent != m["uuid"]:
-            children.setdefault(parent, []).append(k)
-        elif parent and parent.strip("0-"):
-            orphans.append(k)
-        else:
-            roots.append(k)
-    done, seen, stack = [], set(), sorted(roots, key=key, reverse=True)
+    for k in sorted((k for k in range(len(messages)) if ids[k]), key=key):
+        children.setdefault((messages[k].get("parent_message_uuid") or "").strip() or ROOT, []).append(k)
+    done, seen, stack = [], set(), children.get(ROOT, [])[::-1]
     while stack:
         k = stack.pop()
-        if k in seen:
-            continue
-        seen.add(k)
-        done.append(k)
-        stack += sorted(children.get(messages[k]["uuid"], ()), key=key, reverse=True)
-    for k in sorted((k for k in range(len(messages)) if k not in seen), key=key):  # orphans with what hangs on them, and cycles
-        stack = [k]
-        while stack:
-            j = stack.pop()
-            if j not in seen:
-                seen.add(j)
-                done.append(j)
-                stack += sorted(children.get(messages[j]["uuid"], ()), key=key, reverse=True)
-    return done
+        if ids[k] not in seen:
+            seen.add(ids[k])
+            done.append(k)
+            stack += children.get(ids[k], [])[::-1]
+    left = {ids[k]: k for k in range(len(messages)) if ids[k] and ids[k] not in seen}
+    return done + sorted(left.values(), key=key)
 
 
 def decoded(text: str | None) -> str:
@@ -285,7 +309,7 @@ def ordered_messages(threads: DataFrame) -> DataFrame:
                 messages = row["chat_messages"] or []
                 for turn, k in enumerate(thread_order(messages)):
                     m = messages[k]
-                    when = m.get("created_at") or m.get("updated_at") or row["updated_at"] or row["created_at"] or ""
+                    when = stated_time(m, row)
                     rows.append((row["conversation_id"], row["source_title"], turn, m["uuid"], m.get("parent_message_uuid"), {"human": "user"}.get(m["sender"], m["sender"]), thread_text(m), when, thread_tags(m)))
             columns = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, types, strict=True)], names=names)

@@ -131,18 +131,29 @@ def captioned(images: DataFrame, captions: DataFrame) -> DataFrame:
 def transcript_turns(segments: DataFrame, target: int = 700) -> DataFrame:
     """Segments of a recording packed in order: a turn ends before it would reach ``target`` bytes.
 
-    A fold over the segments of one recording.
+    Where a turn ends depends on where the one before it began, so a task counts through its recordings in order. Only sizes go to
+    Python, a batch at a time; texts are joined afterwards, a turn at a time.
     """
-    row = F.struct("start", "stop", F.trim("text").alias("text"))
-    ordered = segments.where("trim(text) <> ''").groupBy("source_title").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    item = "struct<start: double, stop: double, text: string>"
-    start = F.array().cast(f"array<{item}>")
-
-    def step(done, s):
-        last = F.get(done, F.size(done) - 1)
-        full = F.octet_length(last["text"]) + F.octet_length(s["text"]) + 1 >= target
-        joined = F.struct(last["start"].alias("start"), s["stop"].alias("stop"), F.concat(last["text"], F.lit(" "), s["text"]).alias("text"))
-        return F.when(F.size(done) == 0, F.array(s.cast(item))).when(full, F.concat(done, F.array(s.cast(item)))).otherwise(F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined.cast(item))))
-
-    turns = ordered.select("source_title", F.posexplode(F.aggregate(F.transform("rows", lambda r: r.cast(item)), start, step)).alias("turn", "t"))
-    return turns.select("source_title", "turn", F.concat(F.lit("["), "source_title", F.lit(" - "), clock(F.col("t.start")), F.lit(" to "), clock(F.col("t.stop")), F.lit("]\n\n"), "t.text").alias("text"))
+    said = segments.select("source_title", "start", "stop", F.trim("text").alias("text")).where("text <> ''")
+    ordered = said.withColumn("size", F.octet_length("text").cast("long")).repartition("source_title").sortWithinPartitions("source_title", "start", "stop", "text")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recording, turn, filled, place = None, -1, 0, -1
+        for batch in batches:
+            turns, places = [], []
+            for title, size in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if title != recording or turn < 0:
+                    recording, turn, filled, place = title, 0, size, 0
+                elif filled + size + 1 >= target:
+                    turn, filled, place = turn + 1, size, 0
+                else:
+                    filled, place = filled + size + 1, place + 1
+                turns.append(turn)
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(turns, pa.int32()), pa.array(places, pa.int32())], names=[*batch.schema.names[:4], "turn", "place"])
+
+    dealt = ordered.mapInArrow(deal, "source_title string, start double, stop double, text string, turn int, place int")
+    rows = F.array_sort(F.collect_list(F.struct("place", "start", "stop", "text")))
+    turns = dealt.groupBy("source_title", "turn").agg(rows.alias("rows"))
+    start, stop = F.get("rows", F.lit(0))["start"], F.element_at("rows", -1)["stop"]
+    return turns.select("source_title", "turn", F.concat(F.lit("["), "source_title", F.lit(" - "), clock(start), F.lit(" to "), clock(stop), F.lit("]\n\n"), F.array_join("rows.text", " ")).alias("text"))

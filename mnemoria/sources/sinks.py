@@ -19,6 +19,22 @@ def export_json(points: DataFrame, path: str) -> None:
     points.write.mode("overwrite").json(path)
 
 
+def export_bundles(rows: DataFrame, path: str, bundle: Column, order: Column, wrapper: str = "") -> None:
+    """A file for each value of ``bundle``: an array of its rows by ``order``, or ``{wrapper: array}`` (K9).
+
+    Readers of whole files take them; ``bundle`` bounds what a file holds, so it must not be a name that many rows share.
+    ``order`` must not be null.
+    """
+    held = F.collect_list(F.struct(order.alias("place"), F.struct(*rows.columns).alias("row")))
+    by_place = F.array_sort(held, lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
+    packed = rows.groupBy(bundle.alias("bundle")).agg(F.transform(by_place, lambda r: r["row"]).alias("rows"))
+    # The limit of one row makes each bundle a file.
+    if wrapper:
+        packed.select(F.col("rows").alias(wrapper)).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+    else:
+        packed.select(F.to_json("rows")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def export_id_map(mapping: DataFrame, path: str) -> None:
     """``old_memory_id,new_memory_id`` with a header."""
     mapping.select("old_memory_id", "new_memory_id").write.mode("overwrite").option("header", True).csv(path)

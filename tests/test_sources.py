@@ -170,3 +170,40 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(120)
     (row,) = spark.table("sessions").collect()
     assert row["turns"] == 40 and row["due"] and len(row["last_ids"].split(",")) == 32
+
+
+def test_thread_times():
+    """A message's time is its own, else that of its blocks, else that of the conversation; what no root reaches is ordered by time alone."""
+    m = lambda key, parent="", made=None, blocks=(): {"uuid": key, "parent_message_uuid": parent, "created_at": made, "updated_at": None, "content": list(blocks)}
+    block = {"start_timestamp": "soon", "stop_timestamp": "2024-01-02T00:00:00+01:00"}
+    thread = {"updated_at": "2025-01-01T00:00:00Z", "created_at": "2024-01-01T00:00:00Z"}
+    assert exports.stated_time(m("a", made=" 2024-01-01T00:00:00Z "), thread) == "2024-01-01T00:00:00Z"
+    assert exports.stated_time(m("a", made="2024-01-01", blocks=[{}, block]), thread) == "2024-01-02T00:00:00+01:00"
+    assert exports.stated_time(m("a", blocks=[None]), thread) == "2025-01-01T00:00:00Z"
+    root = exports.ROOT
+    messages = [m("late", root, "2024-01-03"), m("zone", root, blocks=[block]), m("early", root, "2024-01-01T23:30:00Z"), m("lost", "gone", "5"), m("child", "lost", "9"), m("other", "far", "7"), m("never", root), m("", root, "1"), m("late", root, "1700000000")]
+    order = [messages[k]["uuid"] for k in exports.thread_order(messages)]
+    assert order == ["late", "zone", "early", "never", "lost", "other", "child"]
+
+
+def test_bundles(spark, tmp_path):
+    rows = spark.range(10).select("id", F.create_map(F.lit("k"), "id").alias("m"))
+    sinks.export_bundles(rows, str(tmp_path / "arrays"), F.col("id") % 3, -F.col("id"))
+    sinks.export_bundles(rows, str(tmp_path / "wrapped"), F.col("id") % 3, F.col("id"), "items")
+    arrays = sorted(json.loads(file.read_text())[0]["id"] for file in (tmp_path / "arrays").glob("part*"))
+    wrapped = sorted([r["m"]["k"] for r in json.loads(file.read_text())["items"]] for file in (tmp_path / "wrapped").glob("part*"))
+    assert arrays == [7, 8, 9] and wrapped == [[0, 3, 6, 9], [1, 4, 7], [2, 5, 8]]
+
+
+def test_long_recordings(spark):
+    """Turns follow each other over many batches, and each recording begins anew."""
+    segments = spark.range(30000).selectExpr("concat('r', id % 2) AS source_title", "cast(id AS double) AS start", "cast(id + 1 AS double) AS stop", "repeat('x', cast(id % 40 AS int)) AS text")
+    got = {(r["source_title"], r["turn"]): r["text"].split("\n\n")[1] for r in folders.transcript_turns(segments).collect()}
+    for name, odd in (("r0", 0), ("r1", 1)):
+        turns: list[list[str]] = []
+        for text in ("x" * (i % 40) for i in range(odd, 30000, 2)):
+            if text and (not turns or len(" ".join(turns[-1])) + len(text) + 1 >= 700):
+                turns.append([text])
+            elif text:
+                turns[-1].append(text)
+        assert [got[name, k] for k in range(len(turns))] == [" ".join(t) for t in turns]
