@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import shared_folder
 from ..sources import exports, folders, sinks
+from ..streaming import ingest as streaming
+from .curation import SQL as CURATION_SQL
+from .curation import prepared
 from .relations import POINTS_SQL, points, table
 
 # Conversations in a file of an export.
@@ -134,7 +137,20 @@ def k08_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(ids, "memory_id").join(spark.read.parquet(f"{folder}/cleaned"), "memory_id").join(audit, "memory_id", "left")
 
 
-QUERIES = {f.__name__: f for f in (s02_chat_export, a07_import_counters, s10_thread_export, s22_media, k08_sinks)}
+def w01_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in files, taken by a stream that is stopped and started again over files it knows and files that repeat rows."""
+    folder = own_folder(spark, "stream")
+    rows = prepared(spark, sf_dir).select(*(part.split(" ")[0] for part in streaming.MESSAGES.split(", ")))
+    half = F.col("conversation_id").cast("long") % 2
+    rows.where(half == 0).write.json(f"{folder}/in")
+    streaming.ingest_stream(spark, f"{folder}/in", f"{folder}/points", f"{folder}/state", size=None).awaitTermination()
+    rows.write.mode("append").json(f"{folder}/in")
+    streaming.ingest_stream(spark, f"{folder}/in", f"{folder}/points", f"{folder}/state", size=None).awaitTermination()
+    taken = streaming.ingested(spark, f"{folder}/points", f"{folder}/state")
+    return taken.select("memory_id", "speaker", "project", F.md5("text").alias("digest"), "summary", "source_quote")
+
+
+QUERIES = {f.__name__: f for f in (w01_ingest_stream, s02_chat_export, a07_import_counters, s10_thread_export, s22_media, k08_sinks)}
 
 STAMP = "strftime(make_timestamp(({})::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 NUMBERED_SQL = "numbered AS (SELECT *, conv_id + k AS s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS k FROM conversations WHERE conv_id IS NOT NULL))"
@@ -146,6 +162,7 @@ TREES_SQL = rf"""{NUMBERED_SQL}, parts AS (
 RATED_SQL = "CASE WHEN conv_id % 4 = 2 THEN 'thumbs_down' WHEN conv_id % 4 = 3 THEN 'thumbs_up' END"
 TREE_COLUMNS = f"conv_id::VARCHAR AS conversation_id, (row_number() OVER (PARTITION BY conv_id ORDER BY moment NULLS LAST, 'n-' || conv_id || '-' || (9999999 - k)) - 1)::INT AS turn, conv_id || '-' || k AS message_id, lower(trim(role)) AS speaker, md5(body) AS digest, coalesce({STAMP.format('moment')}, '') AS timestamp, array_to_string(refs, ',') AS refs, 'Talk ' || conv_id % 10 AS source_title, conv_id % 3 = 0 AS user_starred"
 SQL = {
+    "w01_ingest_stream": CURATION_SQL["g06_ingest_points"],
     "s02_chat_export": f"""WITH {TREES_SQL}
 SELECT 'whole' AS of, {TREE_COLUMNS}, conv_id % 5 = 0 AS user_shared, {RATED_SQL} AS feedback_rating FROM texts WHERE supported AND body <> ''
 UNION ALL SELECT 'asked', {TREE_COLUMNS}, false, NULL FROM texts WHERE supported AND body <> '' AND (conv_id % 10 = 3) AND (moment IS NULL OR moment >= 1704067320)""",

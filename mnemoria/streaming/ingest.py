@@ -1,67 +1,54 @@
-"""Incremental ingest and sessions."""
+"""Incremental ingest."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ingest import accepted, to_points
+from .journal import commit, commits, open_journal
 
-LAST_IDS, SUMMARY_EVERY = 32, 8
 MESSAGES = "conversation_id string, message_id string, record_index long, speaker string, text string, source_type string, project string"
 
 
-def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int = 16, every: str | None = None) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int = 16, every: str | None = None, model: str = "", size: int | None = 900) -> StreamingQuery:
     """New message files to new points; a run after a crash or over the same files changes nothing.
 
-    The checkpoint is the journal (W1-W3). Each micro-batch overwrites its own folder, and writes only
-    ids that earlier batches lack, so a batch that is run again gives the same rows (W4). With ``every``, such as
-    ``300 seconds``, the stream goes on; without it, it ends when what is there has been taken (W5).
+    The checkpoint keeps which files are done, and the journal beside it which import this is and which batches count: another source, table or
+    model is refused (W1-W3). Each micro-batch overwrites its own folder, writes only ids that earlier batches that count lack, and is named in the
+    journal last, so a batch that is run again gives the same rows (W4). With ``every``, such as ``300 seconds``, the stream goes on;
+    without it, it ends when what is there has been taken (W5).
     """
+    journal = journal_of(checkpoint)
+    open_journal(spark, journal, source=source, table=table, model=model)
     stream = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", max_files).json(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        points = to_points(accepted(batch, assistant=True)).dropDuplicates(["memory_id"])
-        stored = existing(batch.sparkSession, table)
+        session = batch.sparkSession
+        points = to_points(accepted(batch, assistant=True), size=size).dropDuplicates(["memory_id"])
+        read, new = Observation(), Observation()
+        points = points.observe(read, F.max("record_index").alias("last"))
+        stored = ingested(session, table, checkpoint)
         if stored is not None:
             points = points.join(stored.where(F.col("batch") < number).select("memory_id"), "memory_id", "left_anti")
-        points.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        points.observe(new, F.count("*").alias("points")).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        commit(session, journal, number, new.get["points"], read.get["last"])
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def existing(spark: SparkSession, table: str) -> DataFrame | None:
-    """The table so far, or nothing before the first batch."""
+def journal_of(checkpoint: str) -> str:
+    return checkpoint.rstrip("/") + "_journal"
+
+
+def ingested(spark: SparkSession, table: str, checkpoint: str) -> DataFrame | None:
+    """The points of all batches that the journal names, or nothing before the first; what a killed run left is not read."""
     try:
-        return spark.read.parquet(table)
+        written = spark.read.parquet(table)
     except AnalysisException:
         return None
-
-
-def sessions(turns: DataFrame, ttl: str = "86400000") -> DataFrame:
-    """``session_id, turns, last_ids, due``: counters and the last 32 ids of each session, kept with a time limit.
-
-    ``turns(session_id, memory_id)`` may be a stream; ``due`` marks every eighth turn.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, ids = state.get if state.exists else (0, "")
-        last = ids.split("\n") if ids else []
-        for batch in batches:
-            count += len(batch)
-            last = (last + sorted(batch["memory_id"].tolist()))[-LAST_IDS:]
-        state.update((count, "\n".join(last)))
-        state.setTimeoutDuration(int(ttl))
-        yield pd.DataFrame({"session_id": [key[0]], "turns": [count], "last_ids": [",".join(last)], "due": [count % SUMMARY_EVERY == 0]})
-
-    return turns.groupBy("session_id").applyInPandasWithState(update, "session_id string, turns long, last_ids string, due boolean", "turns long, ids string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    # One short row for each batch; the join prunes folders.
+    return written.join(commits(spark, journal_of(checkpoint)).select("batch"), "batch", "left_semi")

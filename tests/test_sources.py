@@ -164,12 +164,6 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows[3:] + [("c", "new", 10, "user", "new text", "x", "p")], streaming.MESSAGES).coalesce(1).write.mode("append").json(source)
     streaming.ingest_stream(spark, source, table, checkpoint).awaitTermination(120)
     assert spark.read.parquet(table).count() == 6
-    spark.createDataFrame([("s", f"{k:03d}") for k in range(40)], "session_id string, memory_id string").coalesce(1).write.json(str(tmp_path / "turns"))
-    turns = streaming.sessions(spark.readStream.schema("session_id string, memory_id string").json(str(tmp_path / "turns")))
-    query = turns.writeStream.outputMode("update").format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    (row,) = spark.table("sessions").collect()
-    assert row["turns"] == 40 and row["due"] and len(row["last_ids"].split(",")) == 32
 
 
 def test_thread_times():
