@@ -131,29 +131,32 @@ def captioned(images: DataFrame, captions: DataFrame) -> DataFrame:
 def transcript_turns(segments: DataFrame, target: int = 700) -> DataFrame:
     """Segments of a recording packed in order: a turn ends before it would reach ``target`` bytes.
 
-    Where a turn ends depends on where the one before it began, so a task counts through its recordings in order. Only sizes go to
-    Python, a batch at a time; texts are joined afterwards, a turn at a time.
+    Where a turn ends depends on where the one before it began, so a task goes through its recordings in order and holds one turn at a
+    time; texts are shuffled once.
     """
     said = segments.select("source_title", "start", "stop", F.trim("text").alias("text")).where("text <> ''")
-    ordered = said.withColumn("size", F.octet_length("text").cast("long")).repartition("source_title").sortWithinPartitions("source_title", "start", "stop", "text")
+    ordered = said.repartition("source_title").sortWithinPartitions("source_title", "start", "stop", "text")
+    names = ["source_title", "turn", "start", "stop", "text"]
+    types = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recording, turn, filled, place = None, -1, 0, -1
+        held, turn, filled, first, last, texts = None, -1, 0, 0.0, 0.0, []
         for batch in batches:
-            turns, places = [], []
-            for title, size in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if title != recording or turn < 0:
-                    recording, turn, filled, place = title, 0, size, 0
-                elif filled + size + 1 >= target:
-                    turn, filled, place = turn + 1, size, 0
-                else:
-                    filled, place = filled + size + 1, place + 1
-                turns.append(turn)
-                places.append(place)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(turns, pa.int32()), pa.array(places, pa.int32())], names=[*batch.schema.names[:4], "turn", "place"])
-
-    dealt = ordered.mapInArrow(deal, "source_title string, start double, stop double, text string, turn int, place int")
-    rows = F.array_sort(F.collect_list(F.struct("place", "start", "stop", "text")))
-    turns = dealt.groupBy("source_title", "turn").agg(rows.alias("rows"))
-    start, stop = F.get("rows", F.lit(0))["start"], F.element_at("rows", -1)["stop"]
-    return turns.select("source_title", "turn", F.concat(F.lit("["), "source_title", F.lit(" - "), clock(start), F.lit(" to "), clock(stop), F.lit("]\n\n"), F.array_join("rows.text", " ")).alias("text"))
+            closed = []
+            for title, start, stop, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                size = len(text.encode())
+                if texts and title == held and filled + size + 1 < target:
+                    filled, last = filled + size + 1, stop
+                    texts.append(text)
+                    continue
+                if texts:
+                    closed.append((held, turn, first, last, " ".join(texts)))
+                turn = turn + 1 if texts and title == held else 0
+                held, filled, first, last, texts = title, size, start, stop, [text]
+            if closed:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*closed), types, strict=True)], names=names)
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in zip((held, turn, first, last, " ".join(texts)), types, strict=True)], names=names)
+
+    turns = ordered.mapInArrow(deal, "source_title string, turn int, start double, stop double, text string")
+    return turns.select("source_title", "turn", F.concat(F.lit("["), "source_title", F.lit(" - "), clock(F.col("start")), F.lit(" to "), clock(F.col("stop")), F.lit("]\n\n"), "text").alias("text"))
