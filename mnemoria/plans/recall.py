@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import point_id
 from ..functions.text import first_present
-from ..operators import catalog, recall
+from ..operators import catalog, postings, recall
 from ..operators.predicates import SearchFilters, visible
+from ..operators.tables import shared_folder
 from .relations import POINTS_SQL, VECTORS_SQL, points, table, vectors
 
 QUERY = "that there heres thand onen"
@@ -39,6 +42,12 @@ def r03_lexical_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.lexical(visible(points(spark, sf_dir)), QUERY, 20, "text", "source_title").select("memory_id", F.round("lexical_score", 6).alias("lexical_score"), F.round("score", 6).alias("score"))
 
 
+def r03_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of ``r03_lexical_recall`` from an inverted index, which is built first."""
+    index = postings.build(visible(points(spark, sf_dir)), f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}", "text", "source_title")
+    return postings.search(spark, index, QUERY, 20).select("memory_id", F.round("lexical_score", 6).alias("lexical_score"), F.round("score", 6).alias("score"))
+
+
 def r06_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of a conversation once, with the ids of its copies."""
     found = recall.collapse(points(spark, sf_dir).withColumn("score", F.lit(1.0)))
@@ -137,7 +146,7 @@ def t49_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("memory_id", point_id(F.col("memory_id")).alias("point_id"), first_present(F.lit(" "), F.col("project"), F.lit("general")).alias("project"))
 
 
-QUERIES = {f.__name__: f for f in (r01_recall, r03_lexical_recall, r05_rrf_hybrid, r06_collapse, r07_conversation_cap, r08_context_pack, r13_keyword_search, v03_multi_query, j16_merge_best, a23_retrieval_thin, a01_memory_stats, a06_facet_counts, a09_corpus_profile, a10_top_documents, a11_duplicate_documents, a13_most_common, a24_event_metrics, k01_upsert, k05_patch, k06_delete, l01_page, t49_point_ids)}
+QUERIES = {f.__name__: f for f in (r01_recall, r03_lexical_recall, r03_postings, r05_rrf_hybrid, r06_collapse, r07_conversation_cap, r08_context_pack, r13_keyword_search, v03_multi_query, j16_merge_best, a23_retrieval_thin, a01_memory_stats, a06_facet_counts, a09_corpus_profile, a10_top_documents, a11_duplicate_documents, a13_most_common, a24_event_metrics, k01_upsert, k05_patch, k06_delete, l01_page, t49_point_ids)}
 
 BOOST = "(CASE WHEN canonical THEN 1.25::DOUBLE ELSE 1 END * CASE status WHEN 'approved' THEN 1.2::DOUBLE WHEN 'direct' THEN 1.2 WHEN 'inferred' THEN 1.08 WHEN 'needs_review' THEN 0.98 ELSE 1 END)"
 HIDDEN = "status NOT IN ('rejected', 'contradicted', 'outdated', 'deleted')"
@@ -209,3 +218,4 @@ SELECT memory_id, status FROM points WHERE memory_id NOT IN (SELECT memory_id FR
     "t49_point_ids": f"""WITH {POINTS_SQL}, h AS (SELECT memory_id, project, md5(memory_id) AS h FROM points)
 SELECT memory_id, h[1:8] || '-' || h[9:12] || '-3' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS point_id, coalesce(nullif(trim(project), ''), 'general') AS project FROM h""",
 }
+SQL["r03_postings"] = SQL["r03_lexical_recall"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import shared_folder
-from ..sources import exports, folders, sinks
+from ..sources import exports, folders, pages, sinks
 from ..streaming import ingest as streaming
 from .curation import SQL as CURATION_SQL
 from .curation import prepared
@@ -137,6 +137,17 @@ def k08_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(ids, "memory_id").join(spark.read.parquet(f"{folder}/cleaned"), "memory_id").join(audit, "memory_id", "left")
 
 
+def k02_paged_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written to a paged store, those of users once more as approved, and the last versions read back page by page."""
+    pages.register(spark)
+    folder = own_folder(spark, "paged")
+    p = points(spark, sf_dir).where("doc_id is not null").select("memory_id", "speaker", "status", "text", "ts")
+    p.write.format("paged").mode("append").option("points", 2048).save(folder)
+    p.where("speaker = 'user'").withColumn("status", F.lit("approved")).write.format("paged").mode("append").option("points", 2048).save(folder)
+    read = spark.read.format("paged").load(folder).withColumn("text", F.md5("text")).withColumnRenamed("text", "digest")
+    return pages.newest(read).select("memory_id", F.col("_commit").alias("version"), "speaker", "status", "digest", "ts")
+
+
 def w01_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages in files, taken by a stream that is stopped and started again over files it knows and files that repeat rows."""
     folder = own_folder(spark, "stream")
@@ -150,7 +161,7 @@ def w01_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("memory_id", "speaker", "project", F.md5("text").alias("digest"), "summary", "source_quote")
 
 
-QUERIES = {f.__name__: f for f in (w01_ingest_stream, s02_chat_export, a07_import_counters, s10_thread_export, s22_media, k08_sinks)}
+QUERIES = {f.__name__: f for f in (w01_ingest_stream, k02_paged_store, s02_chat_export, a07_import_counters, s10_thread_export, s22_media, k08_sinks)}
 
 STAMP = "strftime(make_timestamp(({})::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 NUMBERED_SQL = "numbered AS (SELECT *, conv_id + k AS s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS k FROM conversations WHERE conv_id IS NOT NULL))"
@@ -190,6 +201,8 @@ UNION ALL SELECT 'claude_conversations_memory', 'Claude Conversations Memory', N
 SELECT 'page' AS of, source_title, n::INT AS n, md5(text) AS digest FROM pages WHERE trim(text) <> ''
 UNION ALL SELECT 'turn', source_title, turn, md5('[' || source_title || ' - ' || clock(a) || ' to ' || clock(z) || ']' || chr(10) || chr(10) || body) FROM turns
 UNION ALL SELECT 'image', source_title, 0, md5(CASE WHEN digest IS NULL THEN '[image: ' || source_title || ']' ELSE 'seen ' || digest END) FROM d LEFT JOIN captions ON digest = sha256(text)""",
+    "k02_paged_store": f"""WITH {POINTS_SQL}
+SELECT memory_id, CASE WHEN speaker = 'user' THEN 2 ELSE 1 END AS version, speaker, CASE WHEN speaker = 'user' THEN 'approved' ELSE status END AS status, md5(text) AS digest, ts FROM points WHERE doc_id IS NOT NULL""",
     "k08_sinks": f"""WITH {POINTS_SQL}
 SELECT memory_id, conversation_id, md5(text) AS digest, speaker || ',' || status AS tags, 'new, "' || memory_id AS new_memory_id, status AS cleanup_status,
   nullif(CASE WHEN status = 'approved' THEN 'approve 2024-01-01' ELSE '' END || CASE WHEN status = 'approved' AND speaker = 'user' THEN ',' ELSE '' END || CASE WHEN speaker = 'user' THEN 'correct 2024-01-02' ELSE '' END, '') AS actions FROM points""",
