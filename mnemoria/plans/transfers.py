@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import forest
 from ..operators.tables import shared_folder
 from ..sources import exports, folders, pages, sinks
 from ..streaming import ingest as streaming
@@ -110,6 +111,14 @@ def s10_thread_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conversation_id", "source_title", "turn", "message_id", "parent_id", "speaker", F.md5("text").alias("digest"), "timestamp", F.array_join("tags", ",").alias("tags"), "memory_kind")
 
 
+def s13_thread_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of all conversations as trees with orphans and untimed ones, put in depth-first places along tours."""
+    rows = numbered(spark, sf_dir)
+    parent = F.when(F.col("s") % 9 == 8, "gone").when(F.col("k") > 0, F.concat_ws("-", "conv_id", F.floor((F.col("k") - 1) / 2)))
+    ts = F.when(F.col("s") % 6 != 5, 1704067200 + F.col("conv_id") * 86400 + F.col("k") * 60)
+    return forest.thread_places(rows.select(F.col("conv_id").cast("string").alias("conversation_id"), F.concat_ws("-", "conv_id", "k").alias("message_id"), parent.alias("parent_id"), ts.alias("ts")))
+
+
 def s22_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as pages, as recordings of one segment a line, and as images with captions."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.concat(F.lit("rec "), "doc_id").alias("source_title"), F.coalesce("text", F.lit("")).alias("text"))
@@ -161,7 +170,7 @@ def w01_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("memory_id", "speaker", "project", F.md5("text").alias("digest"), "summary", "source_quote")
 
 
-QUERIES = {f.__name__: f for f in (w01_ingest_stream, k02_paged_store, s02_chat_export, a07_import_counters, s10_thread_export, s22_media, k08_sinks)}
+QUERIES = {f.__name__: f for f in (w01_ingest_stream, k02_paged_store, s02_chat_export, a07_import_counters, s10_thread_export, s13_thread_places, s22_media, k08_sinks)}
 
 STAMP = "strftime(make_timestamp(({})::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 NUMBERED_SQL = "numbered AS (SELECT *, conv_id + k AS s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS k FROM conversations WHERE conv_id IS NOT NULL))"
@@ -192,6 +201,11 @@ SELECT conv_id::VARCHAR AS conversation_id, 'Thread ' || conv_id AS source_title
 UNION ALL SELECT lang, coalesce(CASE WHEN n % 2 = 0 THEN upper(lang) END, lang), NULL, NULL, NULL, 'assistant', md5(CASE WHEN n % 2 = 0 THEN upper(lang) || chr(10) || chr(10) ELSE '' END || 'documents: ' || n || coalesce(chr(10) || chr(10) || 'project_docs: ' || trim(source) || '.md', '')), NULL, NULL, 'project_config' FROM langs
 UNION ALL SELECT lang, 'Claude Project Memory: ' || CASE WHEN n % 2 = 0 THEN upper(lang) ELSE lang END, NULL, NULL, NULL, 'assistant', md5('told of ' || lang), NULL, NULL, 'ai_generated_synthesis' FROM langs
 UNION ALL SELECT 'claude_conversations_memory', 'Claude Conversations Memory', NULL, NULL, NULL, 'assistant', md5('languages: ' || count(*)), NULL, NULL, 'ai_generated_synthesis' FROM langs""",
+    "s13_thread_places": f"""WITH RECURSIVE {NUMBERED_SQL}, m AS (
+  SELECT *, conv_id || '-' || k AS id, s % 9 = 8 AS orphan, CASE WHEN s % 6 = 5 THEN 1 ELSE 0 END AS untimed FROM numbered), walk AS (
+  SELECT conv_id, k, [untimed * 1000000 + k] AS path FROM m WHERE k = 0 AND NOT orphan
+  UNION ALL SELECT m.conv_id, m.k, w.path || [m.untimed * 1000000 + m.k] FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.k > 0 AND (m.k - 1) // 2 = w.k AND NOT m.orphan)
+SELECT m.conv_id::VARCHAR AS conversation_id, m.id AS message_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY path IS NULL, path, untimed, CASE WHEN untimed = 0 THEN m.k END, id) - 1 AS turn FROM m LEFT JOIN walk w ON w.conv_id = m.conv_id AND w.k = m.k""",
     "s22_media": r"""WITH RECURSIVE d AS (SELECT doc_id, 'rec ' || doc_id AS source_title, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL), pages AS (
   SELECT source_title, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS n FROM (SELECT source_title, CASE WHEN length(trim(replace(text, chr(10), chr(12)))) >= 100 THEN string_split(text, chr(10)) ELSE ['[no text in ' || source_title || ']'] END AS p FROM d)), lines AS (
   SELECT doc_id, source_title, i, t, strlen(t) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, source_title, trim(unnest(l)) AS t, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, source_title, string_split(text, chr(10)) AS l FROM d)) WHERE t <> ''), walk AS (
