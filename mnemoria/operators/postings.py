@@ -41,12 +41,14 @@ def build(points: DataFrame, path: str, *cols: str) -> Index:
     Texts are taken apart once, into a table without them; the rest works on postings. Null texts have no tokens.
     """
     have = F.array_distinct(F.flatten(F.array(*(lexical_tokens(F.col(c)) for c in cols))))
-    apart = written(points.select("memory_id", "ts", boost().alias("boost"), F.explode(have).alias("token")), "postings")
+    spark = points.sparkSession
+    points.select("memory_id", "ts", boost().alias("boost"), F.explode(have).alias("token")).write.option("compression", "zstd").parquet(f"{path}/apart")
+    apart = spark.read.parquet(f"{path}/apart")
     # A bound of ranges in the hot tokens is found by what the order ends with, so they are split as well.
     order = [F.asc("token"), F.desc("boost"), F.desc("ts"), F.asc("memory_id")]
-    apart.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    apart.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{path}/postings")
     index = Index(path)
-    terms = index.postings(points.sparkSession).groupBy("token").agg(F.count("*").alias("n"), F.max("boost").alias("boost"))
+    terms = index.postings(spark).groupBy("token").agg(F.count("*").alias("n"), F.max("boost").alias("boost"))
     terms.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/terms")
     return index
 
