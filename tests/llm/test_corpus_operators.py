@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from mnemoria.llm import queries
-from mnemoria.llm.additive import Best, Codebooks, neighbours, train
+from mnemoria.llm.additive import Best, Codebooks, Nearest, neighbours, train
 from mnemoria.llm.lines import normalised, per_document, repeated_units, substring_dedup as line_dedup
 from mnemoria.llm.mixing import GOLDEN, golden_slots, mix, mixed_documents, schedule, source_targets
 from mnemoria.llm.simhash import near_duplicates
@@ -404,6 +404,33 @@ def test_neighbours(spark):
     assert recall(clean, neighbours(table, books=none, rerank=64).collect()) < 0.2
 
 
+def test_neighbours_whatever_the_rows(spark):
+    """Crowds closer than their codes tell, vectors far from the origin, lengths of many sizes, no structure at all: nothing nearer is missed."""
+    rng = np.random.default_rng(3)
+    crowds = rng.normal(size=(4, 24))[rng.integers(0, 4, 1600)] + 1e-4 * rng.normal(size=(1600, 24))
+    sizes = rng.normal(size=(800, 24)) * 10.0 ** rng.integers(-6, 6, 800)[:, None]
+    for x in (crowds, crowds + 1e5, sizes, rng.normal(size=(1200, 96)), np.concatenate((crowds[:800], sizes))):
+        rows = list(enumerate(x[:, :24].tolist() if x is sizes else x.tolist()))
+        got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), books=train(x[:400], books=4, size=16)).collect()
+        assert recall(rows, got) == 1
+    twice = [(0, [0.0, 1.0]), *((1, [0.0, 1.0 + n / 64]) for n in range(1, 40)), *((k, [float(k), 1.0]) for k in range(2, 20))]
+    got = neighbours(spark.createDataFrame(twice, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(row["vec_id"], row["score"]) for row in got] == [(1, 1 / 64)] + [(k, float(k)) for k in range(2, 11)]
+
+
+def test_codes_rule_most_vectors_out():
+    """Of the exact distances, few are taken where codes tell vectors apart; worse codes take more and lose nothing."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(64, 32))[rng.integers(0, 64, 4000)] + 0.1 * rng.normal(size=(4000, 32))
+    q, ids, found = x[:40], np.arange(4000), []
+    for books in (train(x[:1000], books=8, size=32), Codebooks(np.zeros((1, 1, 32)))):
+        sums, best = books.sums(books.encode(x)), Nearest(40, 11)
+        squared = ((q[:, None] - books.centre - sums) ** 2).sum(2)
+        best.add(q, 0, squared, np.zeros_like(squared), np.sqrt(((x - books.centre - sums) ** 2).sum(1)), x, ids)
+        found.append((best.pairs, best.ids))
+    assert (found[0][1] == found[1][1]).all() and found[0][0] < 0.1 * 40 * 4000 < 0.9 * found[1][0]
+
+
 def test_cells_of_few_queries(spark, small, monkeypatch):
     """A grid of several columns of queries gives the same rows."""
     import mnemoria.llm.additive as additive
