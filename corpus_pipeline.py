@@ -46,6 +46,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8): the one of the smallest id, null first.
 
+    Candidates are links of SimHashes in a byte-position index; each is verified on the shingle sets.
+
     Null, empty and blank texts are one group, shorter texts than five words are one shingle, very long texts
     are compared whole. Of rows that agree in id and text, the first by the other columns stays; of an id with
     several texts, each text is a document.

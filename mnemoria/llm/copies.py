@@ -1,8 +1,8 @@
 """Near copies by the Jaccard similarity of their word shingles, for stages that state a similarity.
 
 A SimHash of 64 bits can't serve a similarity of 0.8: such pairs differ in about ten bits, and no
-byte position is then sure to agree. Candidates come from bands of minimum hashes over the same
-shingles, and each link is verified on the whole shingle sets.
+byte position is then sure to agree. Candidates are the links of wide SimHashes over the same
+shingles, found in a byte-position index (``simhash.wide_links``), and each is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -18,22 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import join_by_key, materialize, shuffle_partitions
 from .components import connected_components
+from .simhash import wide_fingerprint, wide_links
 
 SHINGLE_WORDS = 5
 #: Least Jaccard similarity of a link, in per cent.
 LEAST_PERCENT = 80
-#: A pair of similarity s meets in no band with probability (1 - s**ROWS) ** BANDS: 1.1e-4 at 0.8, 1e-10 at 0.9.
-ROWS = 6
-BANDS = 30
 SEED = 42
 #: Larger groups of candidates are cut into tiles of about this size; every two tiles meet in a task of their own.
 TILE = 1024
-#: Shingles hashed at once.
-STEP = 4096
-
-_draw = np.random.default_rng(SEED)
-FACTORS = _draw.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-SHIFTS = _draw.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)[:, None]
 
 
 def shingles(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> np.ndarray:
@@ -46,27 +38,17 @@ def shingles(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> np.nda
     return np.unique(np.fromiter((digest(b" ".join(words[at : at + words_per_shingle]), SEED) for at in range(n)), dtype=np.uint64, count=n))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One key for each band of minimum hashes; none for an empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), STEP):
-        np.minimum(least, (FACTORS * hashes[at : at + STEP] + SHIFTS).min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), number) for number, band in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
 def sketches(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """``(id, node, keys)``: equal ``node`` where shingle sets are equal."""
+    """``(id, node, wide)``: equal ``node`` where shingle sets are equal; ``wide`` is their SimHash, null for the empty set."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, words_per_shingle) for text in batch.column(1).to_pylist()]
             nodes = [int.from_bytes(hashlib.md5(found.tobytes(), usedforsecurity=False).digest()[:8], "big", signed=True) for found in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=[id_col, "node", "keys"])
+            wide = [wide_fingerprint(found).view(np.int64) if len(found) else None for found in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(wide, pa.list_(pa.int64()))], names=[id_col, "node", "wide"])
 
-    return docs.select(id_col, text_col).mapInArrow(measure, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, node long, keys array<long>")
+    return docs.select(id_col, text_col).mapInArrow(measure, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, node long, wide array<long>")
 
 
 def close_pairs(sets: list[np.ndarray], least_percent: int) -> list[tuple[int, int]]:
@@ -123,11 +105,9 @@ def near_copies(docs: DataFrame, least_percent: int = LEAST_PERCENT, words_per_s
     an empty table gives an empty one; other columns are ignored.
     """
     marked = materialize(sketches(docs, id_col, text_col, words_per_shingle), "copies")
-    nodes = materialize(marked.groupBy("node").agg(F.min(id_col).alias("least"), F.first("keys").alias("keys")), "copies-distinct")
-    listed = nodes.select("node", F.explode("keys").alias("key"))
-    met = materialize(listed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "copies-keys")
-    groups = connected_components(join_by_key(listed, met, "key").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "copies-groups")
-    # Every pair that meets in a band lies in one group, so a text is sent once, to its group.
+    nodes = materialize(marked.groupBy("node").agg(F.min(id_col).alias("least"), F.first("wide").alias("wide")), "copies-distinct")
+    groups = connected_components(wide_links(nodes.where(F.col("wide").isNotNull()).select("node", "wide")), "copies-groups")
+    # Every link of fingerprints lies in one group, so a text is sent to its group only.
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64(F.col("id")), F.col("tiles")).cast("int")
     placed = groups.join(sizes, "component").withColumn("own", own).withColumn("third", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
