@@ -39,3 +39,9 @@ def test_blocks_find_what_all_pairs_find(spark, vectors, monkeypatch, k):
     monkeypatch.setattr(searches, "SENT", 0)  # many queries: block by block
     monkeypatch.setattr(searches, "ASKED", 16)
     assert told(recall.multi_query(vectors, queries, k)) == told(pair_by_pair(vectors, queries, k))
+
+
+def test_queries_are_not_limited(spark, vectors):
+    queries = spark.range(10_050).select(F.col("id").alias("query_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("q"))
+    got = recall.multi_query(vectors.where("kind < 2"), queries, 2)
+    assert got.count() == 20_100
