@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.text import family_key
 from .evidence import anchor_matches, best_anchors, tier, tier_number, weaknesses
-from .recall import bounded
 from .tables import written
 
 # Relations, what they are based on, and their confidence.
@@ -20,6 +19,8 @@ NODE = {
     "source_id": "string", "document_id": "string", "memory_id": "string", "chunk_id": "string", "filename": "string", "source_title": "string", "source_type": "string", "path": "string", "chunk_index": "int", "segment_start": "double", "segment_end": "double",
     "original_ts": "long", "ingested_ts": "long", "parent_id": "string", "derived_from": "array<string>", "cites": "array<string>",
 }
+# Keys of anchors that are sent to all tasks at most.
+KEYS_SENT = 200_000
 IDENTITY = ("source_id", "document_id", "filename", "source_title", "memory_id", "chunk_id")
 
 
@@ -64,29 +65,50 @@ def family_relation(source_type: Column) -> Column:
 
 
 def trace(every: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges and summaries of the traces of ``anchors(anchor)``, names of sources of any kind; a stated set of at most 10,000.
+    """Edges and summaries of the traces of ``anchors(anchor)``, names of sources of any kind.
 
     Edges are ``anchor, from_id, to_id, relation, basis, side, confidence, n, nearest``: ``n`` counts the keys of nodes that give the edge, and
     ``nearest`` is the node that is nearest in the order of a source. Summaries are ``anchor, memory_id, source_type, tier, n_edges, lacks, confidence``.
 
-    What can link a node and an anchor is written as a key on either side. The keys of the anchors are the small side, so the nodes are read
-    where they lie, however many share a source or a family, and edges are merged before they are shuffled.
+    What can link a node and an anchor is written as a key on either side. Links that a node names by a key depend on its id alone, so nodes are
+    counted by key and id before they meet an anchor, and those that the anchor itself names are taken off; order and families need pairs of nodes and
+    anchors, for which the keys of the anchors are the small side.
     """
     asked = anchors.select(F.trim("anchor").alias("anchor")).distinct()
     # The best node of each name, with what the trace needs of it; as many rows as names at most.
-    best = best_anchors(anchor_matches(every, bounded(asked), IDENTITY)).select("anchor", "memory_id")
-    a = every.join(F.broadcast(best), "memory_id").groupBy("anchor").agg(F.min(F.struct("memory_id", *(c for c in every.columns if c != "memory_id"))).alias("a"))
+    every = written(every, "lineage-nodes")
+    best = best_anchors(anchor_matches(every, asked, IDENTITY)).select("anchor", "memory_id")
+    a = every.join(best, "memory_id").groupBy("anchor").agg(F.min(F.struct("memory_id", *(c for c in every.columns if c != "memory_id"))).alias("a"))
     a = written(a, "lineage-anchors")
     key = lambda link, value: F.struct(F.lit(link).alias("link"), value.alias("value"))
     keys = lambda link, values: F.transform(lowered(values), lambda v: key(link, v))
     blank = F.array().cast("array<string>")
     known = F.concat(F.array("a.source_id", "a.document_id", "a.memory_id", "a.chunk_id"), F.coalesce("a.derived_from", blank), F.coalesce("a.cites", blank))
     of_anchor = F.concat(keys("ref", known), keys("cite", known), keys("from", F.col("a.derived_from")), keys("parent", F.array("a.parent_id")), keys("to", F.col("a.cites")), keys("family", F.array("a.family")), F.array(key("same", F.lower("anchor"))))
-    left = a.select("anchor", "a", F.explode(of_anchor).alias("k")).select("anchor", "a", "k.link", "k.value")
-    ids = F.array("node_id", "document_id")
-    of_node = F.concat(keys("ref", F.concat(F.coalesce("derived_from", blank), F.array("parent_id"))), keys("cite", F.col("cites")), keys("from", ids), keys("parent", F.array("node_id")), keys("to", ids), keys("family", F.array("family")), F.transform("ids", lambda v: key("same", v)))
-    right = every.select(F.struct("node_id", "source_id", "document_id", "memory_id", "chunk_id", "source_type", "chunk_index", "turn_index", "segment_start", "segment_end", "original_ts", "ingested_ts", "ids").alias("n"), F.explode(of_node).alias("k")).select("n", "k.link", "k.value")
-    met = right.join(F.broadcast(left), ["link", "value"]).withColumn("same", F.array_contains("n.ids", F.lower("anchor")))
+    left = written(a.select("anchor", F.explode(of_anchor).alias("k")).select("anchor", "k.link", "k.value"), "lineage-keys")
+    ids, paired = F.array("node_id", "document_id"), F.col("link").isin("same", "family")
+    of_link = F.concat(keys("ref", F.concat(F.coalesce("derived_from", blank), F.array("parent_id"))), keys("cite", F.col("cites")), keys("from", ids), keys("parent", F.array("node_id")), keys("to", ids))
+    of_pair = F.concat(keys("family", F.array("family")), F.transform("ids", lambda v: key("same", v)))
+    few = lambda rows: F.broadcast(rows) if rows.count() <= KEYS_SENT else rows
+    node_of = F.struct("node_id", "source_id", "document_id", "memory_id", "chunk_id", "source_type", "chunk_index", "turn_index", "segment_start", "segment_end", "original_ts", "ingested_ts", "ids")
+    right = every.select(node_of.alias("n"), of_link.alias("links"), F.explode(of_pair).alias("k")).select("n", "links", "k.link", "k.value")
+    pairs = right.join(few(left.where(paired)), ["link", "value"]).withColumn("same", F.array_contains("n.ids", F.lower("anchor")))
+    met = pairs.drop("links").join(a, "anchor")
+
+    counts = every.select("node_id", F.explode(of_link).alias("k")).groupBy("k.link", "k.value", "node_id").agg(F.count("*").alias("n"))
+    named = left.where(~paired)
+    linked = counts.join(named, ["link", "value"]).groupBy("anchor", "link", "node_id").agg(F.sum("n").alias("n"))
+    itself = pairs.where("link = 'same'").select("anchor", F.col("n.node_id").alias("node_id"), F.explode("links").alias("k")).select("anchor", "node_id", "k.link", "k.value")
+    less = itself.join(named, ["anchor", "link", "value"]).groupBy("anchor", "link", "node_id").agg(F.count("*").alias("less"))
+    linked = linked.join(less, ["anchor", "link", "node_id"], "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).where("n > 0").join(a.select("anchor", F.col("a.source_id").alias("source_id")), "anchor")
+    away, here = F.col("node_id"), F.col("source_id")
+    is_a = lambda start, end, relation, basis, side, confidence: F.struct(start.alias("from_id"), end.alias("to_id"), F.lit(relation).alias("relation"), F.lit(basis).alias("basis"), F.lit(side).alias("side"), F.lit(confidence).alias("confidence"))
+    link = (
+        F.when(F.col("link") == "ref", is_a(away, here, DERIVED_FROM, OF_NODE, "upstream", 0.92)).when(F.col("link").isin("from", "parent"), is_a(here, away, DERIVED_FROM, OF_ANCHOR, "downstream", 0.9))
+        .when(F.col("link") == "cite", is_a(away, here, CITES, CITED, "upstream", 0.88)).when(F.col("link") == "to", is_a(here, away, CITES, CITED, "downstream", 0.88))
+    )
+    linked = linked.select("anchor", link.alias("e"), "n").select("anchor", "e.*", "n", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("string").alias("memory_id"))
+
     source, node = F.col("a.source_id"), F.col("n.node_id")
     edge = lambda start, end, relation, confidence, basis, side, distance=None: F.struct(start.alias("from_id"), end.alias("to_id"), relation.alias("relation"), F.lit(confidence).cast("double").alias("confidence") if isinstance(confidence, float) else confidence.cast("double").alias("confidence"), (F.lit(basis) if isinstance(basis, str) else basis).alias("basis"), F.lit(side).alias("side"), (F.lit(None) if distance is None else distance).cast("double").alias("distance"))
     apart = lambda *links: F.col("link").isin(*links) & ~F.col("same")
@@ -95,16 +117,12 @@ def trace(every: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_signal = lambda which: F.element_at(F.array(*(F.lit(s[which]) for s in SIGNALS)), F.col("o.signal") + 1)
     both_timed = F.col("a.original_ts").isNotNull() & F.col("n.original_ts").isNotNull()
     edges = F.array_compact(F.array(
-        F.when(apart("ref"), edge(node, source, F.lit(DERIVED_FROM), 0.92, OF_NODE, "upstream")),
-        F.when(apart("from", "parent"), edge(source, node, F.lit(DERIVED_FROM), 0.9, OF_ANCHOR, "downstream")),
-        F.when(apart("cite"), edge(node, source, F.lit(CITES), 0.88, CITED, "upstream")),
-        F.when(apart("to"), edge(source, node, F.lit(CITES), 0.88, CITED, "downstream")),
         F.when(apart("family"), edge(source, node, relation, F.when(relation == SAME_FAMILY, 0.58).otherwise(0.66), FAMILY, "related")),
         F.when(apart("family") & both_timed, edge(source, first_present("n.source_id", "n.document_id"), F.when(F.col("n.original_ts") > F.col("a.original_ts"), LATER).otherwise(EARLIER), 0.69, FAMILY_TIME, "related")),
         F.when(other & F.col("o").isNotNull(), edge(source, F.col("n.source_id"), F.when(F.col("o.later"), LATER).otherwise(EARLIER), of_signal(1), of_signal(0), "related", F.col("o.distance"))),
     ))
-    each = met.withColumn("o", order).select("anchor", F.col("n.memory_id").alias("memory_id"), F.explode(edges).alias("e")).select("anchor", "memory_id", "e.*")
-    merged = each.groupBy("anchor", "from_id", "to_id", "relation", "basis").agg(F.min("side").alias("side"), F.min("confidence").alias("confidence"), F.count("*").alias("n"), F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "memory_id")))["memory_id"].alias("nearest"))
+    each = met.withColumn("o", order).select("anchor", F.col("n.memory_id").alias("memory_id"), F.explode(edges).alias("e")).select("anchor", "memory_id", "e.*").withColumn("n", F.lit(1).cast("long"))
+    merged = each.unionByName(linked).groupBy("anchor", "from_id", "to_id", "relation", "basis").agg(F.min("side").alias("side"), F.min("confidence").alias("confidence"), F.sum("n").alias("n"), F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "memory_id")))["memory_id"].alias("nearest"))
     merged = written(merged, "lineage-edges")
 
     timed, ingested = F.col("n.original_ts").isNotNull(), F.col("n.original_ts").isNull() & F.col("n.ingested_ts").isNotNull()

@@ -69,3 +69,17 @@ def test_turns_of_ids(spark):
     ids = {"c_turn_007_chunk_1": 7, "turn_x_turn_3": 0, "return_12": 12, "": 0, "turn_99999999999999": 0}
     rows = spark.createDataFrame([(k,) for k in ids], "id string").select("id", turn_index(F.col("id")).alias("n")).collect()
     assert {r["id"]: r["n"] for r in rows} == ids
+
+
+def test_names_are_not_limited_and_no_node_is_linked_with_itself(spark):
+    n = F.col("id")
+    blank = F.array().cast("array<string>")
+    rows = spark.range(300).select(F.concat(F.lit("m"), n).alias("memory_id"), F.concat(F.lit("s"), n % 4).alias("source_id"), F.concat(F.lit("t"), n).alias("source_title"), F.lit("document").alias("source_type"), *(F.lit(None).cast(t).alias(c) for c, t in (("chunk_index", "int"), ("original_ts", "long"))), F.when(n % 2 == 0, "S1").otherwise("").alias("parent_id"), F.when(n % 3 == 0, F.array(F.lit("s1"), F.lit("S2"))).otherwise(blank).alias("derived_from"), blank.alias("cites"))
+    names = spark.range(10_050).select(F.concat(F.lit("m"), n).alias("anchor")).unionByName(spark.createDataFrame([("s1",)], "anchor string"))
+    edges, told = lineage.trace(lineage.nodes(rows), names)
+    assert told.count() == 10_051
+    found = {(r["from_id"], r["to_id"]): r["n"] for r in edges.where("anchor = 's1' and basis = 'explicit metadata keys: derived_from/parent_source'").collect()}
+    # The anchor is m105, which derives from s1 and s2: nodes outside s1 that name one of both, each key of a node for itself.
+    names_of = {k: ({"s1"} if k % 2 == 0 else set()) | ({"s1", "s2"} if k % 3 == 0 else set()) for k in range(300)}
+    want = {(f"s{s}", "s1"): sum(len(names_of[k]) for k in range(300) if k % 4 == s) for s in (0, 2, 3)}
+    assert found == want
